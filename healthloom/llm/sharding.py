@@ -115,15 +115,21 @@ def oracle(shards: int = 40) -> str:
         return f"list_position([{', '.join(scores)}], list_max([{', '.join(scores)}])) - 1"
 
     return f"""
-WITH keyed AS (
-  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, coalesce(text, '') AS body,
+WITH tab AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n) AS c
+    FROM range(256) r(n))
+), keyed AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, hex(coalesce(text, '')) AS h,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % {PRIME} AS h1,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 9, 8))::BIGINT % {PRIME} AS h2
   FROM documents
 ), dealt AS (
-  SELECT doc_id, size, body, h1, ({winner(shards)})::INTEGER AS shard, ({winner(shards + 1)})::INTEGER AS grown_shard
-  FROM keyed
+  SELECT doc_id, size, h1, ({winner(shards)})::INTEGER AS shard, ({winner(shards + 1)})::INTEGER AS grown_shard,
+         xor(list_reduce(list_transform(range(strlen(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM keyed, tab
 )
-SELECT doc_id, size::BIGINT AS size, 'key' AS law, shard, grown_shard,
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard, grown_shard,
        (row_number() OVER (PARTITION BY shard ORDER BY h1 % {SUB_BUCKETS}, doc_id) - 1)::BIGINT AS slot
 FROM dealt"""
