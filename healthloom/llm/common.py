@@ -6,7 +6,7 @@ import sys
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and U+0009 to U+000D, nothing else.
@@ -73,3 +73,56 @@ def searched(bounds: list[int], value: Column) -> Column:
         steps, F.lit(0), lambda at, step: F.when(F.element_at(table, at + step) <= value, at + step).otherwise(at)
     )
     return F.least(F.coalesce(found, F.lit(0)), F.lit(len(bounds)))
+
+
+#: A filter's size: at most 1024 bitmaps of 4 KiB (4 MiB) are broadcast, whatever the input.
+FILTER_BITS = 1 << 25
+BITMAP_BITS = 32768
+
+
+def filter_bit(keys: list[str], bits: int = FILTER_BITS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(bits))
+
+
+def bitmaps(bit_rows: DataFrame) -> DataFrame:
+    """Distinct ``bit`` numbers -> (part, bits): the filter as bitmaps of 32768 bits."""
+    return bit_rows.groupBy(F.floor(F.col("bit") / BITMAP_BITS).alias("part")).agg(
+        F.bitmap_construct_agg(F.col("bit") % BITMAP_BITS).alias("bits")
+    )
+
+
+def flagged(df: DataFrame, bit: Column, filter_: DataFrame) -> DataFrame:
+    """``df`` and ``live``: whether the row's bit is set.  No key of the filter is missed; few others pass."""
+    at = (bit % BITMAP_BITS).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(bits, at div 8 + 1, 1)")), 16, 10).cast("int")
+    return (
+        df.withColumns({"part": F.floor(bit / BITMAP_BITS), "at": at})
+        .join(F.broadcast(filter_), "part", "left")
+        .withColumn("live", F.coalesce(F.call_function("getbit", byte, F.col("at") % 8) == 1, F.lit(False)))
+        .drop("part", "at", "bits")
+    )
+
+
+def drop_rows(keyed: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``row`` structs of ``keyed`` without those listed in ``gone``, as columns.
+
+    ``gone``: the key columns (each key once) and ``gone``, how many rows of
+    that key go.  Rows whose filter bit is dead pass without a shuffle, so the
+    texts that move are those of listed rows.
+    """
+    gone = cut(gone.select(*[F.col(k).alias(f"g_{k}") for k in keys], "gone"))
+    filter_ = cut(bitmaps(gone.select(filter_bit([f"g_{k}" for k in keys]).alias("bit")).distinct()))
+    held = flagged(keyed, filter_bit(keys), filter_)
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"g_{k}"))
+    joined = held.filter("live").join(gone, same, "left")
+    # only rows of listed keys are numbered: the window holds the repeats of one row
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    again = joined.filter("gone IS NOT NULL").withColumn("place", place).filter("place > gone")
+    return (
+        held.filter("NOT live")
+        .select("row.*")
+        .unionByName(joined.filter("gone IS NULL").select("row.*"))
+        .unionByName(again.select("row.*"))
+    )

@@ -24,11 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bucket_of, cut
-
-#: The filter's size: at most 1024 bitmaps of 4 KiB (4 MiB) are broadcast, whatever the input.
-FILTER_BITS = 1 << 25
-BITMAP_BITS = 32768
+from .common import BITMAP_BITS, FILTER_BITS, ascii_lower, bitmaps, bucket_of, cut, drop_rows, filter_bit, flagged
 
 
 def normalised(text: Column) -> Column:
@@ -75,28 +71,15 @@ class DigestIndex:
         )
 
     def _bit(self) -> Column:
-        return F.pmod(F.xxhash64("digest"), F.lit(self.filter_bits))
+        return filter_bit(["digest"], self.filter_bits)
 
     def _filter(self) -> DataFrame:
         claimed = self.runs.groupBy(self._bit().alias("bit")).agg(F.sum("n").alias("n")).filter("n > 1")
-        return claimed.groupBy(F.floor(F.col("bit") / BITMAP_BITS).alias("part")).agg(
-            F.bitmap_construct_agg(F.col("bit") % BITMAP_BITS).alias("bits")
-        )
-
-    def flagged(self, df: DataFrame) -> DataFrame:
-        """``df`` (with a ``digest``) and ``live``: true for every hit, and for few other rows."""
-        bit = self._bit()
-        at = (bit % BITMAP_BITS).cast("int")
-        byte = F.conv(F.hex(F.expr("substring(bits, at div 8 + 1, 1)")), 16, 10).cast("int")
-        return (
-            df.withColumns({"part": F.floor(bit / BITMAP_BITS), "at": at})
-            .join(F.broadcast(self.live), "part", "left")
-            .withColumn("live", F.coalesce(F.call_function("getbit", byte, F.col("at") % 8) == 1, F.lit(False)))
-            .drop("part", "at", "bits")
-        )
+        return bitmaps(claimed)
 
     def maybe_hit(self, df: DataFrame) -> DataFrame:
-        return self.flagged(df).filter("live").drop("live")
+        """Rows of ``df`` (with a ``digest``) whose bit is live: every hit, and few others."""
+        return flagged(df, self._bit(), self.live).filter("live").drop("live")
 
     def _compact(self) -> DataFrame:
         return (
@@ -146,29 +129,11 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, keep: str = "max", **options) -> DataFrame:
-    """The documents that stay, with all their columns.
-
-    Rows whose filter bit is dead are unique and pass without a shuffle; the
-    others meet the list of dropped rows.  Of repeated rows one stays.
-    """
-    from pyspark.sql import Window
-
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    held = docs.select(row)
+    """The documents that stay, with all their columns.  Of repeated rows one stays."""
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     index = DigestIndex(held.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), **options)
     gone = index.groups(keep).filter("NOT kept").groupBy("id", "digest").agg(F.count("*").alias("gone"))
-    keyed = index.flagged(
-        held.select(
-            "row", F.col("row.doc_id").alias("id"), index.digest(normalised(F.col("row.text"))).alias("digest")
-        )
-    )
-    unique = keyed.filter("NOT live").select("row.*")
-    mates = keyed.filter("live")
-    joined = mates.join(gone, mates.id.eqNullSafe(gone.id) & (mates.digest == gone.digest), "left").select(
-        "row", mates.id, mates.digest, "gone"
+    keyed = held.select(
+        "row", F.col("row.doc_id").alias("id"), index.digest(normalised(F.col("row.text"))).alias("digest")
     )
-    kept = joined.filter("gone IS NULL").select("row.*")
-    # only rows of dropped ids are numbered: the window holds the repeats of one row
-    place = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(0)))
-    again = joined.filter("gone IS NOT NULL").withColumn("place", place).filter("place > gone").select("row.*")
-    return unique.unionByName(kept).unionByName(again)
+    return drop_rows(keyed, gone, ["id", "digest"])

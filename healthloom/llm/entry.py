@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest_index, mixing, packing, secrets, sharding, simhash, tokenfile, winnow
+from . import chat, digest_index, mixing, packing, quality, secrets, sharding, simhash, tokenfile, winnow
 from .common import checkpoint_dir, documents
 
 #: Where public_tokenizers keeps its files; the path is a parameter of the operators.
@@ -26,6 +26,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_quality_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -97,6 +101,7 @@ FROM n WINDOW w AS (PARTITION BY body)"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_quality_posteriors": op2_quality_posteriors,
         "op3_pareto_mix": op3_pareto_mix,
         "op4_simhash_groups": op4_simhash_groups,
         "op5_token_blocks": op5_token_blocks,

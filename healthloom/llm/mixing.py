@@ -95,12 +95,8 @@ def _ranked(sized: DataFrame, sources: DataFrame, cap: float, seed: int, cells:
     )
 
 
-def take(sized: DataFrame, targets: DataFrame, cap: float = 2.0, seed: int = SEED, cells: int = CELLS) -> DataFrame:
-    """Words taken of each document.
-
-    ``sized``: doc_id, source, size and perhaps weight (relative, mean 1).
-    ``targets``: source, source_size, target.  Both already written (``cut``).
-    """
+def source_lines(sized: DataFrame, targets: DataFrame, cap: float = 2.0, seed: int = SEED, cells: int = CELLS) -> DataFrame:
+    """``targets`` with each source's line: the cell that holds it, the room before that cell, and the words missing."""
     docs = _ranked(sized, targets, cap, seed, cells)
     per_cell = docs.groupBy("source", "cell").agg(F.sum("room").alias("has"), F.sum("whole").alias("certain"))
     run = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -126,7 +122,15 @@ def take(sized: DataFrame, targets: DataFrame, cap: float = 2.0, seed: int = SEE
         )
     )
     full = targets.join(lines.withColumnRenamed("source", "l_source"), F.col("source").eqNullSafe(F.col("l_source")))
-    held = _ranked(sized, cut(full.drop("l_source")), cap, seed, cells)
+    return cut(full.drop("l_source"))
+
+
+def taken(rows: DataFrame, lines: DataFrame, cap: float = 2.0, seed: int = SEED, cells: int = CELLS) -> DataFrame:
+    """``rows`` (doc_id, source, size, perhaps weight, and any others) with ``whole``, ``extra`` and ``taken`` words.
+
+    Only documents of the cells that hold a line are shuffled and sorted.
+    """
+    held = _ranked(rows, lines, cap, seed, cells)
     outside = held.filter("cell != line_cell").withColumn(
         "extra", F.when(F.col("cell") < F.col("line_cell"), F.col("room")).otherwise(0)
     )
@@ -136,47 +140,52 @@ def take(sized: DataFrame, targets: DataFrame, cap: float = 2.0, seed: int = SEE
         "extra", F.greatest(F.lit(0), F.least(F.col("room"), F.col("missing") - F.col("before") - ahead))
     )
     columns = [
-        "doc_id", "source", "size", "source_size", "target", "whole", "extra",
-        (F.col("whole") + F.col("extra")).cast("long").alias("taken"),
+        *rows.columns, "source_size", "target", "whole", "extra", (F.col("whole") + F.col("extra")).cast("long").alias("taken")
     ]
     return outside.select(*columns).unionByName(inside.select(*columns))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every document."""
+def take(sized: DataFrame, targets: DataFrame, cap: float = 2.0, seed: int = SEED, cells: int = CELLS) -> DataFrame:
+    """Words taken of each document.
+
+    ``sized``: doc_id, source, size and perhaps weight (relative, mean 1).
+    ``targets``: source, source_size, target.  Both already written (``cut``).
+    """
+    return taken(sized, source_lines(sized, targets, cap, seed, cells), cap, seed, cells)
+
+
+def _planned(docs: DataFrame, share: float, cap: float, seed: int) -> tuple[DataFrame, DataFrame]:
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     sizes = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    targets = water_filled(cycled_weights(sizes), share, cap)
-    return take(sized, cut(targets), cap, seed)
+    targets = cut(water_filled(cycled_weights(sizes), share, cap))
+    return sized, source_lines(sized, targets, cap, seed)
+
+
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every document."""
+    sized, lines = _planned(docs, share, cap, seed)
+    return taken(sized, lines, cap, seed)
 
 
-def mixed_copies(docs: DataFrame, **options) -> DataFrame:
+def mixed_copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = SEED) -> DataFrame:
     """The mix itself: documents repeated as often as taken, all columns kept.
 
     A document that was cut at the line ends with its first words up to the
-    line.  Repeated rows are told apart, so each keeps its own share.
+    line.  Texts are not shuffled, but for those of the cells with a line.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    plain = rows.select("row.doc_id", "row.source", "row.text")
-    taken = mix(plain, **options)
-    # repeated rows with one id are taken in any order: their texts' sizes are told apart by place
-    number = F.row_number().over(Window.partitionBy("id", "size").orderBy(F.lit(0)))
-    left = rows.select("row", F.col("row.doc_id").alias("id"), word_count(F.col("row.text")).alias("size")).withColumn("at", number)
-    right = taken.filter("taken > 0").select(
-        F.col("doc_id").alias("r_id"), F.col("size").alias("r_size"), F.col("source").alias("r_source"), "whole", "extra"
-    ).withColumn("r_at", F.row_number().over(Window.partitionBy("r_id", "r_size").orderBy(F.lit(0))))
-    joined = left.join(
-        right, left.id.eqNullSafe(right.r_id) & (left.size == right.r_size) & (left["at"] == right.r_at)
-    )
-    whole = F.when(F.col("size") > 0, F.floor(F.col("whole") / F.col("size"))).otherwise(0)
+    _, lines = _planned(docs, share, cap, seed)
+    held = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = held.select("row", "row.doc_id", "row.source", word_count(F.col("row.text")).alias("size"))
+    part = F.col("row.text")
+    none = F.array().cast("array<string>")
     copies = F.concat(
-        F.array_repeat(F.col("row.text"), whole.cast("int")),
-        F.when(F.col("extra") == F.col("size"), F.array(F.col("row.text")))
-        .when(F.col("extra") > 0, F.array(first_words(F.col("row.text"), F.col("extra"))))
-        .otherwise(F.array().cast("array<string>")),
+        F.array_repeat(part, F.floor(F.col("whole") / F.col("size")).cast("int")),
+        F.when(F.col("extra") == F.col("size"), F.array(part))
+        .when(F.col("extra") > 0, F.array(first_words(part, F.col("extra"))))
+        .otherwise(none),
     )
-    out = joined.select("row", F.explode(copies).alias("copy"))
-    return out.select(*[F.col("copy").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    out = taken(rows, lines, cap, seed).filter("taken > 0").select("row", F.explode(copies).alias("copy"))
+    return out.select(*[F.col("copy").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def first_words(text: Column, words: Column) -> Column:

@@ -61,7 +61,7 @@ def fingerprint_of(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (64 bits in a long) of every whole text."""
+    """doc_id, tag (a hash of the text, which tells rows of one id apart), fp (64 bits in a long) of every whole text."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -71,10 +71,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 fingerprint_of((t or "").encode("utf-8", "replace").translate(lower).split(), shingle)
                 for t in columns["text"]
             ]
-            ids = pa.array(columns["doc_id"], pa.int64())
-            yield pa.record_batch([ids, pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            ids, tags = (pa.array(columns[c], pa.int64()) for c in ("doc_id", "tag"))
+            values = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.record_batch([ids, tags, values], names=["doc_id", "tag", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    plain = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tag"))
+    return plain.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def _half(fp: Column, segment: Column) -> Column:
@@ -149,7 +151,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
     def least(df: DataFrame) -> DataFrame:
         low = df.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return df.join(low, "u")
+        # written first: a join of two plain exchanges is one whose crowded keys Spark can split
+        return df.join(cut(low), "u")
 
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     for _ in range(rounds):
@@ -171,32 +174,31 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fp, component_id: the least doc_id that links reach."""
+def grouped(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame:
+    """doc_id, tag, fp, best (struct: unnamed, doc_id, tag of its component's first row) for every row."""
     rows = cut(fingerprints(docs, shingle))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = cut(components(links(nodes, crowd)))
-    named = roots.join(nodes, roots.node == nodes.fp).select("node", "root", "least")
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.join(lowest, "root").select(F.col("node").alias("fp"), "component_id")
-    every = nodes.join(linked, "fp", "left").select(
-        F.col("fp").alias("n_fp"), F.coalesce("component_id", "least").alias("component_id")
-    )
-    every = cut(every)
-    return rows.join(every, rows.fp == every.n_fp).select("doc_id", "fp", "component_id")
+    entry = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
+    nodes = cut(rows.groupBy("fp").agg(F.min(entry).alias("low")))
+    roots = cut(components(links(nodes.select("fp"), crowd)))
+    named = cut(roots.join(nodes, roots.node == nodes.fp).select("node", "root", "low"))
+    lowest = cut(named.groupBy("root").agg(F.min("low").alias("best")))
+    linked = named.join(lowest, "root").select(F.col("node").alias("l_fp"), "best")
+    every = nodes.join(linked, nodes.fp == linked.l_fp, "left")
+    every = cut(every.select(F.col("fp").alias("n_fp"), F.coalesce("best", "low").alias("best")))
+    return rows.join(every, rows.fp == every.n_fp).select("doc_id", "tag", "fp", "best")
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group stays (the one with the least doc_id), all columns kept.
+def near_groups(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame:
+    """doc_id, fp, component_id: the least doc_id that links reach."""
+    return grouped(docs, shingle, crowd).select("doc_id", "fp", F.col("best.doc_id").alias("component_id"))
 
-    Of repeated rows with that id one stays.
-    """
-    from pyspark.sql import Window
 
+def near_dedup(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group stays (the one with the least doc_id), all columns kept."""
     held = docs.select(F.struct(*docs.columns).alias("row"))
-    groups = near_groups(held.select("row.doc_id", "row.text"), **options)
-    stay = groups.select(F.col("component_id").alias("keep")).distinct()
-    rows = held.join(stay, F.col("row.doc_id").eqNullSafe(F.col("keep")), "left_semi")
-    again = F.count("*").over(Window.partitionBy("row.doc_id"))
-    place = F.row_number().over(Window.partitionBy("row.doc_id").orderBy(F.lit(0)))
-    return rows.withColumns({"place": place}).filter("place = 1").select("row.*")
+    groups = grouped(held.select("row.doc_id", "row.text"), **options)
+    first = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.tag") == F.col("tag"))
+    rows = groups.groupBy("doc_id", "tag", first.cast("long").alias("stay")).agg(F.count("*").alias("n"))
+    gone = rows.select("doc_id", "tag", (F.col("n") - F.col("stay")).alias("gone")).filter("gone > 0")
+    keyed = held.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("tag"))
+    return drop_rows(keyed, gone, ["doc_id", "tag"])
