@@ -50,7 +50,6 @@ ALLOWED = (
     r"[^0-9]*",
     r"[^A-Za-z]*",
     r"(?i).*(?:example|placeholder|changeme|dummy|xxxx|0123456789|abcdefgh).*",
-    r"(?:/?[A-Za-z_-]+)+(?:/[A-Za-z0-9_-]+)*",
 )
 
 _NONE = "array<struct<start:int,kind:int,stop:int>>"
