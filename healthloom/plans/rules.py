@@ -195,7 +195,6 @@ REQUIRED_KEYS = ["name", "version", "depends", "data", "installable", "license"]
 CRITICAL_MODELS = ["ir.rule", "ir.config_parameter", "ir.cron"]
 NOT_FIELDS = ["id", "env", "display_name", "create_uid", "create_date", "write_uid", "write_date"]
 LIFECYCLE = ["create", "write", "unlink", "copy", "default_get"]
-USER_ERRORS = ["UserError", "ValidationError", "Warning", "RedirectWarning"]
 
 
 @dataclass(frozen=True)
@@ -212,6 +211,8 @@ class Rule:
     excludes: tuple[str, ...] = ()
     fixable: bool = False
     texts: tuple[str, str, str] = ("", "", "")
+    #: A condition on call events, if that is all there is to the rule: such rules share one pass over the calls.
+    when: str | None = None
 
 
 REGISTRY: dict[str, Rule] = {}
@@ -230,6 +231,11 @@ def rule(name: str, category: str, tier: str, severity: str, confidence: str, **
     return register
 
 
+def call_rule(name: str, category: str, tier: str, severity: str, confidence: str, when: str, **more) -> None:
+    """Registers a rule that is a condition on call events."""
+    rule(name, category, tier, severity, confidence, context=False, when=when, **more)(lambda p: p.facts.calls.filter(when))
+
+
 def load_plugins(group: str = "healthloom.rules") -> list[str]:
     """Imports packaged rules; one that fails is left out and named in the result."""
     from importlib.metadata import entry_points
@@ -280,38 +286,60 @@ class Project:
         return self.facts.manifests.select("module", F.coalesce(own, F.lit(self.version)).alias("version"))
 
 
-def findings_of(rule: Rule, project: Project) -> DataFrame:
-    """A rule's rows as findings."""
+def _place(rule: Rule) -> int:
+    return list(REGISTRY).index(rule.name) if rule.name in REGISTRY else len(REGISTRY)
+
+
+def _labels(rule: Rule) -> list[Column]:
+    """What a finding takes from its rule, and its texts."""
+    held = {"rule": rule.name, "category": rule.category, "severity": rule.severity, "tier": rule.tier, "confidence": rule.confidence}
+    texts = {k: filled(t) for k, t in zip(("title", "message", "help"), rule.texts)}
+    return [*(F.lit(v).alias(k) for k, v in held.items()), *(c.alias(k) for k, c in texts.items()), F.lit(_place(rule)).alias("place")]
+
+
+FOUND = ["module", "path", "line", "col", "rule", "category", "severity", "tier", "confidence", "title", "message", "help", "place", "n"]
+
+
+def found_by(rule: Rule, project: Project) -> DataFrame:
+    """A rule's rows with its labels (the columns ``FOUND``)."""
     rows = rule.run(project)
     n = F.col("n") if "n" in rows.columns else F.lit(0)
-    if "version" in rows.columns:
-        rows = rows.drop("version")
-    rows = rows.join(project.versions, "module", "left")  # a row per module
-    title, message, help_ = map(filled, rule.texts)
-    place = list(REGISTRY).index(rule.name) if rule.name in REGISTRY else len(REGISTRY)
+    return rows.select("module", "path", F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), *_labels(rule), n.cast("long").alias("n"))
+
+
+def found_in_calls(rules: list[Rule], project: Project) -> DataFrame:
+    """All rules that are conditions on calls, in one pass: each call is paired with the rules that it meets."""
+    met = F.filter(F.array(*[F.when(F.expr(r.when), F.struct(*_labels(r))) for r in rules]), lambda x: x.isNotNull())
+    return project.facts.calls.select("module", "path", "line", "col", F.col("n").cast("long").alias("n"), F.explode(met).alias("r")).select(
+        "module", "path", "line", "col", "n", "r.*"
+    ).select(*FOUND)
+
+
+def as_findings(found: DataFrame, project: Project) -> DataFrame:
+    """Rows of ``FOUND`` as findings.  Versions are joined once, a row per module."""
+    rows = found.join(project.versions, "module", "left")
     return rows.select(
-        "module", F.col("path").alias("file_path"), F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("column"),
-        F.lit(rule.name).alias("rule"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"),
-        F.lit(rule.tier).alias("tier"), F.lit("native").alias("source"), F.lit(rule.confidence).alias("confidence"),
-        title.alias("title"), message.alias("message"), help_.alias("help"),
+        "module", F.col("path").alias("file_path"), "line", F.col("col").alias("column"), "rule", "category", "severity", "tier",
+        F.lit("native").alias("source"), "confidence", "title", "message", "help",
         F.coalesce("version", F.lit("unknown")).alias("odoo_version"), F.lit(None).cast("string").alias("url"),
-        (F.lit(place).cast("long") * (1 << 32) + n.cast("long")).alias("seq"),
+        (F.col("place").cast("long") * (1 << 32) + F.col("n")).alias("seq"),
     )
 
 
+def findings_of(rule: Rule, project: Project) -> DataFrame:
+    """One rule's findings."""
+    return as_findings(found_by(rule, project), project)
+
+
 # --- rules on one file -----------------------------------------------------------------------
 
 one_file = {"context": False}
 
 
-@rule("raw-sql-string-interpolation", "Security", "P0", "error", "high", **one_file)
-def raw_sql(p: Project) -> DataFrame:
-    return p.facts.calls.filter("tainted_sql")
+call_rule("raw-sql-string-interpolation", "Security", "P0", "error", "high", "tainted_sql")
 
 
-@rule("eval-usage", "Security", "P0", "error", "high", **one_file)
-def eval_usage(p: Project) -> DataFrame:
-    return p.facts.calls.filter("bare AND name IN ('eval', 'exec') AND NOT first_constant")
+call_rule("eval-usage", "Security", "P0", "error", "high", "bare AND name IN ('eval', 'exec') AND NOT first_constant")
 
 
 @rule("public-controller-sudo-risk", "Security", "P1", "error", "high", **one_file)
@@ -319,28 +347,19 @@ def public_sudo(p: Project) -> DataFrame:
     return p.facts.of("controller").filter("auth IN ('public', 'none') AND sudo")
 
 
-@rule("sudo-without-comment", "Security", "P1", "warning", "medium", **one_file)
-def bare_sudo(p: Project) -> DataFrame:
-    return p.facts.calls.filter("NOT bare AND name = 'sudo' AND NOT excused")
+call_rule("sudo-without-comment", "Security", "P1", "warning", "medium", "NOT bare AND name = 'sudo' AND NOT excused")
 
 
-def in_loop(p: Project, *names: str) -> DataFrame:
-    return p.facts.calls.filter("NOT bare AND in_loop AND orm_here").filter(F.col("name").isin(*names))
+IN_LOOP = "NOT bare AND in_loop AND orm_here AND name IN "
 
 
-@rule("search-in-loop", "Performance", "P1", "warning", "high", **one_file)
-def search_in_loop(p: Project) -> DataFrame:
-    return in_loop(p, "search", "search_count", "browse", "read")
+call_rule("search-in-loop", "Performance", "P1", "warning", "high", IN_LOOP + "('search', 'search_count', 'browse', 'read')")
 
 
-@rule("create-in-loop", "Performance", "P1", "warning", "high", **one_file)
-def create_in_loop(p: Project) -> DataFrame:
-    return in_loop(p, "create")
+call_rule("create-in-loop", "Performance", "P1", "warning", "high", IN_LOOP + "('create')")
 
 
-@rule("write-in-loop", "Performance", "P1", "warning", "high", **one_file)
-def write_in_loop(p: Project) -> DataFrame:
-    return in_loop(p, "write")
+call_rule("write-in-loop", "Performance", "P1", "warning", "high", IN_LOOP + "('write')")
 
 
 @rule("n-plus-one-read", "Performance", "P1", "warning", "low", **one_file)
@@ -350,9 +369,10 @@ def n_plus_one(p: Project) -> DataFrame:
     return chains.groupBy("module", "path", "loop", "line").agg(first).select("module", "path", "line", "f.n", "f.col")
 
 
-@rule("unbounded-search", "Performance", "P2", "warning", "high", **one_file)
-def unbounded_search(p: Project) -> DataFrame:
-    return p.facts.calls.filter("NOT bare AND risky AND orm AND everything AND NOT limited AND name IN ('search', 'search_read')")
+call_rule(
+    "unbounded-search", "Performance", "P2", "warning", "high",
+    "NOT bare AND risky AND orm AND everything AND NOT limited AND name IN ('search', 'search_read')",
+)
 
 
 @rule("override-missing-super", "Correctness", "P1", "error", "high", **one_file)
@@ -362,9 +382,10 @@ def missing_super(p: Project) -> DataFrame:
     return held.filter(~F.col("supers") & F.col("name").isin(LIFECYCLE))
 
 
-@rule("missing-translation", "Maintainability", "P2", "info", "medium", **one_file)
-def missing_translation(p: Project) -> DataFrame:
-    return p.facts.calls.filter(F.col("first_text") & F.col("name").isin(USER_ERRORS))
+call_rule(
+    "missing-translation", "Maintainability", "P2", "info", "medium",
+    "first_text AND name IN ('UserError', 'ValidationError', 'Warning', 'RedirectWarning')",
+)
 
 
 @rule("deprecated-api-usage", "Upgrade Safety", "P1", "warning", "high", **one_file)
@@ -531,7 +552,8 @@ def noupdate_risk(p: Project) -> DataFrame:
 def removed_model(p: Project) -> DataFrame:
     rows = p.facts.models.select("module", "path", "line", F.lit(0).alias("col"), F.col("name").alias("own"), F.posexplode("inherit").alias("n", "name"))
     asked = rows.filter(~F.col("name").eqNullSafe(F.col("own")))
-    return p.resolver.models(asked, "name").filter(F.col("status") != R.FOUND)
+    # the version is part of the texts
+    return p.resolver.models(asked, "name").filter(F.col("status") != R.FOUND).join(p.versions, "module", "left")
 
 
 @rule("asset-bundle-missing", "Frontend", "P2", "warning", "high", min_version="15.0")

@@ -20,7 +20,7 @@ from ..sources.parsed import Facts
 from ..sources.tree import read_tree
 from . import rules as rules_module
 from .config import Config
-from .rules import REGISTRY, Project, Rule, findings_of
+from .rules import REGISTRY, Project, Rule, as_findings, found_by, found_in_calls
 
 
 @dataclass
@@ -76,12 +76,16 @@ def source_index(spark: SparkSession, path: str) -> DataFrame:
 def rule_findings(project: Project, rules: list[Rule], failed: list[str]) -> DataFrame | None:
     """All rules' findings.  A rule whose plan can't be built is left out and named."""
     out = []
+    if calls := [r for r in rules if r.when]:
+        out.append(found_in_calls(calls, project))
     for r in rules:
+        if r.when:
+            continue
         try:
-            out.append(findings_of(r, project))
+            out.append(found_by(r, project))
         except Exception as error:  # one rule's fault must not end the scan
             failed.append(f"{r.name}: {error}")
-    return reduce(DataFrame.unionByName, out) if out else None
+    return as_findings(reduce(DataFrame.unionByName, out), project) if out else None
 
 
 def scan(
