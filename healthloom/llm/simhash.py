@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shipped
+from .common import cut, drop_rows, shipped
 from .tokens import batches
 
 shipped(__name__)
