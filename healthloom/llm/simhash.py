@@ -104,7 +104,7 @@ def _ball(value: Column, bits: int) -> Column:
 
 
 def _sub(value: Column, part: Column) -> Column:
-    return F.shiftrightunsigned(value, (part * 16).cast("int")).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+    return F.call_function("shiftrightunsigned", value, (part * 16).cast("int")).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
