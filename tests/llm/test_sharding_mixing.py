@@ -99,5 +99,5 @@ def test_mix_empty_repeated(empty, repeated):
     assert mixing.mix(empty).count() == 0
     rows = mixing.mix(repeated).collect()
     assert len(rows) == 7 and all(r.source_size == 11 for r in rows)
-    assert sum(r.taken for r in rows) == round(rows[0].target)
+    assert abs(sum(r.taken for r in rows) - rows[0].target) <= 0.5
     assert mixing.mixed_copies(repeated).count() > 0
