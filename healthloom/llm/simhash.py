@@ -21,6 +21,12 @@ Components: alternating large-star and small-star rounds (Kiryakov et al.'s
 family of connected-component algorithms) on the links, until a round changes
 nothing.  Each round is cut by a checkpoint.
 
+One fingerprint finds what lies within 3 of 64 bits, which is far less than
+all near copies.  With ``tables`` > 1 a text has that many fingerprints over
+independently mixed hashes of the same shingles, and texts are linked when any
+of them is within the bound: each table is an exact search as above, so links
+between unlike texts stay as rare, while near copies have more chances to meet.
+
 Defined cases: null and word-less texts have fingerprint zero, linked like any
 other; texts with fewer words than a shingle are one shingle; repeated rows
 share a component; an empty table gives an empty result.
@@ -45,38 +51,50 @@ CROWD = 256
 MASK = 0xFFFFFFFF
 
 
-def fingerprint_of(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
-    """The SimHash of a word sequence: a bit is 1 if set in over half the shingles' hashes."""
+def mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Hashes for one more fingerprint (table 0: as they are): the finaliser of SplitMix64 over shifted input."""
+    if not table:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes ^ np.uint64(table * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return x ^ x >> np.uint64(31)
+
+
+def fingerprints_of(words: list[bytes], shingle: int = 3, tables: int = 1, seed: int = 42) -> np.ndarray:
+    """SimHashes of a word sequence, one per table: a bit is 1 if set in over half the shingles' hashes."""
     import xxhash
 
     if not words:
-        return 0
+        return np.zeros(tables, "<u8")
     digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((tables, 64), np.int64)
     for at in range(0, n, 8192):
         upto = min(n, at + 8192)
         hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), seed) for i in range(at, upto)), "<u8", upto - at)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        for t in range(tables):
+            bits = np.unpackbits(mixed(hashes, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[t] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, tag (a hash of the text, which tells rows of one id apart), fp (64 bits in a long) of every whole text."""
+def fingerprints(docs: DataFrame, shingle: int = 3, tables: int = 1) -> DataFrame:
+    """doc_id, tag (a hash of the text, which tells rows of one id apart), fps (64 bits in a long, one per table) of every whole text."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
         for columns in batches(source):
             fps = [
                 # bytes.split() cuts at the six ASCII white-space bytes and nothing else
-                fingerprint_of((t or "").encode("utf-8", "replace").translate(lower).split(), shingle)
+                fingerprints_of((t or "").encode("utf-8", "replace").translate(lower).split(), shingle, tables).view(np.int64)
                 for t in columns["text"]
             ]
             ids, tags = (pa.array(columns[c], pa.int64()) for c in ("doc_id", "tag"))
-            values = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield pa.record_batch([ids, tags, values], names=["doc_id", "tag", "fp"])
+            yield pa.record_batch([ids, tags, pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "tag", "fps"])
 
     plain = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tag"))
-    return plain.mapInArrow(run, "doc_id long, tag long, fp long")
+    return plain.mapInArrow(run, "doc_id long, tag long, fps array<long>")
 
 
 def _half(fp: Column, segment: Column) -> Column:
@@ -85,9 +103,10 @@ def _half(fp: Column, segment: Column) -> Column:
 
 
 def _segments(nodes: DataFrame) -> DataFrame:
-    """fp, segment (0 low, 1 high), value of the segment."""
-    held = nodes.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("segment"))
-    return held.withColumn("value", _half(F.col("fp"), F.col("segment")))
+    """fp, key: table, segment (0 low, 1 high) and the segment's value in one number, the value in its low 32 bits."""
+    held = nodes.select("t", "fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("segment"))
+    place = F.shiftleft((F.col("t") * 2 + F.col("segment")).cast("long"), 32)
+    return held.select("fp", (place + _half(F.col("fp"), F.col("segment"))).alias("key"))
 
 
 def _cleared(value: Column, bits: int) -> Column:
@@ -113,31 +132,47 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """All pairs a < b of distinct fingerprints (``nodes``: fp, distinct) at most 3 bits apart."""
+    """t, a, b: all pairs a < b of fingerprints of one table (``nodes``: t, fp, distinct) at most 3 bits apart."""
     table = _segments(nodes)
-    sizes = table.groupBy("segment", "value").agg(F.count("*").alias("n"))
-    crowded = cut(sizes.filter(F.col("n") > crowd).select("segment", "value"))
+    crowded = cut(table.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key"))
     some = bool(crowded.take(1))
-    probes = table.select(
-        F.col("fp").alias("a"), "segment", F.explode(_cleared(F.col("value"), 32)).alias("value")
-    )
-    entries = table.select(F.col("fp").alias("b"), "segment", "value")
-    plain = entries.join(crowded, ["segment", "value"], "left_anti") if some else entries
-    found = _verified(probes.join(plain, ["segment", "value"])).select("a", "b")
+    probes = table.select(F.col("fp").alias("a"), F.explode(_cleared(F.col("key"), 32)).alias("key"))
+    entries = table.select(F.col("fp").alias("b"), "key")
+    plain = entries.join(crowded, "key", "left_anti") if some else entries
+    found = _verified(probes.join(plain, "key")).select("key", "a", "b")
     if some:
         found = found.unionByName(_crowded_links(probes, entries, crowded))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    t = F.shiftright("key", 33).cast("int")
+    return found.select(t.alias("t"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _crowded_links(probes: DataFrame, entries: DataFrame, crowded: DataFrame) -> DataFrame:
-    keys = ["segment", "value"]
-    other = lambda fp: _half(F.col(fp), 1 - F.col("segment"))
+    segment = F.shiftright("key", 32).bitwiseAND(F.lit(1).cast("long"))
+    other = lambda fp: _half(F.col(fp), 1 - segment)
     parts = F.explode(F.array(F.lit(0), F.lit(1))).alias("part")
-    index = entries.join(crowded, keys, "left_semi").select("*", parts)
+    index = entries.join(crowded, "key", "left_semi").select("*", parts)
     index = index.withColumn("sub", _sub(other("b"), F.col("part")))
-    asked = probes.join(crowded, keys, "left_semi").select("*", parts)
+    asked = probes.join(crowded, "key", "left_semi").select("*", parts)
     asked = asked.withColumn("sub", F.explode(_ball(_sub(other("a"), F.col("part")), 16)))
-    return _verified(asked.join(index, [*keys, "part", "sub"])).select("a", "b")
+    return _verified(asked.join(index, ["key", "part", "sub"])).select("key", "a", "b")
+
+
+def node_links(nodes: DataFrame, tables: int, crowd: int = CROWD) -> DataFrame:
+    """a, b: links of nodes (node, fps) in any table.
+
+    Nodes with one value in a table are linked to the least of them, and links
+    between values become links between those.
+    """
+    if tables == 1:
+        return links(nodes.select(F.lit(0).alias("t"), F.get("fps", F.lit(0)).alias("fp")), crowd).select("a", "b")
+    each = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
+    values = cut(each.groupBy("t", "fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
+    found = cut(links(values.select("t", "fp"), crowd))
+    heads = lambda c: values.select("t", F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    far = found.join(heads("a"), ["t", "a"]).join(heads("b"), ["t", "b"]).select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    shared = values.filter("n > 1").select("t", "fp", "head")
+    same = each.join(shared, ["t", "fp"]).filter("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return far.unionByName(same).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -174,18 +209,20 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def grouped(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame:
-    """doc_id, tag, fp, best (struct: unnamed, doc_id, tag of its component's first row) for every row."""
-    rows = cut(fingerprints(docs, shingle))
+def grouped(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, tables: int = 1) -> DataFrame:
+    """doc_id, tag, fp (of the first table), best (struct: unnamed, doc_id, tag of its component's first row) for every row."""
+    node = F.get("fps", F.lit(0)) if tables == 1 else F.xxhash64("fps")
+    rows = cut(fingerprints(docs, shingle, tables).withColumn("node", node))
     entry = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
-    nodes = cut(rows.groupBy("fp").agg(F.min(entry).alias("low")))
-    roots = cut(components(links(nodes.select("fp"), crowd)))
-    named = cut(roots.join(nodes, roots.node == nodes.fp).select("node", "root", "low"))
+    nodes = cut(rows.groupBy("node", "fps").agg(F.min(entry).alias("low")))
+    roots = cut(components(node_links(nodes.select("node", "fps"), tables, crowd)))
+    least = nodes.select(F.col("node").alias("n_node"), "low")
+    named = cut(roots.join(least, roots.node == F.col("n_node")).select("node", "root", "low"))
     lowest = cut(named.groupBy("root").agg(F.min("low").alias("best")))
-    linked = named.join(lowest, "root").select(F.col("node").alias("l_fp"), "best")
-    every = nodes.join(linked, nodes.fp == linked.l_fp, "left")
-    every = cut(every.select(F.col("fp").alias("n_fp"), F.coalesce("best", "low").alias("best")))
-    return rows.join(every, rows.fp == every.n_fp).select("doc_id", "tag", "fp", "best")
+    linked = named.join(lowest, "root").select(F.col("node").alias("l_node"), "best")
+    every = least.join(linked, F.col("n_node") == F.col("l_node"), "left")
+    every = cut(every.select("n_node", F.coalesce("best", "low").alias("best")))
+    return rows.join(every, rows.node == every.n_node).select("doc_id", "tag", F.get("fps", F.lit(0)).alias("fp"), "best")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame:
@@ -193,10 +230,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFr
     return grouped(docs, shingle, crowd).select("doc_id", "fp", F.col("best.doc_id").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
+def near_dedup(docs: DataFrame, tables: int = 8, **options) -> DataFrame:
     """One document of each group stays (the one with the least doc_id), all columns kept."""
     held = docs.select(F.struct(*docs.columns).alias("row"))
-    groups = grouped(held.select("row.doc_id", "row.text"), **options)
+    groups = grouped(held.select("row.doc_id", "row.text"), tables=tables, **options)
     first = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.tag") == F.col("tag"))
     rows = groups.groupBy("doc_id", "tag", first.cast("long").alias("stay")).agg(F.count("*").alias("n"))
     gone = rows.select("doc_id", "tag", (F.col("n") - F.col("stay")).alias("gone")).filter("gone > 0")

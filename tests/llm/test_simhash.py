@@ -71,7 +71,7 @@ def planted(seed, n=300, crowd=600):
 def test_links_are_all_found_with_and_without_crowds(spark):
     fps = planted(3)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    nodes = spark.createDataFrame([(2, f) for f in signed], "t int, fp long")
     values = np.array(fps, np.uint64)
     want = set()
     for i in range(len(fps)):
@@ -79,7 +79,7 @@ def test_links_are_all_found_with_and_without_crowds(spark):
             a, b = signed[i], signed[i + 1 + int(j)]
             want.add((min(a, b), max(a, b)))
     for crowd in (1, 40, 100_000):
-        assert {tuple(r) for r in simhash.links(nodes, crowd).collect()} == want
+        assert {(r.t, (r.a, r.b)) for r in simhash.links(nodes, crowd).collect()} == {(2, p) for p in want}
 
 
 def test_components_of_a_long_chain(spark):
@@ -89,8 +89,46 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{k: 0 for k in range(201)}, **{k: 1000 for k in (1000, 1001, 1002)}}
 
 
+def brute_tables(rows, tables):
+    """rows: (id, text) -> id -> least id reached by links of any table."""
+    fps = [(k, simhash.fingerprints_of((t or "").encode().lower().split(), 3, tables)) for k, t in rows]
+    label = {k: k for k, _ in fps}
+    while True:
+        before = dict(label)
+        for k, f in fps:
+            for j, g in fps:
+                if any(bin(int(x) ^ int(y)).count("1") <= 3 for x, y in zip(f, g)):
+                    label[k] = label[j] = min(label[k], label[j])
+        if label == before:
+            return label
+
+
+def test_more_tables_find_more_near_copies(spark):
+    import random
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(25):
+        words = [word() for _ in range(150)]
+        for c in range(3):
+            copy = list(words)
+            for at in rnd.sample(range(150), c * 2):
+                copy[at] = word()
+            rows.append((10 * k + c, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = {}
+    for tables in (1, 8):
+        want = brute_tables(rows, tables)
+        got = {r.doc_id: r.best.doc_id for r in simhash.grouped(df, tables=tables).collect()}
+        assert got == want
+        left[tables] = len(set(want.values()))
+        assert all(v // 10 == k // 10 for k, v in want.items())
+    assert left[8] < left[1]
+
+
 def test_dedup_keeps_one_of_each_group(docs, texts):
-    want = brute_components([(3 * k + 1, brute_fingerprint(t)) for k, t in enumerate(texts)])
+    want = brute_tables([(3 * k + 1, t) for k, t in enumerate(texts)], 8)
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
