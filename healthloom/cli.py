@@ -84,6 +84,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--fail-on", choices=("error", "warning", "info"))
     s.add_argument("--min-score", type=float)
     s.add_argument("--no-linters", action="store_true")
+    s.add_argument("--cache", help="a folder that keeps the findings of unchanged trees")
+    s.add_argument("--post", action="store_true", help="post the comment of --format comment to the open pull request")
     r = sub.add_parser("rules")
     r.add_argument("--category")
     i = sub.add_parser("init")
@@ -111,7 +113,7 @@ def run_scan(args) -> int:
             changed = spark.createDataFrame([(n,) for n in names], "path string")
     chosen = () if args.no_linters else tuple(x for x in (L.RUFF, L.PYLINT) if config.linters.get(x.name, True))
     known = baseline.read_baseline(spark, args.baseline) if args.baseline else None
-    result = S.scan(spark, paths, config, args.framework, changed, chosen, str(Path.cwd()), known=known)
+    result = S.scan(spark, paths, config, args.framework, changed, chosen, str(Path.cwd()), known=known, cache_dir=args.cache)
     if args.write_baseline:
         baseline.write_baseline(baseline.with_identity(result.findings, result.facts.lines), args.write_baseline)
     delta = None
@@ -133,6 +135,8 @@ def run_scan(args) -> int:
         Path(args.output).write_text(text, encoding="utf-8")
     else:
         print(text)
+    if args.post and args.format == "comment":
+        reports.post_comment(text)
     if args.fail_on and P.at_or_above(result.findings, args.fail_on):
         return 1
     least = args.min_score if args.min_score is not None else config.min_score

@@ -18,6 +18,7 @@ from ..operators import resolve as R
 from ..sources import linters as L
 from ..sources.parsed import Facts
 from ..sources.tree import read_tree
+from . import cache
 from . import rules as rules_module
 from .config import Config
 from .rules import REGISTRY, Project, Rule, as_findings, found_by, found_in_calls
@@ -88,6 +89,21 @@ def rule_findings(project: Project, rules: list[Rule], failed: list[str]) -> Dat
     return as_findings(reduce(DataFrame.unionByName, out), project) if out else None
 
 
+def staged(
+    raw: DataFrame, facts: Facts, config: Config, version: str, caps: list[str], changed: DataFrame | None, dirs: DataFrame, base_path: str | None
+) -> DataFrame:
+    """The stages, in their fixed order."""
+    out = P.normalise(raw)
+    if changed is not None:
+        out = P.changed_only(out, changed, dirs, [r.name for r in REGISTRY.values() if r.context])
+    out = P.deduplicate(out)
+    out = P.override_severity(out, config.severity)
+    out = P.ignore(out, config.ignore_rules, config.ignore_modules, config.ignore_files, base_path)
+    out = P.suppress(out, facts.suppressions)
+    out = P.gate(out, gates(facts.spark), version, caps)
+    return P.mark_eligible(out)
+
+
 def scan(
     spark: SparkSession,
     paths: list[str],
@@ -98,8 +114,13 @@ def scan(
     base_path: str | None = None,
     stubs: R.Stubs | None = None,
     known: DataFrame | None = None,
+    cache_dir: str | None = None,
 ) -> ScanResult:
-    """``changed``: path of changed files (file rules see only those).  ``known``: identities of a baseline."""
+    """``changed``: path of changed files (file rules see only those).  ``known``: identities of a baseline.
+
+    ``cache_dir``: findings of an unchanged tree are taken from there and new
+    ones kept there; not used together with ``changed``.
+    """
     config = config or Config()
     failed: list[str] = rules_module.load_plugins() if config.plugins else []
     files = read_tree(spark, paths, config.target_modules).persist()
@@ -107,24 +128,25 @@ def scan(
     facts.facts = facts.facts.persist()
     detected = detect_version(facts, version, config.version)
     caps = P.capabilities(detected, config.capabilities, config.capability_prefix)
-    index = source_index(spark, config.source_path).persist() if config.source_path else None
-    project = Project(facts, detected, stubs or R.stubs_for(spark, config.stubs_path, detected), index, caps)
-    chosen = active_rules(detected, caps)
-    raw = rule_findings(project, chosen, failed)
-    if raw is None:
-        raw = spark.createDataFrame([], ", ".join(f"`{c}` {'int' if c in ('line', 'column') else 'string'}" for c in P.COLUMNS) + ", seq long")
-    for linter in linters:
-        raw = raw.unionByName(L.lint(facts.manifests, linter, detected))
-    out = P.normalise(raw)
     dirs = facts.manifests.select("module", "module_dir")
-    if changed is not None:
-        out = P.changed_only(out, changed, dirs, [r.name for r in REGISTRY.values() if r.context])
-    out = P.deduplicate(out)
-    out = P.override_severity(out, config.severity)
-    out = P.ignore(out, config.ignore_rules, config.ignore_modules, config.ignore_files, base_path)
-    out = P.suppress(out, facts.suppressions)
-    out = P.gate(out, gates(spark), detected, caps)
-    out = P.mark_eligible(out)
+    chosen = active_rules(detected, caps)
+    key = None
+    if cache_dir and changed is None:
+        settings = (detected, repr(config), [r.name for r in chosen], [repr(x) for x in linters], base_path)
+        key = cache.fingerprint(files, *settings)
+    out = cache.load(spark, cache_dir, key) if key else None
+    if out is None:
+        index = source_index(spark, config.source_path).persist() if config.source_path else None
+        project = Project(facts, detected, stubs or R.stubs_for(spark, config.stubs_path, detected), index, caps)
+        raw = rule_findings(project, chosen, failed)
+        if raw is None:
+            raw = spark.createDataFrame([], ", ".join(f"`{c}` {'int' if c in ('line', 'column') else 'string'}" for c in P.COLUMNS) + ", seq long")
+        for linter in linters:
+            raw = raw.unionByName(L.lint(facts.manifests, linter, detected))
+        out = staged(raw, facts, config, detected, caps, changed, dirs, base_path)
+        if key:
+            cache.store(out, cache_dir, key)
+            out = cache.load(spark, cache_dir, key)
     if known is not None:
         out = baseline.filter_known(baseline.with_identity(out, facts.lines), known).drop("identity")
     out = out.persist()

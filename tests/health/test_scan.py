@@ -117,6 +117,28 @@ def test_cache_key_follows_contents(module, spark, tmp_path):
     assert cache.load(spark, str(tmp_path / "c"), first).count() == 3
 
 
+def test_kept_findings(module, scanned, tmp_path):
+    m = module(**{"a.py": BAD})
+    first = scanned(m, cache_dir=str(tmp_path / "kept"))
+    again = scanned(m, cache_dir=str(tmp_path / "kept"))
+    assert sorted(map(str, first.findings.collect())) == sorted(map(str, again.findings.collect()))
+    assert [r.overall for r in first.scores.collect()] == [r.overall for r in again.scores.collect()]
+    assert len([p for p in (tmp_path / "kept").iterdir()]) == 1
+
+
+def test_comment_is_posted_or_updated():
+    said = []
+
+    def run(arguments, comments='{"comments": []}'):
+        said.append(arguments[:2])
+        return comments
+
+    assert reports.post_comment("b", run=run) == "create" and said[-1] == ["pr", "comment"]
+    held = json.dumps({"comments": [{"id": 4, "body": reports.MARKER}]})
+    assert reports.post_comment("b", run=lambda a: run(a, held)) == "update" and said[-1] == ["api", "-X"]
+    assert reports.post_comment("b", run=lambda a: None) is None
+
+
 def test_commands(project, tmp_path, capsys, monkeypatch, spark):
     top, bad, good = project
     out = tmp_path / "r.json"
