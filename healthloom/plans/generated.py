@@ -86,13 +86,13 @@ class C(http.Controller):
 EXTENSION = "class B(models.Model):\n    _inherit = 'sale.order'\n"
 
 VIEW = """\
-<odoo>
+<root>
 <record id="v1" model="ir.ui.view">
 <field name="model">g{k}.thing</field>
 <field name="arch" type="xml"><form>{arch}</form></field>
 </record>
 {more}
-</odoo>
+</root>
 """
 PLAIN = '<field name="name"/>'
 #: By k % 4: what the view shows, line 6, and the findings.

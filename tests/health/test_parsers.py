@@ -84,12 +84,12 @@ def test_suppression_comments():
     source = b"# a-doctor: disable=r1, r2\nx = 1  # a-doctor: disable-file=r3\n's # a-doctor: disable=r4'\n"
     got = [(f["line"], f["data"]["rule"]) for f in python_facts.facts(source) if f["fact"] == "suppression"]
     assert got == [(2, "r1"), (2, "r2"), (0, "r3")]
-    xml = b"<!-- a-doctor: disable-file=r5 --><odoo>\n<!-- a-doctor: disable=r6 -->\n</odoo>"
+    xml = b"<!-- a-doctor: disable-file=r5 --><root>\n<!-- a-doctor: disable=r6 -->\n</root>"
     assert [(f["line"], f["data"]["rule"]) for f in other_facts.xml(xml)] == [(0, "r5"), (3, "r6")]
 
 
 def test_xml_records_and_views():
-    source = b"""<odoo>
+    source = b"""<root>
 <data noupdate="1">
 <record id="a" model="m"><field name="x" ref="r1"/><field name="y" eval="[ref('b.r2'), ref('r3')]"/>
 <field name="inherit_id" ref="skip"/></record></data>
@@ -97,7 +97,7 @@ def test_xml_records_and_views():
 <field name="arch" type="xml"><form><field name="f1"/><group><field name="f1"/><field name="lines">
 <tree><field name="sub"/><button name="subm" type="object"/></tree></field></group>
 <button name="go" type="object"/><button name="no"/></form></field></record>
-<menuitem id="m1"/><template id="t.q"/></odoo>"""
+<menuitem id="m1"/><template id="t.q"/></root>"""
     facts = other_facts.xml(source)
     records = {f["data"]["id"]: f for f in facts if f["fact"] == "record"}
     assert [r["ref"] for r in records["a"]["data"]["refs"]] == ["r1", "b.r2", "r3"]
@@ -106,7 +106,7 @@ def test_xml_records_and_views():
     (v,) = [f["data"] for f in facts if f["fact"] == "view"]
     assert (v["model"], v["parent"]) == ("my.model", "p")
     assert [x["name"] for x in v["fields"]] == ["f1", "lines"] and [x["name"] for x in v["buttons"]] == ["go"]
-    assert other_facts.xml(b"<odoo>") == [] and other_facts.xml(b"") == []
+    assert other_facts.xml(b"<root>") == [] and other_facts.xml(b"") == []
 
 
 def test_manifest_and_access():

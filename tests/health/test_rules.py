@@ -39,7 +39,7 @@ def test_access_rules(module, rows_of):
 
 
 def test_view_members_need_proof(module, rows_of, spark):
-    arch = '<odoo><record id="v" model="ir.ui.view"><field name="model">{m}</field><field name="arch"><form><field name="x"/><field name="gone"/><field name="id"/><button name="b" type="object"/></form></field></record></odoo>'
+    arch = '<root><record id="v" model="ir.ui.view"><field name="model">{m}</field><field name="arch"><form><field name="x"/><field name="gone"/><field name="id"/><button name="b" type="object"/></form></field></record></root>'
     m = module(**{"a.py": model("x = fields.Char()\ndef go(self): pass"), "v.xml": arch.format(m="my.thing")})
     assert rows_of("view-field-not-in-model", m, column="title") == ["View references unknown field 'gone'"]
     assert rows_of("button-method-not-found", m) == [("v.xml", 1)]
@@ -54,7 +54,7 @@ def test_view_members_need_proof(module, rows_of, spark):
 
 
 def test_inherited_models_are_incomplete_unless_known(module, rows_of):
-    arch = '<odoo><record id="v" model="ir.ui.view"><field name="model">my.thing</field><field name="arch"><field name="gone"/></field></record></odoo>'
+    arch = '<root><record id="v" model="ir.ui.view"><field name="model">my.thing</field><field name="arch"><field name="gone"/></field></record></root>'
     m = module(**{"a.py": model("_inherit = ['mail.thread']"), "v.xml": arch})
     assert rows_of("view-field-not-in-model", m) == []
     assert rows_of("removed-model-still-referenced", m, column="title") == ["Model 'mail.thread' not found in version 17.0"]
@@ -62,14 +62,14 @@ def test_inherited_models_are_incomplete_unless_known(module, rows_of):
 
 
 def test_xml_references(module, rows_of):
-    source = '<odoo>\n<record id="a" model="m"><field name="x" ref="gone"/><field name="y" ref="other.z"/><field name="z" ref="b"/></record>\n<record id="b" model="m"/>\n<record id="a" model="m"/>\n<record id="v" model="ir.ui.view"><field name="model">q</field><field name="inherit_id" ref="mod.nope"/></record></odoo>'
+    source = '<root>\n<record id="a" model="m"><field name="x" ref="gone"/><field name="y" ref="other.z"/><field name="z" ref="b"/></record>\n<record id="b" model="m"/>\n<record id="a" model="m"/>\n<record id="v" model="ir.ui.view"><field name="model">q</field><field name="inherit_id" ref="mod.nope"/></record></root>'
     m = module(**{"d.xml": source})
     assert rows_of("missing-xml-ref", m) == [("d.xml", 2), ("d.xml", 5)]
     assert rows_of("duplicate-xml-id", m) == [("d.xml", 4)]
 
 
 def test_unlisted_files_do_not_count(module, rows_of):
-    m = module(manifest="{'name': 'x', 'data': []}", **{"d.xml": '<odoo><record id="a" model="ir.cron"/></odoo>'})
+    m = module(manifest="{'name': 'x', 'data': []}", **{"d.xml": '<root><record id="a" model="ir.cron"/></root>'})
     assert rows_of("data-noupdate-risk", m) == []
     assert rows_of("manifest-missing-required-fields", m, column="title") == [f"Manifest missing required field: '{k}'" for k in ("depends", "installable", "license", "version")]
 
