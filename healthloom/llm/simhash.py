@@ -230,7 +230,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFr
     return grouped(docs, shingle, crowd).select("doc_id", "fp", F.col("best.doc_id").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, tables: int = 8, **options) -> DataFrame:
+def near_dedup(docs: DataFrame, tables: int = 1, **options) -> DataFrame:
     """One document of each group stays (the one with the least doc_id), all columns kept."""
     held = docs.select(F.struct(*docs.columns).alias("row"))
     groups = grouped(held.select("row.doc_id", "row.text"), tables=tables, **options)

@@ -30,7 +30,7 @@ def test_each_stage_keeps_what_its_operator_says(spark, stages):
     before, after = stages["exact_dedup"]
     assert {r.doc_id for r in after.collect()} == {r.id for r in digest_index.DigestIndex(before).groups().filter("kept").collect()}
     before, after = stages["near_dedup"]
-    groups = simhash.grouped(before, tables=8).collect()
+    groups = simhash.grouped(before).collect()
     assert sorted(r.doc_id for r in after.collect()) == sorted({r.best.doc_id for r in groups})
     before, after = stages["mix"]
     want = mixing.mix(before).agg(F.sum("taken")).first()[0]

@@ -129,7 +129,7 @@ def test_more_tables_find_more_near_copies(spark):
 
 def test_dedup_keeps_one_of_each_group(docs, texts):
     want = brute_tables([(3 * k + 1, t) for k, t in enumerate(texts)], 8)
-    kept = simhash.near_dedup(docs)
+    kept = simhash.near_dedup(docs, tables=8)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
