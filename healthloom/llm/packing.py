@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, cut, shipped, spread
+from .common import bucket_of, cut, shipped, short_batches, spread
 
 shipped(__name__)
 
@@ -151,7 +151,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     """All documents, tokenised, cut and packed: one row per piece."""
     from .tokens import cut_pieces
 
-    return pack(cut(cut_pieces(docs, tokenizer_path, capacity, end_id)), capacity)
+    with short_batches(docs.sparkSession):
+        pieces = cut(cut_pieces(docs, tokenizer_path, capacity, end_id))
+    return pack(pieces, capacity)
 
 
 def sequences(packed: DataFrame, capacity: int) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_rows, shipped
+from .common import cut, drop_rows, shipped, short_batches
 from .tokens import batches
 
 shipped(__name__)
@@ -212,7 +212,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 def grouped(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, tables: int = 1) -> DataFrame:
     """doc_id, tag, fp (of the first table), best (struct: unnamed, doc_id, tag of its component's first row) for every row."""
     node = F.get("fps", F.lit(0)) if tables == 1 else F.xxhash64("fps")
-    rows = cut(fingerprints(docs, shingle, tables).withColumn("node", node))
+    with short_batches(docs.sparkSession):
+        rows = cut(fingerprints(docs, shingle, tables).withColumn("node", node))
     entry = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
     nodes = cut(rows.groupBy("node", "fps").agg(F.min(entry).alias("low")))
     roots = cut(components(node_links(nodes.select("node", "fps"), tables, crowd)))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shipped
+from .common import shipped, short_batches
 from .tokens import batches, encoder
 
 shipped(__name__)
@@ -178,7 +178,8 @@ def write_tokens(
 
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     ordered = plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, SCHEMA).write.parquet(path)
+    with short_batches(docs.sparkSession):
+        ordered.mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
