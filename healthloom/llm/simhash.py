@@ -26,6 +26,8 @@ all near copies.  With ``tables`` > 1 a text has that many fingerprints over
 independently mixed hashes of the same shingles, and texts are linked when any
 of them is within the bound: each table is an exact search as above, so links
 between unlike texts stay as rare, while near copies have more chances to meet.
+Dense groups have many such links; each task keeps a spanning forest of those it
+finds (``spanned``) and the component rounds work on what is left.
 
 Defined cases: null and word-less texts have fingerprint zero, linked like any
 other; texts with fewer words than a shingle are one shingle; repeated rows
@@ -48,6 +50,8 @@ shipped(__name__)
 
 MAX_BITS = 3
 CROWD = 256
+#: Fingerprints of the stage that drops near copies; op4's groups have one.
+TABLES = 8
 MASK = 0xFFFFFFFF
 
 
@@ -133,6 +137,11 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """t, a, b: all pairs a < b of fingerprints of one table (``nodes``: t, fp, distinct) at most 3 bits apart."""
+    return _found(nodes, crowd).distinct()
+
+
+def _found(nodes: DataFrame, crowd: int) -> DataFrame:
+    """The pairs of ``links``, each as often as it is found, next to others that share its segment."""
     table = _segments(nodes)
     crowded = cut(table.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key"))
     some = bool(crowded.take(1))
@@ -143,7 +152,7 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     if some:
         found = found.unionByName(_crowded_links(probes, entries, crowded))
     t = F.shiftright("key", 33).cast("int")
-    return found.select(t.alias("t"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.select(t.alias("t"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _crowded_links(probes: DataFrame, entries: DataFrame, crowded: DataFrame) -> DataFrame:
@@ -157,17 +166,56 @@ def _crowded_links(probes: DataFrame, entries: DataFrame, crowded: DataFrame) ->
     return _verified(asked.join(index, ["key", "part", "sub"])).select("key", "a", "b")
 
 
+def spanned(edges: DataFrame, held: int = 1 << 18) -> DataFrame:
+    """t, a, b: fewer links (``edges``: t, a, b) with the same components.
+
+    A link goes only if those kept before it in its task connect its two ends
+    already, so no component is lost; of a group whose pairs meet in one task
+    one link less than it has members is left.  Each kept link is between the
+    least values that its ends reach.  Beyond ``held`` values the task forgets
+    what it has seen, which only leaves more links.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def root(x: tuple[int, int]) -> tuple[int, int]:
+            top = x
+            while (above := parent.setdefault(top, top)) != top:
+                top = above
+            while x != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for batch in source:
+            out = []
+            for t, a, b in zip(*(batch.column(c).to_pylist() for c in ("t", "a", "b")), strict=True):
+                x, y = sorted((root((t, a)), root((t, b))))
+                if x != y:
+                    parent[y] = x
+                    out.append((t, x[1], y[1]))
+            columns = zip(*out) if out else ([], [], [])
+            kinds = (pa.int32(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["t", "a", "b"])
+            if len(parent) > held:
+                parent.clear()
+
+    return edges.select("t", "a", "b").mapInArrow(run, "t int, a long, b long")
+
+
 def node_links(nodes: DataFrame, tables: int, crowd: int = CROWD) -> DataFrame:
-    """a, b: links of nodes (node, fps) in any table.
+    """a, b: links of nodes (node, fps) in any table; with several tables, enough of them for the same components.
 
     Nodes with one value in a table are linked to the least of them, and links
-    between values become links between those.
+    between values become links between those.  Links between values are
+    thinned where they are found, so the pairs of a dense group do not reach
+    the shuffles behind.
     """
     if tables == 1:
         return links(nodes.select(F.lit(0).alias("t"), F.get("fps", F.lit(0)).alias("fp")), crowd).select("a", "b")
     each = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
     values = cut(each.groupBy("t", "fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
-    found = cut(links(values.select("t", "fp"), crowd))
+    found = cut(spanned(_found(values.select("t", "fp"), crowd)).distinct())
     heads = lambda c: values.select("t", F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
     far = found.join(heads("a"), ["t", "a"]).join(heads("b"), ["t", "b"]).select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     shared = values.filter("n > 1").select("t", "fp", "head")
@@ -209,7 +257,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def grouped(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, tables: int = 1) -> DataFrame:
+def grouped(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, tables: int = TABLES) -> DataFrame:
     """doc_id, tag, fp (of the first table), best (struct: unnamed, doc_id, tag of its component's first row) for every row."""
     node = F.get("fps", F.lit(0)) if tables == 1 else F.xxhash64("fps")
     with short_batches(docs.sparkSession):
@@ -227,11 +275,11 @@ def grouped(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, tables: int =
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fp, component_id: the least doc_id that links reach."""
-    return grouped(docs, shingle, crowd).select("doc_id", "fp", F.col("best.doc_id").alias("component_id"))
+    """doc_id, fp, component_id: the least doc_id that links of one fingerprint reach."""
+    return grouped(docs, shingle, crowd, tables=1).select("doc_id", "fp", F.col("best.doc_id").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, tables: int = 1, **options) -> DataFrame:
+def near_dedup(docs: DataFrame, tables: int = TABLES, **options) -> DataFrame:
     """One document of each group stays (the one with the least doc_id), all columns kept."""
     held = docs.select(F.struct(*docs.columns).alias("row"))
     groups = grouped(held.select("row.doc_id", "row.text"), tables=tables, **options)

@@ -138,3 +138,41 @@ def test_empty_and_repeated(empty, repeated):
     assert simhash.near_groups(empty).count() == 0
     assert simhash.near_groups(repeated).count() == 7
     assert sorted(r.text for r in simhash.near_dedup(repeated).collect() if r.text) == ["Same words here", "other one"]
+
+
+def test_dedup_links_over_eight_fingerprints_by_default(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(20):
+        words = [word() for _ in range(150)]
+        rows.append((10 * k, " ".join(words)))
+        for c in (1, 2):
+            copy = list(words)
+            for at in rnd.sample(range(150), 3):
+                copy[at] = word()
+            rows.append((10 * k + c, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(set(brute_tables(rows, 8).values()))
+    assert want != sorted(set(brute_tables(rows, 1).values()))
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == want
+
+
+def test_links_of_a_dense_group_are_thinned_and_keep_the_components(spark):
+    rnd = random.Random(5)
+    fps = set()
+    for _ in range(2):  # every value of a group is within 1 bit of its centre
+        centre = rnd.getrandbits(64)
+        fps |= {centre ^ 1 << i for i in range(64)}
+    fps |= {rnd.getrandbits(64) for _ in range(50)}
+    signed = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(k, [0, f]) for k, f in enumerate(signed)] + [(9999, [5, 6])], "node long, fps array<long>")
+    values = nodes.selectExpr("posexplode(fps) AS (t, fp)").distinct()
+    every = simhash.links(values)
+    few = simhash.spanned(every.coalesce(1))
+    roots = lambda e: {(r.node, r.root) for r in simhash.components(e.filter("t = 1").select("a", "b")).collect()}
+    assert roots(few) == roots(every) == roots(simhash.spanned(every, held=3))
+    assert few.filter("t = 1").count() < len(signed) < every.count() / 4
+    # nodes that share a value in one table are one group, whatever the other tables say
+    linked = simhash.node_links(nodes, 2)
+    assert {r.root for r in simhash.components(linked).collect()} == {0}
