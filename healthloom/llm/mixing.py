@@ -113,10 +113,11 @@ def source_lines(sized: DataFrame, targets: DataFrame, cap: float = 2.0, seed: i
             F.min(F.when(F.col("upto") >= missing, F.struct("cell", (F.col("upto") - F.col("has")).alias("before")))).alias("line"),
             F.first(missing).alias("missing"),
         )
-        # where all room is not enough there is no line, and every document below "cells + 1" is taken
+        # where all room is not enough there is no line, and every document below "cells + 1" is taken;
+        # where certain copies are enough the line is before all cells, and no document is sorted
         .select(
             "source",
-            F.coalesce("line.cell", F.lit(cells + 1)).alias("line_cell"),
+            F.when(F.col("missing") <= 0, -1).otherwise(F.coalesce("line.cell", F.lit(cells + 1))).alias("line_cell"),
             F.coalesce("line.before", F.lit(0)).alias("before"),
             "missing",
         )

@@ -101,3 +101,15 @@ def test_mix_empty_repeated(empty, repeated):
     assert len(rows) == 7 and all(r.source_size == 11 for r in rows)
     assert abs(sum(r.taken for r in rows) - rows[0].target) <= 0.5
     assert mixing.mixed_copies(repeated).count() > 0
+
+
+def test_no_document_of_a_capped_source_is_sorted(spark):
+    rows = [(k, "abc"[k % 3], " ".join(["w"] * (1 + k % 5))) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sized, lines = mixing._planned(docs, 1.5, 2.0, mixing.SEED)
+    held = mixing._ranked(sized, lines, 2.0, mixing.SEED, mixing.CELLS)
+    sorted_ = Counter(r.source for r in held.filter("cell = line_cell").collect())
+    capped = {r.source for r in lines.collect() if r.target == 2 * r.source_size}
+    assert capped == {"a"} and not sorted_["a"] and all(n < 60 for n in sorted_.values())
+    for r in mixing.mix(docs).collect():
+        assert r.source != "a" or r.taken == 2 * r.size
