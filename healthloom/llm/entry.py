@@ -53,7 +53,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.inline(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(forged).alias("text")) for k, r in enumerate(("user", "assistant"))])),
     )
     turns = chat.gathered_turns(rows.unionByName(extra))
-    return chat.read_back(chat.format_conversations(turns))
+    canonical = chat.canonical_turns(turns, ids=("conv_id",))
+    return chat.read_back(chat.format_conversations(canonical))
 
 
 def op7_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
