@@ -1,13 +1,14 @@
 """Document fingerprints by winnowing (DataFrame only).
 
-A text is cut into *units*: runs of up to ``UNIT`` code points that are not
-white space, counted anew from the start of each word.  Every run of K units
-has a Rabin-Karp hash modulo 2**31 - 1 (Horner's form over K unit hashes, which
-is the value that rolling gives).  In each window of W hashes the least one is
-chosen, the rightmost of equals, and the chosen ones are kept with their
-position.  Two texts that share K + W - 1 units in a row therefore share a
-chosen hash.  Hash and inverted position are one number, so one minimum
-settles both.
+A text's *units* are its code points that are not white space.  Every run of K
+units, at every offset, has a Rabin-Karp hash modulo 2**31 - 1.  The hash of a
+run of 2 n is that of its first n times BASE**n plus that of its last n, so
+log2(K) passes give Horner's value of every run; the least of W hashes is found
+by doubling as well (K and W are powers of two).  In each window of W hashes
+the least one is chosen, the rightmost of equals, and the chosen ones are kept
+with their position.  Two texts that share K + W - 1 units in a row therefore
+share a chosen hash, wherever the run lies and with or without white space.
+Hash and inverted position are one number, so one minimum settles both.
 
 Edited texts need each document's successor by doc_id.  Documents are dealt to
 buckets of neighbouring ids (bounds by approximate quantiles, found by binary
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import searched
 
-UNIT, K, W = 6, 4, 12
+UNIT, K, W = 1, 16, 32
 PRIME, BASE = 2**31 - 1, 1_000_003
 BUCKET_ROWS, MOST_BUCKETS = 256, 1 << 16
 SHIFT = 1 << 32
@@ -43,33 +44,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def unit_hashes(text: Column) -> Column:
-    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\s]{1,%d}" % UNIT), F.lit(0))
+    units = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""), ""), lambda u: u != "")
     return F.transform(units, lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME)))
 
 
 def gram_marks(units: Column, k: int = K) -> Column:
     """hash * 2**32 + (2**32 - 1 - position) of every run of k units."""
 
-    def mark(first: Column, at: Column, u: Column) -> Column:
-        value = first
-        for step in range(1, k):
-            value = (value * BASE + F.coalesce(F.get(u, at + step), F.lit(0))) % PRIME
-        return value * SHIFT + (SHIFT - 1 - at)
+    def doubled(values: Column, n: int) -> Column:
+        power = pow(BASE, n, PRIME)
+        return let(values, lambda v: F.transform(v, lambda x, at: (x * power + F.coalesce(F.get(v, at + n), F.lit(0))) % PRIME))
 
-    marks = let(units, lambda u: F.transform(u, lambda x, at: mark(x, at, u)))
+    values, n = units, 1
+    while n < k:
+        values, n = doubled(values, n), 2 * n
+    marks = F.transform(values, lambda x, at: x * SHIFT + (SHIFT - 1 - at))
     return let(marks, lambda m: F.slice(m, F.lit(1), F.greatest(F.lit(1), F.size(m) - (k - 1))))
 
 
 def chosen(marks: Column, w: int = W) -> Column:
     """The least mark of every window of w, each once, in order."""
-    least = let(
-        marks,
-        lambda m: F.transform(
-            F.slice(m, F.lit(1), F.greatest(F.lit(1), F.size(m) - (w - 1))),
-            lambda _, at: F.array_min(F.slice(m, at + 1, F.lit(w))),
-        ),
-    )
-    return F.array_distinct(least)
+
+    def doubled(values: Column, n: int) -> Column:
+        # least() passes over what lies behind the end
+        return let(values, lambda v: F.transform(v, lambda x, at: F.least(x, F.get(v, at + n))))
+
+    def windows(all_marks: Column) -> Column:
+        least, n = all_marks, 1
+        while n < w:
+            least, n = doubled(least, n), 2 * n
+        return F.slice(least, F.lit(1), F.greatest(F.lit(1), F.size(all_marks) - (w - 1)))
+
+    return F.array_distinct(let(marks, windows))
 
 
 def winnow(text: Column, k: int = K, w: int = W) -> Column:

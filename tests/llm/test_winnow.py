@@ -97,3 +97,11 @@ def test_all_null_ids(spark):
 def test_likeness_of_empty(spark):
     e, a = F.array().cast("array<bigint>"), F.array(F.lit(1).cast("bigint"))
     assert spark.range(1).select(winnow.likeness(e, e), winnow.likeness(e, a)).first() == (1.0, 0.0)
+
+
+def test_runs_without_white_space_match_at_every_offset(spark):
+    rnd = random.Random(9)
+    text = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(600))
+    rows = [(k, "x" * k + text) for k in range(8)] + [(8, text[:50] + "x" + text[50:])]
+    got = {r.doc_id: set(r.hashes) for r in winnow.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[0] & got[k]) > 0.7 * len(got[0]) for k in got)
