@@ -2,15 +2,15 @@
 
 A *segment* holds the ids of a run of documents in ascending id order::
 
-    magic "PFB1" | u32 block size | u32 blocks | u64 ids in all
-    u32 start of each block's body (the index)
-    per block: u32 minimum | u8 width | u8 position bytes | u16 exceptions
-               packed values | exception positions | exception values
+    magic "PFB2" | u32 block size | u32 blocks | u32 exceptions | u64 ids in all
+    per block (the index): u32 start of its packed values | u32 number of its first exception
+                           u32 minimum | u32 width
+    packed values of all blocks | u16 positions of all exceptions | u32 values of all exceptions
 
 Values are ids less the block's minimum, packed at the width that the chosen
-percentile of the block's values needs; what does not fit is packed as zero
-and stored whole in the exception list.  The index gives block k without
-reading the others.
+percentile of the block's values needs, the first value in the lowest bits;
+what does not fit is packed as zero and stored whole in the exception list.
+The index gives block k without reading the others.
 
 A token *file set* is a Parquet table (the container, so that any store that
 Spark writes will do) with a row per segment: shard, segment, its documents'
@@ -19,7 +19,9 @@ the files are in ascending order; a document's place in the whole is its
 shard's start (one number per shard) plus its place in the shard.
 
 Defined cases: a null text is empty and gives the end id alone; a null id
-comes first; repeated ids lie side by side; an empty table gives no rows.
+comes first; repeated ids lie side by side; a very long text makes its segment
+longer and is never cut; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ from .tokens import batches, encoder
 
 shipped(__name__)
 
-MAGIC = b"PFB1"
+MAGIC = b"PFB2"
+HEAD = "<4sIIIQ"
+INDEX = np.dtype([("start", "<u4"), ("first", "<u4"), ("low", "<u4"), ("width", "<u4")])
 BLOCK = 512
 PERCENTILE = 90
 #: A segment is closed when it has so many ids.
@@ -52,62 +56,87 @@ def bit_lengths(values: np.ndarray) -> np.ndarray:
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
-    """(rows, n) values of at most ``width`` bits -> (rows, bytes), most significant bit first."""
-    kind, size = (">u2", 16) if width <= 16 else (">u4", 32)
-    raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1)
-    bits = np.unpackbits(raw, axis=1).reshape(len(values), -1, size)[:, :, size - width :]
-    return np.packbits(bits.reshape(len(values), -1), axis=1)
+    """(rows, n) values of at most ``width`` bits -> (rows, bytes).
+
+    64 values fill ``width`` words of 64 bits, so value i of each 64 goes by one
+    shift to word i * width / 64, and its upper part, if it has one, to the next.
+    """
+    rows, n = values.shape
+    groups = -(-n // 64)
+    lanes = np.zeros((64, rows * groups), np.uint64)
+    padded = np.zeros((rows, groups * 64), np.uint64)
+    padded[:, :n] = values
+    lanes[:] = padded.reshape(rows * groups, 64).T
+    words = np.zeros((width + 1, rows * groups), np.uint64)
+    for i in range(64):
+        word, at = divmod(i * width, 64)
+        words[word] |= lanes[i] << np.uint64(at)
+        if at + width > 64:
+            words[word + 1] |= lanes[i] >> np.uint64(64 - at)
+    packed = np.ascontiguousarray(words[:width].T).astype("<u8").view(np.uint8)
+    return packed.reshape(rows, -1)[:, : packed_size(n, width)]
+
+
+def packed_size(n: int, width: int) -> int:
+    return (n * width + 7) // 8
 
 
 def unpack_bits(packed: np.ndarray, width: int, n: int) -> np.ndarray:
-    kind, size = (">u2", 16) if width <= 16 else (">u4", 32)
-    bits = np.unpackbits(packed, axis=1)[:, : n * width].reshape(len(packed), n, width)
-    wide = np.zeros((len(packed), n, size), np.uint8)
-    wide[:, :, size - width :] = bits
-    return np.packbits(wide.reshape(len(packed), -1), axis=1).view(kind).astype(np.uint32)
+    """The reverse of ``pack_bits``: (rows, bytes) -> (rows, n)."""
+    rows, groups = len(packed), -(-n // 64)
+    whole = np.zeros((rows, groups * width * 8), np.uint8)
+    whole[:, : packed.shape[1]] = packed
+    words = np.zeros((width + 1, rows * groups), np.uint64)
+    words[:width] = whole.view("<u8").reshape(rows * groups, width).T
+    lanes, mask = np.empty((64, rows * groups), np.uint64), np.uint64((1 << width) - 1)
+    for i in range(64):
+        word, at = divmod(i * width, 64)
+        lanes[i] = words[word] >> np.uint64(at)
+        if at + width > 64:
+            lanes[i] |= words[word + 1] << np.uint64(64 - at)
+    lanes &= mask
+    return np.ascontiguousarray(lanes.T).reshape(rows, -1)[:, :n].astype(np.uint32)
 
 
 def encode_segment(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
-    """ids (unsigned 32-bit) -> the bytes of a segment."""
+    """ids (unsigned 32-bit) -> the bytes of a segment.  Blocks have at most 65,536 ids."""
     n, blocks = len(ids), -(-len(ids) // block)
     padded = np.zeros(blocks * block, np.uint32)
     padded[:n] = ids
-    if n:
-        padded[n:] = ids[n // block * block :].min() if n % block else 0  # fits the last block's frame
+    if n % block:
+        padded[n:] = ids[n // block * block :].min()  # fits the last block's frame
     grid = padded.reshape(blocks, block)
-    low = grid.min(axis=1) if blocks else np.zeros(0, np.uint32)
-    rest = grid - low[:, None]
-    needs = bit_lengths(rest).reshape(blocks, block)
+    index = np.zeros(blocks, INDEX)
+    if not blocks:
+        return struct.pack(HEAD, MAGIC, block, 0, 0, 0)
+    index["low"] = grid.min(axis=1)
+    rest = grid - index["low"][:, None]
+    needs = bit_lengths(rest)
     at = min(block - 1, int(np.ceil(block * percentile / 100)) - 1)
-    widths = np.maximum(np.partition(needs, at, axis=1)[:, at], 1) if blocks else np.zeros(0, np.uint8)
+    widths = np.maximum(np.partition(needs, at, axis=1)[:, at], 1)
     big = needs > widths[:, None]
-    plain = np.where(big, 0, rest).astype(np.uint32)
-    packed: list[bytes] = [b""] * blocks
+    over = np.nonzero(big)
+    index["width"] = widths
+    index["first"][1:] = np.cumsum(big.sum(axis=1))[:-1]
+    sizes = packed_size(block, widths.astype(np.int64))
+    index["start"][1:] = np.cumsum(sizes)[:-1]
+    packed = np.zeros(int(sizes.sum()), np.uint8)
+    plain = np.where(big, np.uint32(0), rest)
     for width in np.unique(widths):
         rows = np.flatnonzero(widths == width)
-        for k in range(0, len(rows), 256):  # bounds what the bits take unpacked
-            for row, data in zip(rows[k : k + 256], pack_bits(plain[rows[k : k + 256]], int(width))):
-                packed[row] = data.tobytes()
-    position, position_bytes = (np.uint8, 1) if block <= 256 else (np.dtype("<u2"), 2)
-    bodies, starts, place = [], [], 0
-    for k in range(blocks):
-        over = np.flatnonzero(big[k])
-        body = (
-            struct.pack("<IBBH", low[k], widths[k], position_bytes, len(over))
-            + packed[k]
-            + over.astype(position).tobytes()
-            + rest[k][over].astype("<u4").tobytes()
+        data = pack_bits(plain[rows], int(width))
+        packed[index["start"][rows].astype(np.int64)[:, None] + np.arange(data.shape[1])] = data
+    return b"".join(
+        (
+            struct.pack(HEAD, MAGIC, block, blocks, len(over[0]), n),
+            index.tobytes(), packed.tobytes(), over[1].astype("<u2").tobytes(), rest[over].astype("<u4").tobytes(),
         )
-        starts.append(place)
-        bodies.append(body)
-        place += len(body)
-    head = struct.pack("<4sIIQ", MAGIC, block, blocks, n)
-    return head + np.array(starts, "<u4").tobytes() + b"".join(bodies)
+    )
 
 
 def decode_segment(data: bytes, first: int = 0, count: int | None = None) -> np.ndarray:
     """ids ``first`` to ``first + count`` of a segment; reads only the blocks that hold them."""
-    magic, block, blocks, n = struct.unpack_from("<4sIIQ", data)
+    magic, block, blocks, exceptions, n = struct.unpack_from(HEAD, data)
     if magic != MAGIC:
         raise ValueError("not a token segment")
     count = n - first if count is None else count
@@ -115,31 +144,29 @@ def decode_segment(data: bytes, first: int = 0, count: int | None = None) -> np.
         raise ValueError("out of range")
     if not count:
         return np.zeros(0, np.uint32)
-    head = struct.calcsize("<4sIIQ")
-    starts = np.frombuffer(data, "<u4", blocks, head)
-    base = head + 4 * blocks
+    index = np.frombuffer(data, INDEX, blocks, struct.calcsize(HEAD))
+    body = struct.calcsize(HEAD) + index.nbytes
+    at_positions = len(data) - 6 * exceptions
+    packed = np.frombuffer(data, np.uint8, at_positions - body, body)
     k0, k1 = first // block, (first + count - 1) // block + 1
-    heads = [struct.unpack_from("<IBBH", data, base + int(starts[k])) for k in range(k0, k1)]
+    some = index[k0:k1]
     out = np.empty((k1 - k0, block), np.uint32)
-    widths = np.array([h[1] for h in heads])
-    for width in np.unique(widths):
-        size = (block * int(width) + 7) // 8
-        rows = np.flatnonzero(widths == width)
-        for at in range(0, len(rows), 256):
-            some = rows[at : at + 256]
-            raw = np.stack([np.frombuffer(data, np.uint8, size, base + int(starts[k0 + r]) + 8) for r in some])
-            out[some] = unpack_bits(raw, int(width), block)
-    for r, (low, width, position_bytes, over) in enumerate(heads):
-        if over:
-            at = base + int(starts[k0 + r]) + 8 + (block * width + 7) // 8
-            places = np.frombuffer(data, "<u2" if position_bytes == 2 else np.uint8, over, at)
-            out[r, places] = np.frombuffer(data, "<u4", over, at + over * position_bytes)
-        out[r] += np.uint32(low)
+    for width in np.unique(some["width"]):
+        rows = np.flatnonzero(some["width"] == width)
+        places = some["start"][rows].astype(np.int64)[:, None] + np.arange(packed_size(block, int(width)))
+        out[rows] = unpack_bits(packed[places], int(width), block)
+    e0, e1 = int(index["first"][k0]), int(index["first"][k1]) if k1 < blocks else exceptions
+    if e1 > e0:
+        rows = np.searchsorted(some["first"], np.arange(e0, e1), "right") - 1
+        places = np.frombuffer(data, "<u2", e1 - e0, at_positions + 2 * e0)
+        out[rows, places] = np.frombuffer(data, "<u4", e1 - e0, at_positions + 2 * exceptions + 4 * e0)
+    out += some["low"][:, None]
     return out.reshape(-1)[first - k0 * block : first - k0 * block + count]
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, block: int = BLOCK, percentile: float = PERCENTILE
+    docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, block: int = BLOCK, percentile: float = PERCENTILE,
+    segment_ids: int = SEGMENT_IDS,
 ) -> None:
     """Tokenises every text, adds the end id, and writes the file set in ascending doc_id order."""
 
@@ -170,7 +197,7 @@ def write_tokens(
                 names.append(doc_id)
                 lengths.append(len(ids[-1]) // 4)
                 total += lengths[-1]
-                if total >= SEGMENT_IDS:
+                if total >= segment_ids:
                     yield closed()
                     ids, names, lengths, total, segment = [], [], [], 0, segment + 1
         if names:
@@ -207,16 +234,21 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         names = ["doc_id", "shard", "segment", "inside", "n_tokens", "ids_crc32", "ids"]
         for batch in source:
             for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                ids = decode_segment(row["body"]).astype("<u4")
-                out, at = [], 0
-                for doc_id, n in zip(row["doc_ids"], row["lengths"]):
-                    part = ids[at : at + n]
-                    item = (doc_id, row["shard"], row["segment"], at, n, zlib.crc32(part.tobytes()))
-                    out.append((*item, part.tolist()) if with_ids else item)
-                    at += n
-                used = names if with_ids else names[:-1]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=used)
+                row = {n: batch.column(n)[k] for n in batch.schema.names}
+                ids = decode_segment(row["body"].as_buffer()).astype("<u4", copy=False)
+                lengths = row["lengths"].values.to_numpy()
+                stops = np.cumsum(lengths)
+                begins = stops - lengths
+                parts = [ids[a:b] for a, b in zip(begins.tolist(), stops.tolist())]
+                columns = [
+                    row["doc_ids"].values,
+                    np.full(len(parts), row["shard"].as_py()), np.full(len(parts), row["segment"].as_py()),
+                    begins, lengths, [zlib.crc32(part) for part in parts],
+                ]
+                if with_ids:
+                    columns.append([part.tolist() for part in parts])
+                arrays = [pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, kinds)]
+                yield pa.record_batch(arrays, names=names[: len(arrays)])
 
     table = spark.read.schema(SCHEMA).parquet(path).select("shard", "segment", "doc_ids", "lengths", "body")
     rows = table.mapInArrow(run, schema)

@@ -1,15 +1,25 @@
 """Token ids of whole texts, in Arrow batches on the executors.
 
-The ids are those of the ``tokenizers`` library for a byte-level BPE file.
-Byte-level BPE never merges across the boundaries its pre-tokenizer sets, and
-such a boundary always stands before white space that follows a character that
-is none.  A text is therefore cut there, and each piece's ids are kept in a
-bounded memo; a piece that is new is split by the vocabulary's own pattern and
-its parts are encoded by the library's model.  Strings of special tokens in a
-text are ordinary text.
+The ids are those that the ``tokenizers`` library gives by default with
+``add_special_tokens=False``.  For a byte-level BPE file a memo saves work:
+byte-level BPE never merges across the boundaries that its pre-tokenizer sets,
+and such a boundary always stands before white space that follows a character
+that is none.  A text is cut there, and each piece's ids are kept in a bounded
+memo; a piece that is new is split by the vocabulary's own pattern and its parts
+are encoded by the library's model.  In a text where no two characters of white
+space are side by side, the boundaries are the spaces and line ends themselves.
+
+A text that holds the string of an added token (which the library reads as that
+token) goes to the library as a whole, and so does every text if the file has
+another pre-tokenizer or a normalizer.
 
 A memo lives as long as its Python worker and is cleared when full, so memory
 does not grow with the input.
+
+Defined cases: a null text is empty; an empty text has no ids but the end id; a
+very long text is cut into pieces of the capacity; repeated rows and null ids
+give a row each; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +40,10 @@ shipped(__name__)
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a memo, and the longest piece that it keeps.
-MEMO, LONGEST = 250_000, 48
+#: Marks that a part of letters never takes in and that make a part of their own at the end of a piece.
+MARKS = frozenset(",.;:?!")
+#: Entries of a memo's younger generation, and the longest piece that it keeps.
+MEMO, LONGEST = 400_000, 48
 
 
 def byte_letters() -> dict[int, str]:
@@ -41,8 +53,34 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
 
 
-def encoder(tokenizer_path: str) -> Callable[[str], bytes]:
-    """text -> ids as little-endian unsigned 32-bit integers.  One per Python worker."""
+class _OtherWhite(Exception):
+    """A text has white space side by side."""
+
+
+def is_plain_byte_level(tokenizer_json: str) -> bool:
+    """Whether a tokenizer file has the pre-tokenizer that the memo knows, no normalizer and no dropout."""
+    import json
+
+    spec = json.loads(tokenizer_json)
+    before = spec.get("pre_tokenizer") or {}
+    model = spec.get("model") or {}
+    return (
+        before.get("type") == "ByteLevel"
+        and before.get("add_prefix_space") is False
+        and before.get("use_regex", True) is True
+        and spec.get("normalizer") is None
+        and spec.get("truncation") is None
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and not model.get("ignore_merges")
+    )
+
+
+def encoder(tokenizer_path: str, memo: bool = True) -> Callable[[str], bytes]:
+    """text -> ids as little-endian unsigned 32-bit integers.  One per Python worker.
+
+    ``memo=False`` encodes every text by the library as a whole.
+    """
     import os
     import re
     import struct
@@ -50,46 +88,82 @@ def encoder(tokenizer_path: str) -> Callable[[str], bytes]:
     import regex
 
     held = sys.modules.setdefault("_token_memo", types.ModuleType("_token_memo"))
-    if (known := vars(held).get(tokenizer_path)) is not None:
+    known_as = f"{tokenizer_path}:{memo}"
+    if (known := vars(held).get(known_as)) is not None:
         return known
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
+
+    def whole(text: str) -> bytes:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    with open(tokenizer_path, encoding="utf-8") as spec:
+        memo = memo and is_plain_byte_level(spec.read())
+    if not memo:
+        vars(held)[known_as] = whole
+        return whole
+
+    added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
     model, letters = tokenizer.model, byte_letters()
     cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+    plain_start = re.compile(f"\n?[^{WHITE}]").match
     parts = regex.compile(PATTERN).findall
-    pieces: dict[str, bytes] = {}
-    words: dict[str, bytes] = {}
-
-    def word(w: str) -> bytes:
-        if (ids := words.get(w)) is None:
-            found = model.tokenize(w.encode("utf-8", "replace").decode("latin-1").translate(letters))
-            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            if len(w) <= LONGEST:
-                if len(words) >= MEMO:
-                    words.clear()
-                words[w] = ids
-        return ids
+
+    class Memo(dict):
+        """piece -> ids; ``made`` works out those of a new piece.
+
+        Of two generations the older one goes when the younger is full, so what is used often stays.
+        """
+
+        def __init__(self, made: Callable[[str], bytes]):
+            self.made, self.old = made, {}
+
+        def __missing__(self, key: str) -> bytes:
+            if (ids := self.old.get(key)) is None:
+                ids = self.made(key)
+                if len(key) > LONGEST:
+                    return ids
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
+            return ids
+
+    def of_letters(spelled: str) -> bytes:
+        found = model.tokenize(spelled)
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def of_word(w: str) -> bytes:
+        return of_letters(w.encode("utf-8", "replace").decode("latin-1").translate(letters))
+
+    words = Memo(of_word)
+    joined = lambda p: b"".join(map(words.__getitem__, parts(p)))
+
+    def of_spaced(p: str) -> bytes:
+        if p.isalpha():  # letters alone are one part
+            return of_letters(letters[32] + p) if p.isascii() else of_word(" " + p)
+        if p[-1:] in MARKS and p[:-1].isalpha():  # and one mark behind them is another
+            return spaced[p[:-1]] + words[p[-1]]
+        if plain_start(p) is None:
+            raise _OtherWhite
+        return joined(p if p[0] == "\n" else " " + p)
+
+    pieces = Memo(joined)  # what stands between two boundaries
+    spaced = Memo(of_spaced)  # the same behind a space, which the key leaves out, or from a line end on
 
     def encode(text: str) -> bytes:
-        found = cut(text)
+        if any(content in text for content in added):
+            return whole(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
         try:
-            return b"".join(map(pieces.__getitem__, found))
-        except KeyError:
-            out = []
-            for piece in found:
-                if (ids := pieces.get(piece)) is None:
-                    ids = b"".join(map(word, parts(piece)))
-                    if len(piece) <= LONGEST:
-                        if len(pieces) >= MEMO:
-                            pieces.clear()
-                        pieces[piece] = ids
-                out.append(ids)
-            return b"".join(out)
-
-    vars(held)[tokenizer_path] = encode
+            return pieces[first] + b"".join(map(spaced.__getitem__, rest))
+        except _OtherWhite:  # white space side by side: boundaries are looked for one by one
+            return b"".join(map(pieces.__getitem__, cut(text)))
+
+    vars(held)[known_as] = encode
     return encode
 
 

@@ -15,19 +15,67 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(entry.tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_memo_gives_the_librarys_ids(texts, ids_of):
     encode = tokens.encoder(entry.tokenizer_path())
     spaces = ["a  b", "   x", "  two", "end  ", "\r\n\r\nx", "\x85\x85 y", "a\x1c b", "'s 'll it's'", "1 23  456", "　\n\n z"]
+    spaces += ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "a\n \nb", "a\n b", "a \nb", "x\n", "\nx", "don't, can't. we'll;"]
     rnd = random.Random(1)
     mixed = ["".join(rnd.choice(" \n\t  \x1cab1'é.,s") for _ in range(60)) for _ in range(300)]
     for text in [*texts, *spaces, *mixed]:
         assert np.frombuffer(encode(text or ""), "<u4").tolist() == ids_of(text)[:-1], repr(text)
 
 
+def test_other_tokenizer_files_go_to_the_library(texts, tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(entry.tokenizer_path(), encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    own = tmp_path / "prefixed.json"
+    own.write_text(json.dumps(spec), encoding="utf-8")
+    for path in (str(own), public_tokenizers.path("word_bpe_49k.json")):
+        encode, library = tokens.encoder(path), Tokenizer.from_file(path)
+        for text in texts:
+            assert np.frombuffer(encode(text or ""), "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def one_by_one(lengths, capacity):
+    """The rule itself, a piece at a time: gaps of all sequences that come out of it, by content."""
+    left = sorted(lengths, reverse=True)
+    open_ = []
+    large = [n for n in left if 3 * n > capacity]
+    while large:
+        n = large.pop(0)
+        mate = next((m for m in large if n + m <= capacity), None)
+        if mate is not None:
+            large.remove(mate)
+        open_.append([n] if mate is None else [n, mate])
+    for n in (n for n in left if 3 * n <= capacity):
+        fits = [s for s in open_ if capacity - sum(s) >= n]
+        if fits:
+            min(fits, key=lambda s: capacity - sum(s)).append(n)
+        else:
+            open_.append([n])
+    return open_
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=120))
+def test_groups_at_once_need_as_many_sequences_as_one_piece_at_a_time(lengths):
+    want = one_by_one(lengths, 60)
+    got = packing.best_fit(Counter(lengths), 60)
+    assert sum(times for _, times in got) == len(want)
+    gaps = Counter()
+    for pattern, times in got:
+        gaps[60 - sum(n * c for n, c in pattern)] += times
+    assert gaps == Counter(60 - sum(s) for s in want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=200))
 def test_patterns_hold_every_piece_once(lengths):

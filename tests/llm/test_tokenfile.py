@@ -27,7 +27,6 @@ def test_files_in_order_with_places(spark, docs, texts, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(entry.tokenizer_path())
-    t.encode_special_tokens = True
     path = str(tmp_path / "tokens")
     tokenfile.write_tokens(docs, path, entry.tokenizer_path())
     rows = sorted(tokenfile.read_tokens(spark, path, with_ids=True).collect(), key=lambda r: r.doc_id)
@@ -39,6 +38,42 @@ def test_files_in_order_with_places(spark, docs, texts, tmp_path):
         at += len(ids)
 
 
+def test_segments_of_a_shard_follow_each_other(spark, texts, docs, tmp_path):
+    path = str(tmp_path / "tokens")
+    tokenfile.write_tokens(docs.coalesce(1), path, entry.tokenizer_path(), segment_ids=700)
+    held = spark.read.parquet(path)
+    assert held.groupBy("shard").count().agg({"count": "max"}).first()[0] > 5
+    rows = sorted(tokenfile.read_tokens(spark, path, with_ids=True).collect(), key=lambda r: r.doc_id)
+    whole = sorted(tokenfile.read_tokens(spark, written_whole(docs, tmp_path), with_ids=True).collect(), key=lambda r: r.doc_id)
+    assert rows == whole
+
+
+def written_whole(docs, tmp_path):
+    tokenfile.write_tokens(docs, str(tmp_path / "whole"), entry.tokenizer_path())
+    return str(tmp_path / "whole")
+
+
+def test_a_very_long_text_is_one_row(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    text = "long wordy line, and more\n" * 40_000
+    df = spark.createDataFrame([(2, text), (1, "x")], "doc_id long, text string")
+    tokenfile.write_tokens(df, str(tmp_path / "long"), entry.tokenizer_path())
+    rows = {r.doc_id: r for r in tokenfile.read_tokens(spark, str(tmp_path / "long")).collect()}
+    ids = [*Tokenizer.from_file(entry.tokenizer_path()).encode(text, add_special_tokens=False).ids, 0]
+    assert (rows[2].start, rows[2].n_tokens) == (2, len(ids))
+    assert rows[2].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 32), st.integers(1, 5), st.integers(1, 200), st.randoms())
+def test_bits_go_in_and_out(width, rows, n, rnd):
+    values = np.array([[rnd.getrandbits(width) for _ in range(n)] for _ in range(rows)], np.uint32)
+    packed = tokenfile.pack_bits(values, width)
+    assert packed.shape == (rows, (n * width + 7) // 8)
+    assert (tokenfile.unpack_bits(packed, width, n) == values).all()
+
+
 def test_empty_and_repeated(spark, empty, repeated, tmp_path):
     tokenfile.write_tokens(empty, str(tmp_path / "a"), entry.tokenizer_path())
     assert tokenfile.read_tokens(spark, str(tmp_path / "a")).count() == 0
