@@ -223,6 +223,11 @@ def node_links(nodes: DataFrame, tables: int, crowd: int = CROWD) -> DataFrame:
     return far.unionByName(same).distinct()
 
 
+def pairs_of(*pairs: tuple[str, str], names: tuple[str, str] = ("u", "v")) -> Column:
+    """Rows of two columns each out of one row."""
+    return F.inline(F.array(*[F.struct(F.col(a).alias(names[0]), F.col(b).alias(names[1])) for a, b in pairs]))
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """node -> root (its component's least node) for every node of ``edges`` (a, b).
 
@@ -239,13 +244,10 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(pairs_of(("u", "v"), ("v", "u")))
         large = least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u != v").distinct()
-        small = least(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            small.select("u", F.col("m").alias("v"))
-        )
+        small = least(large).select(pairs_of(("v", "m"), ("u", "m")))
         after = cut(small.filter("u != v").distinct())
         same = after.count() == edges.count() and not after.join(edges, ["u", "v"], "left_anti").take(1)
         edges = after
@@ -253,8 +255,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edges.select(pairs_of(("u", "v"), ("v", "v"), names=("node", "root"))).distinct()
 
 
 def grouped(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, tables: int = TABLES) -> DataFrame:
