@@ -3,6 +3,13 @@
 Each stage works on all that its predecessor kept.  Stages but the last return
 the columns of documents; the last returns packed sequences, piece by piece.
 Each result is written as Parquet and read again as the next one's documents.
+
+Defined cases: null texts are empty texts, judged, deduplicated and packed like
+others (of several, one is left after exact dedup; the mix takes none, as it has
+no words); null ids and repeated rows are rows like any other, and of equal rows
+one is left; ties go as each operator says; a very long text goes through whole
+and is cut only by the packing; an empty table gives an empty result; further
+columns of documents, whatever their names, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from healthloom.llm import digest_index, entry, mixing, packing, quality, simhash
+from healthloom.llm import digest_index, entry, mixing, nearcopies, packing, quality
 from healthloom.llm.common import checkpoint_dir
 
 
@@ -28,7 +35,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    return simhash.near_dedup(docs)
+    return nearcopies.near_dedup(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
