@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .winnow import let
+from .common import before_each, let
 
 TRAINED = ("assistant",)
 TURNS = "array<struct<role:string,text:string>>"
@@ -210,20 +210,20 @@ def parse(formatted: Column) -> Column:
 
 def loss_spans(formatted: Column, trained: tuple[str, ...] = TRAINED) -> Column:
     """start, stop (code points of the formatted string) of the texts under the loss mask."""
-    blocks = F.filter(F.split(formatted, r" \[/\]</s>\n", -1), lambda b: b != "")
     tail = len(" [/]</s>\n")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
 
-    def step(held: Column, b: Column) -> Column:
-        close = F.instr(b, "] ")
-        role = unescape(F.substring(b, F.lit(5), close - 5))
-        span = F.struct((held["at"] + close + 1).alias("start"), (held["at"] + F.char_length(b)).alias("stop"))
-        return F.struct(
-            (held["at"] + F.char_length(b) + tail).alias("at"),
-            F.when(role.isin(*trained), F.concat(held["out"], F.array(span))).otherwise(held["out"]).alias("out"),
-        )
+    def spans(blocks: Column) -> Column:
+        starts = before_each(F.transform(blocks, lambda b: F.char_length(b) + tail))
+
+        def span(b: Column, at: Column) -> Column:
+            close = F.instr(b, "] ")
+            role = unescape(F.substring(b, F.lit(5), close - 5))
+            own = F.struct((at + close + 1).cast("int").alias("start"), (at + F.char_length(b)).cast("int").alias("stop"))
+            return F.when(role.isin(*trained), own)
+
+        return F.filter(F.zip_with(blocks, starts, span), lambda s: s.isNotNull())
 
-    return F.aggregate(blocks, begin, step, lambda held: held["out"])
+    return let(F.filter(F.split(formatted, r" \[/\]</s>\n", -1), lambda b: b != ""), spans)
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import sys
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,6 +72,36 @@ def spread(spark: SparkSession, least: int) -> int:
     return max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def before_each(values: Column) -> Column:
+    """Sums of the whole numbers before each one of an array.
+
+    In chunks of about the square root of its length: an array that grows by one
+    element is copied each time, so one pass would cost the square of the length.
+    """
+    none = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+
+    def sums(chunk: Column) -> Column:
+        step = lambda held, v: F.struct((held["sum"] + v).alias("sum"), F.array_append(held["out"], held["sum"]).alias("out"))
+        return F.aggregate(chunk, none, step)
+
+    def shifted(parts: Column) -> Column:
+        starts = sums(F.transform(parts, lambda p: p["sum"]))["out"]
+        return F.flatten(F.zip_with(parts, starts, lambda p, at: F.transform(p["out"], lambda v: v + at)))
+
+    def chunked(all_values: Column) -> Column:
+        size = F.size(all_values)
+        wide = F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int"))
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(size / wide).cast("int") - 1))
+        return let(F.transform(places, lambda k: sums(F.slice(all_values, k * wide + 1, wide))), shifted)
+
+    return let(F.transform(values, lambda v: v.cast("long")), chunked)
+
+
 def bucket_of(keys: list[Column], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
@@ -89,17 +119,39 @@ def searched(bounds: list[int], value: Column) -> Column:
     return F.least(F.coalesce(found, F.lit(0)), F.lit(len(bounds)))
 
 
-#: A filter's size: at most 1024 bitmaps of 4 KiB (4 MiB) are broadcast, whatever the input.
+#: A filter's most bits: 1024 bitmaps of 4 KiB (4 MiB) are broadcast at most, whatever the input.
 FILTER_BITS = 1 << 25
 BITMAP_BITS = 32768
 
 
+class KeyFilter:
+    """A filter of the keys of ``listed`` (a written frame), of about 16 bits for each up to ``FILTER_BITS``.
+
+    Beyond two million keys more and more other rows pass: it only saves a
+    shuffle, and what passes is joined with the keys themselves.
+    """
+
+    def __init__(self, listed: DataFrame, keys: list[str]):
+        self.bits = BITMAP_BITS
+        most = 16 * listed.count()
+        while self.bits < min(most, FILTER_BITS):
+            self.bits *= 2
+        self.bitmaps = cut(bitmaps(listed.select(filter_bit(keys, self.bits).alias("bit"))))
+
+    def told(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """``df`` and ``live``: whether the row's key may be listed."""
+        return flagged(df, filter_bit(keys, self.bits), self.bitmaps)
+
+    def passed(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        return self.told(df, keys).filter("live").drop("live")
+
+
 def filter_bit(keys: list[str], bits: int = FILTER_BITS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(bits))
 
 
 def bitmaps(bit_rows: DataFrame) -> DataFrame:
-    """Distinct ``bit`` numbers -> (part, bits): the filter as bitmaps of 32768 bits."""
+    """``bit`` numbers -> (part, bits): the filter as bitmaps of 32768 bits."""
     return bit_rows.groupBy(F.floor(F.col("bit") / BITMAP_BITS).alias("part")).agg(
         F.bitmap_construct_agg(F.col("bit") % BITMAP_BITS).alias("bits")
     )
@@ -125,8 +177,7 @@ def drop_rows(keyed: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     texts that move are those of listed rows.
     """
     gone = cut(gone.select(*[F.col(k).alias(f"g_{k}") for k in keys], "gone"))
-    filter_ = cut(bitmaps(gone.select(filter_bit([f"g_{k}" for k in keys]).alias("bit")).distinct()))
-    held = flagged(keyed, filter_bit(keys), filter_)
+    held = KeyFilter(gone, [f"g_{k}" for k in keys]).told(keyed, keys)
     same = F.lit(True)
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"g_{k}"))

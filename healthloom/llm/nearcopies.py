@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmaps, cut, drop_rows, filter_bit, flagged, shipped, short_batches
+from .common import KeyFilter, cut, drop_rows, shipped, short_batches
 from .simhash import MASK, components
 from .tokens import batches
 
@@ -138,9 +138,9 @@ def probes(entered: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b, written before) whose judging fingerprints are at most ``MOST_BITS`` apart."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(filter_bit(["node"]).alias("bit")).distinct()
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     # only nodes that are in some pair are shuffled
-    held = flagged(nodes.select("node", "judge"), filter_bit(["node"]), cut(bitmaps(asked))).filter("live").drop("live")
+    held = KeyFilter(asked, ["node"]).passed(nodes.select("node", "judge"), ["node"])
     sides = [held.select(F.col("node").alias(c), F.col("judge").alias(f"{c}_judge")) for c in ("a", "b")]
     bits = F.lit(0)
     for k in range(JUDGE):
@@ -152,9 +152,7 @@ def stars(nodes: DataFrame) -> DataFrame:
     """Verified links (a, b) of each node with the least node of each of its buckets: at most a link per segment."""
     table = entries(nodes).select("node", "key")
     shared = cut(table.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    bits = shared.select(filter_bit(["key"]).alias("bit")).distinct()
-    inside = flagged(table, filter_bit(["key"]), cut(bitmaps(bits))).filter("live").drop("live")
-    pairs = inside.join(shared, "key").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    pairs = KeyFilter(shared, ["key"]).passed(table, ["key"]).join(shared, "key").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     return cut(verified(cut(pairs.distinct()), nodes))
 
 
@@ -174,10 +172,8 @@ def between(nodes: DataFrame) -> DataFrame:
     met = alone["p"].join(alone["e"], "key").filter((F.col("p_class") != F.col("e_class")) & ~F.coalesce(far, F.lit(False)))
     met = cut(met)
     for side in ("p", "e"):
-        named = met.filter(f"{side}_check IS NULL").select("key", F.col(f"{side}_class").alias("class"))
-        bits = named.select(filter_bit(["key", "class"]).alias("bit")).distinct()
-        back = flagged(members[side], filter_bit(["key", "class"]), cut(bitmaps(bits))).filter("live").drop("live")
-        back = back.select("key", F.col("class").alias(f"{side}_class"), F.col("node").alias(f"{side}_node"), F.col("check").alias(f"{side}_own"))
+        named = cut(met.filter(f"{side}_check IS NULL").select("key", F.col(f"{side}_class").alias("class")).distinct())
+        back = KeyFilter(named, ["key", "class"]).passed(members[side], ["key", "class"]).select("key", F.col("class").alias(f"{side}_class"), F.col("node").alias(f"{side}_node"), F.col("check").alias(f"{side}_own"))
         met = met.join(back, ["key", f"{side}_class"], "left").withColumns(
             {f"{side}_class": F.coalesce(f"{side}_node", f"{side}_class"), f"{side}_check": F.coalesce(f"{side}_own", f"{side}_check")}
         )

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .winnow import let
+from .common import before_each, let
 
 #: The base kinds.  The minimal lengths of access and hex are in their patterns, since a run
 #: that is too short cannot hold a long enough one; that of assign is checked on group 2 after matching.
@@ -63,15 +63,17 @@ def placed(text: Column, pattern: str, group: int = 0) -> Column:
     rows = F.arrays_zip(gaps.alias("gap"), lengths.alias("size"), F.regexp_extract_all(text, p, F.lit(group)).alias("part"))
     # the last gap has no match behind it
     rows = F.filter(rows, lambda r: r["size"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,part:string>>").alias("out"))
 
-    def step(held: Column, r: Column) -> Column:
-        at = held["at"] + r["gap"]
-        stop = at + r["size"]
-        item = F.struct(at.alias("start"), stop.alias("stop"), r["part"].alias("part"))
-        return F.struct(stop.alias("at"), F.concat(held["out"], F.array(item)).alias("out"))
+    def located(held: Column) -> Column:
+        starts = before_each(F.transform(held, lambda r: r["gap"] + r["size"]))
 
-    return F.aggregate(rows, start, step, lambda held: held["out"])
+        def item(r: Column, at: Column) -> Column:
+            start = (at + r["gap"]).cast("int")
+            return F.struct(start.alias("start"), (start + r["size"]).alias("stop"), r["part"].alias("part"))
+
+        return F.zip_with(held, starts, item)
+
+    return let(rows, located)
 
 
 def _spans(text: Column, hint: str, pattern: str, kind: int, least: int = 0) -> Column:

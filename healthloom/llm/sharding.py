@@ -56,14 +56,19 @@ def choose(h1: Column, h2: Column, shards: Sequence[str], weights: Sequence[floa
 
 
 def assign(
-    df: DataFrame, key: str, shards: Sequence[str], weights: Sequence[float] | None = None, grown: str | None = None
+    df: DataFrame,
+    key: str,
+    shards: Sequence[str],
+    weights: Sequence[float] | None = None,
+    grown: str | None = None,
+    grown_weight: float = 1.0,
 ) -> DataFrame:
-    """``df`` with ``shard`` and, if one more shard ``grown`` is named, ``grown_shard``."""
+    """``df`` with ``shard`` and, if one more shard ``grown`` (of ``grown_weight`` where weights are given) is named, ``grown_shard``."""
     h1, h2 = halves(F.col(key))
     held = df.withColumns({"_h1": h1, "_h2": h2})
     out = {"shard": choose(F.col("_h1"), F.col("_h2"), shards, weights)}
     if grown is not None:
-        more = None if weights is None else [*weights, 1.0]
+        more = None if weights is None else [*weights, grown_weight]
         out["grown_shard"] = choose(F.col("_h1"), F.col("_h2"), [*shards, grown], more)
     return held.withColumns(out)
 

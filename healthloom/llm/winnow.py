@@ -25,12 +25,10 @@ no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import searched
+from .common import let, searched
 
 UNIT, K, W = 1, 16, 32
 PRIME, BASE = 2**31 - 1, 1_000_003
@@ -38,11 +36,6 @@ BUCKET_ROWS, MOST_BUCKETS = 256, 1 << 16
 SHIFT = 1 << 32
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def unit_hashes(text: Column) -> Column:
     units = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""), ""), lambda u: u != "")
     return F.transform(units, lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME)))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from healthloom.llm import digest_index, entry, mixing, quality
 
-from .test_nearcopies import brute_groups
+from test_nearcopies import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
