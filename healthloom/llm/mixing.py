@@ -16,11 +16,15 @@ words, not random.
 
 No task sorts a whole source: q / (1 + q) is cut into cells, cells are summed
 (partial aggregates), and only the one cell per source that holds the line is
-sorted.
+sorted.  Where that cell holds many rows it is cut again, until it holds at most
+``MOST_IN_CELL`` or its rows can't be told apart by rank.  What is sorted are
+ids and sizes; texts meet what is taken of them by a join with that small table.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 are never taken; repeated rows count on
-their own; equal ranks go by id, then size; an empty table gives no rows.
+their own; equal ranks go by id, then size; a very long text counts whole; an
+empty table gives no rows; other columns are kept by ``mixed_copies`` and ignored
+by ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, small
 
 CELLS = 4096
+#: Rows of a source that may be sorted in one task, and the finest cells (a double tells no more apart).
+MOST_IN_CELL, FINEST = 10_000, CELLS**4
 SEED = 42
 
 
@@ -72,8 +78,14 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def _ranked(sized: DataFrame, sources: DataFrame, cap: float, seed: int, cells: int) -> DataFrame:
-    """Documents with certain words ``whole``, room for one more copy, rank ``q`` and its ``cell``."""
+    """Documents with certain words ``whole``, room for one more copy, rank ``q`` and its ``cell``.
+
+    ``cells`` counts where ``sources`` has no column of that name.
+    """
+    if "cells" not in sources.columns:
+        sources = sources.withColumn("cells", F.lit(cells).cast("long"))
     s = small(sources.withColumnRenamed("source", "s_source"))
+    held = F.col("cells")
     e = F.col("target") / F.col("source_size")
     if "weight" in sized.columns:
         e = F.least(e * F.coalesce("weight", F.lit(1.0)), F.lit(float(cap)))
@@ -87,7 +99,7 @@ def _ranked(sized: DataFrame, sources: DataFrame, cap: float, seed: int, cells:
         .withColumn("whole", F.floor("expected") * F.col("size"))
         # with no fraction left the odds are nothing and the rank is infinite: the last cell
         .withColumn("q", F.when(open_, q).otherwise(F.lit(float("inf"))))
-        .withColumn("cell", F.when(open_, F.least(F.floor(q / (1 + q) * cells), F.lit(cells - 1))).otherwise(cells))
+        .withColumn("cell", F.when(open_, F.least(F.floor(q / (1 + q) * held), held - 1)).otherwise(held))
         .withColumn(
             "room", F.when(F.col("whole") + F.col("size") <= F.col("size") * cap, F.col("size")).otherwise(0)
         )
@@ -95,55 +107,96 @@ def _ranked(sized: DataFrame, sources: DataFrame, cap: float, seed: int, cells:
     )
 
 
-def source_lines(sized: DataFrame, targets: DataFrame, cap: float = 2.0, seed: int = SEED, cells: int = CELLS) -> DataFrame:
-    """``targets`` with each source's line: the cell that holds it, the room before that cell, and the words missing."""
+def source_lines(
+    sized: DataFrame, targets: DataFrame, cap: float = 2.0, seed: int = SEED, cells: int = CELLS, most: int = MOST_IN_CELL
+) -> DataFrame:
+    """``targets`` with each source's line: the cell that holds it, the room before that cell, the words missing,
+    how many cells there are, and how many rows the line's cell has."""
     docs = _ranked(sized, targets, cap, seed, cells)
-    per_cell = docs.groupBy("source", "cell").agg(F.sum("room").alias("has"), F.sum("whole").alias("certain"))
-    run = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = per_cell.withColumns(
-        {"upto": F.sum("has").over(run), "sure": F.sum("certain").over(Window.partitionBy("source"))}
-    )
-    t = targets.select(F.col("source").alias("t_source"), F.round("target").cast("long").alias("goal"))
-    t = small(t)
-    missing = F.col("goal") - F.col("sure")
-    lines = (
-        reached.join(t, reached.source.eqNullSafe(t.t_source))
-        .groupBy("source")
-        .agg(
-            F.min(F.when(F.col("upto") >= missing, F.struct("cell", (F.col("upto") - F.col("has")).alias("before")))).alias("line"),
-            F.first(missing).alias("missing"),
-        )
-        # where all room is not enough there is no line, and every document below "cells + 1" is taken;
-        # where certain copies are enough the line is before all cells, and no document is sorted
-        .select(
-            "source",
-            F.when(F.col("missing") <= 0, -1).otherwise(F.coalesce("line.cell", F.lit(cells + 1))).alias("line_cell"),
-            F.coalesce("line.before", F.lit(0)).alias("before"),
-            "missing",
+    sums = [F.sum("room").alias("has"), F.sum("whole").alias("certain"), F.count("*").alias("n")]
+    per_cell = docs.groupBy("source", "cell").agg(*sums)
+    sure = F.sum("certain").over(Window.partitionBy("source"))
+    goal = targets.select(F.col("source").alias("t_source"), F.round("target").cast("long").alias("goal"))
+    met = per_cell.withColumn("sure", sure).join(small(goal), F.col("source").eqNullSafe(F.col("t_source")))
+    met = met.withColumns({"missing": F.col("goal") - F.col("sure"), "start": F.lit(0).cast("long")})
+    lines = _first_reached(met, cells)
+    full = cut(targets.join(lines.withColumnRenamed("source", "l_source"), F.col("source").eqNullSafe(F.col("l_source"))).drop("l_source"))
+    while cells < FINEST and (full.agg(F.max("in_line")).first()[0] or 0) > most:
+        finer = cells * CELLS
+        # only the rows of the lines' cells are cut again
+        inside = _ranked(sized, full, cap, seed, cells).filter("cell = line_cell")
+        sub = F.least(F.floor(F.col("q") / (1 + F.col("q")) * finer), (F.col("line_cell") + 1) * CELLS - 1)
+        start = F.first("before").alias("start")
+        met = inside.groupBy("source", sub.alias("cell")).agg(F.sum("room").alias("has"), F.count("*").alias("n"), F.first("missing").alias("missing"), start)
+        found = _first_reached(met, finer).select(F.col("source").alias("l_source"), *[F.col(c).alias(f"new_{c}") for c in ("line_cell", "before", "in_line")])
+        joined = full.join(found, F.col("source").eqNullSafe(F.col("l_source")), "left").drop("l_source")
+        kept = F.when(F.col("line_cell") > cells, finer + 1).otherwise(F.col("line_cell"))
+        full = cut(
+            joined.withColumns(
+                {
+                    "line_cell": F.coalesce("new_line_cell", kept),
+                    "before": F.coalesce("new_before", "before"),
+                    "in_line": F.coalesce("new_in_line", F.lit(0)).cast("long"),
+                    "cells": F.lit(finer).cast("long"),
+                }
+            ).drop("new_line_cell", "new_before", "new_in_line")
         )
-    )
-    full = targets.join(lines.withColumnRenamed("source", "l_source"), F.col("source").eqNullSafe(F.col("l_source")))
-    return cut(full.drop("l_source"))
+        cells = finer
+    return full
 
 
-def taken(rows: DataFrame, lines: DataFrame, cap: float = 2.0, seed: int = SEED, cells: int = CELLS) -> DataFrame:
-    """``rows`` (doc_id, source, size, perhaps weight, and any others) with ``whole``, ``extra`` and ``taken`` words.
+def _first_reached(per_cell: DataFrame, cells: int) -> DataFrame:
+    """source -> the first cell in which ``start`` and the room so far reach ``missing``.
 
-    Only documents of the cells that hold a line are shuffled and sorted.
+    Where all room is not enough there is no line, and every cell is below
+    ``cells + 1``; where certain copies are enough the line is before all cells,
+    and no document is sorted.
     """
-    held = _ranked(rows, lines, cap, seed, cells)
-    outside = held.filter("cell != line_cell").withColumn(
-        "extra", F.when(F.col("cell") < F.col("line_cell"), F.col("room")).otherwise(0)
+    run = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = per_cell.withColumn("upto", F.col("start") + F.sum("has").over(run))
+    line = F.struct("cell", (F.col("upto") - F.col("has")).alias("before"), "n")
+    found = reached.groupBy("source").agg(F.min(F.when(F.col("upto") >= F.col("missing"), line)).alias("line"), F.first("missing").alias("missing"))
+    certain = F.col("missing") <= 0
+    return found.select(
+        "source",
+        F.when(certain, -1).otherwise(F.coalesce("line.cell", F.lit(cells + 1))).cast("long").alias("line_cell"),
+        F.coalesce("line.before", F.lit(0)).cast("long").alias("before"),
+        "missing",
+        F.lit(cells).cast("long").alias("cells"),
+        F.when(certain, 0).otherwise(F.coalesce("line.n", F.lit(0))).cast("long").alias("in_line"),
     )
+
+
+def on_line(sized: DataFrame, lines: DataFrame, cap: float = 2.0, seed: int = SEED, cells: int = CELLS) -> DataFrame:
+    """Rows of the lines' cells, a row per id and size: how many there are (``same``) and the words they give (``given``)."""
+    inside = _ranked(sized, lines, cap, seed, cells).filter("cell = line_cell")
     order = Window.partitionBy("source").orderBy("q", "doc_id", "size")
     ahead = F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("room")
-    inside = held.filter("cell = line_cell").withColumn(
-        "extra", F.greatest(F.lit(0), F.least(F.col("room"), F.col("missing") - F.col("before") - ahead))
-    )
+    extra = F.greatest(F.lit(0), F.least(F.col("room"), F.col("missing") - F.col("before") - ahead))
+    named = [F.col(c).alias(f"o_{c}") for c in ("source", "doc_id", "size")]
+    return cut(inside.withColumn("extra", extra).groupBy(*named).agg(F.count("*").alias("same"), F.sum("extra").alias("given")))
+
+
+def taken(
+    rows: DataFrame, lines: DataFrame, line_rows: DataFrame, cap: float = 2.0, seed: int = SEED, cells: int = CELLS
+) -> DataFrame:
+    """``rows`` (doc_id, source, size, perhaps weight, and any others) with ``whole``, ``extra`` and ``taken`` words.
+
+    ``line_rows``: from ``on_line``.  Rows are joined with it where they stand;
+    only rows that repeat an id and size in a line's cell are numbered.
+    """
+    held = _ranked(rows, lines, cap, seed, cells)
+    keys = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in ("source", "doc_id", "size")]
+    met = held.join(small(line_rows), keys[0] & keys[1] & keys[2], "left")
+    below = F.when(F.col("cell") < F.col("line_cell"), F.col("room")).otherwise(0)
+    single = met.filter("same IS NULL OR same = 1").withColumn("extra", F.coalesce("given", below))
+    place = F.row_number().over(Window.partitionBy("source", "doc_id", "size").orderBy("q"))
+    left = F.col("given") - (place - 1) * F.col("room")
+    many = met.filter("same > 1").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("room"), left)))
     columns = [
         *rows.columns, "source_size", "target", "whole", "extra", (F.col("whole") + F.col("extra")).cast("long").alias("taken")
     ]
-    return outside.select(*columns).unionByName(inside.select(*columns))
+    return single.select(*columns).unionByName(many.select(*columns))
 
 
 def take(sized: DataFrame, targets: DataFrame, cap: float = 2.0, seed: int = SEED, cells: int = CELLS) -> DataFrame:
@@ -152,7 +205,8 @@ def take(sized: DataFrame, targets: DataFrame, cap: float = 2.0, seed: int = SEE
     ``sized``: doc_id, source, size and perhaps weight (relative, mean 1).
     ``targets``: source, source_size, target.  Both already written (``cut``).
     """
-    return taken(sized, source_lines(sized, targets, cap, seed, cells), cap, seed, cells)
+    lines = source_lines(sized, targets, cap, seed, cells)
+    return taken(sized, lines, on_line(sized, lines, cap, seed, cells), cap, seed, cells)
 
 
 def _planned(docs: DataFrame, share: float, cap: float, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -165,16 +219,16 @@ def _planned(docs: DataFrame, share: float, cap: float, seed: int) -> tuple[Data
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every document."""
     sized, lines = _planned(docs, share, cap, seed)
-    return taken(sized, lines, cap, seed)
+    return taken(sized, lines, on_line(sized, lines, cap, seed), cap, seed)
 
 
 def mixed_copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = SEED) -> DataFrame:
     """The mix itself: documents repeated as often as taken, all columns kept.
 
     A document that was cut at the line ends with its first words up to the
-    line.  Texts are not shuffled, but for those of the cells with a line.
+    line.  Texts are not shuffled, but for rows that repeat another one's id and size on the line.
     """
-    _, lines = _planned(docs, share, cap, seed)
+    sized, lines = _planned(docs, share, cap, seed)
     held = docs.select(F.struct(*docs.columns).alias("row"))
     rows = held.select("row", "row.doc_id", "row.source", word_count(F.col("row.text")).alias("size"))
     part = F.col("row.text")
@@ -185,7 +239,7 @@ def mixed_copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: in
         .when(F.col("extra") > 0, F.array(first_words(part, F.col("extra"))))
         .otherwise(none),
     )
-    out = taken(rows, lines, cap, seed).filter("taken > 0").select("row", F.explode(copies).alias("copy"))
+    out = taken(rows, lines, on_line(sized, lines, cap, seed), cap, seed).filter("taken > 0").select("row", F.explode(copies).alias("copy"))
     return out.select(*[F.col("copy").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 

@@ -113,3 +113,37 @@ def test_no_document_of_a_capped_source_is_sorted(spark):
     assert capped == {"a"} and not sorted_["a"] and all(n < 60 for n in sorted_.values())
     for r in mixing.mix(docs).collect():
         assert r.source != "a" or r.taken == 2 * r.size
+
+
+def test_a_full_line_cell_is_cut_again(spark):
+    """With few cells and a low bound the line's cell is cut again and again; what is taken stays the same."""
+    rows = [(k % 700, "ab"[k % 2], 1 + k % 9) for k in range(3000)] + [(5, "a", 3)] * 40
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(4).cache()
+    size = {s: sum(r[2] for r in rows if r[1] == s) for s in "ab"}
+    targets = spark.createDataFrame([(s, n, 1.37 * n) for s, n in size.items()], "source string, source_size long, target double").cache()
+    got = {}
+    for cells, most in ((1, 10**9), (2, 40), (4096, 10_000)):
+        lines = mixing.source_lines(sized, targets, cells=cells, most=most).cache()
+        if most == 40:
+            assert lines.agg({"cells": "max"}).first()[0] > cells and lines.agg({"in_line": "max"}).first()[0] <= 60
+        out = mixing.taken(sized, lines, mixing.on_line(sized, lines), cells=cells)
+        got[cells] = sorted((r.source, r.doc_id, r.size, r.taken) for r in out.collect())
+    assert got[1] == got[2] == got[4096]
+    for s, n in size.items():
+        assert sum(t for source, _, _, t in got[1] if source == s) == round(1.37 * n)
+
+
+def test_only_ids_and_sizes_of_the_lines_cells_are_sorted(spark):
+    rows = [(k, "abc"[k % 3], f"text {k} " + "w " * (k % 50)) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sized, lines = mixing._planned(docs, 1.5, 2.0, mixing.SEED)
+    assert mixing.on_line(sized, lines).count() <= 30
+    plan = mixing.mixed_copies(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "same" in plan  # the one over repeats
+
+
+def test_a_very_long_text_in_the_mix(spark):
+    docs = spark.createDataFrame([(1, "a", "word " * 300_000), (2, "b", "x y"), (3, "b", None)], "doc_id long, source string, text string")
+    rows = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert rows[1].size == 300_000 and rows[3].taken == 0
+    assert sum(r.taken for r in rows.values()) in range(450_000, 450_006)
