@@ -2,6 +2,7 @@
 
 Exit status: 0 fine, 1 findings at or above ``--fail-on``, 2 score below
 ``--min-score``, 3 wrong usage.  Severity is checked before the score.
+``--write-baseline`` writes the file and ends with 0.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pathlib import Path
 
 from .operators import baseline
 from .operators import findings as P
-from .operators.scoring import below
+from .operators.scoring import below, delta_text, mean_score
 from .plans import fixes, reports
 from .plans import scan as S
 from .plans.config import FILE, TEMPLATE, Config, load_config
@@ -42,8 +43,8 @@ def changed_files(folder: str, ref: str) -> list[str] | None:
     return [str(Path(top.strip()) / n) for n in names.splitlines() if n]
 
 
-def base_scan(spark, paths: list[str], config: Config, version: str | None, ref: str) -> S.ScanResult | None:
-    """The same plan over a worktree of ``ref`` with head's settings.  Its scores are read before the tree goes."""
+def base_mean(spark, paths: list[str], config: Config, version: str | None, ref: str) -> float | None:
+    """The mean score of a worktree of ``ref`` with head's settings.  It is a number before the tree goes."""
     top = git(paths[0], "rev-parse", "--show-toplevel")
     if top is None:
         return None
@@ -55,8 +56,10 @@ def base_scan(spark, paths: list[str], config: Config, version: str | None, ref:
         try:
             moved = [str(Path(tree) / Path(p).resolve().relative_to(root)) for p in paths]
             result = S.scan(spark, moved, config, version)
-            result.scores.count()
-            return result
+            try:
+                return mean_score(result.scores)
+            finally:
+                result.release()
         except ValueError:  # a path outside of the repository
             return None
         finally:
@@ -76,6 +79,7 @@ def parser() -> argparse.ArgumentParser:
     fix.add_argument("--write", action="store_true")
     s = sub.choices["scan"]
     s.add_argument("--format", choices=FORMATS, default="terminal")
+    s.add_argument("--json", action="store_true", help="the same as --format json")
     s.add_argument("--output")
     s.add_argument("--diff", help="only what changed since this git reference")
     s.add_argument("--score-delta", help="compare with this git reference")
@@ -114,13 +118,17 @@ def run_scan(args) -> int:
     chosen = () if args.no_linters else tuple(x for x in (L.RUFF, L.PYLINT) if config.linters.get(x.name, True))
     known = baseline.read_baseline(spark, args.baseline) if args.baseline else None
     result = S.scan(spark, paths, config, args.framework, changed, chosen, str(Path.cwd()), known=known, cache_dir=args.cache)
+    for failure in result.failed:
+        print(f"left out: {failure}", file=sys.stderr)
     if args.write_baseline:
         baseline.write_baseline(baseline.with_identity(result.findings, result.facts.lines), args.write_baseline)
+        print(f"baseline written to {args.write_baseline}", file=sys.stderr)
+        return 0
     delta = None
-    if args.score_delta and (base := base_scan(spark, paths, config, args.framework, args.score_delta)):
-        delta = reports.delta_text(result, base)
+    if args.score_delta and (base := base_mean(spark, paths, config, args.framework, args.score_delta)) is not None:
+        delta = delta_text(mean_score(result.scores) - base)
     here = str(Path.cwd())
-    match args.format:
+    match "json" if args.json else args.format:
         case "json":
             text = reports.json_report(result)
         case "sarif":
@@ -140,7 +148,13 @@ def run_scan(args) -> int:
     if args.fail_on and P.at_or_above(result.findings, args.fail_on):
         return 1
     least = args.min_score if args.min_score is not None else config.min_score
-    return 2 if least and below(result.scores, least).take(1) else 0
+    if not least:
+        return 0
+    failed = False
+    for row in below(result.scores, least).orderBy("module").toLocalIterator():
+        failed = True
+        print(f"[FAIL] {row.module}: score {row.overall:.1f} < min {least}", file=sys.stderr)
+    return 2 if failed else 0
 
 
 def run_fix(args) -> int:

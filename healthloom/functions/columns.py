@@ -101,12 +101,32 @@ def is_open_domain(domain: Column) -> Column:
     return bare.isin("", "[]", "[(1,'=',1)]")
 
 
-def normal_path(path: Column) -> Column:
-    """Slashes forward, no ``.`` segments, ``x/..`` folded (twice is enough for what tools write)."""
-    out = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"/(\./)+|/{2,}", "/")
-    for _ in range(2):
-        out = F.regexp_replace(out, r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
-    return out
+def normal_path(path: Column, base: str | None = None) -> Column:
+    """Slashes forward, no ``.`` or empty segments, ``..`` folded into what stands before it, however deep.
+
+    A relative path is taken from ``base`` if one is given and else stays
+    relative.  Links in the file system are not followed: executors need not
+    see the tree.
+    """
+    whole = F.replace(path, F.lit("\\"), F.lit("/"))
+    if base:
+        here = base.replace("\\", "/").rstrip("/") + "/"
+        whole = F.when(whole.startswith("/") | whole.rlike("^[A-Za-z]:/"), whole).otherwise(F.concat(F.lit(here), whole))
+    rooted = whole.startswith("/")
+    none = F.array().cast("array<string>")
+
+    def step(held: Column, part: Column) -> Column:
+        last = F.try_element_at(held, F.lit(-1))
+        return (
+            F.when(part.isin("", "."), held)
+            .when(part != "..", F.array_append(held, part))
+            .when(last != "..", F.slice(held, F.lit(1), F.size(held) - 1))
+            .when(rooted, held)
+            .otherwise(F.array_append(held, part))
+        )
+
+    folded = F.array_join(F.aggregate(F.split(whole, "/"), none, step), "/")
+    return F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), folded)
 
 
 def glob_pattern(glob: str) -> str:
@@ -139,7 +159,7 @@ def matches_globs(path: Column, globs: list[str], base: str | None = None) -> Co
     tried = [path]
     if base:
         top = base.rstrip("/") + "/"
-        tried.append(F.when(path.startswith(top), F.substring(path, len(top) + 1, 1 << 20)))
+        tried.append(F.when(path.startswith(top), F.substring(path, F.lit(len(top) + 1), F.char_length(path))))
     for glob in globs:
         for p in tried:
             hit |= F.coalesce(p.rlike(glob_pattern(glob)), F.lit(False))
@@ -162,7 +182,7 @@ def escape_property(value: Column) -> Column:
 
 def relative_to(path: Column, base: str, otherwise: Column) -> Column:
     top = base.rstrip("/") + "/"
-    return F.when(path.startswith(top), F.substring(path, len(top) + 1, 1 << 20)).otherwise(otherwise)
+    return F.when(path.startswith(top), F.substring(path, F.lit(len(top) + 1), F.char_length(path))).otherwise(otherwise)
 
 
 def rounded(value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +33,19 @@ def filter_known(findings: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
-    """One JSON file: {"version": 1, "ids": [...]}, sorted and distinct."""
-    ids = identities(findings).agg(F.array_sort(F.collect_list("identity")).alias("ids"))
-    body = ids.select(F.to_json(F.struct(F.lit(1).alias("version"), "ids"))).first()[0]
+    """One JSON file: {"version": 1, "ids": [...]}, sorted and distinct.
+
+    Identities are sorted on the executors and written as they arrive, a partition at a time.
+    """
     with open(path, "w", encoding="utf-8") as f:
-        f.write(body)
+        f.write('{"version":1,"ids":[')
+        for k, row in enumerate(identities(findings).orderBy("identity").toLocalIterator()):
+            f.write(("," if k else "") + json.dumps(row.identity))
+        f.write("]}")
 
 
 def read_baseline(spark, path: str) -> DataFrame:
     """Identities of a baseline file; none if it is missing or broken."""
-    import json
-
     try:
         with open(path, encoding="utf-8") as f:
             ids = json.load(f).get("ids", [])

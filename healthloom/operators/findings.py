@@ -54,8 +54,9 @@ class Gates:
         return spark.createDataFrame(self.rows, schema)
 
 
-def normalise(findings: DataFrame) -> DataFrame:
-    return findings.withColumn("file_path", C.normal_path(F.col("file_path")))
+def normalise(findings: DataFrame, base: str | None = None) -> DataFrame:
+    """Paths in one spelling; relative ones are taken from ``base``."""
+    return findings.withColumn("file_path", C.normal_path(F.col("file_path"), base))
 
 
 def deduplicate(findings: DataFrame) -> DataFrame:
@@ -157,10 +158,15 @@ def top(findings: DataFrame, k: int) -> DataFrame:
     return findings.orderBy("tier", "file_path", "line", "seq").limit(k)
 
 
-def at_or_above(findings: DataFrame, severity: str) -> bool:
-    """Whether any finding is at least that severe; an unknown severity asks for nothing."""
+def severe(findings: DataFrame, severity: str) -> DataFrame:
+    """Findings that are at least that severe; none for an unknown severity."""
     least = C.SEVERITY.get(severity)
-    return least is not None and bool(findings.filter(C.rank(F.col("severity"), C.SEVERITY) >= least).take(1))
+    return findings.filter(F.lit(False) if least is None else C.rank(F.col("severity"), C.SEVERITY) >= least)
+
+
+def at_or_above(findings: DataFrame, severity: str) -> bool:
+    """Whether any finding is at least that severe."""
+    return bool(severe(findings, severity).take(1))
 
 
 def later_definitions(rows: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:

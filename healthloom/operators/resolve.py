@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 # Fields of every model, owners of common models, modules that are always there.
 MAGIC_FIELDS = ["id", "display_name", "create_uid", "create_date", "write_uid", "write_date", "__last_update"]
 OWNERS = {
@@ -44,41 +46,46 @@ def prioritised(asked: DataFrame, layers: list[DataFrame], keys: list[str], sour
     return asked.join(best, keys, "left")
 
 
-def complete_models(edges: DataFrame, leaves: DataFrame, depth: int = 60) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, node: every node that a root reaches, itself included.  ``edges``: node, parent; ``roots``: node.
+
+    Each round joins what is known with itself, so a chain of n needs log2(n)
+    rounds; pairs are distinct, so diamonds do not multiply.  Rounds are cut by
+    checkpoints and end when nothing is new.
+    """
+    known = durable(
+        roots.select(F.col("node").alias("root"), "node").unionByName(edges.select(F.col("node").alias("root"), F.col("parent").alias("node"))).distinct()
+    )
+    count = known.count()
+    while True:
+        onward = known.select(F.col("root").alias("node"), F.col("node").alias("further"))
+        known = durable(known.join(onward, "node").select("root", F.col("further").alias("node")).unionByName(known).distinct())
+        before, count = count, known.count()
+        if count == before:
+            return known.join(roots.select(F.col("node").alias("root")), "root", "left_semi")
+
+
+def complete_models(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     """model, complete: whether everything that a model has is known.
 
     ``edges``: model, parent of every model that the project defines (parent
     null if it has none; a model's own name as a parent is passed over).
     ``leaves``: model, complete of models that are only known from outside.
     A model is complete if the walk to all of its ancestors meets none twice
-    and every one is defined here or complete outside.
+    and every one is defined here or complete outside.  The walk meets none
+    twice if what it reaches is a tree: one edge less than nodes.
     """
-    spark = edges.sparkSession
-    own = edges.select("model").distinct()
-    steps = edges.filter("parent IS NOT NULL AND parent != model")
-    steps.createOrReplaceTempView("_edges_of_models")
-    own.createOrReplaceTempView("_defined_models")
-    walk = spark.sql(f"""
-        WITH RECURSIVE walk(root, node, path, again, depth) MAX RECURSION LEVEL {depth + 5} AS (
-            SELECT model, model, array(model), false, 0 FROM _defined_models
-            UNION ALL
-            SELECT w.root, e.parent, array_append(w.path, e.parent), array_contains(w.path, e.parent), w.depth + 1
-            FROM walk w JOIN _edges_of_models e ON w.node = e.model
-            WHERE NOT w.again AND w.depth < {depth}
-        ) SELECT root, node, depth FROM walk""")
-    known = own.select(F.col("model").alias("node"), F.lit(True).alias("fine")).unionByName(
-        leaves.join(own, "model", "left_anti").select(F.col("model").alias("node"), F.col("complete").alias("fine"))
-    )
-    reached = walk.join(known, "node", "left").groupBy("root").agg(
-        F.count("*").alias("visits"),
-        F.count_distinct("node").alias("nodes"),
-        F.min(F.coalesce("fine", F.lit(False))).alias("fine"),
-        F.max("depth").alias("deepest"),
-    )
-    here = reached.select(
-        F.col("root").alias("model"), ((F.col("visits") == F.col("nodes")) & F.col("fine") & (F.col("deepest") < depth)).alias("complete")
+    edges = durable(edges)
+    own = durable(edges.select(F.col("model").alias("node")).distinct())
+    steps = edges.filter("parent IS NOT NULL AND parent != model").select(F.col("model").alias("node"), "parent")
+    outside = leaves.join(own, F.col("model") == F.col("node"), "left_anti")
+    known = own.withColumn("fine", F.lit(True)).unionByName(outside.select(F.col("model").alias("node"), F.col("complete").alias("fine")))
+    degrees = steps.groupBy("node").agg(F.count("*").alias("edges"))
+    reached = reachable(steps, own).join(degrees, "node", "left").join(known, "node", "left")
+    here = reached.groupBy(F.col("root").alias("model")).agg(
+        ((F.sum(F.coalesce("edges", F.lit(0))) == F.count("*") - 1) & F.min(F.coalesce("fine", F.lit(False)))).alias("complete")
     )
-    return here.unionByName(leaves.join(own, "model", "left_anti").select("model", "complete"))
+    return here.unionByName(outside.select("model", "complete"))
 
 
 @dataclass
@@ -103,7 +110,7 @@ STUB_JSON = "version string, complete boolean, models map<string,struct<fields:a
 
 def read_stubs(spark: SparkSession, path: str) -> Stubs:
     """One stub file: {version, complete, models: {name: {fields, methods}}, xml_ids: {id: model}}."""
-    raw = spark.read.schema(STUB_JSON).option("multiLine", True).json(path).cache()
+    raw = spark.read.schema(STUB_JSON).option("multiLine", True).json(path)
     models = raw.select(F.explode("models").alias("model", "m"), F.coalesce("complete", F.lit(False)).alias("complete"))
     names = lambda kind: models.select("model", F.lit(kind[:-1]).alias("kind"), F.explode(f"m.{kind}").alias("name"))
     return Stubs(
@@ -147,12 +154,13 @@ class Resolver:
 
     def __init__(self, facts, stubs: Stubs, index: DataFrame | None = None):
         spark = facts.spark
-        self.stubs = stubs
+        self.facts, self.stubs = facts, stubs
         self.index = index if index is not None else spark.createDataFrame([], "model string, module string")
         named = facts.models.filter("name IS NOT NULL")
         # of a model that several modules define, the last one counts
         last = F.max_by(F.struct("module", "inherit", "inherits"), "module_ord")
-        self.repo = named.groupBy(F.col("key").alias("model")).agg(last.alias("m")).select("model", "m.*").persist()
+        self.repo = named.groupBy(F.col("key").alias("model")).agg(last.alias("m")).select("model", "m.*")
+        self.repo = facts.keep(self.repo)
         winners = self.repo.select("model", "module")
         extensions = facts.models.filter("name IS NULL").select("module", "key")
 
@@ -162,8 +170,8 @@ class Resolver:
             return own.unionByName(more).distinct().select("model", F.lit(kind).alias("kind"), "name")
 
         repo = members(facts.fields, "field").unionByName(members(facts.methods, "method"))
-        self.members = repo.withColumn("source", F.lit("repo")).persist()
-        self.xml_ids = facts.records.select("xml_id").distinct().persist()
+        self.members = facts.keep(repo.withColumn("source", F.lit("repo")))
+        self.xml_ids = facts.keep(facts.records.select("xml_id").distinct())
 
     def models(self, asked: DataFrame, column: str) -> DataFrame:
         """``status`` and ``source`` of the model named in ``column``."""
@@ -182,7 +190,7 @@ class Resolver:
     def completeness(self) -> DataFrame:
         parents = F.concat("inherit", "inherits")
         edges = self.repo.select("model", F.explode_outer(parents).alias("parent"))
-        return complete_models(edges, self.stubs.models.groupBy("model").agg(F.max("complete").alias("complete"))).persist()
+        return self.facts.keep(complete_models(edges, self.stubs.models.groupBy("model").agg(F.max("complete").alias("complete"))))
 
     def member(self, asked: DataFrame, kind: str) -> DataFrame:
         """``status`` of (model, name) pairs: project, injected fields, stubs, then provable absence."""

@@ -77,6 +77,11 @@ def delta_text(delta: float) -> str:
     return f"{delta:+.1f}" if round(delta, 1) else "0.0"
 
 
+def mean_score(scores: DataFrame) -> float:
+    """The mean of the modules' overall scores; 100 without modules."""
+    return scores.agg(F.coalesce(F.avg("overall"), F.lit(100.0))).first()[0]
+
+
 def score_delta(head: DataFrame, base: DataFrame) -> DataFrame:
     """One row: head's and base's mean overall and their difference."""
     h, b = (x.agg(F.coalesce(F.avg("overall"), F.lit(100.0)).alias(n)) for x, n in ((head, "head"), (base, "base")))

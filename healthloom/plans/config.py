@@ -23,7 +23,7 @@ class Config:
     capabilities: list[str] = field(default_factory=list)
     capability_prefix: str = "version"
     plugins: bool = False
-    linters: dict[str, bool] = field(default_factory=lambda: {"ruff": True, "pylint": True})
+    linters: dict[str, bool] = field(default_factory=lambda: {"ruff": True, "pylint-odoo": True})
     severity: dict[str, str] = field(default_factory=dict)
     ignore_rules: list[str] = field(default_factory=list)
     ignore_files: list[str] = field(default_factory=list)
@@ -78,7 +78,7 @@ min_score = 0
 
 [linters]
 ruff = true
-pylint = true
+pylint-odoo = true
 
 [severity]
 

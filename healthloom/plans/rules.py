@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import checks as K
 from ..operators import resolve as R
 from ..operators.findings import later_definitions
 from ..sources.parsed import Facts, qualified
@@ -214,6 +215,11 @@ class Rule:
     #: A condition on call events, if that is all there is to the rule: such rules share one pass over the calls.
     when: str | None = None
 
+    @property
+    def own_job(self) -> bool:
+        """Whether the rule comes from a plugin: its faults at run time must not end the scan."""
+        return not self.run.__module__.startswith(__name__.partition(".")[0] + ".")
+
 
 REGISTRY: dict[str, Rule] = {}
 
@@ -270,10 +276,6 @@ class Project:
     def resolver(self) -> R.Resolver:
         return R.Resolver(self.facts, self.stubs or R.no_stubs(self.facts.spark), self.index)
 
-    @cached_property
-    def manifest_paths(self) -> DataFrame:
-        return self.facts.manifests.select("module", "module_dir", "path", "line", "col", "depends", "data", "assets", "filled", "version", "raw")
-
     def at_manifest(self, rows: DataFrame) -> DataFrame:
         """Puts rows (module and others) on line 1 of the module's manifest."""
         at = self.facts.manifests.select("module", "path", F.lit(1).alias("line"), F.lit(0).alias("col"))
@@ -390,11 +392,8 @@ call_rule(
 
 @rule("deprecated-api-usage", "Upgrade Safety", "P1", "warning", "high", **one_file)
 def deprecated_api(p: Project) -> DataFrame:
-    entries = [
-        F.when(F.col("text").rlike("(?U)" + pattern), F.struct(F.lit(a).alias("what"), F.lit(b).alias("why"), F.lit(c).alias("instead")))
-        for pattern, a, b, c in DEPRECATED
-    ]
-    hits = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    told = lambda a, b, c: F.struct(F.lit(a).alias("what"), F.lit(b).alias("why"), F.lit(c).alias("instead"))
+    hits = K.pattern_hits(F.col("text"), [("(?U)" + pattern, told(*texts)) for pattern, *texts in DEPRECATED])
     return p.facts.lines.select("module", "path", "line", F.lit(0).alias("col"), F.posexplode(hits).alias("n", "e")).select("*", "e.*").drop("e")
 
 
@@ -406,7 +405,7 @@ def missing_access(p: Project) -> DataFrame:
     concrete = p.facts.models.filter("name IS NOT NULL AND NOT abstract AND NOT transient").select("module", "name")
     covered = p.facts.access.select("module", F.explode(C.candidate_models(F.col("external"))).alias("name")).distinct()
     some = p.facts.access.select("module").distinct().withColumn("has", F.lit(True))
-    rows = concrete.join(covered, ["module", "name"], "left_anti").join(some, "module", "left")
+    rows = K.absent(concrete, covered, ["module", "name"]).join(some, "module", "left")
     noun = F.when(F.col("has"), "rule").otherwise("rules")
     lack = F.when(F.col("has"), "is not covered in").otherwise("has no entry in")
     return p.at_manifest(rows.withColumns({"noun": noun, "lack": lack}))
@@ -467,12 +466,12 @@ def orphan_view(p: Project) -> DataFrame:
     refs = p.facts.records.select("module", F.explode("refs").alias("r")).select("module", C.short_id(F.col("r.ref")).alias("short"))
     parents = p.facts.views.filter("parent != ''").select("module", C.short_id(F.col("parent")).alias("short"))
     roots = p.facts.views.filter("parent IS NULL OR parent = ''").withColumn("short", C.short_id(F.col("xml_id")))
-    return roots.join(refs.unionByName(parents).distinct(), ["module", "short"], "left_anti")
+    return K.absent(roots, refs.unionByName(parents), ["module", "short"])
 
 
 @rule("manifest-missing-required-fields", "Module Hygiene", "P2", "warning", "high", fixable=True)
 def missing_manifest_fields(p: Project) -> DataFrame:
-    keys = F.explode(F.array_except(F.lit(REQUIRED_KEYS), "filled")).alias("name")
+    keys = F.explode(K.unfilled(F.col("filled"), REQUIRED_KEYS)).alias("name")
     return p.facts.manifests.select("module", "path", F.lit(1).alias("line"), F.lit(0).alias("col"), keys).withColumn(
         "n", F.array_position(F.lit(REQUIRED_KEYS), F.col("name"))
     )
@@ -497,19 +496,15 @@ def missing_dependency(p: Project) -> DataFrame:
     )
     every = owned.select(*told).unionByName(refs.unionByName(views).join(known, "name", "left_semi").select(*told))
     depends = facts.manifests.select("module", F.explode("depends").alias("name")).distinct()
-    missing = every.filter((F.col("name") != F.col("module")) & ~F.col("name").isin(R.ALWAYS)).join(depends, ["module", "name"], "left_anti")
-    first = missing.groupBy("module", "name", "evidence").agg(F.min(F.struct("kind", "ord", "sub")).alias("at"))
-    ordered = F.array_sort(F.collect_list(F.struct("at", "evidence")))
-    rows = first.groupBy("module", "name").agg(F.array_join(F.transform(ordered, lambda e: e["evidence"]), ", ").alias("evidence"))
-    return p.at_manifest(rows)
+    missing = K.absent(every.filter((F.col("name") != F.col("module")) & ~F.col("name").isin(R.ALWAYS)), depends, ["module", "name"])
+    return p.at_manifest(K.listed_evidence(missing.withColumn("at", F.struct("kind", "ord", "sub")), ["module", "name"], "evidence", "at"))
 
 
 @rule("manifest-data-order-risk", "Module Hygiene", "P2", "warning", "high", fixable=True)
 def data_order(p: Project) -> DataFrame:
     files = p.facts.data_files.withColumns({"secure": C.is_security_file(F.col("file")), "shows": C.is_view_file(F.col("file"))})
-    first = files.filter("shows AND NOT secure").groupBy("module").agg(F.min(F.struct("pos", "file")).alias("f"))
-    late = files.filter("secure").join(first, "module").filter(F.col("pos") > F.col("f.pos"))
-    return p.at_manifest(late.select("module", "file", F.col("f.file").alias("first_file"), F.col("pos").alias("n")))
+    late = K.after_first(files, "module", "pos", "shows AND NOT secure", "secure", ["file"])
+    return p.at_manifest(late.select("module", "file", "first_file", F.col("pos").alias("n")))
 
 
 @rule("compute-missing-depends", "Correctness", "P2", "warning", "high")
@@ -565,4 +560,4 @@ def missing_asset(p: Project) -> DataFrame:
     present = p.facts.files.select("module", "rel")
     folders = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("rel", "/"))), lambda k: F.array_join(F.slice(F.split("rel", "/"), F.lit(1), k), "/")))
     present = present.select("module", folders.alias("rel")).distinct()  # folders exist as well
-    return p.at_manifest(named.join(present, ["module", "rel"], "left_anti"))
+    return p.at_manifest(K.absent(named, present, ["module", "rel"]))

@@ -6,6 +6,7 @@ Rules that the version or the capabilities exclude are not planned at all.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import baseline, scoring
+from ..operators import checks as K
 from ..operators import findings as P
 from ..operators import resolve as R
 from ..sources import linters as L
@@ -24,6 +26,11 @@ from .config import Config
 from .rules import REGISTRY, Project, Rule, as_findings, found_by, found_in_calls
 
 
+# Versions that are known, and the name of the framework's package.
+KNOWN_VERSION = r"^((?:1[4-9]|[2-9]\d)\.0)"
+FRAMEWORK = "odoo"
+
+
 @dataclass
 class ScanResult:
     findings: DataFrame
@@ -33,6 +40,12 @@ class ScanResult:
     version: str
     failed: list[str]
 
+    def release(self) -> None:
+        """Gives up all that the scan keeps in memory."""
+        self.facts.release()
+        for df in (self.facts.files, self.facts.facts, self.findings, self.scores):
+            df.unpersist()
+
     @property
     def project(self) -> DataFrame:
         return scoring.project_score(self.scores)
@@ -43,9 +56,20 @@ def detect_version(facts: Facts, *given: str | None) -> str:
     for version in given:
         if version:
             return version
-    own = F.regexp_extract(F.coalesce("version", F.lit("")), r"^((?:1[4-9]|[2-9]\d)\.0)", 1).alias("v")
-    found = facts.manifests.select(own).filter("v != ''").distinct().limit(2).collect()
-    return found[0][0] if len(found) == 1 else "unknown"
+    own = F.nullif(F.regexp_extract(F.coalesce("version", F.lit("")), KNOWN_VERSION, 1), F.lit(""))
+    found = facts.manifests.select(own.alias("v")).agg(K.only_value("v")).first()[0]
+    return found if found != "unknown" else installed_version() or "unknown"
+
+
+def installed_version(package: str = FRAMEWORK) -> str | None:
+    """The major version of the framework's package, if it is installed beside this one."""
+    from importlib import metadata
+
+    try:
+        found = re.match(KNOWN_VERSION, metadata.version(package))
+    except metadata.PackageNotFoundError:
+        return None
+    return found[1] if found else None
 
 
 def active_rules(version: str, caps: list[str]) -> list[Rule]:
@@ -75,15 +99,32 @@ def source_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rule_findings(project: Project, rules: list[Rule], failed: list[str]) -> DataFrame | None:
-    """All rules' findings.  A rule whose plan can't be built is left out and named."""
+    """All rules' findings.  A rule whose plan can't be built is left out and named.
+
+    Rules run as one job.  Registered rules' faults at run time are those of the
+    data and are caught where files are parsed; a rule of a plugin (``own_job``)
+    may fail while it runs, so it runs by itself first and what it finds is kept.
+    """
     out = []
-    if calls := [r for r in rules if r.when]:
+    calls = []
+    for r in rules:
+        if r.when:
+            try:
+                project.facts.calls.filter(r.when)  # tells whether the condition can be planned
+                calls.append(r)
+            except Exception as error:  # one rule's fault must not end the scan
+                failed.append(f"{r.name}: {error}")
+    if calls:
         out.append(found_in_calls(calls, project))
     for r in rules:
         if r.when:
             continue
         try:
-            out.append(found_by(r, project))
+            found = found_by(r, project)
+            if r.own_job:
+                found = project.facts.keep(found)
+                found.count()
+            out.append(found)
         except Exception as error:  # one rule's fault must not end the scan
             failed.append(f"{r.name}: {error}")
     return as_findings(reduce(DataFrame.unionByName, out), project) if out else None
@@ -93,7 +134,7 @@ def staged(
     raw: DataFrame, facts: Facts, config: Config, version: str, caps: list[str], changed: DataFrame | None, dirs: DataFrame, base_path: str | None
 ) -> DataFrame:
     """The stages, in their fixed order."""
-    out = P.normalise(raw)
+    out = P.normalise(raw, base_path)
     if changed is not None:
         out = P.changed_only(out, changed, dirs, [r.name for r in REGISTRY.values() if r.context])
     out = P.deduplicate(out)
@@ -136,13 +177,13 @@ def scan(
         key = cache.fingerprint(files, *settings)
     out = cache.load(spark, cache_dir, key) if key else None
     if out is None:
-        index = source_index(spark, config.source_path).persist() if config.source_path else None
+        index = facts.keep(source_index(spark, config.source_path)) if config.source_path else None
         project = Project(facts, detected, stubs or R.stubs_for(spark, config.stubs_path, detected), index, caps)
         raw = rule_findings(project, chosen, failed)
         if raw is None:
             raw = spark.createDataFrame([], ", ".join(f"`{c}` {'int' if c in ('line', 'column') else 'string'}" for c in P.COLUMNS) + ", seq long")
         for linter in linters:
-            raw = raw.unionByName(L.lint(facts.manifests, linter, detected))
+            raw = raw.unionByName(L.lint(facts.manifests, linter, detected, keep=facts.keep))
         out = staged(raw, facts, config, detected, caps, changed, dirs, base_path)
         if key:
             cache.store(out, cache_dir, key)

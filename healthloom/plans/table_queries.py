@@ -2,9 +2,10 @@
 
 The tables hold no source trees, so most queries run an operator on a view that
 has its input's shape (``events`` as findings, ``orders`` as references, and so
-on): the functions are those that a scan calls, only the input differs.
-``scan_*`` go all the way: ``generated.py`` writes a small module per supplier
-and the whole engine scans them.
+on): the functions are those that a scan calls, only the input differs.  The one
+exception is ``markup_refs``, which is plain SQL functions.  ``scan_*`` go all
+the way: ``generated.py`` writes a small module per supplier and the whole engine
+scans them; ``engine_queries.py`` has more of that kind.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import baseline, resolve, scoring
+from ..operators import checks as K
 from ..operators import findings as P
 from ..streaming.health import windowed_impact
 from . import generated, reports
@@ -264,9 +266,11 @@ def rule_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RAW} SELECT module, count(*) AS n, bool_or(severity = 'error') AS has_error FROM raw GROUP BY module HAVING bool_or(severity IN ('error', 'warning'))")
 def severity_at_or_above(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = C.rank(F.col("severity"), C.SEVERITY)
-    rows = normal(spark, sf_dir).groupBy("module").agg(F.count("*").alias("n"), F.max(r).alias("worst"))
-    return rows.filter(F.col("worst") >= C.SEVERITY["warning"]).select("module", "n", (F.col("worst") >= C.SEVERITY["error"]).alias("has_error"))
+    rows = normal(spark, sf_dir)
+    counts = rows.groupBy("module").agg(F.count("*").alias("n"))
+    errors = P.severe(rows, "error").select("module").distinct().withColumn("has_error", F.lit(True))
+    told = counts.join(P.severe(rows, "warning"), "module", "left_semi").join(errors, "module", "left")
+    return told.select("module", "n", F.coalesce("has_error", F.lit(False)).alias("has_error"))
 
 
 @query(
@@ -292,13 +296,7 @@ def linter_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = findings(spark, sf_dir)
     one = F.struct(F.col("rule").alias("code"), F.col("seq").cast("string").alias("message"), F.col("file_path").alias("filename"), F.struct(F.col("line").alias("row"), F.lit(1).alias("column")).alias("location"))
     raw = e.select("module", F.lit("/").alias("module_dir"), F.to_json(F.array(one)).alias("stdout"))
-    found = L.parsed(raw, linter)
-    table_ = spark.createDataFrame([(c, *m) for c, m in linter.mapping], "code string, category string, tier string, confidence string")
-    mapped = found.join(F.broadcast(table_), "code", "left")
-    return mapped.select(
-        F.col("message").cast("long").alias("seq"),
-        *[F.coalesce(c, F.lit(d)).alias(c) for c, d in zip(("category", "tier", "confidence"), L.UNMAPPED)],
-    )
+    return L.mapped_codes(L.parsed(raw, linter), linter).select(F.col("message").cast("long").alias("seq"), "category", "tier", "confidence")
 
 
 # --- other tables ----------------------------------------------------------------------------
@@ -321,13 +319,14 @@ def resolve_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 45)")
 def missing_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").filter("p_size < 45").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, "l_partkey", "left_anti")
+    return K.absent(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), parts, ["l_partkey"])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(used, "c_custkey", "left_anti")
+    """Customers without an order of the first priority."""
+    used = table(spark, sf_dir, "orders").filter("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("c_custkey"))
+    return K.absent(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), used, ["c_custkey"])
 
 
 @query(
@@ -346,9 +345,8 @@ def later_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of one kind that come after the first of another kind in their group."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    first = rows.filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("first_line"))
-    late = rows.filter("l_returnflag = 'A'").join(first, "l_orderkey").filter("l_linenumber > first_line")
-    return late.select("l_orderkey", "l_linenumber", "first_line")
+    late = K.after_first(rows, "l_orderkey", "l_linenumber", "l_returnflag = 'R'", "l_returnflag = 'A'")
+    return late.select("l_orderkey", "l_linenumber", F.col("first_l_linenumber").alias("first_line"))
 
 
 @query(
@@ -361,12 +359,8 @@ def ordered_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, o, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))
     rows = l.select("l_orderkey", "l_suppkey", "l_linenumber").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(s.select("s_suppkey", F.col("s_nationkey").alias("owner")), F.col("l_suppkey") == F.col("s_suppkey")).filter("owner > 3")
-    rows = rows.withColumn("module", F.col("o_custkey") % 50).filter("module % 25 != owner")
-    first = rows.groupBy("module", "owner", F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("evidence")).agg(
-        F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at")
-    )
-    listed = F.array_sort(F.collect_list(F.struct("at", "evidence")))
-    return first.groupBy("module", "owner").agg(F.array_join(F.transform(listed, lambda e: e["evidence"]), ", ").alias("evidence"))
+    told = {"module": F.col("o_custkey") % 50, "evidence": F.concat(F.lit("p"), F.col("l_suppkey").cast("string")), "at": F.col("l_orderkey") * 10 + F.col("l_linenumber")}
+    return K.listed_evidence(rows.withColumns(told).filter("module % 25 != owner"), ["module", "owner"], "evidence", "at")
 
 
 @query(
@@ -377,7 +371,7 @@ def ordered_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines times patterns, in one pass over each text."""
     patterns = {"license": "[Ll]icen[cs]e", "secret": "AKIA|password|token", "shout": "!!", "table": r" \| "}
-    hits = lambda t: F.filter(F.array(*[F.when(t.rlike(p), F.lit(n)) for n, p in patterns.items()]), lambda x: x.isNotNull())
+    hits = lambda t: K.pattern_hits(t, [(p, F.lit(n)) for n, p in patterns.items()])
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "t"))
     return rows.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.explode(hits(F.col("t"))).alias("what"))
 
@@ -414,16 +408,15 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merged_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members merged over files: the last definition wins."""
-    c = table(spark, sf_dir, "customer")
-    return c.groupBy(F.col("c_nationkey").alias("module"), F.col("c_mktsegment").alias("name")).agg(
-        F.max("c_custkey").alias("last_key"), F.max_by("c_acctbal", "c_custkey").alias("balance")
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("module"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("last_key"), F.col("c_acctbal").alias("balance")
     )
+    return K.last_of(c, ["module", "name"], ["last_key", "balance"], ["last_key"])
 
 
 @query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN max(o_orderstatus) ELSE 'unknown' END AS version FROM orders GROUP BY 1")
 def only_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.when(F.count_distinct("o_orderstatus") == 1, F.max("o_orderstatus")).otherwise("unknown")
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(one.alias("version"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(K.only_value("o_orderstatus").alias("version"))
 
 
 @query(
@@ -431,7 +424,7 @@ def only_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     " array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))), ' ') AS targets FROM pages"
 )
 def markup_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References in markup, by pattern."""
+    """References in markup, by pattern; the engine's own markup parser reads XML, which these pages are not."""
     refs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
     d = F.array_distinct(refs)
     return table(spark, sf_dir, "pages").select(
@@ -444,7 +437,7 @@ def required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that are not filled: a set difference per row."""
     keys = ["name", "version", "depends"]
     filled = F.filter(F.lit(keys), lambda k: (F.col("s_suppkey") + F.char_length(k)) % 3 != 0)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array_except(F.lit(keys), filled)).alias("name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(K.unfilled(filled, keys)).alias("name"))
 
 
 # --- whole scans over generated modules ------------------------------------------------------

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "healthloom", master: str | None = None) -> SparkSession:
@@ -15,3 +16,18 @@ def session(app: str = "healthloom", master: str | None = None) -> SparkSession:
         builder = builder.master(master or f"local[{cores}]").config("spark.sql.shuffle.partitions", str(cores))
         builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     return builder.getOrCreate()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there: a lost executor does not take it along.
+
+    The folder is that of ``spark.checkpoint.dir``; one on this machine is made
+    only where none is set and the session is local.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()

@@ -16,6 +16,8 @@ by_value(__name__)
 
 #: Fixed value: one line of text output, ``path:line:column: CODE: message (symbol)``.
 TEXT_LINE = r"^(.+?):(\d+):(\d+):\s+([A-Z]\d+):\s+(.+?)(?:\s+\(([^)]+)\))?\s*$"
+#: Any JSON list.
+LOOSE = "array<string>"
 UNMAPPED = ("Uncategorized", "P3", "low")
 
 
@@ -33,8 +35,29 @@ class Linter:
     url: str | None = None
 
 
-RUFF = Linter("ruff", ("ruff", "check", "--output-format=json", "--no-fix"), "json", 60)
-PYLINT = Linter("pylint", ("pylint", "--output-format=text"), "text", 120)
+# Commands, plugin, and what codes are mapped to (category, tier, confidence).
+RUFF = Linter(
+    "ruff", ("ruff", "check", "--output-format=json", "--no-fix"), "json", 60,
+    mapping=(
+        ("S608", ("Security", "P1", "high")),
+        ("S301", ("Security", "P0", "high")),
+        ("E501", ("Maintainability", "P3", "high")),
+        ("F841", ("Correctness", "P3", "high")),
+        ("F811", ("Correctness", "P2", "high")),
+        ("W605", ("Correctness", "P3", "high")),
+    ),
+)
+PYLINT = Linter(
+    "pylint-odoo", ("pylint", "--load-plugins=pylint_odoo", "--output-format=text"), "text", 120,
+    mapping=(
+        ("E8102", ("Correctness", "P2", "high")),
+        ("E8103", ("Security", "P0", "high")),
+        ("W8110", ("Correctness", "P2", "high")),
+        ("W8120", ("Maintainability", "P3", "medium")),
+        ("C8101", ("Module Hygiene", "P3", "high")),
+    ),
+    missing_plugin="No module named pylint_odoo",
+)
 
 
 def run_process(command: list[str], seconds: int) -> tuple[str, str, str, int]:
@@ -87,16 +110,21 @@ def parsed(raw: DataFrame, linter: Linter) -> DataFrame:
     )
 
 
-def lint(modules: DataFrame, linter: Linter, version: str, run: Callable = run_process) -> DataFrame:
-    """Findings of one linter, and a warning where it could not run.  The outputs are kept: processes run once."""
-    spark = modules.sparkSession
-    raw = outputs(modules, linter, run).persist()
+def mapped_codes(found: DataFrame, linter: Linter) -> DataFrame:
+    """``found`` with category, tier and confidence of its codes; those that are not mapped count as ``UNMAPPED``."""
     rows = [(c, *m) for c, m in linter.mapping]
-    table = spark.createDataFrame(rows, "code string, category string, tier string, confidence string")
-    found = parsed(raw, linter)
+    table = found.sparkSession.createDataFrame(rows, "code string, category string, tier string, confidence string")
     mapped = found.join(F.broadcast(table), "code", "left")  # the mapping is a fixed, small table
-    for c, default in zip(("category", "tier", "confidence"), UNMAPPED):
-        mapped = mapped.withColumn(c, F.coalesce(c, F.lit(default)))
+    return mapped.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in zip(("category", "tier", "confidence"), UNMAPPED)})
+
+
+def lint(
+    modules: DataFrame, linter: Linter, version: str, run: Callable = run_process, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist
+) -> DataFrame:
+    """Findings of one linter, and a warning where it could not run.  The outputs are kept: processes run once."""
+    raw = keep(outputs(modules, linter, run))
+    found = parsed(raw, linter)
+    mapped = mapped_codes(found, linter)
     severity = F.when(F.col("tier").isin("P2", "P3"), "warning").otherwise("error")
     texts = {"title": F.concat(F.lit(f"{linter.name} "), "code"), "help": F.concat(F.lit(f"See the documentation of {linter.name} for "), "code", F.lit("."))}
     held = mapped.withColumns(texts).withColumns({"rule": F.col("code"), "file_path": F.col("path"), "severity": severity})
@@ -104,10 +132,13 @@ def lint(modules: DataFrame, linter: Linter, version: str, run: Callable = run_p
     ran = found.select("module").distinct().withColumn("some", F.lit(True))
     states = raw.join(ran, "module", "left")
     no_plugin = F.col("stderr").contains(linter.missing_plugin) if linter.missing_plugin else F.lit(False)
+    said = F.trim("stdout")
+    broken = (F.lit(linter.form == "json") & (said != "")) & (~said.startswith("[") | F.from_json(said, LOOSE).isNull() | (F.get_json_object(said, "$").isNull()))
     why = (
         F.when(F.col("state") == "missing", f"The executable of {linter.name} was not found.")
         .when(F.col("state") == "timeout", f"{linter.name} did not finish within {linter.seconds} seconds.")
         .when(no_plugin, f"A plugin of {linter.name} is not installed.")
+        .when((F.col("state") == "ok") & broken, f"The output of {linter.name} could not be read: it is no JSON list.")
         .when((F.col("status") != 0) & F.col("some").isNull(), F.concat(F.lit(f"{linter.name} ended with status "), F.col("status").cast("string"), F.lit(" and no findings.")))
     )
     warned = states.withColumn("message", why).filter("message IS NOT NULL").withColumns(

@@ -154,11 +154,25 @@ def xml(content: bytes) -> list[dict]:
     return out
 
 
+def _csv_rows(text: str) -> tuple[list[dict], str]:
+    """Rows up to one that can't be read, and why it can't."""
+    rows: list[dict] = []
+    try:
+        rows.extend(csv.DictReader(io.StringIO(text, newline="")))
+    except csv.Error as error:
+        return rows, str(error)
+    return rows, ""
+
+
 def access(content: bytes) -> list[dict]:
     """Rows of an access CSV; the line is the row's ordinal, from 2.  Bytes that are not UTF-8 are replaced."""
     text = content.decode("utf-8-sig", "replace")
+    csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))  # a field may be as long as the file
     out = []
-    for line, row in enumerate(csv.DictReader(io.StringIO(text, newline="")), start=2):
+    rows, fault = _csv_rows(text)
+    if fault:
+        out.append({"fact": "unreadable", "line": len(rows) + 2, "col": 0, "data": {"reason": fault}})
+    for line, row in enumerate(rows, start=2):
         get = lambda *names, row=row: next((row[n] for n in names if row.get(n) is not None), "")
         data = {"id": get("id"), "name": get("name"), "model": get("model_id:id", "model_id/id"), "group": get("group_id:id", "group_id/id") or None}
         data |= {p: get(f"perm_{p}") == "1" for p in ("read", "write", "create", "unlink")}

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import by_value
+from ..operators.checks import last_of
 from . import other_facts, python_facts
 
 by_value(__name__, other_facts.__name__, python_facts.__name__)
@@ -35,6 +36,7 @@ LAYOUTS = {
     "record": "id string, tag string, model string, noupdate boolean, refs array<struct<ref:string,line:int>>",
     "access_domain": "id string, domain string",
     "view": f"id string, model string, parent string, fields {NAMED}, buttons {NAMED}",
+    "unreadable": "reason string",
     "access": "id string, name string, model string, group string, read boolean, write boolean, create boolean, unlink boolean",
 }
 
@@ -71,6 +73,7 @@ class Facts:
     """
 
     def __init__(self, files: DataFrame, facts: DataFrame | None = None):
+        self.kept: list[DataFrame] = []
         self.files = files
         self.facts = parse_files(files) if facts is None else facts
 
@@ -78,6 +81,22 @@ class Facts:
     def spark(self) -> SparkSession:
         return self.files.sparkSession
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` kept for several readers, until ``release``."""
+        self.kept.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        """Gives up what is kept; tables made from it are worked out again when they are read."""
+        while self.kept:
+            self.kept.pop().unpersist()
+
+    @cached_property
+    def unreadable(self) -> DataFrame:
+        """path, reason of files whose contents or rows could not be read in full."""
+        lost = self.files.filter("kind != 'other' AND content IS NULL").select("module", "path", F.lit("the file could not be opened").alias("reason"))
+        return lost.unionByName(self.of("unreadable").select("module", "path", "reason"))
+
     def of(self, fact: str) -> DataFrame:
         rows = self.facts.filter(F.col("fact") == fact).withColumn("d", F.from_json("data", LAYOUTS[fact]))
         return rows.select("module", "module_dir", "module_ord", "path", "rel", "n", "line", "col", "d.*")
@@ -93,7 +112,7 @@ class Facts:
 
     @cached_property
     def calls(self) -> DataFrame:
-        return self.of("call").persist()
+        return self.keep(self.of("call"))
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -109,22 +128,21 @@ class Facts:
         every = F.array_sort(F.collect_list(F.struct("path", "n", "inherit")))
         rows = self.classes.filter("key IS NOT NULL").groupBy("module", "module_ord", "key").agg(named.alias("m"), every.alias("all"))
         inherit = F.array_distinct(F.flatten(F.transform("all", lambda c: c["inherit"])))
-        return rows.select("module", "module_ord", "key", "m.*", inherit.alias("inherit")).persist()
+        return self.keep(rows.select("module", "module_ord", "key", "m.*", inherit.alias("inherit")))
 
     def _members(self, column: str) -> DataFrame:
         """Members by module, key and name; the last definition wins."""
         rows = self.classes.filter("key IS NOT NULL").select("module", "key", "path", "n", F.posexplode(column).alias("pos", "x"))
         rows = rows.withColumn("name", F.col("x.name"))
-        last = F.max_by(F.struct("x", "path"), F.struct("path", "n", "pos"))
-        return rows.groupBy("module", "key", "name").agg(last.alias("r")).select("module", "key", "name", "r.path", F.col("r.x").alias("x"))
+        return last_of(rows, ["module", "key", "name"], ["path", "x"], ["path", "n", "pos"])
 
     @cached_property
     def fields(self) -> DataFrame:
-        return self._members("fields").select("module", "key", "path", "x.*").persist()
+        return self.keep(self._members("fields").select("module", "key", "path", "x.*"))
 
     @cached_property
     def methods(self) -> DataFrame:
-        return self._members("methods").select("module", "key", "path", "x.*").persist()
+        return self.keep(self._members("methods").select("module", "key", "path", "x.*"))
 
     @cached_property
     def _loaded(self) -> DataFrame:
@@ -138,11 +156,11 @@ class Facts:
 
     @cached_property
     def records(self) -> DataFrame:
-        return self._in_manifest("record").withColumn("xml_id", qualified(F.col("id"), F.col("module"))).persist()
+        return self.keep(self._in_manifest("record").withColumn("xml_id", qualified(F.col("id"), F.col("module"))))
 
     @cached_property
     def views(self) -> DataFrame:
-        return self._in_manifest("view").withColumn("xml_id", qualified(F.col("id"), F.col("module"))).persist()
+        return self.keep(self._in_manifest("view").withColumn("xml_id", qualified(F.col("id"), F.col("module"))))
 
     @cached_property
     def access_domains(self) -> DataFrame:
@@ -151,9 +169,9 @@ class Facts:
     @cached_property
     def access(self) -> DataFrame:
         rows = self.of("access").withColumn("dotted", F.col("model").contains("."))
-        return rows.withColumn("owner", F.when(F.col("dotted"), F.substring_index("model", ".", 1)).otherwise(F.col("module"))).withColumn(
-            "external", F.when(F.col("dotted"), F.expr("substring(model, instr(model, '.') + 1)")).otherwise(F.col("model"))
-        ).persist()
+        owner = F.when(F.col("dotted"), F.substring_index("model", ".", 1)).otherwise(F.col("module"))
+        external = F.when(F.col("dotted"), F.expr("substring(model, instr(model, '.') + 1)")).otherwise(F.col("model"))
+        return self.keep(rows.withColumns({"owner": owner, "external": external}))
 
     @cached_property
     def suppressions(self) -> DataFrame:
@@ -172,8 +190,3 @@ class Facts:
 
 def qualified(name, module):
     return F.when(name.contains("."), name).otherwise(F.concat_ws(".", module, name))
-
-
-def numbered_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds ``nth`` (from 1) per key in order."""
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -316,6 +316,6 @@ def facts(content: bytes) -> list[dict]:
         tree = ast.parse(text)
         walk = Walk(text)
         walk.visit(tree, Scope())
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # too deep for the parser, too
         return out
     return out + walk.out

@@ -7,7 +7,9 @@ contents on the executors, a partition for each group of files.
 
 Columns: module, module_dir, module_ord, path (absolute), rel (inside the
 module), kind (manifest, python, xml, access, other), content (null for
-``other``: only the name matters there).
+``other``: only the name matters there, and where a file could not be opened).
+Executors open the files themselves, so a tree must be in a place that all of
+them see.
 """
 
 from __future__ import annotations
@@ -109,8 +111,8 @@ class TreeReader(DataSourceReader):
     def read(self, partition: Group) -> Iterator[tuple]:
         for module, folder, ord_, path, rel, kind in partition.files:
             content = None if kind == "other" else read_bytes(path)
-            if kind == "other" or content is not None:
-                yield module, folder, ord_, path, rel, kind, content
+            # a file that can't be opened keeps its row: ``Facts.unreadable`` names it
+            yield module, folder, ord_, path, rel, kind, content
 
 
 class ModuleTree(DataSource):

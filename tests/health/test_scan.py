@@ -61,7 +61,7 @@ def test_config_settings_apply(project, scanned):
 def test_suppressed_and_non_utf8(module, scanned):
     source = b"# latin \xe9\n# x-doctor: disable=eval-usage\neval(x)\neval(y)\n"
     rows = scanned(module(**{"a.py": source})).findings.filter("rule = 'eval-usage'").collect()
-    assert [r.line for r in rows] == [3, 4]  # bytes that are not UTF-8: the file is parsed, its comments are not
+    assert sorted(r.line for r in rows) == [3, 4]  # bytes that are not UTF-8: the file is parsed, its comments are not
     rows = scanned(module("m2", **{"a.py": source.replace(b"\xe9", b"e")})).findings.filter("rule = 'eval-usage'").collect()
     assert [r.line for r in rows] == [4]
 

@@ -1,12 +1,11 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__ as entry  # registers all queries
 from healthloom.plans.table_queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"scan_scores"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def plain(row):
     return tuple(round(v, 6) if isinstance(v, float) else v for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_twin(name, spark, duck):
     df = QUERIES[name](spark, SF)
     want = duck.sql(SQL[name])
