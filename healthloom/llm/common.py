@@ -34,13 +34,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there.
 
-    A reliable checkpoint: it outlives executors, and Spark's cleaner removes
-    it when the frame is no longer referenced.
+    A reliable checkpoint: it outlives executors.  Spark's cleaner removes it
+    when the frame is no longer referenced, if the cluster sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this library's in the shared folder, through Spark's file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A broadcast hint if ``df`` (written before) has few rows; else Spark joins by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

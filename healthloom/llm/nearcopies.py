@@ -190,10 +190,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy("find", "judge").agg(F.min(entry).alias("low"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     near = stars(nodes)
-    classes = cut(components(near)).select(F.col("node").alias("c_node"), F.col("root").alias("class"))
+    classes = components(near).select(F.col("node").alias("c_node"), F.col("root").alias("class"))
     classed = cut(nodes.join(classes, F.col("node") == F.col("c_node"), "left").select("node", "find", "judge", "class"))
     links = near.unionByName(between(classed))
-    roots = cut(components(links)).withColumnRenamed("node", "r_node")
+    roots = components(links).withColumnRenamed("node", "r_node")
     placed = cut(nodes.join(roots, F.col("node") == F.col("r_node"), "left").select("node", "find", "judge", "low", "root"))
     lowest = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("best"))
     linked = placed.filter("root IS NOT NULL").drop("low").join(lowest, "root").select("find", "judge", "best")

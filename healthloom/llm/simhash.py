@@ -19,7 +19,7 @@ number of rows; no pair is dropped and no group's pairs are all written.
 
 Components: alternating large-star and small-star rounds (Kiryakov et al.'s
 family of connected-component algorithms) on the links, until a round changes
-nothing.  Each round is cut by a checkpoint.
+nothing.  Each round is a written table.
 
 One fingerprint finds what lies within 3 of 64 bits, which is far less than
 all near copies.  With ``tables`` > 1 a text has that many fingerprints over
@@ -36,6 +36,8 @@ share a component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_rows, shipped, short_batches
+from .common import checkpoint_dir, cut, drop_rows, removed, shipped, short_batches
 from .tokens import batches
 
 shipped(__name__)
@@ -228,34 +230,48 @@ def pairs_of(*pairs: tuple[str, str], names: tuple[str, str] = ("u", "v")) -> Co
     return F.inline(F.array(*[F.struct(F.col(a).alias(names[0]), F.col(b).alias(names[1])) for a, b in pairs]))
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """node -> root (its component's least node) for every node of ``edges`` (a, b).
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (its component's least node) for every node of ``edges`` (a, b).
 
     Large-star: every node sends its larger neighbours to the least node it
     knows.  Small-star: every node sends its smaller neighbours and itself
     there.  A node's neighbours are not gathered: the least one is a partial
-    aggregate, which is joined back.
+    aggregate, which is joined back.  Rounds go on until one changes nothing.
+
+    Rounds are Parquet tables in the shared folder, gone when the next ones are
+    written.  A checkpoint would keep the plan's size estimate, which each join
+    multiplies: after some rounds it is a number of millions of digits.
     """
+    spark = edges.sparkSession
+    folder = f"{checkpoint_dir(spark)}/components-{uuid.uuid4().hex}"
+    steps = itertools.count()
+    held: list[str] = []
+
+    def written(df: DataFrame) -> DataFrame:
+        held.append(f"{folder}/{next(steps)}")
+        df.write.parquet(held[-1])
+        return spark.read.schema(df.schema).parquet(held[-1])
 
     def least(df: DataFrame) -> DataFrame:
         low = df.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # written first: a join of two plain exchanges is one whose crowded keys Spark can split
-        return df.join(cut(low), "u")
+        return df.join(written(low), "u")
 
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    for _ in range(rounds):
+    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    settled = False
+    while not settled:
         both = edges.select(pairs_of(("u", "v"), ("v", "u")))
         large = least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u != v").distinct()
         small = least(large).select(pairs_of(("v", "m"), ("u", "m")))
-        after = cut(small.filter("u != v").distinct())
-        same = after.count() == edges.count() and not after.join(edges, ["u", "v"], "left_anti").take(1)
+        after = written(small.filter("u != v").distinct())
+        settled = after.count() == edges.count() and not after.join(edges, ["u", "v"], "left_anti").take(1)
         edges = after
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(pairs_of(("u", "v"), ("v", "v"), names=("node", "root"))).distinct()
+        while len(held) > 1:
+            removed(spark, held.pop(0))
+    roots = cut(edges.select(pairs_of(("u", "v"), ("v", "v"), names=("node", "root"))).distinct())
+    removed(spark, folder)
+    return roots
 
 
 def grouped(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, tables: int = TABLES) -> DataFrame:
@@ -265,7 +281,7 @@ def grouped(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, tables: int =
         rows = cut(fingerprints(docs, shingle, tables).withColumn("node", node))
     entry = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
     nodes = cut(rows.groupBy("node", "fps").agg(F.min(entry).alias("low")))
-    roots = cut(components(node_links(nodes.select("node", "fps"), tables, crowd)))
+    roots = components(node_links(nodes.select("node", "fps"), tables, crowd))
     least = nodes.select(F.col("node").alias("n_node"), "low")
     named = cut(roots.join(least, roots.node == F.col("n_node")).select("node", "root", "low"))
     lowest = cut(named.groupBy("root").agg(F.min("low").alias("best")))
