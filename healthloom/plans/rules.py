@@ -192,6 +192,7 @@ DEPRECATED = [
         "Replace self.pool['model'] or self.pool.get('model') with self.env['model'].",
     ),
 ]
+# Keys, models and names that rules ask for.
 REQUIRED_KEYS = ["name", "version", "depends", "data", "installable", "license"]
 CRITICAL_MODELS = ["ir.rule", "ir.config_parameter", "ir.cron"]
 NOT_FIELDS = ["id", "env", "display_name", "create_uid", "create_date", "write_uid", "write_date"]

@@ -76,6 +76,7 @@ def test_broken_and_odd_files():
     assert python_facts.facts(b"def (:") == []
     assert python_facts.facts(b"# x\n\xff = 1\n") == []
     assert python_facts.facts(b"") == []
+    assert python_facts.facts(b"-" * 100_000 + b"1") == []  # the parser's stack
     deep = b"x = " + b"(" * 50 + b"1" + b")" * 50
     assert python_facts.facts(deep) == []
 
@@ -115,3 +116,30 @@ def test_manifest_and_access():
     assert other_facts.manifest(b"[1]") == [] and other_facts.manifest(b"f()") == []
     rows = other_facts.access("﻿id,model_id/id,perm_read\na,base.model_x,1\nb,model_y_\xff,0\n".encode("latin-1", "replace"))
     assert [r["line"] for r in rows] == [2, 3] and rows[0]["data"]["read"]
+
+
+def test_sql_forms():
+    source = """
+def f(self, x):
+    cr.execute("a" + "b")
+    cr.execute("a" + "b" + "c")
+    cr.execute("a" + 1)
+    cr.execute("%s" % (("a", [1]), x))
+    cr.execute("INSERT {a}".format(a=[1, 2]))
+    cr.execute("INSERT {a}".format(a=[1, x]))
+    cr.execute(x.format(1))
+    cr.execute(x.format(x))
+    cr.execute(f"SELECT 1")
+    q = "SELECT "
+    q += f"x"
+    cr.execute(q)
+"""
+    assert calls(source, tainted_sql=True) == [4, 5, 6, 8, 10, 14]
+
+
+def test_access_files_that_break_the_reader():
+    head = b"id,name,model_id:id,group_id:id,perm_read\n"
+    long = other_facts.access(head + b"a," + b"x" * 200_000 + b",model_m,,1\n")
+    assert [(f["fact"], len(f["data"]["name"])) for f in long] == [("access", 200_000)]
+    cut = other_facts.access(head + b"a,b,model_m,,1\n" + b'c,"d' + b"\r" + b'e"f,\r"\n')
+    assert [f["data"]["id"] for f in cut if f["fact"] == "access"][:1] == ["a"]
