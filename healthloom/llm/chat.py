@@ -15,8 +15,9 @@ mask covers the texts of the roles in ``TRAINED``.
 
 Defined cases: a null text is empty; a null role is the empty role; a null
 turn number comes first; equal turn numbers go by role and text; repeated rows
-are repeated turns; a conversation without turns does not occur; an empty
-table gives no rows.
+are repeated turns; a conversation without turns does not occur; a very long
+text is formatted whole; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

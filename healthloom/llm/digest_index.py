@@ -13,8 +13,10 @@ all rows sends one text per map task.  A digest that fails (a collision) is
 grouped again by its text.
 
 Defined cases: a null text equals the empty text; a null id orders before all
-others; of repeated rows with equal id and text exactly one stays; an empty
-table gives an empty result; other columns of the input are ignored.
+others; of repeated rows with equal id and text exactly one stays (the one with
+the larger row number); a very long text is compared whole; an empty table gives
+an empty result; other columns are ignored by the index and kept by
+``exact_dedup``, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,11 @@ offset.  Each piece gets its rank among those of its length in two steps
 however common, meets in one task.
 
 Defined cases: lengths below 1 or above the capacity are an error; equal
-pieces take any order among their ranks; an empty table gives no sequences.
+lengths are dealt by their ranks (bucket, then id and piece); repeated rows are
+packed each; null ids are ids of their own; a null text is its end id alone; a
+very long text is cut into pieces of the capacity, the first one shorter; an
+empty table gives no sequences; other columns of documents are ignored, those of
+pieces kept, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,15 +1,16 @@
 """Quality classifier: document evidence and site posteriors, hierarchical empirical Bayes.
 
-Evidence is a logistic model on a few measures of the whole text, fitted by
-Newton's method on at most ``SAMPLE_ROWS`` labelled rows (those whose hashed id
-is least).  Sites are hosts (``source``) and paths within them (``lang``
-stands for the path in this table).  One grouped aggregation gives, per path,
-the number of documents and the sum and sum of squares of their evidence; hosts
-and the whole are sums of that.  Prior strengths come from the moments: how
-much more the sites' means vary than documents alone would make them.  A path
-is shrunk towards its host, a host towards the whole, so sparse sites stay near
-what is known of larger ones.  A document's own evidence is taken out of its
-site before the site speaks about it.
+Evidence is a logistic model over a few measures of the whole text and its
+hashed words: the square roots of the shares of ``BUCKETS`` hashed words and of
+as many hashed pairs of words.  It is fitted by Newton's method on at most
+``SAMPLE_ROWS`` labelled rows (those whose hashed id is least).  Sites are hosts
+(``source``) and paths within them (``lang`` stands for the path in this table).
+One grouped aggregation gives, per path, the number of documents and the sum and
+sum of squares of their evidence; hosts and the whole are sums of that.  Prior
+strengths come from the moments: how much more the sites' means vary than
+documents alone would make them.  A path is shrunk towards its host, a host
+towards the whole, so sparse sites stay near what is known of larger ones.  A
+document's own evidence is taken out of its site before the site speaks about it.
 
     posterior logit = evidence logit + weight * (path logit - global logit)
 
@@ -18,21 +19,27 @@ Documents with a posterior of at least ``THRESHOLD`` are kept.
 Sums are partial aggregates; the site table is broadcast only after its rows
 are counted and joined by a shuffle when there are many.
 
-Defined cases: a null text is empty; a null source or path is a site of its
-own; labels of one class only (or none) make every posterior the prior, and
-every document is kept; repeated rows are judged alike; an empty table gives
-no rows.
+Defined cases: a null text is empty; a text without words has no shares; a very
+long text counts whole; a null source or path is a site of its own; labels of
+one class only (or none) make every posterior the prior, and every document is
+kept; equal posteriors are judged alike, as are repeated rows; an empty table
+gives no rows; other columns are kept by ``keep_good`` and ignored by
+``classify``, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, small
+from .common import cut, shipped, small
+
+shipped(__name__)
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.5
@@ -40,6 +47,8 @@ SITE_WEIGHT = 0.5
 RIDGE = 1.0
 #: Evidence never says more than this (in logits), so no site can be certain.
 MOST_LOGIT = 12.0
+#: Hashed words, and hashed pairs of words, that are told apart; what their shares are multiplied by.
+BUCKETS, SCALE = 256, 2.0
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -62,8 +71,37 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
+def word_shares(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
+    """Scaled square roots of the shares of hashed words, then of hashed pairs of words, of a whole text."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    out = np.zeros(2 * buckets)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    with np.errstate(over="ignore"):
+        pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
+    pairs ^= pairs >> np.uint64(29)
+    for k, held in enumerate((hashes, pairs)):
+        if len(held):
+            out[k * buckets : (k + 1) * buckets] = np.bincount((held % np.uint64(buckets)).astype(np.int64), minlength=buckets) / len(held)
+    return SCALE * np.sqrt(out)
+
+
+def words_logit(weights: tuple[float, ...]) -> Callable[[Column], Column]:
+    """What a text's words add to its logit."""
+    held = np.array(weights)
+
+    @F.pandas_udf("double")
+    def added(texts: pd.Series) -> pd.Series:
+        return pd.Series([float(word_shares(t, len(held) // 2) @ held) for t in texts])
+
+    return added
+
+
 @dataclass(frozen=True)
 class Model:
+    """``weights``: bias, measures in the order of ``names``, hashed words and pairs (none: the text's words say nothing)."""
+
     names: tuple[str, ...]
     weights: tuple[float, ...]
     prior: float
@@ -73,18 +111,23 @@ class Model:
         held = measures(text)
         for name, w in zip(self.names, self.weights[1:]):
             total = total + held[name] * w
+        if words := self.weights[1 + len(self.names) :]:
+            total = total + words_logit(words)(text)
         return F.least(F.greatest(total, F.lit(-MOST_LOGIT)), F.lit(MOST_LOGIT))
 
 
 def newton(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 50) -> np.ndarray:
-    """Weights (bias first) of a ridge logistic regression."""
-    x = np.hstack([np.ones((len(x), 1)), x])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    """Weights (bias first) of a ridge logistic regression.  Rows are taken 2048 at a time."""
+    n, wide = len(x), x.shape[1] + 1
+    w, penalty = np.zeros(wide), np.full(wide, ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (y - p) - penalty * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        gradient, hessian = -penalty * w, np.diag(penalty)
+        for at in range(0, n, 2048):
+            part = np.hstack([np.ones((len(x[at : at + 2048]), 1)), x[at : at + 2048]])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            gradient = gradient + part.T @ (y[at : at + 2048] - p)
+            hessian = hessian + (part * (p * (1 - p))[:, None]).T @ part
         step = np.linalg.solve(hessian, gradient)
         w += step
         if np.abs(step).max() < 1e-8:
@@ -99,15 +142,20 @@ def sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """The evidence model.  Collects ``rows`` times a handful of numbers at most."""
+    """The evidence model.  At most ``rows`` rows of numbers reach the driver: of rows that repeat an id the least one counts."""
     names = tuple(measures(F.col("text")))
     chosen = sample(labels.select("doc_id", "quality"), rows)  # bounded by ``rows``
+    shares = F.pandas_udf(lambda texts: pd.Series([word_shares(t).astype(np.float32) for t in texts]), "array<float>")
+    told = [c.alias(n) for n, c in measures(F.col("text")).items()]
     held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = held.select(*[c.alias(n) for n, c in measures(F.col("text")).items()], "quality").limit(2 * rows).toPandas()
+    # the sample's texts meet one of their id, so a repeated id has one row whatever the order
+    one = held.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    got = one.select("doc_id", "quality", *told, shares(F.col("text")).alias("shares")).toPandas().sort_values("doc_id")
     y = got.quality.to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
         return Model(names, (MOST_LOGIT / 4, *[0.0] * len(names)), 0.5)
-    w = newton(got[list(names)].to_numpy(float), y)
+    x = np.hstack([got[list(names)].to_numpy(np.float32), np.vstack(got.shares.to_list())])
+    w = newton(x, y)
     return Model(names, tuple(map(float, w)), float(y.mean()))
 
 

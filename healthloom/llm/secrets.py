@@ -17,8 +17,10 @@ without a digit or without a letter) are suppressed, and so is what overlaps a
 base span.
 
 Defined cases: a null text is empty; a text without matches has no spans and
-the hash of the empty string; repeated rows are reported each; an empty table
-gives no rows.
+the hash of the empty string; spans that tie on their start go by kind; a very
+long text is scanned whole, and many matches cost little more than few; repeated
+rows and null ids are reported each; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,10 @@ Slots inside a shard are dealt in two steps (counts per shard and sub-bucket,
 then ranks inside the sub-bucket), so no task has to hold a whole shard.
 
 Defined cases: a null key is one key of its own; repeated rows share a shard
-and take different slots; a null text has no bytes; an empty table stays empty.
+and take different slots; equal scores go to the first of the shards; a null
+text has no bytes; a very long text counts whole; an empty table stays empty;
+other columns are ignored by ``shard_documents`` and kept by ``assign`` and
+``write_shards``, whatever their names.
 """
 
 from __future__ import annotations

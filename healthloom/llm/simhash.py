@@ -15,7 +15,9 @@ segment.  Its members then differ in the other segment only, and that one is
 indexed again: two sub-segments of 16 bits, one of which differs in at most one
 bit.  What shares a segment and a sub-segment differs in 16 bits at most, so
 the candidates of one fingerprint are bounded by a constant, whatever the
-number of rows; no pair is dropped and no group's pairs are all written.
+number of rows, and no pair is dropped.  Inside a dense group that constant can
+still be hundreds for each member; such links are verified where they are found
+and thinned there (``spanned``), so they are not shuffled.
 
 Components: alternating large-star and small-star rounds (Kiryakov et al.'s
 family of connected-component algorithms) on the links, until a round changes
@@ -26,12 +28,14 @@ all near copies.  With ``tables`` > 1 a text has that many fingerprints over
 independently mixed hashes of the same shingles, and texts are linked when any
 of them is within the bound: each table is an exact search as above, so links
 between unlike texts stay as rare, while near copies have more chances to meet.
-Dense groups have many such links; each task keeps a spanning forest of those it
-finds (``spanned``) and the component rounds work on what is left.
+The component rounds work on the links that are left after thinning.
+``nearcopies`` is the form for long shingles and similarities of 0.8.
 
 Defined cases: null and word-less texts have fingerprint zero, linked like any
-other; texts with fewer words than a shingle are one shingle; repeated rows
-share a component; an empty table gives an empty result.
+other; texts with fewer words than a shingle are one shingle; whole texts count,
+however long; rows that tie on doc_id go by a hash of the text; repeated rows
+share a component; an empty table gives an empty result; other columns are kept
+by ``near_dedup`` and ignored by ``near_groups``, whatever their names.
 """
 
 from __future__ import annotations
@@ -206,7 +210,7 @@ def spanned(edges: DataFrame, held: int = 1 << 18) -> DataFrame:
 
 
 def node_links(nodes: DataFrame, tables: int, crowd: int = CROWD) -> DataFrame:
-    """a, b: links of nodes (node, fps) in any table; with several tables, enough of them for the same components.
+    """a, b: links of nodes (node, fps) in any table, enough of them for the same components.
 
     Nodes with one value in a table are linked to the least of them, and links
     between values become links between those.  Links between values are
@@ -214,7 +218,7 @@ def node_links(nodes: DataFrame, tables: int, crowd: int = CROWD) -> DataFrame:
     the shuffles behind.
     """
     if tables == 1:
-        return links(nodes.select(F.lit(0).alias("t"), F.get("fps", F.lit(0)).alias("fp")), crowd).select("a", "b")
+        return spanned(_found(nodes.select(F.lit(0).alias("t"), F.get("fps", F.lit(0)).alias("fp")), crowd)).select("a", "b")
     each = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
     values = cut(each.groupBy("t", "fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
     found = cut(spanned(_found(values.select("t", "fp"), crowd)).distinct())

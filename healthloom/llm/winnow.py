@@ -16,7 +16,8 @@ search in an expression); the first document of a bucket is copied to the one
 before, and the first of all to the last.  So each text is shuffled once, and
 no task sees more than a bucket's neighbours at a time.
 
-Defined cases: a null text is empty and has an empty fingerprint; fewer units
+Defined cases (other columns are ignored, whatever their names, and a very long
+text is hashed whole): a null text is empty and has an empty fingerprint; fewer units
 than K make one hash; fewer hashes than W are one window; two empty
 fingerprints are alike (1), one empty fingerprint is unlike (0); null ids come
 first; repeated ids follow each other by the text's hash; an empty table gives
