@@ -7,7 +7,7 @@ number of bits; a bit is *live* when more than one flushed row claims it.
 Compaction merges the entries whose bit is live (all others are unique by
 construction and never move), keeping smallest and largest identifiers.
 Digests with more than one row are hits, and hits are verified on the bytes of
-their texts: within a digest the least and the greatest text must be the same
+their texts (which a filter of the hits picks out where they stand): within a digest the least and the greatest text must be the same
 string.  Those two are partial aggregates, so a digest that holds a third of
 all rows sends one text per map task.  A digest that fails (a collision) is
 grouped again by its text.
@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, FILTER_BITS, ascii_lower, bitmaps, bucket_of, cut, drop_rows, filter_bit, flagged
+from .common import BITMAP_BITS, FILTER_BITS, KeyFilter, ascii_lower, bitmaps, bucket_of, cut, drop_rows, filter_bit, flagged
 
 
 def normalised(text: Column) -> Column:
@@ -93,7 +93,8 @@ class DigestIndex:
 
     def verified(self) -> DataFrame:
         """Hits with ``same``: whether all texts of the digest are equal byte by byte."""
-        texts = self.maybe_hit(self.texts.withColumn("digest", self.digest(F.col("norm"))))
+        # a filter of the hits themselves: texts of other digests stay where they are
+        texts = KeyFilter(self.merged, ["digest"]).passed(self.texts.withColumn("digest", self.digest(F.col("norm"))), ["digest"])
         bounds = texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
         same = bounds.select("digest", (F.col("a") == F.col("b")).alias("same"))
         return cut(self.merged.join(same, "digest"))
