@@ -119,5 +119,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_pareto_mix": mixing.ORACLE,
         "op6_chat_format": chat.oracle(),
         "op7_digest_index": OP7_SQL,
+        "op8_secret_spans": secrets.oracle(),
+        "op9_winnowing": winnow.oracle(),
         "op10_rendezvous_shards": sharding.oracle(40),
     }

@@ -213,3 +213,48 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
         ),
     ).otherwise(held)
     return F.aggregate(spans, start, step, lambda held: F.concat(held["out"], F.substring(text, held["at"] + 1, F.char_length(text))))
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``op8_secret_spans``: matches between gaps, and every window's entropy from counts made anew."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+
+    def matches(name: str, pattern: str, group: int = 0) -> str:
+        p = quoted(pattern)
+        return f"""{name}_m AS (
+  SELECT doc_id, unnest(string_split_regex(s, {p})) AS gap, unnest(regexp_extract_all(s, {p})) AS m, unnest(regexp_extract_all(s, {p}, {group})) AS part,
+         generate_subscripts(string_split_regex(s, {p}), 1) AS i FROM t WHERE regexp_matches(s, {p})
+), {name} AS (
+  SELECT doc_id, part, i, sum(length(gap) + length(m)) OVER w - length(m) AS start, sum(length(gap) + length(m)) OVER w AS stop
+  FROM {name}_m WHERE m IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+)"""
+
+    allowed = " OR ".join(f"regexp_full_match(part, {quoted(p)})" for p in ALLOWED)
+    spelled_as = "string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop)"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents
+), {matches("assign", ASSIGN, 2)}, {matches("access", ACCESS)}, {matches("hexes", HEX)}, {matches("candidate", CANDIDATE)}, base AS (
+  SELECT doc_id, 0 AS kind, 'assign' AS name, start, stop FROM assign WHERE length(part) >= {ASSIGN_LEAST}
+  UNION ALL SELECT doc_id, 1, 'access', start, stop FROM access UNION ALL SELECT doc_id, 2, 'hex', start, stop FROM hexes
+), held AS (
+  SELECT doc_id, i, part, start, CASE WHEN regexp_full_match(part, '[0-9A-Fa-f]+') THEN {THRESHOLDS["hex"]}
+      WHEN regexp_full_match(part, '[A-Za-z0-9]+') THEN {THRESHOLDS["alnum"]} ELSE {THRESHOLDS["base64"]} END AS least
+  FROM candidate c WHERE NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id IS NOT DISTINCT FROM c.doc_id AND b.start < c.stop AND c.start < b.stop)
+), windows AS (
+  SELECT doc_id, i, start, least, part, unnest(range(0, length(part) - {WINDOW - 1})) AS first FROM held
+), letters AS (
+  SELECT doc_id, i, start, least, first, unnest(string_split(substr(part, first + 1, {WINDOW}), '')) AS letter FROM windows
+), counts AS (
+  SELECT doc_id, i, start, least, first, count(*) AS n FROM letters GROUP BY doc_id, i, start, least, first, letter
+), high AS (
+  SELECT doc_id, i, start, first FROM counts GROUP BY doc_id, i, start, least, first
+  HAVING log2({WINDOW}::DOUBLE) - sum(n * log2(n::DOUBLE)) / {WINDOW} >= least::DOUBLE - 1e-9
+), every AS (
+  SELECT * FROM base UNION ALL
+  SELECT doc_id, 3, 'entropy', start + min(first), start + max(first) + {WINDOW} FROM high GROUP BY doc_id, i, start
+), told AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         coalesce({spelled_as} FILTER (kind < 3), '') AS base, {spelled_as} AS spans FROM every GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN told ON told.doc_id = t.doc_id"""

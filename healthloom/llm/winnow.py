@@ -150,3 +150,64 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
         likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``op9_winnowing``; it spells out XXH64 for one character, which has pos most four bytes."""
+    p1, p2, p3, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 2870177450012600261  # fixed values of XXH64
+    times = lambda a, b: f"((({a})::UHUGEINT * {b}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    plus = lambda a, b: f"((({a})::UHUGEINT + {b}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    turned = lambda a, n: f"((({a})::UHUGEINT * {1 << n}::UHUGEINT) % 18446744073709551616::UHUGEINT + (({a}) >> {64 - n})::UHUGEINT)::UBIGINT"
+    byte = lambda k: f"('0x' || substr(x, {2 * k - 1}, 2))::UBIGINT"
+    steps = "\n".join(
+        f"), b{k} AS (\n  SELECT u, x, n, CASE WHEN n < 4 AND n >= {k} THEN {times(turned(f'xor(v, {times(byte(k), p5)})', 11), p1)} ELSE v END AS v FROM b{k - 1}"
+        for k in (1, 2, 3)
+    )
+    four = f"{byte(1)} + {byte(2)} * 256 + {byte(3)} * 65536 + {byte(4)} * 16777216"
+    whole = plus(times(turned(f"xor(v, {times(four, p1)})", 23), p2), p3)
+    leads = " + ".join(f"coalesce(lead(h, {j}) OVER w, 0) * {pow(BASE, K - 1 - j, PRIME)} % {PRIME}" for j in range(1, K))
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars,
+         coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS after,
+         coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id
+  FROM documents WINDOW o AS (ORDER BY doc_id)
+), e AS (
+  SELECT *, substring(text, 1, n_chars - n_chars // 2) || substring(after, 1, n_chars // 2) AS edited FROM d
+), t AS (
+  SELECT doc_id, 0 AS part, regexp_replace(text, '[\\x09-\\x0D ]+', '', 'g') AS s FROM e
+  UNION ALL SELECT doc_id, 1, regexp_replace(edited, '[\\x09-\\x0D ]+', '', 'g') FROM e
+), c AS (
+  SELECT doc_id, part, unnest(string_split(s, '')) AS u, generate_subscripts(string_split(s, ''), 1) - 1 AS pos FROM t WHERE s != ''
+), b0 AS (
+  SELECT u, hex(encode(u)) AS x, octet_length(encode(u)) AS n, {plus("42::UBIGINT + octet_length(encode(u))::UBIGINT", p5)} AS v FROM (SELECT DISTINCT u FROM c)
+{steps}
+), b4 AS (SELECT u, CASE WHEN n = 4 THEN {whole} ELSE v END AS v FROM b3
+), b5 AS (SELECT u, {times("xor(v, v >> 33)", p2)} AS v FROM b4
+), b6 AS (SELECT u, {times("xor(v, v >> 29)", p3)} AS v FROM b5
+), b7 AS (SELECT u, xor(v, v >> 32) AS v FROM b6
+), units AS (
+  SELECT u, ((v % {PRIME})::BIGINT + CASE WHEN v >= 9223372036854775808 THEN {PRIME - 2**64 % PRIME} ELSE 0 END) % {PRIME} AS h FROM b7
+), g AS (
+  SELECT doc_id, part, pos, count(*) OVER (PARTITION BY doc_id, part) AS n, (h * {pow(BASE, K - 1, PRIME)} % {PRIME} + {leads}) % {PRIME} AS gram
+  FROM c JOIN units USING (u) WINDOW w AS (PARTITION BY doc_id, part ORDER BY pos)
+), m AS (
+  SELECT doc_id, part, pos, greatest(1, n - {K - 1}) AS grams, gram * {SHIFT} + ({SHIFT - 1} - pos) AS mark FROM g WHERE pos < greatest(1, n - {K - 1})
+), least_of AS (
+  SELECT doc_id, part, pos, grams, min(mark) OVER (PARTITION BY doc_id, part ORDER BY pos ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS mark FROM m
+), f AS (
+  SELECT doc_id, part, mark >> 32 AS hash, min(pos) AS pos FROM least_of WHERE pos < greatest(1, grams - {W - 1}) GROUP BY ALL
+), s AS (
+  SELECT doc_id, part, count(*) AS n, string_agg(printf('%08x', hash), '' ORDER BY pos) AS spelled FROM f GROUP BY ALL
+), ours AS (
+  SELECT a.doc_id, count(*) AS n FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.part = 0 AND b.part = 1 AND a.hash = b.hash GROUP BY 1
+), theirs AS (
+  SELECT e.doc_id, count(*) AS n FROM e JOIN f a ON a.doc_id = e.doc_id AND a.part = 0 JOIN f b ON b.doc_id = e.next_id AND b.part = 0 AND b.hash = a.hash GROUP BY 1
+)
+SELECT e.doc_id, n_chars, sha256(edited) AS edited_sha256, coalesce(own.spelled, '') AS fingerprint, coalesce(other.spelled, '') AS edited_fingerprint,
+  CASE WHEN own.n IS NULL AND other.n IS NULL THEN 1.0::DOUBLE
+    ELSE coalesce(ours.n, 0)::DOUBLE / (coalesce(own.n, 0) + coalesce(other.n, 0) - coalesce(ours.n, 0)) END AS near_edited,
+  CASE WHEN own.n IS NULL AND next.n IS NULL THEN 1.0::DOUBLE
+    ELSE coalesce(theirs.n, 0)::DOUBLE / (coalesce(own.n, 0) + coalesce(next.n, 0) - coalesce(theirs.n, 0)) END AS near_next
+FROM e LEFT JOIN s own ON own.doc_id = e.doc_id AND own.part = 0 LEFT JOIN s other ON other.doc_id = e.doc_id AND other.part = 1
+LEFT JOIN s next ON next.doc_id = e.next_id AND next.part = 0 LEFT JOIN ours ON ours.doc_id = e.doc_id LEFT JOIN theirs ON theirs.doc_id = e.doc_id"""

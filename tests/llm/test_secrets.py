@@ -72,6 +72,31 @@ def test_against_brute_force(spark, texts):
     assert extra > 100
 
 
+def test_sql_twin(spark, texts, tmp_path):
+    import duckdb
+
+    rnd = random.Random(9)
+    rows = list(enumerate([*texts, *(make(rnd) for _ in range(150))]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r.doc_id: tuple(r) for r in entry.op8_secret_spans(spark, str(tmp_path)).collect()}
+    assert {r[0]: tuple(r) for r in con.sql(secrets.oracle()).fetchall()} == got
+    assert sum("entropy" in r[5] for r in got.values()) > 20
+
+
+def test_many_matches_cost_little_more_than_few(spark):
+    import time
+
+    took = {}
+    for n in (500, 500, 32_000):
+        df = spark.createDataFrame([(1, "token=abcdef " * n)], "doc_id long, text string")
+        began = time.time()
+        assert len(secrets.find_secrets(df).first().base) == n
+        took[n] = time.time() - began
+    assert took[32_000] < 12 * max(took[500], 1.0)
+
+
 def test_prose_and_allow_list_stay_silent(spark):
     calm = ["the internationalization of telecommunications", "123e4567-e89b-12d3-a456-426614174000", "src/main/java/com/acme/widgets/Loader", "A" * 500]
     rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(calm)), "doc_id long, text string")).collect()

@@ -105,3 +105,16 @@ def test_runs_without_white_space_match_at_every_offset(spark):
     rows = [(k, "x" * k + text) for k in range(8)] + [(8, text[:50] + "x" + text[50:])]
     got = {r.doc_id: set(r.hashes) for r in winnow.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(len(got[0] & got[k]) > 0.7 * len(got[0]) for k in got)
+
+
+def test_sql_twin(spark, texts, tmp_path):
+    import duckdb
+
+    from healthloom.llm import entry
+
+    rows = list(enumerate(clean(texts)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r.doc_id: tuple(r) for r in entry.op9_winnowing(spark, str(tmp_path)).collect()}
+    assert {r[0]: tuple(r) for r in con.sql(winnow.oracle()).fetchall()} == got
