@@ -19,9 +19,10 @@ size, so groups are contracted first.  In each bucket of equal segments every
 text is paired with the least one only, the pairs are verified, and what hangs
 together is a *class*.  A class then enters a bucket once, however many members
 it has there, and a class is never paired with itself.  Where a bucket brings two
-classes (or a class and a text) together, the members of both that are in the
-bucket are brought back, so every link between different classes is found;
-those inside a class change nothing.
+classes (or a class and a text) together, first two members of each are compared.
+Where no such link joins the two, all their members in the bucket are brought
+back.  So every two groups that any link joins are joined; links inside a class
+change nothing.
 
 Equal fingerprints are one node.  Groups are the connected components of the
 links; in each the row with the least doc_id (null last) stays.
@@ -36,6 +37,7 @@ table; other columns are kept, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -137,15 +139,14 @@ def probes(entered: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b, written before) whose judging fingerprints are at most ``MOST_BITS`` apart."""
+    """The pairs (a, b, written before) whose judging fingerprints are at most ``MOST_BITS`` apart (``CHECK_BITS`` in the first word)."""
     asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     # only nodes that are in some pair are shuffled
     held = KeyFilter(asked, ["node"]).passed(nodes.select("node", "judge"), ["node"])
     sides = [held.select(F.col("node").alias(c), F.col("judge").alias(f"{c}_judge")) for c in ("a", "b")]
-    bits = F.lit(0)
-    for k in range(JUDGE):
-        bits += F.bit_count(F.get("a_judge", F.lit(k)).bitwiseXOR(F.get("b_judge", F.lit(k))))
-    return pairs.join(sides[0], "a").join(sides[1], "b").filter(bits <= MOST_BITS).select("a", "b")
+    differ = [F.bit_count(F.get("a_judge", F.lit(k)).bitwiseXOR(F.get("b_judge", F.lit(k)))) for k in range(JUDGE)]
+    near = (differ[0] <= CHECK_BITS) & (reduce(Column.__add__, differ) <= MOST_BITS)
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(near).select("a", "b")
 
 
 def stars(nodes: DataFrame) -> DataFrame:
@@ -157,29 +158,46 @@ def stars(nodes: DataFrame) -> DataFrame:
 
 
 def between(nodes: DataFrame) -> DataFrame:
-    """Verified links (a, b) between ``nodes`` of different classes (node, find, judge, class; a null class is a node alone)."""
+    """Verified links (a, b) between ``nodes`` of different classes (node, find, judge, class; a null class is a node alone).
+
+    A class hangs together already, so links are only sought until two classes
+    do as well: first between two members of each class in a bucket, then, where
+    those are not linked, between all of them that are in the bucket.
+    """
     entered = entries(nodes)
     tables = {"p": probes(entered), "e": entered}
     alone, members = {}, {}
     for side, table in tables.items():
-        single = table.filter("class IS NULL").select("key", F.col("node").alias("class"), "check")
+        node = F.col("node")
+        single = table.filter("class IS NULL").select("key", node.alias("class"), "check", node.alias("first"), node.alias("last"))
         members[side] = table.filter("class IS NOT NULL").select("key", "class", "node", "check")
         # a class stands in a bucket once; its members' checks are looked at when they are brought back
-        once = members[side].groupBy("key", "class").agg(F.lit(None).cast("long").alias("check"))
-        both = single.unionByName(once)
-        alone[side] = both.select("key", F.col("class").alias(f"{side}_class"), F.col("check").alias(f"{side}_check"))
+        once = members[side].groupBy("key", "class").agg(F.lit(None).cast("long").alias("check"), F.min("node").alias("first"), F.max("node").alias("last"))
+        named = [F.col(c).alias(f"{side}_{c}") for c in ("class", "check", "first", "last")]
+        alone[side] = single.unionByName(once).select("key", *named)
     far = F.bit_count(F.col("p_check").bitwiseXOR(F.col("e_check"))) > CHECK_BITS
     met = alone["p"].join(alone["e"], "key").filter((F.col("p_class") != F.col("e_class")) & ~F.coalesce(far, F.lit(False)))
     met = cut(met)
+    ends = lambda at: F.struct(F.least(f"p_{at}", f"e_{at}").alias("a"), F.greatest(f"p_{at}", f"e_{at}").alias("b"), "p_class", "e_class")
+    asked = cut(met.select(F.inline(F.array(ends("first"), ends("last")))).distinct())
+    some = cut(verified(cut(asked.select("a", "b").distinct()), nodes))
+    joined = components(asked.join(some, ["a", "b"]).select(F.col("p_class").alias("a"), F.col("e_class").alias("b")))
+    for side in ("p", "e"):
+        now = joined.select(F.col("node").alias(f"{side}_class"), F.col("root").alias(f"{side}_now"))
+        met = met.join(now, f"{side}_class", "left")
+    # nodes alone have been looked at: only what stands for more than one node is left to be brought back
+    apart = ~F.coalesce(F.col("p_now") == F.col("e_now"), F.lit(False)) & (F.col("p_check").isNull() | F.col("e_check").isNull())
+    met = cut(met.filter(apart).drop("p_first", "p_last", "e_first", "e_last", "p_now", "e_now"))
     for side in ("p", "e"):
         named = cut(met.filter(f"{side}_check IS NULL").select("key", F.col(f"{side}_class").alias("class")).distinct())
-        back = KeyFilter(named, ["key", "class"]).passed(members[side], ["key", "class"]).select("key", F.col("class").alias(f"{side}_class"), F.col("node").alias(f"{side}_node"), F.col("check").alias(f"{side}_own"))
+        back = KeyFilter(named, ["key", "class"]).passed(members[side], ["key", "class"])
+        back = back.select("key", *[F.col(c).alias(f"{side}_{n}") for c, n in (("class", "class"), ("node", "node"), ("check", "own"))])
         met = met.join(back, ["key", f"{side}_class"], "left").withColumns(
             {f"{side}_class": F.coalesce(f"{side}_node", f"{side}_class"), f"{side}_check": F.coalesce(f"{side}_own", f"{side}_check")}
         )
     a, b = F.col("p_class"), F.col("e_class")
-    pairs = met.filter(~far).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    return verified(cut(pairs.distinct()), nodes)
+    pairs = cut(met.filter(~far).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    return some.unionByName(cut(verified(pairs.join(some, ["a", "b"], "left_anti"), nodes)))
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -33,10 +33,22 @@ def lowered(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode("utf-8", "replace").split()
 
 
-def brute_groups(rows):
-    """rows: (doc_id, text) with distinct ids -> doc_id -> least id of its group."""
+def joined(ids, links):
+    label = {k: k for k in ids}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            least = min(label[a], label[b])
+            if label[a] != least or label[b] != least:
+                label[a] = label[b] = least
+                moved = True
+    return label
+
+
+def links_of(rows):
+    """rows: (doc_id, text) with distinct ids -> pairs of ids that are linked, the lesser one first."""
     held = [(k, *nearcopies.fingerprints_of(t)) for k, t in rows]
-    label = {k: k for k, _ in rows}
     links = []
     for i, (k, find, judge) in enumerate(held):
         for j, other, verdict in held[:i]:
@@ -44,16 +56,13 @@ def brute_groups(rows):
             near = any(bin(h).count("1") <= 1 for v in x for h in (v & 0xFFFFFFFF, v >> 32))
             far = [bin(int(u) ^ int(v)).count("1") for u, v in zip(judge, verdict)]
             if near and far[0] <= nearcopies.CHECK_BITS and sum(far) <= nearcopies.MOST_BITS:
-                links.append((k, j))
-    moved = True
-    while moved:
-        moved = False
-        for k, j in links:
-            least = min(label[k], label[j])
-            if label[k] != least or label[j] != least:
-                label[k] = label[j] = least
-                moved = True
-    return label
+                links.append((min(k, j), max(k, j)))
+    return links
+
+
+def brute_groups(rows):
+    """doc_id -> least id of its group."""
+    return joined([k for k, _ in rows], links_of(rows))
 
 
 def word(rnd):
@@ -108,36 +117,19 @@ def test_groups_are_those_of_all_pairs(spark, planted):
     assert got == brute_groups(planted)
 
 
-def test_links_between_classes_are_found_without_the_stars(spark, planted):
-    """The search alone, with no class and with classes that tear groups apart, gives the same groups."""
+@pytest.mark.parametrize("part", [0, 3, 10])
+def test_links_between_classes_are_found(spark, planted, part):
+    """The search alone (no class), and classes that are joined by some of the links: the groups are the same."""
     df = spark.createDataFrame(planted, "doc_id long, text string").repartition(5)
     nodes = nearcopies.fingerprints(df).withColumn("node", F.col("doc_id")).select("node", "find", "judge").cache()
     want = brute_groups(planted)
-    torn = F.when(F.col("node") % 3 == 0, F.lit(None)).otherwise(F.col("node") % 4 - 10)
-    wanted = {k: g for k, g in want.items()}
-    for kind in (F.lit(None), torn):
-        classed = nodes.withColumn("class", kind.cast("long"))
-        links = {(r.a, r.b) for r in nearcopies.between(classed).collect()}
-        assert all(want[a] == want[b] for a, b in links)
-        # links inside a class are given by the class itself
-        inside = {}
-        for k in want:
-            inside.setdefault(None if kind is not torn or k % 3 == 0 else k % 4, []).append(k)
-        label = {k: k for k in want}
-        joined = list(links)
-        if kind is torn:
-            every = nearcopies.between(nodes.withColumn("class", F.lit(None).cast("long"))).collect()
-            member = lambda k: None if k % 3 == 0 else k % 4
-            joined += [(r.a, r.b) for r in every if member(r.a) is not None and member(r.a) == member(r.b)]
-        moved = True
-        while moved:
-            moved = False
-            for a, b in joined:
-                least = min(label[a], label[b])
-                if label[a] != least or label[b] != least:
-                    label[a] = label[b] = least
-                    moved = True
-        assert label == wanted
+    known = [pair for k, pair in enumerate(sorted(links_of(planted))) if k % 10 < part]
+    classes = joined(want, known)
+    inside = [(k, c) for k, c in classes.items() if sum(v == c for v in classes.values()) > 1]
+    held = spark.createDataFrame(inside, "node long, class long")
+    links = {(r.a, r.b) for r in nearcopies.between(nodes.join(held, "node", "left")).collect()}
+    assert links <= set(links_of(planted)) and all(classes[a] != classes[b] for a, b in links)
+    assert joined(want, [*known, *links]) == want
 
 
 def test_a_dense_group_makes_few_rows(spark, planted):
