@@ -29,11 +29,12 @@ gives no rows; other columns are kept by ``keep_good`` and ignored by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ RIDGE = 1.0
 MOST_LOGIT = 12.0
 #: Hashed words, and hashed pairs of words, that are told apart; what their shares are multiplied by.
 BUCKETS, SCALE = 256, 2.0
+#: Parts of the sample that are added up side by side.
+PARTS = 8
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -116,25 +119,34 @@ class Model:
         return F.least(F.greatest(total, F.lit(-MOST_LOGIT)), F.lit(MOST_LOGIT))
 
 
-def newton(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 50) -> np.ndarray:
-    """Weights (bias first) of a ridge logistic regression.  Rows are taken 2048 at a time."""
-    n, wide = len(x), x.shape[1] + 1
+Sums = tuple[np.ndarray, np.ndarray]
+
+
+def sums_of(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Sums:
+    """Gradient and Hessian (negated) of the rows' log likelihood at weights ``w`` (bias first)."""
+    x = np.hstack([np.ones((len(x), 1)), x])
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (y - p), (x * (p * (1 - p))[:, None]).T @ x
+
+
+def solved(sums: Callable[[np.ndarray], Sums], wide: int, ridge: float = RIDGE, rounds: int = 50) -> np.ndarray:
+    """Newton's method for a ridge logistic regression with ``wide`` weights, given its sums at any weights."""
     w, penalty = np.zeros(wide), np.full(wide, ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
-        gradient, hessian = -penalty * w, np.diag(penalty)
-        for at in range(0, n, 2048):
-            part = np.hstack([np.ones((len(x[at : at + 2048]), 1)), x[at : at + 2048]])
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            gradient = gradient + part.T @ (y[at : at + 2048] - p)
-            hessian = hessian + (part * (p * (1 - p))[:, None]).T @ part
-        step = np.linalg.solve(hessian, gradient)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        gradient, hessian = sums(w)
+        step = np.linalg.solve(hessian + np.diag(penalty), gradient - penalty * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def newton(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Weights of rows that are at hand."""
+    return solved(lambda w: sums_of(x, y, w), x.shape[1] + 1, ridge)
+
+
 def sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most ``rows`` labelled ids, the same on every run."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -142,21 +154,42 @@ def sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """The evidence model.  At most ``rows`` rows of numbers reach the driver: of rows that repeat an id the least one counts."""
+    """The evidence model.  Its rows stay on the executors: each round adds up their sums there, at most ``PARTS`` of them.
+
+    Of rows that repeat an id the least text counts, so the sample is the same whatever the order.
+    """
     names = tuple(measures(F.col("text")))
+    wide = 1 + len(names) + 2 * BUCKETS
     chosen = sample(labels.select("doc_id", "quality"), rows)  # bounded by ``rows``
-    shares = F.pandas_udf(lambda texts: pd.Series([word_shares(t).astype(np.float32) for t in texts]), "array<float>")
-    told = [c.alias(n) for n, c in measures(F.col("text")).items()]
     held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    # the sample's texts meet one of their id, so a repeated id has one row whatever the order
-    one = held.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
-    got = one.select("doc_id", "quality", *told, shares(F.col("text")).alias("shares")).toPandas().sort_values("doc_id")
-    y = got.quality.to_numpy(float)
-    if len(y) == 0 or y.min() == y.max():
+    one = held.groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"), F.min("text").alias("text"))
+    shares = F.pandas_udf(lambda texts: pd.Series([word_shares(t).astype(np.float32).tobytes() for t in texts]), "binary")
+    told = F.array(*measures(F.col("text")).values()).alias("told")
+    made = one.select("doc_id", "quality", told, shares(F.col("text")).alias("shares"))
+    made = cut(made.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id"))
+    ends = made.agg(F.min("quality").alias("low"), F.max("quality").alias("high"), F.avg("quality").alias("mean")).first()
+    if ends.low == ends.high:
         return Model(names, (MOST_LOGIT / 4, *[0.0] * len(names)), 0.5)
-    x = np.hstack([got[list(names)].to_numpy(np.float32), np.vstack(got.shares.to_list())])
-    w = newton(x, y)
-    return Model(names, tuple(map(float, w)), float(y.mean()))
+
+    def sums(w: np.ndarray) -> Sums:
+        def added(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gradient, hessian = np.zeros(len(w)), np.zeros((len(w), len(w)))
+            for batch in source:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    left = np.array(part.column("told").to_pylist())
+                    right = np.frombuffer(b"".join(part.column("shares").to_pylist()), np.float32).reshape(part.num_rows, -1)
+                    g, h = sums_of(np.hstack([left, right]), part.column("quality").to_numpy(), w)
+                    gradient, hessian = gradient + g, hessian + h
+            yield pa.record_batch([pa.array([gradient.tobytes()]), pa.array([hessian.tobytes()])], names=["g", "h"])
+
+        gradient, hessian = np.zeros(wide), np.zeros((wide, wide))
+        for r in made.drop("doc_id").mapInArrow(added, "g binary, h binary").collect():  # ``PARTS`` rows of wide * wide numbers
+            gradient += np.frombuffer(r.g)
+            hessian += np.frombuffer(r.h).reshape(wide, wide)
+        return gradient, hessian
+
+    return Model(names, tuple(map(float, solved(sums, wide))), float(ends.mean))
 
 
 def _logit(p: Column) -> Column:

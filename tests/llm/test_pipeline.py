@@ -45,3 +45,23 @@ def test_run_and_registration(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["empty", "repeated"])
+def test_odd_tables(spark, name, request, tmp_path):
+    """Nulls, repeated rows and clashing columns, and no rows at all, go through all stages."""
+    table = request.getfixturevalue(name)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, counts = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for stage, run in corpus_pipeline.STAGES:
+        path = str(tmp_path / stage)
+        run(spark, docs, str(tmp_path)).write.parquet(path)
+        before, docs = docs.columns, spark.read.parquet(path)
+        assert stage == "pack" or docs.columns == before
+        counts[stage] = docs.count()
+    if name == "empty":
+        assert set(counts.values()) == {0}
+    else:
+        assert (counts["quality"], counts["exact_dedup"], counts["near_dedup"]) == (7, 3, 3)
+        assert counts["mix"] == counts["pack"] > 0
