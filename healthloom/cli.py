@@ -118,6 +118,8 @@ def run_scan(args) -> int:
     chosen = () if args.no_linters else tuple(x for x in (L.RUFF, L.PYLINT) if config.linters.get(x.name, True))
     known = baseline.read_baseline(spark, args.baseline) if args.baseline else None
     result = S.scan(spark, paths, config, args.framework, changed, chosen, str(Path.cwd()), known=known, cache_dir=args.cache)
+    if not config.stubs_path:
+        print("no stubs: what the framework itself defines is unknown (stubs_path names a folder of them)", file=sys.stderr)
     for failure in result.failed:
         print(f"left out: {failure}", file=sys.stderr)
     if args.write_baseline:
