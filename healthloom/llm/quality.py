@@ -49,9 +49,9 @@ RIDGE = 1.0
 #: Evidence never says more than this (in logits), so no site can be certain.
 MOST_LOGIT = 12.0
 #: Hashed words, and hashed pairs of words, that are told apart; what their shares are multiplied by.
-BUCKETS, SCALE = 256, 2.0
+BUCKETS, SCALE = 64, 2.0
 #: Parts of the sample that are added up side by side.
-PARTS = 8
+PARTS = 4
 
 
 def measures(text: Column) -> dict[str, Column]:
