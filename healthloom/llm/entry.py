@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest_index, mixing, packing, quality, secrets, sharding, simhash, tokenfile, winnow
+from . import chat, digest_index, mixing, packing, quality, runs, secrets, sharding, simhash, tokenfile, winnow
 from .common import checkpoint_dir, documents
 
 #: Where public_tokenizers keeps its files; the path is a parameter of the operators.
@@ -90,6 +90,10 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.planted(documents(spark, sf_dir))))
+
+
 OP7_SQL = """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
@@ -111,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_spans": op8_secret_spans,
         "op9_winnowing": op9_winnowing,
         "op10_rendezvous_shards": op10_rendezvous_shards,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
