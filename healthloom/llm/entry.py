@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest_index, mixing, packing, quality, runs, secrets, sharding, simhash, tokenfile, winnow
+from . import alignment, chat, digest_index, mixing, packing, quality, runs, secrets, sharding, simhash, tokenfile, winnow
 from .common import checkpoint_dir, documents
 
 #: Where public_tokenizers keeps its files; the path is a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path() -> str:
@@ -90,6 +91,14 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = alignment.align_and_count(documents(spark, sf_dir), tokenizer_path(), public_tokenizers.path(PIECES))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(runs.periodic_runs(runs.planted(documents(spark, sf_dir))))
 
@@ -115,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_spans": op8_secret_spans,
         "op9_winnowing": op9_winnowing,
         "op10_rendezvous_shards": op10_rendezvous_shards,
+        "op11_token_alignment": op11_token_alignment,
         "op12_periodic_runs": op12_periodic_runs,
     }
 
