@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, digest_index, mixing, packing, quality, runs, secrets, sharding, simhash, tokenfile, winnow
+from . import alignment, chat, digest_index, mixing, packing, quality, runs, secrets, sharding, simhash, substrings, tokenfile, winnow
 from .common import checkpoint_dir, documents
 
 #: Where public_tokenizers keeps its files; the path is a parameter of the operators.
@@ -103,6 +103,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(runs.periodic_runs(runs.planted(documents(spark, sf_dir))))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal(documents(spark, sf_dir))
+
+
 OP7_SQL = """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
@@ -126,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_rendezvous_shards": op10_rendezvous_shards,
         "op11_token_alignment": op11_token_alignment,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_substring_dedup": op13_substring_dedup,
     }
 
 
@@ -137,4 +142,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_secret_spans": secrets.oracle(),
         "op9_winnowing": winnow.oracle(),
         "op10_rendezvous_shards": sharding.oracle(40),
+        "op13_substring_dedup": substrings.ORACLE,
     }
