@@ -30,22 +30,24 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut, shipped
-from .tokens import WHITE, batches, byte_letters, is_plain_byte_level
+from .common import checkpoint_dir, cut, shipped, short_batches
+from .tokens import MARKS, WHITE, batches, byte_letters, is_plain_byte_level
 
 shipped(__name__)
 
 #: Pairs that are broadcast at most (17 bytes each).
 LOOKED_UP = 1 << 20
 #: Chunks in each of the memo's two generations, and the longest chunk that it keeps.
-MEMO, LONGEST = 150_000, 64
+MEMO, LONGEST = 120_000, 64
 #: Different pairs that a task adds up before it hands them on.
 SUMMED = 1 << 20
 
@@ -59,24 +61,33 @@ def components(a_ends: list[int], b_ends: list[int]) -> list[tuple[list[int], li
     """
     n_a, n_b = len(a_ends), len(b_ends)
     parent = list(range(n_a + n_b))
-
-    def root(x: int) -> int:
+    i = j = 0
+    while i < n_a and j < n_b:  # an edge for each overlap
+        x, y = i, n_a + j
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
-        return x
-
-    i = j = 0
-    while i < n_a and j < n_b:  # an edge for each overlap; the root of a component is its first A token
-        x, y = root(i), root(n_a + j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x < y:  # the root of a component is its first A token
+            parent[y] = x
+        elif y < x:
+            parent[x] = y
         a, b = a_ends[i], b_ends[j]
-        i, j = i + (a <= b), j + (b <= a)
+        if a <= b:
+            i += 1
+        if b <= a:
+            j += 1
     members: dict[int, tuple[list[int], list[int]]] = {}
-    for k in range(n_a):
-        members.setdefault(root(k), ([], []))[0].append(k)
-    for k in range(n_b):
-        members[root(n_a + k)][1].append(k)
+    for k, x in enumerate(parent):
+        while parent[x] != x:
+            x = parent[x]
+        if k < n_a:
+            if x == k:
+                members[k] = ([k], [])
+            else:
+                members[x][0].append(k)
+        else:
+            members[x][1].append(k - n_a)
     return list(members.values())
 
 
@@ -130,6 +141,9 @@ class Aligner:
         self.prefix = self.b.piece_to_id("▁")
         self.spaced = re.compile(f"[{WHITE}] ").search
         self.before = re.compile(f"(?<=[^{WHITE}])(?= )").split
+        # no piece goes on from a letter to one of these, and A ends a token there as well
+        self.marks = {m for m in MARKS if not any(c == m and p[k - 1].isalpha() for p in pieces for k, c in enumerate(p) if k)} if plain else set()
+        self.mark = {m: self.aligned(m, [vocab[m]], [self.b.piece_to_id(m)], "") for m in self.marks}
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
@@ -141,39 +155,53 @@ class Aligner:
             return text.split(" ")
         return [c[1:] for c in self.before(" " + text)]
 
-    def aligned(self, chunk: str, a: list[int], b: list[int]) -> tuple | None:
+    def aligned(self, chunk: str, a: list[int], b: list[int], space: str = " ") -> tuple | None:
         """n_a, n_b, n_groups, n_links, pairs, the groups spelled; None if the tokens do not spell space + chunk."""
-        spelled = (" " + chunk).encode("utf-8", "replace")
+        spelled = (space + chunk).encode("utf-8", "replace")
         a_parts, b_parts = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
         if b"".join(a_parts) != spelled or b"".join(b_parts) != spelled:
             return None
-        a_ends, b_ends = (np.cumsum([len(p) for p in parts]).tolist() for parts in (a_parts, b_parts))
+        a_ends, b_ends = list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts)))
         found = components(a_ends, b_ends)
-        pairs = np.array([a[i] << 32 | b[j] for g in found for i, j in links(g, a_ends, b_ends)], "<i8")
-        text = ";".join(",".join(str(a[i]) for i in m) + "|" + ",".join(str(b[j]) for j in o) for m, o in found)
+        pairs = array("q", [a[i] << 32 | b[j] for g in found for i, j in links(g, a_ends, b_ends)])
+        a_names, b_names = list(map(str, a)), list(map(str, b))
+        text = ";".join([f"{','.join([a_names[i] for i in m])}|{','.join([b_names[j] for j in o])}" for m, o in found])
         return len(a), len(b), len(found), len(pairs), pairs.tobytes(), text
 
     def of(self, texts: list[str]) -> list[list[tuple | None]]:
         """The aligned chunks of each text; chunks that are new are encoded together."""
         cuts = [self.chunks(t) if t else [] for t in texts]
-        known: dict[str, tuple | None] = {}
-        new = []
-        for chunk in set().union(*cuts):
-            if (held := self.young.get(chunk, False)) is False and (held := self.old.get(chunk, False)) is False:
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new, marked = [], []
+
+        def look(chunk: str) -> None:
+            if chunk in old:
+                young[chunk] = old[chunk]
+            else:
                 new.append(chunk)
+
+        for chunk in set().union(*cuts).difference(young):
+            if chunk[-1:] in self.marks and chunk[:-1].isalpha():  # letters and one mark: two parts
+                marked.append(chunk)
             else:
-                known[chunk] = held
+                look(chunk)
+        for word in {c[:-1] for c in marked}.difference(young, new):
+            look(word)
         if new:
             a = self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
             b = self.b.encode(new, num_threads=1)
             for chunk, x, y in zip(new, a, b):
-                known[chunk] = self.aligned(chunk, x.ids, y or [self.prefix])
-        for chunk, held in known.items():
-            if len(chunk) <= LONGEST:
-                self.young[chunk] = held
-        if len(self.young) > MEMO:
-            self.old, self.young = self.young, {}
-        return [[known[c] for c in chunks] for chunks in cuts]
+                young[chunk] = self.aligned(chunk, x.ids, y or [self.prefix])
+        for chunk in marked:
+            word, mark = young[chunk[:-1]], self.mark[chunk[-1]]
+            young[chunk] = word and (*(x + y for x, y in zip(word[:4], mark)), word[4] + mark[4], f"{word[5]};{mark[5]}")
+        out = [list(map(young.__getitem__, chunks)) for chunks in cuts]
+        for chunk in new:
+            if len(chunk) > LONGEST:
+                del young[chunk]
+        return out
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -301,5 +329,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def align_and_count(docs: DataFrame, a_path: str, b_path: str, looked_up: int = LOOKED_UP) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups, n_best, count_sum of every document."""
-    aligned = written(align(docs, a_path, b_path), "aligned")
+    with short_batches(docs.sparkSession):
+        aligned = written(align(docs, a_path, b_path), "aligned")
     return scored(aligned, pair_counts(aligned), looked_up)
