@@ -10,7 +10,6 @@ from __future__ import annotations
 import argparse
 import subprocess
 import sys
-import tempfile
 from pathlib import Path
 
 from .operators import baseline
@@ -20,7 +19,7 @@ from .plans import fixes, reports
 from .plans import scan as S
 from .plans.config import FILE, TEMPLATE, Config, load_config
 from .plans.rules import REGISTRY
-from .session import session
+from .session import new_place, session
 from .sources import linters as L
 
 USAGE = 3
@@ -43,27 +42,25 @@ def changed_files(folder: str, ref: str) -> list[str] | None:
     return [str(Path(top.strip()) / n) for n in names.splitlines() if n]
 
 
-def base_mean(spark, paths: list[str], config: Config, version: str | None, ref: str) -> float | None:
-    """The mean score of a worktree of ``ref`` with head's settings.  It is a number before the tree goes."""
+def base_mean(spark, paths: list[str], config: Config, version: str | None, ref: str, store: str | None = None) -> float | None:
+    """The mean score of the commit ``ref`` with head's settings; None if git can't tell.
+
+    Blobs are read by name, so no worktree is made; with a ``store`` that head's scan has filled only blobs that
+    differ are parsed.
+    """
     top = git(paths[0], "rev-parse", "--show-toplevel")
-    if top is None:
+    if top is None or git(top.strip(), "rev-parse", "--verify", f"{ref}^{{commit}}") is None:
         return None
     root = Path(top.strip()).resolve()
-    with tempfile.TemporaryDirectory() as folder:
-        tree = str(Path(folder) / "base")
-        if git(str(root), "worktree", "add", "--detach", tree, ref) is None:
-            return None
-        try:
-            moved = [str(Path(tree) / Path(p).resolve().relative_to(root)) for p in paths]
-            result = S.scan(spark, moved, config, version)
-            try:
-                return mean_score(result.scores)
-            finally:
-                result.release()
-        except ValueError:  # a path outside of the repository
-            return None
-        finally:
-            git(str(root), "worktree", "remove", "--force", tree)
+    try:
+        inside = [Path(p).resolve().relative_to(root).as_posix() for p in paths]
+    except ValueError:  # a path outside of the repository
+        return None
+    result = S.scan_commits(spark, str(root), [ref], config, version, inside, store)[ref]
+    try:
+        return mean_score(result.scores)
+    finally:
+        result.release()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -88,7 +85,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--fail-on", choices=("error", "warning", "info"))
     s.add_argument("--min-score", type=float)
     s.add_argument("--no-linters", action="store_true")
-    s.add_argument("--cache", help="a folder that keeps the findings of unchanged trees")
+    s.add_argument("--cache", help="a folder that keeps the findings of unchanged trees and the facts of all contents")
     s.add_argument("--post", action="store_true", help="post the comment of --format comment to the open pull request")
     r = sub.add_parser("rules")
     r.add_argument("--category")
@@ -117,7 +114,10 @@ def run_scan(args) -> int:
             changed = spark.createDataFrame([(n,) for n in names], "path string")
     chosen = () if args.no_linters else tuple(x for x in (L.RUFF, L.PYLINT) if config.linters.get(x.name, True))
     known = baseline.read_baseline(spark, args.baseline) if args.baseline else None
-    result = S.scan(spark, paths, config, args.framework, changed, chosen, str(Path.cwd()), known=known, cache_dir=args.cache)
+    # what head and base have in common is parsed once
+    store = f"{Path(args.cache).resolve().as_uri()}/facts" if args.cache else new_place(spark, "store") if args.score_delta else None
+    more = {"changed": changed, "linters": chosen, "base_path": str(Path.cwd()), "known": known, "cache_dir": args.cache, "store": store}
+    result = S.scan(spark, paths, config, args.framework, **more)
     if not config.stubs_path:
         print("no stubs: what the framework itself defines is unknown (stubs_path names a folder of them)", file=sys.stderr)
     for failure in result.failed:
@@ -127,7 +127,7 @@ def run_scan(args) -> int:
         print(f"baseline written to {args.write_baseline}", file=sys.stderr)
         return 0
     delta = None
-    if args.score_delta and (base := base_mean(spark, paths, config, args.framework, args.score_delta)) is not None:
+    if args.score_delta and (base := base_mean(spark, paths, config, args.framework, args.score_delta, store)) is not None:
         delta = delta_text(mean_score(result.scores) - base)
     here = str(Path.cwd())
     match "json" if args.json else args.format:

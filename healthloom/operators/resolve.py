@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import Tables
 
 # Fields of every model, owners of common models, modules that are always there.
 MAGIC_FIELDS = ["id", "display_name", "create_uid", "create_date", "write_uid", "write_date", "__last_update"]
@@ -46,46 +46,89 @@ def prioritised(asked: DataFrame, layers: list[DataFrame], keys: list[str], sour
     return asked.join(best, keys, "left")
 
 
-def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """root, node: every node that a root reaches, itself included.  ``edges``: node, parent; ``roots``: node.
+def chain_heads(steps: DataFrame, tables: Tables) -> DataFrame:
+    """node, head of every node with one parent: the first node above it that has none or several; null on a cycle.
 
-    Each round joins what is known with itself, so a chain of n needs log2(n)
-    rounds; pairs are distinct, so diamonds do not multiply.  Rounds are cut by
-    checkpoints and end when nothing is new.
+    ``steps``: node, parent.  Pointer jumping: a round doubles how far each node sees, so a chain of n takes log2(n)
+    rounds of n rows, and no pair of a node and an ancestor is made but the last.  A round in which no node comes to
+    its head leaves cycles only.
     """
-    known = durable(
-        roots.select(F.col("node").alias("root"), "node").unionByName(edges.select(F.col("node").alias("root"), F.col("parent").alias("node"))).distinct()
-    )
-    count = known.count()
+    single = steps.groupBy("node").agg(F.min("parent").alias("head"), F.count("*").alias("n")).filter("n = 1")
+    heads, before = tables.put(single.select("node", "head", F.lit(True).alias("open"))), None
     while True:
-        onward = known.select(F.col("root").alias("node"), F.col("node").alias("further"))
-        known = durable(known.join(onward, "node").select("root", F.col("further").alias("node")).unionByName(known).distinct())
-        before, count = count, known.count()
-        if count == before:
-            return known.join(roots.select(F.col("node").alias("root")), "root", "left_semi")
+        onward = heads.select(F.col("node").alias("head"), F.col("head").alias("further"))
+        moved = heads.join(onward, "head", "left")
+        heads = tables.put(moved.select("node", F.coalesce("further", "head").alias("head"), F.col("further").isNotNull().alias("open")))
+        count = heads.filter("open").count()
+        if count in (0, before):
+            return heads.select("node", F.when(~F.col("open"), F.col("head")).alias("head"))
+        before = count
+
 
+def forked_in_vain(forks: DataFrame, fine: DataFrame, tables: Tables) -> DataFrame:
+    """root: nodes of ``forks`` that reach some node twice, or one that is not fine.
 
-def complete_models(edges: DataFrame, leaves: DataFrame) -> DataFrame:
+    ``forks``: root, node, with a row per parent, chains contracted; null is a cycle.  ``fine``: node, fine of nodes
+    without parents; of others nothing is known.  Semi-naive: only what the last round found is followed, and what
+    is judged already is followed no more, nor is what has met it.
+    """
+    roots = tables.put(forks.select("root").distinct())
+    known = forks.join(roots.select(F.col("root").alias("node"), F.lit(True).alias("forks")), "node", "left").join(fine, "node", "left")
+    forks = tables.put(known.select("root", "node", F.coalesce("forks", F.lit(False)).alias("forks"), F.coalesce("fine", F.lit(False)).alias("fine")))
+    seen, front = roots.select("root", F.col("root").alias("node")), roots.select("root", F.col("root").alias("node"))
+    bad = roots.filter("false")
+    while True:
+        onward = forks.select(F.col("root").alias("node"), F.col("node").alias("further"), "forks", "fine")
+        found = tables.put(front.join(onward, "node").groupBy("root", F.col("further").alias("node"), "forks", "fine").agg(F.count("*").alias("n")))
+        again = found.join(seen, ["root", "node"], "left_semi")
+        fault = found.filter("node IS NULL OR n > 1 OR NOT forks AND NOT fine").select("root").unionByName(again.select("root"))
+        seen = tables.put(seen.unionByName(found.select("root", "node")))
+        bad = tables.put(bad.unionByName(fault).distinct())
+        while True:  # what has met a bad one is bad
+            met = seen.join(bad.select(F.col("root").alias("node")), "node", "left_semi").select("root").distinct()
+            more = tables.put(met.join(bad, "root", "left_anti"))
+            if not more.take(1):
+                break
+            bad = tables.put(bad.unionByName(more))
+        seen = seen.join(bad, "root", "left_anti")
+        front = found.filter("forks").select("root", "node").join(bad, "root", "left_anti")
+        if not front.take(1):
+            return bad
+
+
+def complete_models(edges: DataFrame, leaves: DataFrame, tables: Tables | None = None) -> DataFrame:
     """model, complete: whether everything that a model has is known.
 
     ``edges``: model, parent of every model that the project defines (parent
     null if it has none; a model's own name as a parent is passed over).
     ``leaves``: model, complete of models that are only known from outside.
     A model is complete if the walk to all of its ancestors meets none twice
-    and every one is defined here or complete outside.  The walk meets none
-    twice if what it reaches is a tree: one edge less than nodes.
+    and every one is defined here or complete outside.
+
+    Chains are contracted first: a model with one parent is as complete as the
+    head of its chain, and two walks that meet on a chain meet at its head.  So
+    only models with several parents are followed, from head to head.
+    ``tables``: where the steps are written; the result is read from there.
     """
-    edges = durable(edges)
-    own = durable(edges.select(F.col("model").alias("node")).distinct())
-    steps = edges.filter("parent IS NOT NULL AND parent != model").select(F.col("model").alias("node"), "parent")
-    outside = leaves.join(own, F.col("model") == F.col("node"), "left_anti")
-    known = own.withColumn("fine", F.lit(True)).unionByName(outside.select(F.col("model").alias("node"), F.col("complete").alias("fine")))
-    degrees = steps.groupBy("node").agg(F.count("*").alias("edges"))
-    reached = reachable(steps, own).join(degrees, "node", "left").join(known, "node", "left")
-    here = reached.groupBy(F.col("root").alias("model")).agg(
-        ((F.sum(F.coalesce("edges", F.lit(0))) == F.count("*") - 1) & F.min(F.coalesce("fine", F.lit(False)))).alias("complete")
-    )
-    return here.unionByName(outside.select("model", "complete"))
+    tables = tables or Tables(edges.sparkSession, "models")
+    edges = tables.put(edges.select("model", "parent"))
+    own = tables.put(edges.select(F.col("model").alias("node")).distinct())
+    steps = tables.put(edges.filter("parent IS NOT NULL AND parent != model").select(F.col("model").alias("node"), "parent"))
+    outside = leaves.select("model", "complete").join(own, F.col("model") == F.col("node"), "left_anti")
+    bare = own.join(steps, "node", "left_anti").select("node", F.lit(True).alias("fine"))
+    fine = tables.put(bare.unionByName(outside.select(F.col("model").alias("node"), F.col("complete").alias("fine"))))
+    heads = chain_heads(steps, tables)
+    ends = heads.select(F.col("node").alias("parent"), "head", F.lit(True).alias("chained"))
+    several = steps.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    forks = steps.join(several, "node", "left_semi").join(ends, "parent", "left")
+    forks = tables.put(forks.select(F.col("node").alias("root"), F.when(F.col("chained"), F.col("head")).otherwise(F.col("parent")).alias("node")))
+    bad = forked_in_vain(forks, fine, tables)
+    sound = forks.select("root").distinct().join(bad, "root", "left_anti").select(F.col("root").alias("node"), F.lit(True).alias("fine"))
+    status = fine.unionByName(sound).select(F.col("node").alias("end"), "fine")
+    ended = own.join(heads.withColumn("chained", F.lit(True)), "node", "left")
+    ended = ended.select("node", F.when(F.col("chained"), F.col("head")).otherwise(F.col("node")).alias("end"))
+    here = ended.join(status, "end", "left").select(F.col("node").alias("model"), F.coalesce("fine", F.lit(False)).alias("complete"))
+    return tables.put(here.unionByName(outside.select("model", "complete")))
 
 
 @dataclass
@@ -190,7 +233,9 @@ class Resolver:
     def completeness(self) -> DataFrame:
         parents = F.concat("inherit", "inherits")
         edges = self.repo.select("model", F.explode_outer(parents).alias("parent"))
-        return self.facts.keep(complete_models(edges, self.stubs.models.groupBy("model").agg(F.max("complete").alias("complete"))))
+        tables = Tables(self.facts.spark, "models")
+        self.facts.places.append(tables.folder)
+        return complete_models(edges, self.stubs.models.groupBy("model").agg(F.max("complete").alias("complete")), tables)
 
     def member(self, asked: DataFrame, kind: str) -> DataFrame:
         """``status`` of (model, name) pairs: project, injected fields, stubs, then provable absence."""

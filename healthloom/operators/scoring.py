@@ -1,9 +1,9 @@
 """Health scores: impact per category, a category's score, a module's blend, a project's mean.
 
-Impacts are kept in tenths as whole numbers (weights have one decimal at most
-unless configured otherwise; others fall back to doubles), so sums do not
-depend on the order of addition and no score is a point low for a rounding
-error.  ``blend`` is 10 * n * overall, a whole number; rounding is for display.
+Points are summed as whole numbers, so sums do not depend on the order of
+addition; a category's sum times its weight is rounded to six places, so no
+score is a point low for a rounding error of doubles.  ``blend`` is
+10 * n * overall, a whole number; rounding is for display.
 """
 
 from __future__ import annotations
@@ -88,5 +88,12 @@ def score_delta(head: DataFrame, base: DataFrame) -> DataFrame:
     return h.crossJoin(b).withColumn("delta", F.col("head") - F.col("base"))  # one row each
 
 
+def module_deltas(head: DataFrame, base: DataFrame) -> DataFrame:
+    """module, before, after (null where a side has no such module) and delta (null unless both have it)."""
+    side = lambda scores, name: scores.select("module", F.col("overall").alias(name))
+    both = side(base, "before").join(side(head, "after"), "module", "full")
+    return both.withColumn("delta", F.col("after") - F.col("before"))
+
+
 def below(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.filter(F.col("overall") < threshold)

@@ -11,8 +11,15 @@ VERSION = 1
 
 
 def fingerprint(files: DataFrame, *settings: object) -> str:
-    """SHA-256 over settings and the sorted hashes of all files with content; file contents stay on the executors."""
-    rows = files.filter("content IS NOT NULL").select(F.sha2(F.concat_ws("\0", "path", F.sha2("content", 256)), 256).alias("h"))
+    """SHA-256 over settings and the sorted hashes of all files with content; file contents stay on the executors.
+
+    Files whose contents are named already (``digest``, see ``sources.store``) are not read for it.
+    """
+    if "digest" in files.columns:
+        named, content = files.filter("kind != 'other' AND digest IS NOT NULL"), F.col("digest")
+    else:
+        named, content = files.filter("content IS NOT NULL"), F.sha2("content", 256)
+    rows = named.select(F.sha2(F.concat_ws("\0", "path", content), 256).alias("h"))
     # 256 partial digests, each over its own files in order, then one over them
     part = rows.groupBy(F.substring("h", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
     one = part.agg(F.array_join(F.array_sort(F.collect_list(F.concat("p", "d"))), "").alias("all"))

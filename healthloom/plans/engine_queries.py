@@ -8,8 +8,7 @@ through the ``module_tree`` source.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import baseline, resolve, scoring
 from ..operators import findings as P
-from ..session import durable
+from ..session import durable, new_place
+from ..sources import commits, store
 from ..sources import linters as L
 from ..sources.parsed import Facts
 from ..sources.tree import read_tree
@@ -29,10 +29,9 @@ from .table_queries import CATS, RAW, findings, normal, query, score_sql, scored
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and the executors can open as files."""
-    top = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").removeprefix("file:")
-    if top and "://" in top:
+    folder = new_place(spark, name).removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
         raise RuntimeError("source trees need a shared folder that can be opened as files")
-    folder = os.path.join(top, f"{name}-{uuid.uuid4().hex}") if top else tempfile.mkdtemp(prefix=f"{name}-")
     os.makedirs(folder, exist_ok=True)
     return folder
 
@@ -235,6 +234,36 @@ def deep_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.complete_models(chain.unionByName(layers), spark.createDataFrame([], "model string, complete boolean"))
 
 
+@query(
+    "SELECT 'c' || c_custkey AS model, true AS complete FROM customer"
+    " UNION ALL SELECT 'p' || p_partkey, p_partkey % 3 != 0 FROM part"
+    " UNION ALL SELECT 's' || s_suppkey, s_suppkey % 4 = 1 FROM supplier"
+    " UNION ALL SELECT 'o' || o_orderkey, o_custkey = 0 FROM orders"
+)
+def inherited_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain through all customers; parts with one parent, known or not; suppliers with two parents; orders whose two parents meet unless one is
+    customer 0, which stands by itself.
+
+    A supplier's second parent is a model without parents, the first part (which has an unknown one if its number
+    is a multiple of three), one of the first customers, where the walks meet, or a cycle, by its number modulo four.
+    """
+    text = lambda head, of: F.concat(F.lit(head), of.cast("string"))
+    edges = lambda df, model, *parents: df.select(model.alias("model"), F.explode(F.array(*parents)).alias("parent"))
+    c, p, s, o = (table(spark, sf_dir, t) for t in ("customer", "part", "supplier", "orders"))
+    k = F.col("c_custkey")
+    chain = edges(c, text("c", k), F.when(k > 1, text("c", k - 1)))
+    k = F.col("p_partkey")
+    parts = edges(p, text("p", k), F.when(k % 3 == 0, F.lit("nowhere")).otherwise(F.when((k % 3 == 1) & (k > 3), text("p", k - 2))))
+    k = F.col("s_suppkey")
+    other = F.when(k % 4 == 0, text("p", F.lit(3))).when(k % 4 == 1, F.lit("p2")).when(k % 4 == 2, text("c", k % 5 + 1)).otherwise(text("s", k))
+    suppliers = edges(s, text("s", k), text("c", k), F.when(k % 4 == 3, F.lit("ring0")).otherwise(other))
+    ring = spark.range(3).select(text("ring", F.col("id")).alias("model"), text("ring", (F.col("id") + 1) % 3).alias("parent"))
+    k = F.col("o_orderkey")
+    orders = edges(o, text("o", k), text("c", F.col("o_custkey")), text("c", F.col("o_custkey") % 7 + 1))
+    every = reduce(DataFrame.unionByName, [chain, parts, suppliers, ring, orders])
+    return resolve.complete_models(every, spark.createDataFrame([], "model string, complete boolean")).filter("model NOT LIKE 'ring%'")
+
+
 @query(
     "SELECT '/gen/g' || s_suppkey || '/views/v.xml' AS path, 7 AS line, 'data-noupdate-risk' AS rule FROM supplier WHERE s_suppkey % 4 = 1"
     " UNION ALL SELECT '/gen/g' || s_suppkey || '/models/m.py', 7, 'missing-translation' FROM supplier WHERE s_suppkey % 6 = 5"
@@ -244,6 +273,81 @@ def comment_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Facts(generated.files(spark, sf_dir)).suppressions
 
 
+def written_commits(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """A repository with two commits of the generated modules: its folder, the earlier commit, the later one."""
+    repo = os.path.join(shared_folder(spark, "commits"), "modules.git")
+    earlier = commits.write_commit(generated.earlier_files(spark, sf_dir), repo, "main")
+    return repo, earlier, commits.write_commit(generated.later_files(spark, sf_dir), repo, "main")
+
+
+EARLIER, LATER = "s_suppkey % 11 != 0", "s_suppkey % 13 != 0"
+OF = "substr(module, 2)::BIGINT"
+
+
+@query(
+    f"SELECT 'g' || s_suppkey || '/' || rel AS path, CASE WHEN NOT ({EARLIER}) THEN 'added' WHEN NOT ({LATER}) THEN 'removed' ELSE 'edited' END AS change"
+    f" FROM supplier CROSS JOIN (VALUES {RELS}) f(rel, kind) WHERE ({EARLIER}) != ({LATER}) OR ({EARLIER}) AND s_suppkey % 3 = 0 AND kind = 'xml'"
+)
+def commit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between two commits, told by the names of their blobs."""
+    repo, earlier, later = written_commits(spark, sf_dir)
+    found = commits.changes(commits.list_commits(spark, repo, [earlier, later]), earlier, later)
+    return found.select(F.expr(f"substring(path, {len(repo) + 2})").alias("path"), "change")
+
+
+def _commit_scores(which: str, found: str) -> str:
+    return generated.scores_of(found, f"SELECT 'g' || s_suppkey AS module FROM supplier WHERE {which}")
+
+
+@query(
+    f"WITH {generated._expected()}, {generated.CATEGORY_SQL}, later AS (SELECT * FROM found WHERE NOT (file_path LIKE '%.xml' AND {OF} % 3 = 0)),"
+    f" a AS ({_commit_scores(EARLIER, 'found')}), b AS ({_commit_scores(LATER, 'later')})"
+    " SELECT module, a.blend AS before, b.blend AS after, b.blend - a.blend AS delta FROM a FULL JOIN b USING (module)"
+)
+def commit_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each module at two commits: both are scanned from one listing, and equal blobs are parsed once."""
+    repo, earlier, later = written_commits(spark, sf_dir)
+    done = scan.scan_commits(spark, repo, [earlier, later], Config(ignore_files=[]), generated.VERSION)
+    whole = [done[name].scores.withColumn("overall", F.col("blend")) for name in (later, earlier)]
+    return scoring.module_deltas(*whole)
+
+
+@query(
+    "WITH c AS (SELECT s_suppkey AS k, kind, CASE kind WHEN 'manifest' THEN CASE WHEN s_suppkey % 5 = 0 THEN 'own ' || s_suppkey ELSE concat_ws(' ', s_suppkey % 2 = 0, s_suppkey % 3 = 0, s_suppkey % 4 = 0) END"
+    f" WHEN 'access' THEN CASE WHEN s_suppkey % 3 = 1 THEN 'head' ELSE 'own ' || s_suppkey END ELSE 'own ' || s_suppkey END AS name FROM supplier CROSS JOIN (VALUES {RELS}) f(rel, kind)),"
+    " e AS (SELECT DISTINCT kind, name FROM c WHERE k % 11 != 0),"
+    " l AS (SELECT DISTINCT kind, CASE WHEN kind = 'xml' AND k % 3 = 0 THEN 'empty' ELSE name END AS name FROM c WHERE k % 13 != 0)"
+    " SELECT kind, (SELECT count(*) FROM e WHERE e.kind = v.kind)::BIGINT AS parsed_first, (SELECT count(*) FROM (SELECT * FROM l EXCEPT SELECT * FROM e) d WHERE d.kind = v.kind)::BIGINT AS parsed_later"
+    " FROM (VALUES ('manifest'), ('python'), ('xml'), ('access')) v(kind)"
+)
+def parsed_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many contents a store of facts had to parse: for one commit, and then for a later one."""
+    repo, earlier, later = written_commits(spark, sf_dir)
+    held = store.FactStore(spark, shared_folder(spark, "store"))
+    of_batch = []
+    for source in scan.commit_sources(spark, repo, [earlier, later]).values():
+        held.fill(source.listing, source.contents)
+        of_batch.append(held.known().groupBy("kind").agg(F.count("*").alias("n")))
+        of_batch[-1] = durable(of_batch[-1])
+    first, both = of_batch
+    return both.join(first.withColumnRenamed("n", "parsed_first"), "kind", "left").select(
+        "kind", F.coalesce("parsed_first", F.lit(0)).alias("parsed_first"), (F.col("n") - F.coalesce("parsed_first", F.lit(0))).alias("parsed_later")
+    )
+
+
+@query(
+    f"WITH {generated._expected()} SELECT module, regexp_replace(file_path, '^/gen/', '') AS path, line, rule, eligible FROM found"
+    f" WHERE {OF} % 13 != 0 AND NOT (file_path LIKE '%.xml' AND {OF} % 3 = 0)"
+)
+def stored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of a commit whose contents are mostly in the store already: its findings are those of a full scan."""
+    repo, earlier, later = written_commits(spark, sf_dir)
+    place = shared_folder(spark, "store")
+    scan.scan_commits(spark, repo, [earlier], Config(ignore_files=[]), generated.VERSION, store=place)[earlier].release()
+    done = scan.scan_commits(spark, repo, [later], Config(ignore_files=[]), generated.VERSION, store=place)[later]
+    return done.findings.select("module", F.expr(f"substring(file_path, {len(repo) + 2})").alias("path"), "line", "rule", "eligible")
+
+
 def _said(command: list[str], seconds: int) -> tuple[str, str, str, int]:
     """A linter that answers by the module's number: findings, no executable, too slow, no JSON, no plugin, a bad end."""
     k = int(command[-1].rpartition("g")[2])

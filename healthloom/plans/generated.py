@@ -177,10 +177,20 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERSION = "17.0"
 
 
+def later_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modules of ``files`` some time later: every third has an empty view file; every 13th is gone; every 11th is new (``earlier_files`` lack it)."""
+    k = F.col("module_ord")
+    emptied = (k % 3 == 0) & (F.col("kind") == "xml")
+    return files(spark, sf_dir).filter(k % 13 != 0).withColumn("content", F.when(emptied, F.lit("<root/>").cast("binary")).otherwise(F.col("content")))
+
+
+def earlier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).filter(F.col("module_ord") % 11 != 0)
+
+
 def scanned(spark: SparkSession, sf_dir: str) -> tuple[Facts, DataFrame]:
     """The stages of a scan over the generated modules."""
-    facts = Facts(files(spark, sf_dir))
-    facts.facts = facts.facts.persist()
+    facts = Facts(files(spark, sf_dir)).settle()
     failed: list[str] = []
     raw = rule_findings(Project(facts, VERSION), active_rules(VERSION, []), failed)
     if failed or raw is None:
@@ -238,14 +248,20 @@ def _expected() -> str:
 
 
 FINDINGS_SQL = f"WITH {_expected()} SELECT * FROM found"
-SCORES_SQL = f"""WITH {_expected()}, cats AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {w}::DOUBLE)" for c, w in P.CATEGORIES.items())}) c(category, weight)
-), scores AS (
-  SELECT 'g' || s_suppkey AS module, c.category, coalesce(f.n, 0) AS counted, greatest(0, trunc(100 - round(coalesce(points, 0) * weight, 6)))::INT AS score
-  FROM supplier CROSS JOIN cats c LEFT JOIN (
+CATEGORY_SQL = f"cats AS (SELECT * FROM (VALUES {', '.join(f"('{c}', {w}::DOUBLE)" for c, w in P.CATEGORIES.items())}) c(category, weight))"
+
+
+def scores_of(found: str, modules: str = "SELECT 'g' || s_suppkey AS module FROM supplier") -> str:
+    """The scores that findings give (``found``: module, category, tier, eligible)."""
+    return f"""SELECT module, count(*) AS n, min(score) AS least, sum(score)::BIGINT AS total, sum(counted)::BIGINT AS counted,
+  (4 * min(score) * count(*) + 6 * sum(score))::BIGINT AS blend FROM (
+  SELECT m.module, c.category, coalesce(f.n, 0) AS counted, greatest(0, trunc(100 - round(coalesce(points, 0) * weight, 6)))::INT AS score
+  FROM ({modules}) m CROSS JOIN cats c LEFT JOIN (
     SELECT module, category, count(*) AS n, sum(CASE tier {" ".join(f"WHEN '{t}' THEN {p}" for t, p in P.TIERS.items())} END) AS points
-    FROM found WHERE eligible GROUP BY ALL) f ON f.module = 'g' || s_suppkey AND f.category = c.category
-) SELECT module, count(*) AS n, min(score) AS least, sum(score)::BIGINT AS total, sum(counted)::BIGINT AS counted,
-  (4 * min(score) * count(*) + 6 * sum(score))::BIGINT AS blend FROM scores GROUP BY module"""
+    FROM {found} WHERE eligible GROUP BY ALL) f ON f.module = m.module AND f.category = c.category) GROUP BY module"""
+
+
+SCORES_SQL = f"WITH {_expected()}, {CATEGORY_SQL} {scores_of('found')}"
 FACTS_SQL = """
 SELECT 'g' || s_suppkey AS module, fact, n::BIGINT AS n FROM supplier, LATERAL (VALUES
   ('manifest', 1), ('model', 1 + (s_suppkey % 7 = 0)::INT), ('record', 2), ('view', 1), ('access', (s_suppkey % 3 != 1)::INT),

@@ -1,12 +1,14 @@
 """A scan: source tree -> files -> facts -> rules -> stages -> scores, as one plan per project.
 
-Files are read and parsed once and kept; all that follows is DataFrame work.
+Files come from folders or from commits (``Source``).  They are read and parsed
+once, and facts are written by kind; all that follows is DataFrame work.
 Rules that the version or the capabilities exclude are not planned at all.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,8 +19,11 @@ from ..operators import baseline, scoring
 from ..operators import checks as K
 from ..operators import findings as P
 from ..operators import resolve as R
+from ..session import durable, gone, new_place
+from ..sources import commits, tree
 from ..sources import linters as L
 from ..sources.parsed import Facts
+from ..sources.store import FactStore, blob_name
 from ..sources.tree import read_tree
 from . import cache
 from . import rules as rules_module
@@ -43,7 +48,7 @@ class ScanResult:
     def release(self) -> None:
         """Gives up all that the scan keeps in memory."""
         self.facts.release()
-        for df in (self.facts.files, self.facts.facts, self.findings, self.scores):
+        for df in (self.facts.files, self.findings, self.scores):
             df.unpersist()
 
     @property
@@ -145,10 +150,58 @@ def staged(
     return P.mark_eligible(out)
 
 
-def scan(
-    spark: SparkSession,
-    paths: list[str],
-    config: Config | None = None,
+@dataclass
+class Source:
+    """Where a scan's files come from.
+
+    ``files``: the columns of ``module_tree``.  ``listing``: the same without contents, but with the name of each
+    (``digest``).  ``contents`` adds contents to rows of the listing.
+    """
+
+    files: DataFrame
+    listing: DataFrame
+    contents: Callable[[DataFrame], DataFrame]
+
+
+def tree_source(spark: SparkSession, paths: list[str], targets: list[str] | None = None) -> Source:
+    """Module folders on disk."""
+    files = read_tree(spark, paths, targets)
+    return Source(files, files.withColumn("digest", blob_name(F.col("content"))).drop("content"), tree.with_contents)
+
+
+def commit_sources(spark: SparkSession, repo: str, names: list[str], paths: list[str] | None = None, targets: list[str] | None = None) -> dict[str, Source]:
+    """Module folders of commits; all of them are listed in one job."""
+    listed = durable(commits.list_commits(spark, repo, names, paths, targets))
+    contents = lambda rows: commits.with_contents(rows, repo)
+    own = {name: listed.filter(F.col("commit") == name).drop("commit") for name in names}
+    return {name: Source(contents(rows), rows, contents) for name, rows in own.items()}
+
+
+def scan(spark: SparkSession, paths: list[str], config: Config | None = None, version: str | None = None, **more) -> ScanResult:
+    """Scans module folders on disk; ``more`` as for ``scan_source``."""
+    config = config or Config()
+    return scan_source(tree_source(spark, paths, config.target_modules), config, version, **more)
+
+
+def scan_commits(
+    spark: SparkSession, repo: str, names: list[str], config: Config | None = None, version: str | None = None, paths: list[str] | None = None, store: str | None = None, **more
+) -> dict[str, ScanResult]:
+    """Scans commits of a repository without a worktree.  What they share is parsed once."""
+    config = config or Config()
+    place = store or new_place(spark, "store")
+    try:
+        sources = commit_sources(spark, repo, names, paths, config.target_modules)
+        if sources:  # one job parses what is new in any of them
+            FactStore(spark, place).fill(reduce(DataFrame.unionByName, [s.listing for s in sources.values()]), next(iter(sources.values())).contents)
+        return {name: scan_source(source, config, version, store=place, **more) for name, source in sources.items()}
+    finally:
+        if not store:
+            gone(spark, place)
+
+
+def scan_source(
+    source: Source,
+    config: Config,
     version: str | None = None,
     changed: DataFrame | None = None,
     linters: tuple[L.Linter, ...] = (),
@@ -156,17 +209,25 @@ def scan(
     stubs: R.Stubs | None = None,
     known: DataFrame | None = None,
     cache_dir: str | None = None,
+    store: str | None = None,
 ) -> ScanResult:
     """``changed``: path of changed files (file rules see only those).  ``known``: identities of a baseline.
 
+    ``store``: a folder of parsed facts by content; what is there is not parsed again, and what is new is added.
     ``cache_dir``: findings of an unchanged tree are taken from there and new
     ones kept there; not used together with ``changed``.
     """
-    config = config or Config()
+    spark = source.files.sparkSession
     failed: list[str] = rules_module.load_plugins() if config.plugins else []
-    files = read_tree(spark, paths, config.target_modules).persist()
-    facts = Facts(files)
-    facts.facts = facts.facts.persist()
+    if store:
+        listing = durable(source.listing)
+        held = FactStore(spark, store)
+        held.fill(listing, source.contents)
+        named = listing
+        facts = Facts(source.contents(listing), held.facts(listing)).settle()
+    else:
+        named = source.files.persist()
+        facts = Facts(named).settle()
     detected = detect_version(facts, version, config.version)
     caps = P.capabilities(detected, config.capabilities, config.capability_prefix)
     dirs = facts.manifests.select("module", "module_dir")
@@ -174,7 +235,7 @@ def scan(
     key = None
     if cache_dir and changed is None:
         settings = (detected, repr(config), [r.name for r in chosen], [repr(x) for x in linters], base_path)
-        key = cache.fingerprint(files, *settings)
+        key = cache.fingerprint(named, *settings)
     out = cache.load(spark, cache_dir, key) if key else None
     if out is None:
         index = facts.keep(source_index(spark, config.source_path)) if config.source_path else None

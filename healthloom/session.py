@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,16 +19,53 @@ def session(app: str = "healthloom", master: str | None = None) -> SparkSession:
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there: a lost executor does not take it along.
-
-    The folder is that of ``spark.checkpoint.dir``; one on this machine is made
-    only where none is set and the session is local.
-    """
-    context = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one on this machine only where none is set and the session is local."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet; ``gone`` removes it."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def gone(spark: SparkSession, path: str) -> None:
+    """Removes what this library has written there, through Spark's file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+class Tables:
+    """Written tables of steps that follow each other, in one folder of the shared one.
+
+    Unlike a checkpoint a written table keeps no estimates or constraints of the plan that made it, so plans of
+    many rounds stay small.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, new_place(spark, name), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def drop(self) -> None:
+        gone(self.spark, self.folder)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there: a lost executor does not take it along."""
+    shared_root(df.sparkSession)
     return df.checkpoint()

@@ -1,8 +1,12 @@
 """Fact tables: each file is parsed once, into rows of one table that typed views read.
 
-``facts``: module, module_dir, module_ord, path, rel, fact, n (order inside the
-file), line, col, data (JSON).  Parsing is the one Python step; it runs in
-Arrow batches next to the scan, and everything after it is DataFrame work.
+``facts``: module, module_dir, module_ord, path, rel, n (order inside the file),
+line, col, a struct for each kind of fact (``d_call`` and so on, null in rows of
+other kinds), fact.  ``Facts.settle`` writes it by kind of fact, so a rule that
+asks for calls reads the calls' files and their columns and nothing else.
+
+Parsing is the one Python step; it runs in Arrow batches next to the scan, and
+its JSON becomes structs once; everything after it is DataFrame work.
 """
 
 from __future__ import annotations
@@ -16,11 +20,13 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import by_value
 from ..operators.checks import last_of
+from ..session import gone, new_place
 from . import other_facts, python_facts
 
 by_value(__name__, other_facts.__name__, python_facts.__name__)
 
-FACTS = "module string, module_dir string, module_ord int, path string, rel string, fact string, n int, line int, col int, data string"
+HEAD = "module string, module_dir string, module_ord int, path string, rel string"
+PARSED = "fact string, n int, line int, col int, data string"
 
 FIELD = "struct<name:string,type:string,comodel:string,compute:string,store:boolean,required:boolean,string:string,ondelete:string,line:int>"
 METHOD = "struct<name:string,decorators:array<string>,depends:array<string>,supers:boolean,reads:array<string>,line:int>"
@@ -41,8 +47,12 @@ LAYOUTS = {
 }
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """``files`` (columns of ``module_tree``) -> facts."""
+def parse_files(files: DataFrame, head: str = HEAD, mark: str | None = None) -> DataFrame:
+    """``files`` (the columns of ``head``, kind, content) -> ``head`` and a row per fact, its data as JSON.
+
+    ``mark``: a fact of that kind for each file besides, whatever is in it.
+    """
+    kept = [part.split()[0] for part in head.split(", ")]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
@@ -50,32 +60,53 @@ def parse_files(files: DataFrame) -> DataFrame:
         parsers = {
             "manifest": other_facts.manifest, "python": python_facts.facts, "xml": other_facts.xml, "access": other_facts.access,
         }
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-        names = ["module", "module_dir", "module_ord", "path", "rel", "fact", "n", "line", "col", "data"]
+        kinds = [*(pa.int32() if part.endswith(" int") else pa.string() for part in head.split(", ")), pa.string(), *[pa.int32()] * 3, pa.string()]
         for batch in source:
             for k in range(batch.num_rows):
                 f = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                head = [f[c] for c in names[:5]]
-                rows = [(*head, x["fact"], n, x["line"], x["col"], json.dumps(x["data"])) for n, x in enumerate(parsers[f["kind"]](f["content"]))]
+                own = [f[c] for c in kept]
+                rows = [(*own, x["fact"], n, x["line"], x["col"], json.dumps(x["data"])) for n, x in enumerate(parsers[f["kind"]](f["content"]))]
+                if mark:
+                    rows.append((*own, mark, 0, 0, 0, None))
                 if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[*kept, "fact", "n", "line", "col", "data"])
+
+    wanted = files.filter("kind != 'other' AND content IS NOT NULL").select(*kept, *({"kind"} - {*kept}), "content")
+    return wanted.mapInArrow(run, f"{head}, {PARSED}")
 
-    wanted = files.filter("kind != 'other' AND content IS NOT NULL").select("module", "module_dir", "module_ord", "path", "rel", "kind", "content")
-    return wanted.mapInArrow(run, FACTS)
+
+def typed(rows: DataFrame) -> DataFrame:
+    """Facts with a struct for each kind in place of JSON; ``fact`` comes last, as tables by kind have it."""
+    data = [F.when(F.col("fact") == f, F.from_json("data", layout)).alias(f"d_{f}") for f, layout in LAYOUTS.items()]
+    return rows.select(*[c for c in rows.columns if c not in ("data", "fact")], *data, "fact")
+
+
+def write_by_fact(rows: DataFrame, path: str) -> None:
+    """A folder for each kind of fact, in files of a good size."""
+    rows.hint("rebalance", "fact").write.partitionBy("fact").parquet(path)
 
 
 class Facts:
     """The fact tables of one project.
 
-    ``files`` and ``facts`` are read many times: persist or write them first.
-    Typed tables that several rules share are kept as well (facts are a small
-    part of the sources they come from, and kept blocks spill to disk).
+    ``files`` are read many times: persist or write them first.  ``facts`` are
+    too: ``settle`` writes them by kind.  Tables that several rules share are
+    kept as well (facts are a small part of the sources they come from, and kept
+    blocks spill to disk).
     """
 
     def __init__(self, files: DataFrame, facts: DataFrame | None = None):
         self.kept: list[DataFrame] = []
+        self.places: list[str] = []
         self.files = files
-        self.facts = parse_files(files) if facts is None else facts
+        self.facts = typed(parse_files(files)) if facts is None else facts
+
+    def settle(self) -> Facts:
+        """Facts are written to the shared folder by kind, until ``release``."""
+        self.places.append(new_place(self.spark, "facts"))
+        write_by_fact(self.facts, self.places[-1])
+        self.facts = self.spark.read.schema(self.facts.schema).parquet(self.places[-1])
+        return self
 
     @property
     def spark(self) -> SparkSession:
@@ -87,9 +118,11 @@ class Facts:
         return df
 
     def release(self) -> None:
-        """Gives up what is kept; tables made from it are worked out again when they are read."""
+        """Gives up what is kept, in memory and in the shared folder; facts that were settled can't be read any more."""
         while self.kept:
             self.kept.pop().unpersist()
+        while self.places:
+            gone(self.spark, self.places.pop())
 
     @cached_property
     def unreadable(self) -> DataFrame:
@@ -98,8 +131,7 @@ class Facts:
         return lost.unionByName(self.of("unreadable").select("module", "path", "reason"))
 
     def of(self, fact: str) -> DataFrame:
-        rows = self.facts.filter(F.col("fact") == fact).withColumn("d", F.from_json("data", LAYOUTS[fact]))
-        return rows.select("module", "module_dir", "module_ord", "path", "rel", "n", "line", "col", "d.*")
+        return self.facts.filter(F.col("fact") == fact).select("module", "module_dir", "module_ord", "path", "rel", "n", "line", "col", f"d_{fact}.*")
 
     @cached_property
     def manifests(self) -> DataFrame:

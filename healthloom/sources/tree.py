@@ -2,8 +2,9 @@
 
 Spark's file sources hide names that start with an underscore, and every
 module is told by such a file.  ``module_tree`` is therefore a data source of
-its own: it lists module folders on the driver (names only) and reads file
-contents on the executors, a partition for each group of files.
+its own.  The driver lists the folders right below the given paths, by name.
+Executors do the rest, a task for each few folders: they read the manifest,
+leave out what is no module, walk the folder and read its files.
 
 Columns: module, module_dir, module_ord, path (absolute), rel (inside the
 module), kind (manifest, python, xml, access, other), content (null for
@@ -19,7 +20,9 @@ import json
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.shipping import by_value
@@ -31,7 +34,8 @@ MANIFEST = "__manifest__.py"
 ACCESS = "security/ir.model.access.csv"
 
 SCHEMA = "module string, module_dir string, module_ord int, path string, rel string, kind string, content binary"
-GROUP_BYTES = 8 << 20
+#: Module folders that one task lists and reads.
+FOLDERS = 32
 
 
 def read_bytes(path: str) -> bytes | None:
@@ -42,8 +46,8 @@ def read_bytes(path: str) -> bytes | None:
         return None
 
 
-def is_installable(manifest: str) -> bool:
-    raw = read_bytes(manifest)
+def says_installable(raw: bytes | None) -> bool:
+    """Whether a manifest is a dictionary that does not switch its module off."""
     if raw is None:
         return False
     try:
@@ -54,7 +58,7 @@ def is_installable(manifest: str) -> bool:
 
 
 def module_folders(paths: list[str], targets: list[str]) -> list[str]:
-    """A path that is a module itself, else its direct children that are, in order."""
+    """A path that is a module itself, else its direct children, in order.  Nothing but names is looked at."""
     found = []
     for base in map(os.path.abspath, paths):
         own = os.path.join(base, MANIFEST)
@@ -66,7 +70,7 @@ def module_folders(paths: list[str], targets: list[str]) -> list[str]:
             continue
         for folder in folders:
             name = os.path.basename(folder)
-            if (not targets or name in targets) and is_installable(os.path.join(folder, MANIFEST)):
+            if not targets or name in targets:
                 found.append(folder)
     return found
 
@@ -82,10 +86,10 @@ def kind_of(rel: str) -> str:
     return "access" if rel == ACCESS else "other"
 
 
-class Group(InputPartition):
-    def __init__(self, files: list[tuple]):
+class Folders(InputPartition):
+    def __init__(self, folders: list[tuple[int, str]]):
         super().__init__(0)
-        self.files = files
+        self.folders = folders
 
 
 class TreeReader(DataSourceReader):
@@ -93,26 +97,23 @@ class TreeReader(DataSourceReader):
         self.paths = json.loads(options["paths"])
         self.targets = json.loads(options.get("targets", "[]"))
 
-    def partitions(self) -> list[Group]:
-        groups, held, size = [], [], 0
-        for ord_, folder in enumerate(module_folders(self.paths, self.targets)):
+    def partitions(self) -> list[Folders]:
+        folders = list(enumerate(module_folders(self.paths, self.targets)))
+        return [Folders(folders[k : k + FOLDERS]) for k in range(0, max(1, len(folders)), FOLDERS)]
+
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        for ord_, folder in partition.folders:
+            if not says_installable(read_bytes(os.path.join(folder, MANIFEST))):
+                continue
             for top, dirs, names in os.walk(folder):
                 dirs.sort()
                 for name in sorted(names):
                     path = os.path.join(top, name)
                     rel = os.path.relpath(path, folder).replace(os.sep, "/")
                     kind = kind_of(rel)
-                    held.append((os.path.basename(folder), folder, ord_, path, rel, kind))
-                    size += 100 if kind == "other" else os.path.getsize(path) if os.path.exists(path) else 0
-                    if size >= GROUP_BYTES:
-                        groups, held, size = [*groups, Group(held)], [], 0
-        return [*groups, Group(held)]
-
-    def read(self, partition: Group) -> Iterator[tuple]:
-        for module, folder, ord_, path, rel, kind in partition.files:
-            content = None if kind == "other" else read_bytes(path)
-            # a file that can't be opened keeps its row: ``Facts.unreadable`` names it
-            yield module, folder, ord_, path, rel, kind, content
+                    content = None if kind == "other" else read_bytes(path)
+                    # a file that can't be opened keeps its row: ``Facts.unreadable`` names it
+                    yield os.path.basename(folder), folder, ord_, path, rel, kind, content
 
 
 class ModuleTree(DataSource):
@@ -127,6 +128,21 @@ class ModuleTree(DataSource):
         return TreeReader(self.options)
 
 
+def with_contents(rows: DataFrame) -> DataFrame:
+    """``rows`` (with kind and path) and ``content``, as the files have it now."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                asked = zip(part.column("kind").to_pylist(), part.column("path").to_pylist())
+                found = pa.array([None if kind == "other" else read_bytes(path) for kind, path in asked], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, "content"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def read_tree(spark: SparkSession, paths: list[str], targets: list[str] | None = None) -> DataFrame:
     spark.dataSource.register(ModuleTree)
     return (
