@@ -171,7 +171,7 @@ def stretches(texts: DataFrame) -> DataFrame:
                 ("place", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("body", pa.binary()),
             ]
         )
-        least: dict[bytes, tuple[int, int, int]] = {}
+        least: dict[bytes, tuple[int, int, set[int]]] = {}  # of each window the least document so far and where it stands there
         out: list[tuple] = []
         size = 0
 
@@ -181,8 +181,10 @@ def stretches(texts: DataFrame) -> DataFrame:
         def sure(doc_id: int, tag: int, start: int) -> tuple:
             return (xxhash.xxh64_intdigest(str((doc_id, tag))) >> 1, MARK, doc_id, tag, 0, start, start, None)
 
-        def node(window: bytes, doc_id: int, tag: int, start: int) -> tuple:
-            return (int.from_bytes(window[:8], "little", signed=True), NODE, doc_id, tag, 0, start, start, window)
+        def node(window: bytes, doc_id: int, tag: int, starts: set[int]) -> tuple:
+            """One row, however often a document repeats the window."""
+            places = np.array(sorted(starts), "<i4").tobytes()
+            return (int.from_bytes(window[:8], "little", signed=True), NODE, doc_id, tag, 0, 0, 0, window + places)
 
         for batch in source:
             names = batch.schema.names
@@ -196,14 +198,17 @@ def stretches(texts: DataFrame) -> DataFrame:
                 for a in row["hot"]:
                     for start in range(a["first"], a["last"] + 1):
                         window = xxhash.xxh3_128_digest(b" ".join(words[start : start + WINDOW]))
-                        before = least.setdefault(window, (doc_id, tag, start))
-                        if doc_id > before[0]:
+                        before = least.get(window)
+                        if before is None or doc_id < before[0]:
+                            least[window] = (doc_id, tag, {start})
+                            if before:
+                                out.extend(sure(*before[:2], s) for s in before[2])
+                        elif doc_id > before[0]:
                             out.append(sure(doc_id, tag, start))
-                        elif doc_id < before[0]:
-                            out.append(sure(*before))
-                            least[window] = (doc_id, tag, start)
-                        elif before != (doc_id, tag, start):
-                            out.append(node(window, doc_id, tag, start))
+                        elif tag == before[1]:
+                            before[2].add(start)
+                        else:  # another text of the same id
+                            out.append(node(window, doc_id, tag, {start}))
                 if len(least) > HELD:
                     out.extend(node(w, *x) for w, x in least.items())
                     least.clear()
@@ -276,11 +281,11 @@ def marks(dealt: DataFrame) -> DataFrame:
 
         def of_nodes(rows: pa.Table) -> pa.RecordBatch:
             least: dict[bytes, int] = {}
-            ids, windows = rows.column("doc_id").to_pylist(), rows.column("body").to_pylist()
-            for k, w in zip(ids, windows):
-                least[w] = min(k, least.get(w, k))
-            gone = rows.filter(pa.array([k > least[w] for k, w in zip(ids, windows)], pa.bool_()))
-            return sure(gone)
+            told = list(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "tag", "body"))))
+            for k, _, body in told:
+                least[body[:16]] = min(k, least.get(body[:16], k))
+            gone = [(k, tag, start, 1) for k, tag, body in told if k > least[body[:16]] for start in np.frombuffer(body[16:], "<i4").tolist()]
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*gone)] if gone else [pa.array([], pa.int64())] * 4, names=names)
 
         def sure(rows: pa.Table) -> pa.RecordBatch:
             tags, first = rows.column("tag").combine_chunks(), rows.column("first").cast(pa.int64()).combine_chunks()
