@@ -31,6 +31,7 @@ import sys
 import types
 import uuid
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -123,7 +124,9 @@ class Aligner:
         self.a.encode_special_tokens = True
         letters = {c: b for b, c in byte_letters().items()}
         size, vocab = self.b.get_piece_size(), self.a.get_vocab()
-        self.a_bytes = dict.fromkeys(vocab.values(), b"")
+        self.letters, self.word = byte_letters(), self.a.model.tokenize
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        self.names = [str(k) for k in range(max(len(self.a_bytes), size))]
         for spelled, k in vocab.items():
             inside = all(c in letters for c in spelled)
             self.a_bytes[k] = bytes(letters[c] for c in spelled) if inside else spelled.encode()
@@ -147,6 +150,10 @@ class Aligner:
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
+    def lettered(self, chunk: str) -> bool:
+        """Whether A's pre-tokenizer leaves space + chunk whole, so its model may take it at once."""
+        return self.plain and chunk.isalpha()
+
     def chunks(self, text: str) -> list[str]:
         """What stands between two boundaries of space + text, each without the space in front of it."""
         if not self.plain:
@@ -158,15 +165,25 @@ class Aligner:
     def aligned(self, chunk: str, a: list[int], b: list[int], space: str = " ") -> tuple | None:
         """n_a, n_b, n_groups, n_links, pairs, the groups spelled; None if the tokens do not spell space + chunk."""
         spelled = (space + chunk).encode("utf-8", "replace")
-        a_parts, b_parts = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
+        a_bytes, b_bytes, names = self.a_bytes, self.b_bytes, self.names
+        a_parts, b_parts = [a_bytes[k] for k in a], [b_bytes[k] for k in b]
         if b"".join(a_parts) != spelled or b"".join(b_parts) != spelled:
             return None
+        if len(a) == 1 or len(b) == 1:  # the one token overlaps all of the other side
+            pairs = [x << 32 | y for x in a for y in b]
+            return len(a), len(b), 1, len(pairs), array("q", pairs).tobytes(), f"{','.join([names[x] for x in a])}|{','.join([names[y] for y in b])}"
         a_ends, b_ends = list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts)))
+        pairs, text = [], []
         found = components(a_ends, b_ends)
-        pairs = array("q", [a[i] << 32 | b[j] for g in found for i, j in links(g, a_ends, b_ends)])
-        a_names, b_names = list(map(str, a)), list(map(str, b))
-        text = ";".join([f"{','.join([a_names[i] for i in m])}|{','.join([b_names[j] for j in o])}" for m, o in found])
-        return len(a), len(b), len(found), len(pairs), pairs.tobytes(), text
+        for m, o in found:
+            if len(m) == 1 == len(o):
+                x, y = a[m[0]], b[o[0]]
+                pairs.append(x << 32 | y)
+                text.append(f"{names[x]}|{names[y]}")
+            else:
+                pairs.extend([a[i] << 32 | b[j] for i, j in links((m, o), a_ends, b_ends)])
+                text.append(f"{','.join([names[a[i]] for i in m])}|{','.join([names[b[j]] for j in o])}")
+        return len(a), len(b), len(found), len(pairs), array("q", pairs).tobytes(), ";".join(text)
 
     def of(self, texts: list[str]) -> list[list[tuple | None]]:
         """The aligned chunks of each text; chunks that are new are encoded together."""
@@ -190,10 +207,13 @@ class Aligner:
         for word in {c[:-1] for c in marked}.difference(young, new):
             look(word)
         if new:
-            a = self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
+            new.sort(key=self.lettered)
+            at = bisect_left(new, True, key=self.lettered)
+            a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new[:at]], add_special_tokens=False)]
+            a += [[t.id for t in self.word((" " + c).encode().decode("latin-1").translate(self.letters))] for c in new[at:]]
             b = self.b.encode(new, num_threads=1)
             for chunk, x, y in zip(new, a, b):
-                young[chunk] = self.aligned(chunk, x.ids, y or [self.prefix])
+                young[chunk] = self.aligned(chunk, x, y or [self.prefix])
         for chunk in marked:
             word, mark = young[chunk[:-1]], self.mark[chunk[-1]]
             young[chunk] = word and (*(x + y for x, y in zip(word[:4], mark)), word[4] + mark[4], f"{word[5]};{mark[5]}")
