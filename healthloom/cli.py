@@ -1,4 +1,4 @@
-"""Commands: scan, fix, rules, init.
+"""Commands: scan, fix, rules, symbols, init.
 
 Exit status: 0 fine, 1 findings at or above ``--fail-on``, 2 score below
 ``--min-score``, 3 wrong usage.  Severity is checked before the score.
@@ -8,19 +8,22 @@ Exit status: 0 fine, 1 findings at or above ``--fail-on``, 2 score below
 from __future__ import annotations
 
 import argparse
+import shutil
 import subprocess
 import sys
 from pathlib import Path
 
-from .operators import baseline
+from .operators import baseline, symbols
 from .operators import findings as P
 from .operators.scoring import below, delta_text, mean_score
 from .plans import fixes, reports
 from .plans import scan as S
 from .plans.config import FILE, TEMPLATE, Config, load_config
 from .plans.rules import REGISTRY
-from .session import new_place, session
+from .session import new_place, open_folder, session
 from .sources import linters as L
+from .sources.parsed import Facts
+from .sources.tree import read_tree
 
 USAGE = 3
 FORMATS = ("terminal", "json", "sarif", "github", "comment")
@@ -89,6 +92,10 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--post", action="store_true", help="post the comment of --format comment to the open pull request")
     r = sub.add_parser("rules")
     r.add_argument("--category")
+    t = sub.add_parser("symbols", help="keep what a source tree defines as a version of the framework")
+    t.add_argument("paths", nargs="+")
+    t.add_argument("--version", dest="framework", required=True)
+    t.add_argument("--into", required=True, help="the store, a folder that stubs_path may name")
     i = sub.add_parser("init")
     i.add_argument("folder", nargs="?", default=".")
     return p
@@ -130,21 +137,26 @@ def run_scan(args) -> int:
     if args.score_delta and (base := base_mean(spark, paths, config, args.framework, args.score_delta, store)) is not None:
         delta = delta_text(mean_score(result.scores) - base)
     here = str(Path.cwd())
+    report = args.output or str(Path(open_folder(spark, "report")) / "text")
     match "json" if args.json else args.format:
         case "json":
-            text = reports.json_report(result)
+            reports.write_json(result, report)
         case "sarif":
-            text = reports.sarif_report(result.findings, here)
+            reports.write_sarif(result.findings, report, here)
         case "github":
-            text = reports.annotation_report(result.findings, here)
+            reports.write_annotations(result.findings, report, here)
         case "comment":
             text = reports.comment_body(result, config.surfaces.get("pr_comment"), delta)
+            Path(report).write_text(text + "\n", encoding="utf-8")
         case _:
-            text = reports.terminal_report(result) + (f"Score delta: {delta}\n" if delta else "")
-    if args.output:
-        Path(args.output).write_text(text, encoding="utf-8")
-    else:
-        print(text)
+            reports.write_terminal(result, report)
+            if delta:
+                with open(report, "a", encoding="utf-8") as f:
+                    f.write(f"Score delta: {delta}\n")
+    if not args.output:
+        with open(report, encoding="utf-8", newline="") as f:
+            shutil.copyfileobj(f, sys.stdout)
+        shutil.rmtree(Path(report).parent)
     if args.post and args.format == "comment":
         reports.post_comment(text)
     if args.fail_on and P.at_or_above(result.findings, args.fail_on):
@@ -167,9 +179,10 @@ def run_fix(args) -> int:
     result = S.scan(session(), paths, config, args.framework)
     made = fixes.compute_fixes(result.findings, result.facts.files).persist()
     if args.diff:
-        sys.stdout.writelines(fixes.diffs(made))
-    else:
-        print(f"{fixes.write_fixes(made)} files written")
+        sys.stdout.write(reports.text_of(fixes.write_diffs, made))
+        return 0
+    written, left = fixes.write_fixes(made)
+    print(f"{written} files written" + (f", {left} left as they have changed meanwhile" if left else ""))
     return 0
 
 
@@ -179,6 +192,13 @@ def main(argv: list[str] | None = None) -> int:
         return run_scan(args)
     if args.command == "fix":
         return run_fix(args)
+    if args.command == "symbols":
+        spark = session()
+        facts = Facts(read_tree(spark, args.paths)).settle()
+        symbols.write_version(symbols.symbols_of(facts), args.into, args.framework)
+        facts.release()
+        print(", ".join(symbols.versions(spark, args.into)))
+        return 0
     if args.command == "rules":
         for r in REGISTRY.values():
             if not args.category or r.category == args.category:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.joined import write_joined
+
 
 def with_identity(findings: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """``identity``: SHA-256 of rule, module, path and the finding's line with white space collapsed.
@@ -32,23 +34,26 @@ def filter_known(findings: DataFrame, known: DataFrame) -> DataFrame:
     return findings.join(known.select("identity").distinct(), "identity", "left_anti").select(*findings.columns)
 
 
-def write_baseline(findings: DataFrame, path: str) -> None:
-    """One JSON file: {"version": 1, "ids": [...]}, sorted and distinct.
+#: How a file begins that is written here: an identity per line follows, so tasks can read it in parts.
+HEAD = '{"version":1,"ids":[\n'
 
-    Identities are sorted on the executors and written as they arrive, a partition at a time.
-    """
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"version":1,"ids":[')
-        for k, row in enumerate(identities(findings).orderBy("identity").toLocalIterator()):
-            f.write(("," if k else "") + json.dumps(row.identity))
-        f.write("]}")
+
+def write_baseline(findings: DataFrame, path: str) -> None:
+    """One JSON file: {"version": 1, "ids": [...]}, sorted and distinct, written by the executors."""
+    quoted = F.concat(F.lit('"'), "identity", F.lit('"'))  # identities are hexadecimal
+    write_joined(identities(findings).orderBy("identity").select(quoted), path, HEAD, ",\n", "\n]}\n")
 
 
 def read_baseline(spark, path: str) -> DataFrame:
-    """Identities of a baseline file; none if it is missing or broken."""
+    """Identities of a baseline file; none if it is missing or broken.  Spark reads it: by lines if it was written here."""
     try:
         with open(path, encoding="utf-8") as f:
-            ids = json.load(f).get("ids", [])
-    except (OSError, ValueError, AttributeError):
-        ids = []
-    return spark.createDataFrame([(str(i),) for i in ids], "identity string")
+            ours = f.read(len(HEAD)) == HEAD
+    except (OSError, ValueError):
+        return spark.createDataFrame([], "identity string")
+    place = Path(path).absolute().as_uri()
+    if ours:
+        found = F.regexp_extract("value", '^"([^"]+)"', 1)
+        return spark.read.text(place).select(found.alias("identity")).filter("identity != ''")
+    whole = spark.read.schema("ids array<string>").option("multiLine", True).json(place)
+    return whole.select(F.explode("ids").alias("identity"))

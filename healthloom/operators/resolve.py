@@ -133,11 +133,15 @@ def complete_models(edges: DataFrame, leaves: DataFrame, tables: Tables | None =
 
 @dataclass
 class Stubs:
-    """What is known of the framework: models (model, complete), members (model, kind, name), xml_ids (xml_id)."""
+    """What is known of the framework: models (model, complete), members (model, kind, name), xml_ids (xml_id).
+
+    ``lost``: model, last, now of models that earlier versions had (see ``symbols``), if that is known.
+    """
 
     models: DataFrame
     members: DataFrame
     xml_ids: DataFrame
+    lost: DataFrame | None = None
 
 
 def no_stubs(spark: SparkSession) -> Stubs:
@@ -164,9 +168,13 @@ def read_stubs(spark: SparkSession, path: str) -> Stubs:
 
 
 def stubs_for(spark: SparkSession, folder: str | None, version: str) -> Stubs:
-    """The stub file of a version, else of its major version; nothing if there is none."""
+    """The stub file of a version, else of its major version; a store of versions, if the folder is one; else nothing."""
     import os
 
+    from . import symbols
+
+    if folder and symbols.versions(spark, folder):
+        return symbols.load(spark, folder, version)
     for name in (version, version.split(".")[0] + ".0") if folder else ():
         path = os.path.join(folder, f"{name}.json")
         if os.path.exists(path):

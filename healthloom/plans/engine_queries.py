@@ -14,31 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import baseline, resolve, scoring
+from ..operators import baseline, resolve, scoring, symbols
 from ..operators import findings as P
-from ..session import durable, new_place
+from ..session import durable, open_folder
 from ..sources import commits, store
 from ..sources import linters as L
 from ..sources.parsed import Facts
 from ..sources.tree import read_tree
 from . import cache, fixes, generated, reports, scan
 from .config import Config
-from .rules import REGISTRY
+from .rules import REGISTRY, Project, findings_of
 from .table_queries import CATS, RAW, findings, normal, query, score_sql, scored, table
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and the executors can open as files."""
-    folder = new_place(spark, name).removeprefix("file://").removeprefix("file:")
-    if "://" in folder:
-        raise RuntimeError("source trees need a shared folder that can be opened as files")
-    os.makedirs(folder, exist_ok=True)
-    return folder
-
-
 def written_tree(spark: SparkSession, sf_dir: str) -> str:
     """The generated modules as files, one that is switched off, one that is broken, and a folder that is no module."""
-    top = shared_folder(spark, "tree")
+    top = open_folder(spark, "tree")
 
     def put(rel: str, content: bytes) -> None:
         path = os.path.join(top, rel)
@@ -72,7 +63,7 @@ def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole scan of a source tree on disk, its findings stored under the tree's fingerprint and read from there."""
     top = written_tree(spark, sf_dir)
-    kept = shared_folder(spark, "kept")
+    kept = open_folder(spark, "kept")
     result = scan.scan(spark, [top], Config(ignore_files=[]), generated.VERSION, cache_dir=kept)
     result.release()
     again = scan.scan(spark, [top], Config(ignore_files=[]), generated.VERSION, cache_dir=kept)
@@ -92,7 +83,7 @@ def source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stub_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stubs built from a tree, written as a file of their version, and read back."""
-    folder = shared_folder(spark, "stubs")
+    folder = open_folder(spark, "stubs")
     resolve.build_stubs(Facts(generated.files(spark, sf_dir)), "17.0").write.text(os.path.join(folder, "17.0.json"))
     held = resolve.stubs_for(spark, folder, "17.0.3")
     return held.members.groupBy("model", "kind").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("names"))
@@ -152,7 +143,7 @@ def sarif_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {RAW} SELECT DISTINCT sha256(concat_ws(chr(0), rule, module, file_path, '')) AS identity FROM raw")
 def baseline_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities written as a baseline file and read back."""
-    path = os.path.join(shared_folder(spark, "baseline"), "known.json")
+    path = os.path.join(open_folder(spark, "baseline"), "known.json")
     baseline.write_baseline(baseline.with_identity(normal(spark, sf_dir)), path)
     return baseline.read_baseline(spark, path)
 
@@ -275,7 +266,7 @@ def comment_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_commits(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
     """A repository with two commits of the generated modules: its folder, the earlier commit, the later one."""
-    repo = os.path.join(shared_folder(spark, "commits"), "modules.git")
+    repo = os.path.join(open_folder(spark, "commits"), "modules.git")
     earlier = commits.write_commit(generated.earlier_files(spark, sf_dir), repo, "main")
     return repo, earlier, commits.write_commit(generated.later_files(spark, sf_dir), repo, "main")
 
@@ -323,7 +314,7 @@ def commit_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many contents a store of facts had to parse: for one commit, and then for a later one."""
     repo, earlier, later = written_commits(spark, sf_dir)
-    held = store.FactStore(spark, shared_folder(spark, "store"))
+    held = store.FactStore(spark, open_folder(spark, "store"))
     of_batch = []
     for source in scan.commit_sources(spark, repo, [earlier, later]).values():
         held.fill(source.listing, source.contents)
@@ -342,12 +333,66 @@ def parsed_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan of a commit whose contents are mostly in the store already: its findings are those of a full scan."""
     repo, earlier, later = written_commits(spark, sf_dir)
-    place = shared_folder(spark, "store")
+    place = open_folder(spark, "store")
     scan.scan_commits(spark, repo, [earlier], Config(ignore_files=[]), generated.VERSION, store=place)[earlier].release()
     done = scan.scan_commits(spark, repo, [later], Config(ignore_files=[]), generated.VERSION, store=place)[later]
     return done.findings.select("module", F.expr(f"substring(file_path, {len(repo) + 2})").alias("path"), "line", "rule", "eligible")
 
 
+def written_versions(spark: SparkSession, sf_dir: str) -> str:
+    """A store of two versions: what the generated modules define, and the same later, when every seventh model has another name and every fifth is gone."""
+    folder = open_folder(spark, "symbols")
+    k = F.col("module_ord")
+    text = F.replace(F.col("content").cast("string"), F.lit(".thing'"), F.lit(".item'"))
+    text = F.replace(text, F.lit("_inherit = 'sale.order'"), F.lit("_inherit = 'sale.line'"))
+    renamed = (k % 7 == 0) & (F.col("kind") == "python")
+    old = generated.files(spark, sf_dir)
+    new = old.filter(k % 5 != 0).withColumn("content", F.when(renamed, text.cast("binary")).otherwise(F.col("content")))
+    for version, files in (("16.0", old), ("17.0", new)):
+        facts = Facts(files).settle()
+        symbols.write_version(symbols.symbols_of(facts), folder, version)
+        facts.release()
+    return folder
+
+
+@query(
+    "WITH s AS (SELECT s_suppkey AS k, s_suppkey % 5 = 0 AS gone, s_suppkey % 7 = 0 AND s_suppkey % 5 != 0 AS moved FROM supplier),"
+    # bodies are alike by number modulo six, so a rename is told if it is the only loss and the only gain among them
+    " g AS (SELECT k % 6 AS b, count(*) FILTER (gone OR moved) AS losses, count(*) FILTER (moved) AS gains FROM s GROUP BY 1)"
+    " SELECT 'g' || k || '.thing' AS model, CASE WHEN moved AND losses = 1 AND gains = 1 THEN 'renamed' ELSE 'removed' END AS change,"
+    " CASE WHEN moved AND losses = 1 AND gains = 1 THEN 'g' || k || '.item' END AS now FROM s JOIN g ON b = k % 6 WHERE gone OR moved"
+    " UNION ALL SELECT 'g' || k || '.item', 'added', NULL FROM s JOIN g ON b = k % 6 WHERE moved AND NOT (losses = 1 AND gains = 1)"
+    " UNION ALL SELECT 'sale.order', 'removed', NULL FROM s HAVING count(*) FILTER (k % 7 = 0) > 0"
+    " UNION ALL SELECT 'sale.line', 'added', NULL FROM s HAVING count(*) FILTER (moved) > 0"
+)
+def symbol_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a version of the framework lost, gained and renamed against the one before."""
+    folder = written_versions(spark, sf_dir)
+    return symbols.changes(*(symbols.part_of(spark, folder, v, "models") for v in ("16.0", "17.0")))
+
+
+@query(
+    "SELECT 'h' || s_suppkey AS module, CASE WHEN s_suppkey % 7 = 0 OR s_suppkey % 5 = 0 THEN 'gone' ELSE 'never' END AS told FROM supplier"
+    " WHERE s_suppkey % 7 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 3 = 2"
+)
+def removed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules that inherit what a version still has, has lost, or what none ever had: the rule tells the last two apart."""
+    k = F.col("s_suppkey")
+    stubs = resolve.stubs_for(spark, written_versions(spark, sf_dir), "17.0")
+    named = F.when((k % 3 == 2) & (k % 5 != 0) & (k % 7 != 0), F.concat(F.lit("never"), k.cast("string"))).otherwise(F.concat(F.lit("g"), k.cast("string"), F.lit(".thing")))
+    source = F.concat(F.lit("class B(models.Model):\n    _inherit = '"), named, F.lit("'\n")).cast("binary")
+    manifest = F.lit("{'name': 'H', 'version': '17.0.1.0', 'license': 'L'}\n").cast("binary")
+    entry = lambda rel, kind, content: F.struct(F.lit(rel).alias("rel"), F.lit(kind).alias("kind"), content.alias("content"))
+    name = F.concat(F.lit("h"), k.cast("string"))
+    rows = table(spark, sf_dir, "supplier").select(
+        name.alias("module"), F.concat(F.lit("/gen/"), name).alias("module_dir"), k.cast("int").alias("module_ord"),
+        F.inline(F.array(entry("__manifest__.py", "manifest", manifest), entry("models/m.py", "python", source))),
+    )
+    project = Project(Facts(rows.withColumn("path", F.concat_ws("/", "module_dir", "rel"))), "17.0", stubs)
+    found = findings_of(REGISTRY["removed-model-still-referenced"], project)
+    return found.select("module", F.when(F.col("message").contains("Version 16.0 had it."), "gone").otherwise("never").alias("told"))
+
+
 def _said(command: list[str], seconds: int) -> tuple[str, str, str, int]:
     """A linter that answers by the module's number: findings, no executable, too slow, no JSON, no plugin, a bad end."""
     k = int(command[-1].rpartition("g")[2])

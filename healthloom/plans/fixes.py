@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import by_value
+from ..sources.joined import write_joined
 from .rules import REGISTRY
 
 by_value(__name__)
@@ -31,6 +32,7 @@ DEFAULTS: dict[str, object] = {
 
 
 def literal(text: str) -> dict | None:
+    """The manifest, if it is a literal dictionary."""
     try:
         found = ast.literal_eval(text)
     except (ValueError, SyntaxError, RecursionError, TypeError):
@@ -38,28 +40,66 @@ def literal(text: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def written(manifest: dict) -> str:
-    """A manifest with a key per line; comments inside are not kept."""
-    body = "".join(f"    {key!r}: {value!r},\n" for key, value in manifest.items())
-    return "{\n" + body + "}\n"
+class Edits:
+    """Changes of single stretches of a literal dictionary's text; all that lies between them stays, comments too."""
 
+    def __init__(self, text: str):
+        self.text = text.encode()
+        self.node = ast.parse(text.lstrip("\ufeff"), mode="eval").body if literal(text) is not None else None
+        starts = [0]
+        for line in self.text.splitlines(keepends=True):
+            starts.append(starts[-1] + len(line))
+        self.starts = starts
+        self.changes: list[tuple[int, int, bytes]] = []
 
-def leading_comments(text: str) -> str:
-    out = ""
-    for line in text.splitlines(keepends=True):
-        if line.strip() and not line.lstrip().startswith("#"):
-            break
-        out += line
-    return out
+    def span(self, node: ast.AST) -> tuple[int, int]:
+        """Where a node begins and ends, in bytes (Python's columns are bytes too)."""
+        return self.starts[node.lineno - 1] + node.col_offset, self.starts[node.end_lineno - 1] + node.end_col_offset
+
+    def replace(self, node: ast.AST, new: bytes) -> None:
+        self.changes.append((*self.span(node), new))
+
+    def append(self, lines: list[str]) -> None:
+        """New entries, a line each, behind the last one."""
+        start, end = self.span(self.node)
+        if self.node.values:
+            at = self.span(self.node.values[-1])[1]
+            comma = b"" if _has_comma(self.text[at : end - 1]) else b","
+            self.changes.append((at, at, comma))
+        closing = self.text[start : end - 1].rstrip(b" \t")
+        new = "".join(f"    {line},\n" for line in lines).encode()
+        at = start + len(closing)
+        self.changes.append((at, end - 1, (b"" if closing.endswith(b"\n") else b"\n") + new))
+
+    def done(self) -> str:
+        out, at = [], 0
+        for start, end, new in sorted(self.changes, key=lambda c: c[:2]):
+            out += [self.text[at:start], new]
+            at = end
+        return b"".join([*out, self.text[at:]]).decode()
+
+
+def _has_comma(between: bytes) -> bool:
+    """Whether a comma stands outside of comments."""
+    return any(b"," in line.partition(b"#")[0] for line in between.splitlines())
 
 
 def fill_required(text: str) -> str | None:
-    """All missing required keys at once; the comment block on top stays.  None: not fixable."""
-    manifest = literal(text)
-    if manifest is None:
+    """Missing required keys are added behind the last entry, empty ones get their default.  None: not fixable."""
+    edits = Edits(text)
+    if edits.node is None:
         return None
-    missing = {k: v for k, v in DEFAULTS.items() if manifest.get(k) in (None, "")}
-    return leading_comments(text) + written(manifest | missing) if missing else text
+    # of a key that is there twice the last one counts
+    held = {ast.literal_eval(k): v for k, v in zip(edits.node.keys, edits.node.values)}
+    new = []
+    for key, default in DEFAULTS.items():
+        if key not in held:
+            new.append(f"{key!r}: {default!r}")
+        elif (value := ast.literal_eval(held[key])) in (None, "") and value != default:
+            edits.replace(held[key], repr(default).encode())
+    if new:
+        edits.append(new)
+    return edits.done()
 
 
 def looks_secure(path: str) -> bool:
@@ -68,13 +108,18 @@ def looks_secure(path: str) -> bool:
 
 
 def security_first(text: str) -> str | None:
-    """Security files move before the others, both in their order."""
-    manifest = literal(text)
-    files = manifest.get("data") if manifest else None
-    if not isinstance(files, list) or not all(isinstance(f, str) for f in files):
+    """Security files move before the others, both in their order; each name keeps its spelling."""
+    edits = Edits(text)
+    listed = [v for k, v in zip(edits.node.keys, edits.node.values) if ast.literal_eval(k) == "data"] if edits.node else []
+    names = listed[-1].elts if listed and isinstance(listed[-1], ast.List) else []
+    if not listed or not isinstance(listed[-1], ast.List) or not all(isinstance(ast.literal_eval(n), str) for n in names):
         return None
-    ordered = sorted(files, key=lambda f: not looks_secure(f))
-    return text if ordered == files else written(manifest | {"data": ordered})
+    ordered = sorted(names, key=lambda n: not looks_secure(ast.literal_eval(n)))
+    for place, name in zip(names, ordered):
+        if place is not name:
+            start, end = edits.span(name)
+            edits.replace(place, edits.text[start:end])
+    return edits.done()
 
 
 FIXERS: dict[str, Callable[[str], str | None]] = {
@@ -120,16 +165,50 @@ def unified(path: str, old: str, new: str) -> str:
     return "".join(difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{path}", f"b/{path}"))
 
 
-def diffs(fixes: DataFrame) -> Iterator[str]:
-    for r in fixes.filter("old_text != new_text").orderBy("path").toLocalIterator():
-        yield unified(r.path, r.old_text, r.new_text)
+def changed_files(fixes: DataFrame) -> DataFrame:
+    return fixes.filter("old_text != new_text")
+
+
+def write_diffs(fixes: DataFrame, path: str) -> None:
+    """The changes of all files as one file, in the order of their paths; each is worked out by a task."""
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in source:
+            yield pd.DataFrame({"path": batch.path, "value": [unified(*r) for r in zip(batch.path, batch.old_text, batch.new_text)]})
+
+    told = changed_files(fixes).select("path", "old_text", "new_text").mapInPandas(run, "path string, value string")
+    write_joined(told.orderBy("path").select("value"), path)
+
+
+def write_fixes(fixes: DataFrame) -> tuple[int, int]:
+    """Writes changed files in place, each by the task that holds it; how many are written, how many left alone.
 
+    A file that is not what was read any more is left alone.  A new text appears as a whole; done again after a
+    lost task it finds its own text there.
+    """
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+        import uuid
 
-def write_fixes(fixes: DataFrame) -> int:
-    """Writes changed files in place; the number of files written."""
-    n = 0
-    for r in fixes.filter("old_text != new_text").toLocalIterator():
-        with open(r.path, "w", encoding="utf-8") as f:
-            f.write(r.new_text)
-        n += 1
-    return n
+        for batch in source:
+            out = []
+            for path, old, new in zip(batch.path, batch.old_text, batch.new_text):
+                try:
+                    with open(path, "rb") as f:
+                        now = f.read()
+                    if now == old.encode():
+                        made = f"{path}.{uuid.uuid4().hex}"
+                        with open(made, "wb") as f:
+                            f.write(new.encode())
+                        os.chmod(made, os.stat(path).st_mode)
+                        os.replace(made, path)
+                        now = new.encode()
+                    out.append(now == new.encode())
+                except OSError:
+                    out.append(False)
+            yield pd.DataFrame({"written": out})
+
+    done = changed_files(fixes).select("path", "old_text", "new_text").mapInPandas(run, "written boolean")
+    told = done.agg(F.count_if("written").alias("written"), F.count_if(~F.col("written")).alias("left")).first()
+    return told.written, told.left

@@ -156,7 +156,7 @@ TEXTS = {
     ),
     "removed-model-still-referenced": (
         "Model '{name}' not found in version {version}",
-        "Model '{name}' is inherited but could not be resolved in the project or the stubs of version {version}. It may have been removed, renamed, or belongs to an unscanned dependency.",
+        "Model '{name}' is inherited but could not be resolved in the project or the stubs of version {version}. It may have been removed, renamed, or belongs to an unscanned dependency.{history}",
         "Verify that '{name}' still exists in version {version}. If it was removed or renamed, update your _inherit declaration.",
     ),
     "asset-bundle-missing": (
@@ -549,7 +549,14 @@ def removed_model(p: Project) -> DataFrame:
     rows = p.facts.models.select("module", "path", "line", F.lit(0).alias("col"), F.col("name").alias("own"), F.posexplode("inherit").alias("n", "name"))
     asked = rows.filter(~F.col("name").eqNullSafe(F.col("own")))
     # the version is part of the texts
-    return p.resolver.models(asked, "name").filter(F.col("status") != R.FOUND).join(p.versions, "module", "left")
+    rows = p.resolver.models(asked, "name").filter(F.col("status") != R.FOUND).join(p.versions, "module", "left")
+    lost = p.resolver.stubs.lost
+    if lost is None:
+        return rows.withColumn("history", F.lit(""))
+    # a store of versions tells what is gone from what was never known
+    now = F.when(F.col("now").isNotNull(), filled(" '{now}' has the same members now.")).otherwise("")
+    told = lost.select(F.col("model").alias("name"), F.concat(filled(" Version {last} had it."), now).alias("history"))
+    return rows.join(told, "name", "left")
 
 
 @rule("asset-bundle-missing", "Frontend", "P2", "warning", "high", min_version="15.0")

@@ -35,12 +35,36 @@ def new_place(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def open_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that the driver and the executors can open as files."""
+    folder = new_place(spark, name).removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise RuntimeError("files need a shared folder that can be opened as such; spark.checkpoint.dir names none")
+    os.makedirs(folder, exist_ok=True)
+    return folder
+
+
 def gone(spark: SparkSession, path: str) -> None:
     """Removes what this library has written there, through Spark's file system."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder; nothing may be at ``target``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if not path(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(source), path(target)):
+        gone(spark, source)
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds, by name."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(place)) if system.exists(place) else []
+
+
 def there(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

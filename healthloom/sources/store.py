@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import durable, gone, there
+from ..session import durable, moved, there
 from . import other_facts, parsed, python_facts
 
 #: What tells a content: its name, and the kind of file that it is parsed as.
@@ -69,14 +69,7 @@ class FactStore:
         head = ", ".join(f"{k} string" for k in KEYS)
         made = f"{self.place}/_{uuid.uuid4().hex}"  # a name that readers pass over
         parsed.write_by_fact(parsed.typed(parsed.parse_files(contents, head, mark=DONE)), made)
-        self._moved(made, f"{self.place}/batch=b{uuid.uuid4().hex}")
-
-    def _moved(self, source: str, target: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        system = path(source).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not system.rename(path(source), path(target)):
-            gone(self.spark, source)
-            raise OSError(f"{source} could not be moved to {target}")
+        moved(self.spark, made, f"{self.place}/batch=b{uuid.uuid4().hex}")
 
     def fill(self, listing: DataFrame, contents: Callable[[DataFrame], DataFrame]) -> None:
         """Parses what ``listing`` (path, kind, digest) names and the store lacks, each content once.

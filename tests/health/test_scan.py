@@ -45,7 +45,11 @@ def test_end_to_end(project, scanned):
     body = reports.comment_body(result, delta="+1.0")
     assert "▲ +1.0 vs base" in body and "| bad |" in body
     assert reports.comment_action([{"id": 5, "body": body}]) == ("update", "5") and reports.comment_action([]) == ("create", None)
-    assert "Findings for bad" in reports.terminal_report(result)
+    shown = reports.terminal_report(result).splitlines()
+    assert shown[0].startswith("== bad: ") and "== good: 100.0 of 100, Excellent" in shown
+    at = next(k for k, line in enumerate(shown) if line.startswith("== 2 modules: "))
+    assert len([x for x in shown if x.startswith("      -> ")]) == len(found) and shown[at + 1].startswith("   1. bad: ")
+    assert len(shown) == at + 1 + min(5, len(found))
 
 
 def test_config_settings_apply(project, scanned):
@@ -84,7 +88,53 @@ def test_fixes(module, scanned):
     assert fixed["license"] == "LGPL-3" and fixed["data"] == ["security/b.xml", "views/a.xml"] and row.fixed == 2
     assert fixes.fill_required(row.new_text) == row.new_text and fixes.security_first(row.new_text) == row.new_text
     assert fixes.fill_required("# head\n{}").startswith("# head\n{") and fixes.fill_required("f()") is None
-    assert "+++" in next(fixes.diffs(fixes.compute_fixes(result.findings, result.facts.files)))
+    made = fixes.compute_fixes(result.findings, result.facts.files).persist()
+    assert reports.text_of(fixes.write_diffs, made).count("+++ b/") == 1
+    (m / "__manifest__.py").write_text("{'name': 'edited'}\n")
+    assert fixes.write_fixes(made) == (0, 1)
+    (m / "__manifest__.py").write_text(row.old_text)
+    assert fixes.write_fixes(made) == (1, 0) and (m / "__manifest__.py").read_text() == row.new_text
+    assert fixes.write_fixes(made) == (1, 0) and len(list(m.iterdir())) == 1
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "{}", "{\n}\n", "{'name': 'x'}", "{'name': 'x',}", "# a\n{\n    'name': 'é',  # why, oh\n    # last, word\n}\n# end\n",
+        "{'name': None, 'depends': '', 'data': [\n  'a.xml',  # first\n  'security/b.csv',\n]}", "{'name': 'x', 'license': 'L', 'license': ''}",
+        "{'a': (1,\n 2)  # no comma\n}", "{'data': ['v/a.xml', 'v/groups.xml', 'security/x.csv'], 'x': {'y': [1]}}\r\n",
+    ],
+)
+def test_fixers_change_nothing_else(text):
+    before = fixes.literal(text)
+    new = fixes.fill_required(text)
+    filled = fixes.literal(new)
+    assert {k: v for k, v in filled.items() if k not in fixes.DEFAULTS} == {k: v for k, v in before.items() if k not in fixes.DEFAULTS}
+    assert all(filled[k] == (before[k] if before.get(k) not in (None, "") else v) for k, v in fixes.DEFAULTS.items())
+    assert fixes.fill_required(new) == new
+    comments = lambda t: [x.partition("#")[2] for x in t.splitlines() if "#" in x]
+    assert comments(new) == comments(text)
+    ordered = fixes.security_first(new)
+    files = fixes.literal(ordered)["data"]
+    assert files == sorted(filled["data"], key=lambda f: not fixes.looks_secure(f)) and comments(ordered) == comments(text)
+    assert fixes.security_first(ordered) == ordered
+
+
+def test_joined_text(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from healthloom.sources.joined import write_joined
+
+    path = tmp_path / "out.json"
+    rows = spark.range(1000).repartition(7).orderBy("id").select(F.col("id").cast("string"))
+    write_joined(rows, str(path), "[", ",", "]")
+    assert json.loads(path.read_text()) == list(range(1000))
+    broken = rows.select(F.when(F.col("id") == "777", F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        write_joined(broken, str(path), "[", ",", "]")
+    assert json.loads(path.read_text()) == list(range(1000)) and [p.name for p in tmp_path.iterdir()] == ["out.json"]
+    write_joined(rows.filter("false"), str(path), "[", ",", "]")
+    assert path.read_text() == "[]"
 
 
 def test_linters(module, scanned, spark):

@@ -110,6 +110,11 @@ def test_baseline_file(make, spark, tmp_path):
     baseline.write_baseline(rows.filter("rule = 'r'"), path)
     assert [r.rule for r in baseline.filter_known(rows, baseline.read_baseline(spark, path)).collect()] == ["s"]
     assert baseline.read_baseline(spark, str(tmp_path / "none")).count() == 0
+    # a file of another hand, and a broken one
+    (tmp_path / "b.json").write_text('{"version": 1, "ids": ["a", "b"], "more": {}}')
+    assert sorted(r.identity for r in baseline.read_baseline(spark, str(tmp_path / "b.json")).collect()) == ["a", "b"]
+    (tmp_path / "b.json").write_text('{"version": 1, "ids": ["a"')
+    assert baseline.read_baseline(spark, str(tmp_path / "b.json")).count() == 0
 
 
 def test_candidates_in_order(spark):
