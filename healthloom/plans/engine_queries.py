@@ -21,6 +21,7 @@ from ..sources import commits, store
 from ..sources import linters as L
 from ..sources.parsed import Facts
 from ..sources.tree import read_tree
+from ..streaming import trees
 from . import cache, fixes, generated, reports, scan
 from .config import Config
 from .rules import REGISTRY, Project, findings_of
@@ -393,6 +394,28 @@ def removed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("module", F.when(F.col("message").contains("Version 16.0 had it."), "gone").otherwise("never").alias("told"))
 
 
+CALL_RULES = ", ".join(f"'{r.name}'" for r in REGISTRY.values() if r.when)
+
+
+@query(
+    f"WITH {generated._expected()}, told AS (SELECT module, regexp_replace(file_path, '^/gen/', '') AS path, rule, line FROM found WHERE rule IN ({CALL_RULES})"
+    # comments that suppress are the scan's business
+    " UNION ALL SELECT 'g' || s_suppkey, 'g' || s_suppkey || '/models/m.py', 'missing-translation', 7 FROM supplier WHERE s_suppkey % 6 = 5)"
+    f" SELECT path, rule, line, 1::BIGINT AS found, ({OF} % 11 != 0 AND {OF} % 13 = 0)::BIGINT AS fixed FROM told WHERE {OF} % 11 != 0 OR {OF} % 13 != 0"
+)
+def branch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A branch followed over two commits: how often each finding of single calls came and went."""
+    repo, place = os.path.join(open_folder(spark, "commits"), "modules.git"), open_folder(spark, "stream")
+    for files in (generated.earlier_files(spark, sf_dir), generated.later_files(spark, sf_dir)):
+        commits.write_commit(files, repo, "main")
+        told = trees.findings_stream(trees.branch_changes(spark, repo, "main")).writeStream.format("parquet")
+        q = told.option("path", f"{place}/told").option("checkpointLocation", f"{place}/held").start()
+        q.processAllAvailable()
+        q.stop()
+    rows = spark.read.parquet(f"{place}/told").select(F.expr(f"substring(path, {len(repo) + 2})").alias("path"), "rule", "line", "change")
+    return rows.groupBy("path", "rule", "line").agg(F.count_if(F.col("change") == "found").alias("found"), F.count_if(F.col("change") == "fixed").alias("fixed"))
+
+
 def _said(command: list[str], seconds: int) -> tuple[str, str, str, int]:
     """A linter that answers by the module's number: findings, no executable, too slow, no JSON, no plugin, a bad end."""
     k = int(command[-1].rpartition("g")[2])
