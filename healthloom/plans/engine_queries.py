@@ -444,6 +444,72 @@ def linter_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("module", "rule", "category", "tier", "confidence", "severity", "line", about.alias("about"))
 
 
+def _said_in_lines(command: list[str], seconds: int) -> tuple[str, str, str, int]:
+    """A linter with a line for each finding, by the module's number: two findings and noise, none, no plugin."""
+    folder, k = command[-1], int(command[-1].rpartition("g")[2])
+    lines = f"************* Module g{k}\n{folder}/m.py:{k + 1}:4: E8103: SQL injection (sql-injection)\nnoise: 1\n  {folder}/m.py:9:0: C0103: Bad name (invalid-name)\n"
+    return (("ok", lines, "", 4), ("ok", "", "", 0), ("ok", "", "ImportError: No module named pylint_odoo", 1))[k % 3]
+
+
+@query(
+    "SELECT 'g' || s_suppkey AS module, path, rule, category, tier, confidence, severity, line::INT AS line, col::INT AS col, about FROM (SELECT s_suppkey, '/gen/g' || s_suppkey AS d FROM supplier),"
+    " LATERAL (VALUES (0, d || '/m.py', 'E8103', 'Security', 'P0', 'high', 'error', s_suppkey + 1, 4, 'SQL injection'), (0, d || '/m.py', 'C0103', 'Uncategorized', 'P3', 'low', 'warning', 9, 0, 'Bad name'),"
+    " (2, d, 'pylint-odoo-unavailable', 'Uncategorized', 'P3', 'low', 'warning', 0, 0, 'not installed')) v(m, path, rule, category, tier, confidence, severity, line, col, about) WHERE s_suppkey % 3 = m"
+)
+def linter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter of the linter that answers in lines of text."""
+    name = F.concat(F.lit("g"), F.col("s_suppkey").cast("string"))
+    modules = table(spark, sf_dir, "supplier").select(name.alias("module"), F.concat(F.lit("/gen/"), name).alias("module_dir"))
+    found = L.lint(modules, L.PYLINT, "17.0", run=_said_in_lines)
+    about = F.coalesce(F.nullif(F.regexp_extract("message", "not installed", 0), F.lit("")), F.col("message"))
+    return found.select("module", F.col("file_path").alias("path"), "rule", "category", "tier", "confidence", "severity", "line", F.col("column").alias("col"), about.alias("about"))
+
+
+@query(
+    "SELECT '/gen/g' || s_suppkey || '/' || rel AS path, 'the file could not be opened' AS reason FROM supplier"
+    " JOIN (VALUES (1, 'models/m.py'), (2, 'views/v.xml'), (3, 'security/ir.model.access.csv')) v(m, rel) ON s_suppkey % 5 = m"
+)
+def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that can't be opened are named; bytes that are no UTF-8 are no fault."""
+    k, rel = F.col("module_ord") % 5, F.col("rel")
+    lost = (k == 1) & (rel == "models/m.py") | (k == 2) & (rel == "views/v.xml") | (k == 3) & rel.endswith(".csv")
+    odd = F.concat(F.col("content"), F.unhex(F.lit("23FFFE0A")))
+    changed = F.when(lost, F.lit(None).cast("binary")).when((k == 4) & (F.col("kind") != "xml"), odd).otherwise(F.col("content"))
+    return Facts(generated.files(spark, sf_dir).withColumn("content", changed)).unreadable.select("path", "reason")
+
+
+@query(
+    f"WITH {generated._expected()}, {generated.CATEGORY_SQL}, s AS (SELECT m.module, c.category, c.ord, coalesce(n, 0) AS n, greatest(0, trunc(100 - round(coalesce(points, 0) * weight, 6)))::INT AS score"
+    " FROM (SELECT 'g' || s_suppkey AS module FROM supplier) m CROSS JOIN (SELECT *, row_number() OVER () AS ord FROM cats) c LEFT JOIN (SELECT module, category, count(*) AS n,"
+    f" sum(CASE tier {' '.join(f"WHEN '{t}' THEN {p}" for t, p in P.TIERS.items())} END) AS points FROM found WHERE eligible GROUP BY ALL) f ON f.module = m.module AND f.category = c.category)"
+    " SELECT module, coalesce(string_agg(category || ' ' || score || ' (' || n || ')', ', ' ORDER BY ord) FILTER (score < 100), '') AS lost,"
+    " (SELECT count(*) FROM found f WHERE f.module = s.module)::BIGINT AS findings FROM s GROUP BY module"
+)
+def terminal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of modules in the terminal's report, read back from the file that executors wrote."""
+    path = os.path.join(open_folder(spark, "report"), "terminal.txt")
+    reports.write_terminal(result_of(spark, sf_dir), path)
+    blocks = spark.read.option("lineSep", "== ").text(path).filter("value RLIKE '^g[0-9]+: '")
+    lines = F.split("value", "\n")
+    findings = F.size(F.filter(lines, lambda x: x.startswith("      -> "))).cast("long")
+    shown = blocks.select(F.substring_index("value", ":", 1).alias("module"), F.try_element_at(F.filter(lines, lambda x: x.rlike(r"^   [A-Z][A-Za-z ]+ \d+ \(")), F.lit(1)).alias("l"), findings.alias("findings"))
+    return shown.select("module", F.coalesce(F.trim("l"), F.lit("")).alias("lost"), "findings")
+
+
+@query(
+    "SELECT '/gen/g' || s_suppkey || '/__manifest__.py' AS path, (s_suppkey % 4 = 0) AS license_added, (s_suppkey % 3 = 0) AS files_moved, true AS one_line FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 3 = 0"
+)
+def fix_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fixers would change, as one file of diffs that executors wrote."""
+    facts, found = generated.scanned(spark, sf_dir)
+    path = os.path.join(open_folder(spark, "diffs"), "fixes.diff")
+    fixes.write_diffs(fixes.compute_fixes(found, facts.files), path)
+    blocks = spark.read.option("lineSep", "--- a/").text(path).filter("value != ''")
+    line = lambda mark: F.array_join(F.filter(F.split("value", "\n"), lambda x: x.startswith(mark) & ~x.startswith("+++")), "\n")
+    held = blocks.select(F.substring_index("value", "\n", 1).alias("path"), line("+").alias("new"), line("-").alias("old"))
+    return held.select("path", F.col("new").contains("'license': 'LGPL-3'").alias("license_added"), (F.instr("old", "security/") > F.instr("old", "views/")).alias("files_moved"), (F.col("old").contains("\n") == F.lit(False)).alias("one_line"))
+
+
 @query(f"SELECT count(*)::BIGINT AS rules, {len(REGISTRY)}::BIGINT AS registered, 2::BIGINT AS fixable FROM range({len(REGISTRY)})")
 def rule_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gates' table has a row per rule."""
