@@ -117,12 +117,14 @@ def complete_models(edges: DataFrame, leaves: DataFrame, tables: Tables | None =
     outside = leaves.select("model", "complete").join(own, F.col("model") == F.col("node"), "left_anti")
     bare = own.join(steps, "node", "left_anti").select("node", F.lit(True).alias("fine"))
     fine = tables.put(bare.unionByName(outside.select(F.col("model").alias("node"), F.col("complete").alias("fine"))))
+    if not steps.take(1):  # nothing is inherited
+        return fine.select(F.col("node").alias("model"), F.col("fine").alias("complete"))
     heads = chain_heads(steps, tables)
     ends = heads.select(F.col("node").alias("parent"), "head", F.lit(True).alias("chained"))
     several = steps.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
     forks = steps.join(several, "node", "left_semi").join(ends, "parent", "left")
     forks = tables.put(forks.select(F.col("node").alias("root"), F.when(F.col("chained"), F.col("head")).otherwise(F.col("parent")).alias("node")))
-    bad = forked_in_vain(forks, fine, tables)
+    bad = forked_in_vain(forks, fine, tables) if forks.take(1) else forks.select("root")
     sound = forks.select("root").distinct().join(bad, "root", "left_anti").select(F.col("root").alias("node"), F.lit(True).alias("fine"))
     status = fine.unionByName(sound).select(F.col("node").alias("end"), "fine")
     ended = own.join(heads.withColumn("chained", F.lit(True)), "node", "left")
