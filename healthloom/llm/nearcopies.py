@@ -19,9 +19,9 @@ size, so groups are contracted first.  In each bucket of equal segments every
 text is paired with the least one only, the pairs are verified, and what hangs
 together is a *class*.  A class then enters a bucket once, however many members
 it has there, and a class is never paired with itself.  Where a bucket brings two
-classes (or a class and a text) together, first two members of each are compared.
-Where no such link joins the two, all their members in the bucket are brought
-back.  So every two groups that any link joins are joined; links inside a class
+classes (or a class and a text) together, two members of each are compared in
+each of ``ROUNDS`` rounds, and what has come together leaves.  Where rounds do not
+join the two, all their members in the bucket are brought back.  So every two groups that any link joins are joined; links inside a class
 change nothing.
 
 Equal fingerprints are one node.  Groups are the connected components of the
@@ -54,6 +54,8 @@ FIND_WORDS, FIND = 2, 6
 JUDGE_WORDS, JUDGE = 5, 8
 MOST_BITS = 88
 CHECK_BITS = 20
+#: Rounds in which two members of each class are compared before all are.
+ROUNDS = 4
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -161,33 +163,43 @@ def between(nodes: DataFrame) -> DataFrame:
     """Verified links (a, b) between ``nodes`` of different classes (node, find, judge, class; a null class is a node alone).
 
     A class hangs together already, so links are only sought until two classes
-    do as well: first between two members of each class in a bucket, then, where
-    those are not linked, between all of them that are in the bucket.
+    do as well.  In each of ``ROUNDS`` rounds two members of each class in a
+    bucket are compared, other ones each time; what has come together leaves,
+    also by way of other classes.  Where rounds leave two classes apart, all
+    their members in the bucket are compared.
     """
     entered = entries(nodes)
     tables = {"p": probes(entered), "e": entered}
     alone, members = {}, {}
     for side, table in tables.items():
         node = F.col("node")
-        single = table.filter("class IS NULL").select("key", node.alias("class"), "check", node.alias("first"), node.alias("last"))
+        single = table.filter("class IS NULL").select("key", node.alias("class"), "check", F.array_repeat(node, 2 * ROUNDS).alias("picks"))
         members[side] = table.filter("class IS NOT NULL").select("key", "class", "node", "check")
         # a class stands in a bucket once; its members' checks are looked at when they are brought back
-        once = members[side].groupBy("key", "class").agg(F.lit(None).cast("long").alias("check"), F.min("node").alias("first"), F.max("node").alias("last"))
-        named = [F.col(c).alias(f"{side}_{c}") for c in ("class", "check", "first", "last")]
-        alone[side] = single.unionByName(once).select("key", *named)
+        picks = F.array(F.min("node"), F.max("node"), *[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(2 * ROUNDS - 2)])
+        once = members[side].groupBy("key", "class").agg(F.lit(None).cast("long").alias("check"), picks.alias("picks"))
+        alone[side] = single.unionByName(once).select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("class", "check", "picks")])
     far = F.bit_count(F.col("p_check").bitwiseXOR(F.col("e_check"))) > CHECK_BITS
     met = alone["p"].join(alone["e"], "key").filter((F.col("p_class") != F.col("e_class")) & ~F.coalesce(far, F.lit(False)))
-    met = cut(met)
-    ends = lambda at: F.struct(F.least(f"p_{at}", f"e_{at}").alias("a"), F.greatest(f"p_{at}", f"e_{at}").alias("b"), "p_class", "e_class")
-    asked = cut(met.select(F.inline(F.array(ends("first"), ends("last")))).distinct())
-    some = cut(verified(cut(asked.select("a", "b").distinct()), nodes))
-    joined = components(asked.join(some, ["a", "b"]).select(F.col("p_class").alias("a"), F.col("e_class").alias("b")))
-    for side in ("p", "e"):
-        now = joined.select(F.col("node").alias(f"{side}_class"), F.col("root").alias(f"{side}_now"))
-        met = met.join(now, f"{side}_class", "left")
-    # nodes alone have been looked at: only what stands for more than one node is left to be brought back
-    apart = ~F.coalesce(F.col("p_now") == F.col("e_now"), F.lit(False)) & (F.col("p_check").isNull() | F.col("e_check").isNull())
-    met = cut(met.filter(apart).drop("p_first", "p_last", "e_first", "e_last", "p_now", "e_now"))
+    met = cut(met.withColumns({"p_root": F.col("p_class"), "e_root": F.col("e_class")}))
+    known = None
+    for k in range(ROUNDS):
+        ends = lambda at: F.struct(
+            F.least(F.get("p_picks", F.lit(at)), F.get("e_picks", F.lit(at))).alias("a"),
+            F.greatest(F.get("p_picks", F.lit(at)), F.get("e_picks", F.lit(at))).alias("b"), "p_root", "e_root",
+        )
+        asked = cut(met.select(F.inline(F.array(ends(2 * k), ends(2 * k + 1)))).distinct())
+        some = cut(verified(cut(asked.select("a", "b").distinct()), nodes))
+        known = some if known is None else known.unionByName(some)
+        joined = components(asked.join(some, ["a", "b"]).select(F.col("p_root").alias("a"), F.col("e_root").alias("b")))
+        for side in ("p", "e"):
+            now = joined.select(F.col("node").alias(f"{side}_root"), F.col("root").alias(f"{side}_now"))
+            met = met.join(now, f"{side}_root", "left").withColumn(f"{side}_root", F.coalesce(f"{side}_now", f"{side}_root")).drop(f"{side}_now")
+        # nodes alone have been looked at: what is left stands for more than one node
+        met = cut(met.filter((F.col("p_root") != F.col("e_root")) & (F.col("p_check").isNull() | F.col("e_check").isNull())))
+        if not met.take(1):
+            return known.distinct()
+    met = met.select("key", "p_class", "p_check", "e_class", "e_check")
     for side in ("p", "e"):
         named = cut(met.filter(f"{side}_check IS NULL").select("key", F.col(f"{side}_class").alias("class")).distinct())
         back = KeyFilter(named, ["key", "class"]).passed(members[side], ["key", "class"])
@@ -197,7 +209,7 @@ def between(nodes: DataFrame) -> DataFrame:
         )
     a, b = F.col("p_class"), F.col("e_class")
     pairs = cut(met.filter(~far).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    return some.unionByName(cut(verified(pairs.join(some, ["a", "b"], "left_anti"), nodes)))
+    return known.unionByName(cut(verified(pairs.join(known, ["a", "b"], "left_anti"), nodes))).distinct()
 
 
 def grouped(docs: DataFrame) -> DataFrame:
