@@ -12,13 +12,15 @@ of every character kept up to date by the one that enters and the one that
 leaves, and with it the sum of c * log2(c), from which Shannon's entropy
 follows.  A candidate's class (hexadecimal, alphanumeric, base 64) sets the
 threshold.  The span runs from the first window that reaches it to the end of
-the last.  Allow-listed shapes (identifiers like UUIDs, placeholders, runs
-without a digit or without a letter) are suppressed, and so is what overlaps a
-base span.
+the last.  Placeholder words, identifiers like UUIDs and base spans are taken out
+first: what stands beside them is a candidate by itself, so a key behind
+``example/`` or ``dummy_`` is found.  Candidates without a digit or without a
+letter are suppressed.
 
 Defined cases: a null text is empty; a text without matches has no spans and
 the hash of the empty string; spans that tie on their start go by kind; a very
-long text is scanned whole, and many matches cost little more than few; repeated
+long text is scanned whole, many matches cost little more than few, and one long
+run costs in proportion to its length; repeated
 rows and null ids are reported each; an empty table gives no rows; other columns
 are ignored, whatever their names.
 """
@@ -46,13 +48,13 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Entropy in bits per character of a window that a class must reach.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
-#: Allow list, matched on the whole candidate.
-ALLOWED = (
-    r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
-    r"[^0-9]*",
-    r"[^A-Za-z]*",
-    r"(?i).*(?:example|placeholder|changeme|dummy|xxxx|0123456789|abcdefgh).*",
+#: Allow list: what is taken out of a text before candidates are looked for, with its length in characters ...
+TAKEN_OUT = (
+    (r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", 36),
+    *((f"(?i){word}", len(word)) for word in ("example", "placeholder", "changeme", "dummy", "xxxx", "0123456789", "abcdefgh")),
 )
+#: ... and what is suppressed where a whole candidate is like that.
+ALLOWED = (r"[^0-9]*", r"[^A-Za-z]*")
 
 _NONE = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -151,22 +153,33 @@ def high_entropy(text: Column, base: Column, window: int = WINDOW) -> Column:
             .otherwise(THRESHOLDS["base64"])
         )
 
+    masked = text
+    for pattern, size in TAKEN_OUT:
+        masked = F.regexp_replace(masked, pattern, " " * size)
+
+    def pieces(m: Column) -> Column:
+        """What base spans leave of a candidate."""
+
+        def cut_at(spans: Column) -> Column:
+            # what came before ends where the last of all earlier spans ends
+            begins = F.transform(spans, lambda b, k: F.greatest(m["start"], F.array_max(F.transform(F.slice(spans, F.lit(1), k + 1), lambda x: x["stop"]))))
+            rows = F.arrays_zip(F.concat(F.array(m["start"]), begins).alias("a"), F.concat(F.transform(spans, lambda b: b["start"]), F.array(m["stop"])).alias("b"))
+            long = F.filter(rows, lambda r: r["b"] - r["a"] >= window)
+            return F.transform(long, lambda r: F.struct(r["a"].alias("start"), F.substring(m["part"], r["a"] - m["start"] + 1, r["b"] - r["a"]).alias("part")))
+
+        over = F.array_sort(F.filter(base, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
+        return F.when(F.size(over) == 0, F.array(F.struct(m["start"].alias("start"), m["part"].alias("part")))).otherwise(let(over, cut_at))
+
     allowed = "^(?:" + "|".join(ALLOWED) + ")$"
-    candidates = F.filter(
-        placed(text, CANDIDATE),
-        lambda m: ~m["part"].rlike(allowed) & ~F.exists(base, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])),
-    )
+    candidates = F.filter(F.flatten(F.transform(placed(masked, CANDIDATE), pieces)), lambda m: ~m["part"].rlike(allowed))
 
     def span(m: Column) -> Column:
-        return let(
-            entropy_run(m["part"], threshold(m["part"]), window),
-            lambda e: F.when(
-                e.isNotNull(),
-                F.struct(
-                    (m["start"] + e["start"]).alias("start"), F.lit(3).alias("kind"), (m["start"] + e["stop"]).alias("stop")
-                ),
-            ),
-        )
+        def placed_in_text(e: Column) -> Column:
+            at = F.struct((m["start"] + e["start"]).alias("start"), F.lit(3).alias("kind"), (m["start"] + e["stop"]).alias("stop"))
+            return F.when(e.isNotNull(), at)
+
+        # the threshold is worked out once, not at every character: its patterns read the whole candidate
+        return let(threshold(m["part"]), lambda t: let(entropy_run(m["part"], t, window), placed_in_text))
 
     found = F.filter(F.transform(candidates, span), lambda s: s.isNotNull())
     return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast(_NONE))
@@ -219,11 +232,15 @@ def oracle() -> str:
     """DuckDB SQL for ``op8_secret_spans``: matches between gaps, and every window's entropy from counts made anew."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
 
-    def matches(name: str, pattern: str, group: int = 0) -> str:
+    masked = "s"
+    for pattern, size in TAKEN_OUT:
+        masked = f"regexp_replace({masked}, {quoted(pattern)}, '{' ' * size}', 'g')"
+
+    def matches(name: str, pattern: str, group: int = 0, table: str = "t") -> str:
         p = quoted(pattern)
         return f"""{name}_m AS (
   SELECT doc_id, unnest(string_split_regex(s, {p})) AS gap, unnest(regexp_extract_all(s, {p})) AS m, unnest(regexp_extract_all(s, {p}, {group})) AS part,
-         generate_subscripts(string_split_regex(s, {p}), 1) AS i FROM t WHERE regexp_matches(s, {p})
+         generate_subscripts(string_split_regex(s, {p}), 1) AS i FROM {table} WHERE regexp_matches(s, {p})
 ), {name} AS (
   SELECT doc_id, part, i, sum(length(gap) + length(m)) OVER w - length(m) AS start, sum(length(gap) + length(m)) OVER w AS stop
   FROM {name}_m WHERE m IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i)
@@ -233,13 +250,26 @@ def oracle() -> str:
     spelled_as = "string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop)"
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents
-), {matches("assign", ASSIGN, 2)}, {matches("access", ACCESS)}, {matches("hexes", HEX)}, {matches("candidate", CANDIDATE)}, base AS (
+), u AS (SELECT doc_id, {masked} AS s FROM t
+), {matches("assign", ASSIGN, 2)}, {matches("access", ACCESS)}, {matches("hexes", HEX)}, {matches("candidate", CANDIDATE, table="u")}, base AS (
   SELECT doc_id, 0 AS kind, 'assign' AS name, start, stop FROM assign WHERE length(part) >= {ASSIGN_LEAST}
   UNION ALL SELECT doc_id, 1, 'access', start, stop FROM access UNION ALL SELECT doc_id, 2, 'hex', start, stop FROM hexes
+), over AS (
+  SELECT c.doc_id, c.i, c.start AS c_start, c.stop AS c_stop, b.start, b.stop, row_number() OVER w AS k,
+         max(b.stop) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM candidate c JOIN base b ON b.doc_id IS NOT DISTINCT FROM c.doc_id AND b.start < c.stop AND c.start < b.stop
+  WINDOW w AS (PARTITION BY c.doc_id, c.i ORDER BY b.start, b.kind, b.stop)
+), free AS (
+  SELECT doc_id, i, c_start, greatest(c_start, coalesce(before, c_start)) AS a, start AS b FROM over
+  UNION ALL SELECT doc_id, i, c_start, greatest(c_start, max(stop)), max(c_stop) FROM over GROUP BY doc_id, i, c_start
+  UNION ALL SELECT doc_id, i, start, start, stop FROM candidate c WHERE NOT EXISTS (SELECT 1 FROM over o WHERE o.doc_id IS NOT DISTINCT FROM c.doc_id AND o.i = c.i)
+), piece AS (
+  SELECT f.doc_id, f.i * 1000000 + f.a AS i, f.a AS start, substr(c.part, (f.a - f.c_start + 1)::BIGINT, (f.b - f.a)::BIGINT) AS part
+  FROM free f JOIN candidate c ON c.doc_id IS NOT DISTINCT FROM f.doc_id AND c.i = f.i WHERE f.b - f.a >= {WINDOW}
 ), held AS (
   SELECT doc_id, i, part, start, CASE WHEN regexp_full_match(part, '[0-9A-Fa-f]+') THEN {THRESHOLDS["hex"]}
       WHEN regexp_full_match(part, '[A-Za-z0-9]+') THEN {THRESHOLDS["alnum"]} ELSE {THRESHOLDS["base64"]} END AS least
-  FROM candidate c WHERE NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id IS NOT DISTINCT FROM c.doc_id AND b.start < c.stop AND c.start < b.stop)
+  FROM piece WHERE NOT ({allowed})
 ), windows AS (
   SELECT doc_id, i, start, least, part, unnest(range(0, length(part) - {WINDOW - 1})) AS first FROM held
 ), letters AS (
