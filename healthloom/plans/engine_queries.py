@@ -1,8 +1,8 @@
 """Queries that take the engine's remaining operators over modules written from ``supplier`` (see ``generated.py``)
 or over small made-up graphs, each with a DuckDB twin.
 
-Trees are written to the shared folder, a module at a time, and read back
-through the ``module_tree`` source.
+Trees and commits are written to the shared folder by executors and read back
+through the sources ``module_tree`` and ``commit_tree``.
 """
 
 from __future__ import annotations
@@ -28,23 +28,30 @@ from .rules import REGISTRY, Project, findings_of
 from .table_queries import CATS, RAW, findings, normal, query, score_sql, scored, table
 
 
+def put_files(rows: DataFrame, top: str) -> None:
+    """Writes ``rows`` (rel, content) as files below ``top``, each by the task that holds it."""
+
+    def run(source):
+        for batch in source:
+            for rel, content in zip(batch.rel, batch.content):
+                path = os.path.join(top, rel)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write(content)
+            yield batch[["rel"]]
+
+    rows.select("rel", "content").mapInPandas(run, "rel string").count()
+
+
 def written_tree(spark: SparkSession, sf_dir: str) -> str:
     """The generated modules as files, one that is switched off, one that is broken, and a folder that is no module."""
     top = open_folder(spark, "tree")
-
-    def put(rel: str, content: bytes) -> None:
-        path = os.path.join(top, rel)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(content)
-
-    for r in generated.files(spark, sf_dir).select("module", "rel", "content").toLocalIterator():
-        put(f"{r.module}/{r.rel}", bytes(r.content))
-        if r.rel == "__manifest__.py" and int(r.module[1:]) % 9 == 0:
-            put(f"{r.module}/static/readme.txt", b"read me")
-    put("off/__manifest__.py", b"{'name': 'off', 'installable': False}")
-    put("broken/__manifest__.py", b"{'name': ")
-    put("plain/notes.py", b"x = 1\n")
+    files = generated.files(spark, sf_dir)
+    every = files.select(F.concat_ws("/", "module", "rel").alias("rel"), "content")
+    ninth = files.filter((F.col("kind") == "manifest") & (F.col("module_ord") % 9 == 0))
+    more = ninth.select(F.concat("module", F.lit("/static/readme.txt")).alias("rel"), F.lit(b"read me").alias("content"))
+    odd = [("off/__manifest__.py", b"{'name': 'off', 'installable': False}"), ("broken/__manifest__.py", b"{'name': "), ("plain/notes.py", b"x = 1\n")]
+    put_files(every.unionByName(more).unionByName(spark.createDataFrame(odd, "rel string, content binary")), top)
     return top
 
 
