@@ -82,6 +82,18 @@ def test_worked_scores(spark):
     assert score(spark, [("Security", "P0")], []).overall == 100.0
 
 
+def test_labels_at_exact_halves(spark):
+    """49.95 is Needs work, though 0.4 * 6 + 0.6 * (634 / 8) is a double below it."""
+    rows = [("a", 6, 634), ("b", 0, 666), ("c", 6, 633), ("d", 54, 698), ("e", 81, 767)]
+    scores = spark.createDataFrame([(m, 8, least, total, 32 * least + 6 * total, 0.4 * least + 0.6 * (total / 8)) for m, least, total in rows], "module string, n long, least int, total long, blend long, overall_raw double")
+    told = {r.module: (r.overall, r.label) for r in scoring.with_labels(scores).collect()}
+    exact = {m: (32 * least + 6 * total) / 80 for m, least, total in rows}
+    assert exact["a"] == exact["b"] == 49.95
+    assert told["a"] == told["b"] == (50.0, "Needs work")
+    assert told["c"] == (49.9, "Critical")
+    assert all(abs(told[m][0] - exact[m]) <= 0.05 + 1e-9 for m in told)
+
+
 def test_impacts_are_exact(spark):
     found = spark.createDataFrame([("m", "Module Hygiene", "P2", True)] * 15, "module string, category string, tier string, eligible boolean")
     cats = scoring.category_scores(found, found, scoring.category_table(spark))
