@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import baseline, resolve, scoring, symbols
 from ..operators import findings as P
-from ..session import durable, open_folder
+from ..session import durable, open_folder, spread
 from ..sources import commits, store
 from ..sources import linters as L
 from ..sources.parsed import Facts
@@ -92,7 +92,9 @@ def source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stub_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stubs built from a tree, written as a file of their version, and read back."""
     folder = open_folder(spark, "stubs")
-    resolve.build_stubs(Facts(generated.files(spark, sf_dir)), "17.0").write.text(os.path.join(folder, "17.0.json"))
+    facts = Facts(generated.files(spark, sf_dir)).settle()
+    resolve.build_stubs(facts, "17.0").write.text(os.path.join(folder, "17.0.json"))
+    facts.release()
     held = resolve.stubs_for(spark, folder, "17.0.3")
     return held.members.groupBy("model", "kind").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("names"))
 
@@ -103,7 +105,7 @@ def stub_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "])"
 )
 def known_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = Facts(generated.files(spark, sf_dir))
+    facts = Facts(generated.files(spark, sf_dir)).settle()
     return resolve.Resolver(facts, resolve.no_stubs(spark)).known_modules()
 
 
@@ -392,11 +394,11 @@ def removed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = F.lit("{'name': 'H', 'version': '17.0.1.0', 'license': 'L'}\n").cast("binary")
     entry = lambda rel, kind, content: F.struct(F.lit(rel).alias("rel"), F.lit(kind).alias("kind"), content.alias("content"))
     name = F.concat(F.lit("h"), k.cast("string"))
-    rows = table(spark, sf_dir, "supplier").select(
+    rows = spread(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select(
         name.alias("module"), F.concat(F.lit("/gen/"), name).alias("module_dir"), k.cast("int").alias("module_ord"),
         F.inline(F.array(entry("__manifest__.py", "manifest", manifest), entry("models/m.py", "python", source))),
     )
-    project = Project(Facts(rows.withColumn("path", F.concat_ws("/", "module_dir", "rel"))), "17.0", stubs)
+    project = Project(Facts(rows.withColumn("path", F.concat_ws("/", "module_dir", "rel"))).settle(), "17.0", stubs)
     found = findings_of(REGISTRY["removed-model-still-referenced"], project)
     return found.select("module", F.when(F.col("message").contains("Version 16.0 had it."), "gone").otherwise("never").alias("told"))
 

@@ -59,19 +59,40 @@ def entries(repo: str, named: str, *options: str) -> Iterator[tuple[str, str, st
 
 
 class Blobs:
-    """Contents by name, from one ``git cat-file``; None if there is no such blob."""
+    """Contents and trees by name, from one ``git cat-file``; None if there is no such blob."""
 
     def __init__(self, repo: str):
+        self.repo = repo
         self.pipe = subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
 
-    def read(self, name: str) -> bytes | None:
+    def object(self, name: str) -> tuple[bytes, bytes]:
+        """Kind and body; the kind is ``missing`` if there is no such object."""
         self.pipe.stdin.write(name.encode() + b"\n")
         self.pipe.stdin.flush()
         head = self.pipe.stdout.readline().split()
         if len(head) != 3:
-            return None
-        body = self.pipe.stdout.read(int(head[2]) + 1)[:-1]
-        return body if head[1] == b"blob" else None
+            return b"missing", b""
+        return head[1], self.pipe.stdout.read(int(head[2]) + 1)[:-1]
+
+    def read(self, name: str) -> bytes | None:
+        kind, body = self.object(name)
+        return body if kind == b"blob" else None
+
+    def files(self, tree: str, top: str = "") -> Iterator[tuple[str, str]]:
+        """(path, name) of the blobs of a tree and of those below it, in git's order."""
+        kind, body = self.object(tree)
+        if kind != b"tree":
+            raise ValueError(f"{tree} is no tree of {self.repo}")
+        length, at = len(tree) // 2, 0
+        while at < len(body):
+            middle = body.index(b"\0", at)
+            mode, _, raw = body[at:middle].partition(b" ")
+            at = middle + 1 + length
+            path, name = top + raw.decode("utf-8", "surrogateescape"), body[middle + 1 : at].hex()
+            if mode in (b"40000", b"040000"):
+                yield from self.files(name, path + "/")
+            elif mode != b"160000":  # a submodule's commit is not in this repository
+                yield path, name
 
     def close(self) -> None:
         self.pipe.stdin.close()
@@ -115,7 +136,7 @@ class CommitReader(DataSourceReader):
         blobs = Blobs(self.repo)
         try:
             for commit, name, ord_, folder in partition.folders:
-                files = [(rel, blob) for kind, blob, rel in entries(self.repo, name, "-r") if kind == "blob"]
+                files = list(blobs.files(name))
                 manifest = dict(files).get(tree.MANIFEST)
                 if manifest is None or not tree.says_installable(blobs.read(manifest)):
                     continue
@@ -217,7 +238,7 @@ def write_commit(files: DataFrame, repo: str, branch: str, message: str = "writt
         return pd.DataFrame([(batch.module.iloc[0], tree_object(repo, held).hex())], columns=["module", "tree"])
 
     trees = files.select("module", "rel", "content").groupBy("module").applyInPandas(run, "module string, tree string")
-    top = "".join(f"040000 tree {r.tree}\t{r.module}\n" for r in trees.orderBy("module").toLocalIterator())
+    top = "".join(f"040000 tree {r.tree}\t{r.module}\n" for r in trees.collect())  # git sorts them
     named = git(repo, "mktree", given=top.encode()).decode().strip()
     last = subprocess.run(["git", "-C", repo, "rev-parse", "-q", "--verify", f"refs/heads/{branch}"], capture_output=True).stdout.decode().strip()
     who = ["-c", "user.name=healthloom", "-c", "user.email=healthloom@localhost"]

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import durable, moved, there
+from ..session import durable, moved, spread, there
 from . import other_facts, parsed, python_facts
 
 #: What tells a content: its name, and the kind of file that it is parsed as.
@@ -77,7 +77,7 @@ class FactStore:
         ``contents`` adds the column ``content`` to rows of the listing; it is asked for new ones only.
         """
         one = _parsed(listing).groupBy(*KEYS).agg(F.min("path").alias("path"))
-        new = durable(one.join(self.known(), KEYS, "left_anti"))
+        new = durable(spread(one.join(self.known(), KEYS, "left_anti"), "digest"))
         self.added = new.count()
         if self.added:
             content = F.col("content")

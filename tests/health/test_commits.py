@@ -223,3 +223,15 @@ def test_a_long_chain_and_made_frames(spark):
     assert found.groupBy("complete").count().collect() == [(True, n)]
     none = spark.createDataFrame([], "model string, parent string")
     assert resolve.complete_models(none, spark.createDataFrame([("a", True)], "model string, complete boolean")).collect() == [("a", True)]
+
+
+def test_trees_are_read_as_git_lists_them(repo):
+    blobs = commits.Blobs(str(repo))
+    try:
+        top = git(repo, "rev-parse", "HEAD^{tree}")
+        listed = [(path, name) for kind, name, path in commits.entries(str(repo), top, "-r") if kind == "blob"]
+        assert list(blobs.files(top)) == listed and len(listed) > 8
+        with pytest.raises(ValueError):
+            list(blobs.files("0" * 40))
+    finally:
+        blobs.close()

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from healthloom.sources import other_facts, python_facts
 
 
@@ -143,3 +145,14 @@ def test_access_files_that_break_the_reader():
     assert [(f["fact"], len(f["data"]["name"])) for f in long] == [("access", 200_000)]
     cut = other_facts.access(head + b"a,b,model_m,,1\n" + b'c,"d' + b"\r" + b'e"f,\r"\n')
     assert [f["data"]["id"] for f in cut if f["fact"] == "access"][:1] == ["a"]
+
+
+def test_small_keys_are_parsed_by_many_tasks(spark):
+    """A table of keys is one task by its bytes; the files made of them are parsed by several, and none of them has most."""
+    from healthloom.plans import generated
+    from healthloom.sources.parsed import parse_files
+
+    facts = parse_files(generated.files(spark, "/root/testdata/sf0.01")).filter("fact = 'manifest'")
+    tasks = facts.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 2 * spark.sparkContext.defaultParallelism
+    assert sum(r["count"] for r in tasks) == 100 and max(r["count"] for r in tasks) <= 40
