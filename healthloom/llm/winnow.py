@@ -26,6 +26,8 @@ no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,27 +39,33 @@ BUCKET_ROWS, MOST_BUCKETS = 256, 1 << 16
 SHIFT = 1 << 32
 
 
+def solid(text: Column) -> Column:
+    """The text without white space: its units, one after the other."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+
+
 def unit_hashes(text: Column) -> Column:
-    units = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""), ""), lambda u: u != "")
-    return F.transform(units, lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME)))
+    of = lambda units: F.transform(F.split(units, ""), lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME)))
+    return F.when(solid(text) == "", F.array().cast("array<bigint>")).otherwise(of(solid(text)))
 
 
-def gram_marks(units: Column, k: int = K) -> Column:
-    """hash * 2**32 + (2**32 - 1 - position) of every run of k units."""
+def gram_marks(units: Column, k: int = K, base: Column | int = 0) -> Column:
+    """hash * 2**32 + (2**32 - 1 - position) of every run of k units; positions count from ``base``."""
 
-    def doubled(values: Column, n: int) -> Column:
+    def doubled(values: Column, n: int, form: Callable[[Column, Column], Column]) -> Column:
         power = pow(BASE, n, PRIME)
-        return let(values, lambda v: F.transform(v, lambda x, at: (x * power + F.coalesce(F.get(v, at + n), F.lit(0))) % PRIME))
+        return let(values, lambda v: F.transform(v, lambda x, at: form((x * power + F.coalesce(F.get(v, at + n), F.lit(0))) % PRIME, at)))
 
+    mark = lambda x, at: x * SHIFT + (F.lit(SHIFT - 1) - base - at)
     values, n = units, 1
-    while n < k:
-        values, n = doubled(values, n), 2 * n
-    marks = F.transform(values, lambda x, at: x * SHIFT + (SHIFT - 1 - at))
+    while 2 * n < k:
+        values, n = doubled(values, n, lambda x, at: x), 2 * n
+    marks = doubled(values, n, mark) if k > 1 else F.transform(values, mark)
     return let(marks, lambda m: F.slice(m, F.lit(1), F.greatest(F.lit(1), F.size(m) - (k - 1))))
 
 
-def chosen(marks: Column, w: int = W) -> Column:
-    """The least mark of every window of w, each once, in order."""
+def window_marks(marks: Column, w: int = W) -> Column:
+    """The least mark of every window of w, in order."""
 
     def doubled(values: Column, n: int) -> Column:
         # least() passes over what lies behind the end
@@ -69,7 +77,12 @@ def chosen(marks: Column, w: int = W) -> Column:
             least, n = doubled(least, n), 2 * n
         return F.slice(least, F.lit(1), F.greatest(F.lit(1), F.size(all_marks) - (w - 1)))
 
-    return F.array_distinct(let(marks, windows))
+    return let(marks, windows)
+
+
+def chosen(marks: Column, w: int = W) -> Column:
+    """The least mark of every window of w, each once, in order."""
+    return F.array_distinct(window_marks(marks, w))
 
 
 def winnow(text: Column, k: int = K, w: int = W) -> Column:
@@ -131,14 +144,29 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("bucket").orderBy("late", "doc_id", "tie")
     n = F.char_length("text")
     paired = neighbours(docs).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
-    edited = F.concat(F.expr("left(text, char_length(text) - char_length(text) div 2)"), F.expr("left(next, char_length(text) div 2)"))
-    marked = paired.select(
-        "bucket", "late", "doc_id", "tie", n.cast("long").alias("n_chars"), "text", edited.alias("edited")
-    ).select(
-        "bucket", "late", "doc_id", "tie", "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.array_distinct(hashes(winnow(F.col("text")))).alias("own"),
-        F.array_distinct(hashes(winnow(F.col("edited")))).alias("other"),
+    keys = ("bucket", "late", "doc_id", "tie")
+    halves = paired.select(
+        *keys, n.cast("long").alias("n_chars"), "text",
+        F.expr("left(text, char_length(text) - char_length(text) div 2)").alias("head"),
+        F.expr("left(next, char_length(text) div 2)").alias("tail"),
+    )
+    units = halves.select(
+        *keys, "n_chars", F.sha2(F.concat("head", "tail"), 256).alias("edited_sha256"),
+        unit_hashes(F.col("text")).alias("units"), F.char_length(solid(F.col("head"))).alias("shared"), unit_hashes(F.col("tail")).alias("more"),
+    )
+    # windows that lie in the first half's units are those of both texts; one less is taken over, so the rest is a window or more
+    units = units.withColumn("same", F.greatest(F.lit(0), F.col("shared") - (K + W - 1)))
+    rest = F.concat(F.slice("units", F.col("same") + 1, F.col("shared") - F.col("same")), F.col("more"))
+    windows = units.select(
+        *keys, "n_chars", "edited_sha256", "same",
+        window_marks(gram_marks(F.col("units"))).alias("here"),
+        window_marks(gram_marks(rest, base=F.col("same"))).alias("there"),
+    )
+    kept = lambda marks: F.array_distinct(hashes(F.array_distinct(marks)))
+    marked = windows.select(
+        *keys, "n_chars", "edited_sha256",
+        kept(F.col("here")).alias("own"),
+        kept(F.concat(F.slice("here", F.lit(1), F.col("same")), F.col("there"))).alias("other"),
     )
     followed = marked.withColumn("next", F.lead("own").over(order)).filter("late = 0")
     return followed.select(

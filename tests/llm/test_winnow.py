@@ -118,3 +118,20 @@ def test_sql_twin(spark, texts, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = {r.doc_id: tuple(r) for r in entry.op9_winnowing(spark, str(tmp_path)).collect()}
     assert {r[0]: tuple(r) for r in con.sql(winnow.oracle()).fetchall()} == got
+
+
+def test_first_half_is_shared_with_the_edited_text(spark):
+    """Positions may count from anywhere, and where the halves meet nothing is lost or made up, whatever is shared."""
+    sizes = sorted({2 * (winnow.K + winnow.W + d) for d in (-2, -1, 0, 1, 2)} | {0, 1, 31, 33, 62, 66, 200})
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abé \n") for _ in range(n)) for n in sizes] + [" " * 90, "x" * 300, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in winnow.edited_likeness(df).collect()}
+    for k, t in enumerate(texts):
+        after = texts[(k + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want = list(dict.fromkeys(h for h, _ in brute_marks(edited)))
+        assert got[k].edited_fingerprint == "".join(f"{h:08x}" for h in want), k
+    units = winnow.unit_hashes(F.lit("abcdefghijklmnopqrstuvwxyz"))
+    whole, moved = spark.range(1).select(winnow.positions(winnow.gram_marks(units)), winnow.positions(winnow.gram_marks(units, base=7))).first()
+    assert whole == list(range(11)) and moved == list(range(7, 18))
