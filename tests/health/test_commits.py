@@ -235,3 +235,16 @@ def test_trees_are_read_as_git_lists_them(repo):
             list(blobs.files("0" * 40))
     finally:
         blobs.close()
+
+
+def test_keys_that_many_share_meet_evenly(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "MANY", 3)
+    rows = spark.createDataFrame([(k, "hot" if k < 9 else "few" if k < 11 else "lost" if k < 15 else None) for k in range(20)], "node int, head string")
+    told = spark.createDataFrame([("hot", "a", True), ("few", "b", False), ("else", "c", True), (None, "d", True)], "head string, further string, open boolean")
+    plain = rows.join(told, "head", "left")
+    made = resolve.met_evenly(rows, told, "head", resolve.Tables(spark, "even"))
+    assert made.columns == plain.columns and sorted(map(str, made.collect())) == sorted(map(str, plain.collect()))
+    names = [(f"c{k}", f"c{k - 1}" if k else None) for k in range(30)] + [("d", "c0"), ("d", "x"), ("e", "c4"), ("e", "c9"), ("r", "s"), ("s", "r")]
+    edges = spark.createDataFrame(names, "model string, parent string")
+    told = {r.model: r.complete for r in resolve.complete_models(edges, spark.createDataFrame([("x", True)], "model string, complete boolean")).collect()}
+    assert told == {**{f"c{k}": True for k in range(30)}, "d": True, "e": False, "r": False, "s": False, "x": True}
