@@ -11,8 +11,8 @@ Paths are those that the files have in the repository's working tree, so the
 findings of two commits can be compared.
 
 ``write_commit`` goes the other way: a table of files becomes a commit.  Blobs
-and the trees of modules are written on the executors, loose objects in git's
-format; the driver adds the tree on top, a line per module.
+and the trees of modules are written on the executors, one pack for a task with
+what the repository lacks; the driver adds the tree on top, a line per module.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 import subprocess
-import uuid
+import tempfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +33,15 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.shipping import by_value
+from ..session import spread
 from . import tree
 
 by_value(__name__)
 
 LISTED = "commit string, module string, module_dir string, module_ord int, path string, rel string, kind string, digest string"
-#: Folders that one task lists.
-FOLDERS = 64
+#: Folders that one task lists at least, and at most; between them about ``TASKS`` tasks share them.
+FOLDERS, MOST_FOLDERS = 64, 4096
+TASKS = 256
 
 
 def git(repo: str, *args: str, given: bytes | None = None) -> bytes:
@@ -61,9 +63,9 @@ def entries(repo: str, named: str, *options: str) -> Iterator[tuple[str, str, st
 class Blobs:
     """Contents and trees by name, from one ``git cat-file``; None if there is no such blob."""
 
-    def __init__(self, repo: str):
+    def __init__(self, repo: str, mode: str = "--batch"):
         self.repo = repo
-        self.pipe = subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        self.pipe = subprocess.Popen(["git", "-C", repo, "cat-file", mode], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
 
     def object(self, name: str) -> tuple[bytes, bytes]:
         """Kind and body; the kind is ``missing`` if there is no such object."""
@@ -74,6 +76,12 @@ class Blobs:
             return b"missing", b""
         return head[1], self.pipe.stdout.read(int(head[2]) + 1)[:-1]
 
+    def has(self, name: str) -> bool:
+        """Whether there is such an object (with ``--batch-check``)."""
+        self.pipe.stdin.write(name.encode() + b"\n")
+        self.pipe.stdin.flush()
+        return len(self.pipe.stdout.readline().split()) == 3
+
     def read(self, name: str) -> bytes | None:
         kind, body = self.object(name)
         return body if kind == b"blob" else None
@@ -100,6 +108,11 @@ class Blobs:
         self.pipe.wait()
 
 
+def share(n: int, least: int, most: int) -> int:
+    """How many of n things one task takes: a task costs a Python worker's start and a git process."""
+    return min(most, max(least, -(-n // TASKS)))
+
+
 class Folders(InputPartition):
     def __init__(self, folders: list[tuple[str, str, int, str]]):
         super().__init__(0)
@@ -130,7 +143,8 @@ class CommitReader(DataSourceReader):
                         known.add(folder)
                         found.append((commit, name, ord_, folder))
                         ord_ += 1
-        return [Folders(found[k : k + FOLDERS]) for k in range(0, max(1, len(found)), FOLDERS)]
+        step = share(len(found), FOLDERS, MOST_FOLDERS)
+        return [Folders(found[k : k + step]) for k in range(0, max(1, len(found)), step)]
 
     def read(self, partition: Folders) -> Iterator[tuple]:
         blobs = Blobs(self.repo)
@@ -195,21 +209,52 @@ def changes(listing: DataFrame, before: str, after: str) -> DataFrame:
 # --- a commit from a table -------------------------------------------------------------------
 
 
-def loose(repo: str, kind: str, body: bytes) -> bytes:
-    """Writes an object, unless it is there, and gives its name.  The file appears as a whole."""
-    whole = f"{kind} {len(body)}".encode() + b"\0" + body
-    name = hashlib.sha1(whole).hexdigest()
-    place = os.path.join(repo, "objects", name[:2], name[2:])
-    if not os.path.exists(place):
-        os.makedirs(os.path.dirname(place), exist_ok=True)
-        made = f"{place}.{uuid.uuid4().hex}"
-        with open(made, "wb") as f:
-            f.write(zlib.compress(whole, 1))
-        os.replace(made, place)
-    return bytes.fromhex(name)
+#: How a pack marks the kinds of objects.
+PACKED = {"tree": 2, "blob": 3}
+
 
+class Pack:
+    """Objects on their way into a repository as one pack; git names it, and shows it when it is whole.
 
-def tree_object(repo: str, files: dict[str, bytes]) -> bytes:
+    ``held``: names that the repository may have already are asked for, and what it has is left out.
+    """
+
+    def __init__(self, repo: str, held: bool):
+        self.repo, self.names, self.body = repo, set(), tempfile.TemporaryFile()
+        self.known = Blobs(repo, "--batch-check") if held else None
+
+    def put(self, kind: str, body: bytes) -> bytes:
+        name = hashlib.sha1(f"{kind} {len(body)}".encode() + b"\0" + body).digest()
+        if name not in self.names and not (self.known and self.known.has(name.hex())):
+            self.names.add(name)
+            size, head = len(body) >> 4, [PACKED[kind] << 4 | len(body) & 15]
+            while size:
+                head[-1] |= 128
+                head.append(size & 127)
+                size >>= 7
+            self.body.write(bytes(head) + zlib.compress(body, 1))
+        return name
+
+    def close(self) -> None:
+        if self.known:
+            self.known.close()
+        if self.names:
+            pipe = subprocess.Popen(["git", "-C", self.repo, "index-pack", "--stdin"], stdin=subprocess.PIPE, stdout=subprocess.DEVNULL)
+            head = b"PACK" + struct.pack(">II", 2, len(self.names))
+            digest = hashlib.sha1(head)
+            pipe.stdin.write(head)
+            self.body.seek(0)
+            while part := self.body.read(1 << 20):
+                digest.update(part)
+                pipe.stdin.write(part)
+            pipe.stdin.write(digest.digest())
+            pipe.stdin.close()
+            if pipe.wait():
+                raise ValueError(f"git index-pack failed in {self.repo}")
+        self.body.close()
+
+
+def tree_object(pack: Pack, files: dict[str, bytes]) -> bytes:
     """Blobs and trees of the files of one folder (relative path -> content); the name of its tree."""
     below: dict[str, dict[str, bytes]] = {}
     lines = []
@@ -218,10 +263,10 @@ def tree_object(repo: str, files: dict[str, bytes]) -> bytes:
         if rest:
             below.setdefault(head, {})[rest] = content
         else:
-            lines.append((head.encode(), b"100644 " + head.encode() + b"\0" + loose(repo, "blob", content)))
+            lines.append((head.encode(), b"100644 " + head.encode() + b"\0" + pack.put("blob", content)))
     for head, inside in below.items():  # git sorts folders as if their names ended in a slash
-        lines.append((head.encode() + b"/", b"40000 " + head.encode() + b"\0" + tree_object(repo, inside)))
-    return loose(repo, "tree", b"".join(line for _, line in sorted(lines)))
+        lines.append((head.encode() + b"/", b"40000 " + head.encode() + b"\0" + tree_object(pack, inside)))
+    return pack.put("tree", b"".join(line for _, line in sorted(lines)))
 
 
 def write_commit(files: DataFrame, repo: str, branch: str, message: str = "written from a table") -> str:
@@ -229,15 +274,28 @@ def write_commit(files: DataFrame, repo: str, branch: str, message: str = "writt
 
     ``repo`` is a bare repository (made if there is none) that all executors can write to.
     """
-    if not os.path.exists(os.path.join(repo, "objects")):
+    held = os.path.exists(os.path.join(repo, "objects"))
+    if not held:
         os.makedirs(repo, exist_ok=True)
         git(repo, "init", "-q", "--bare", ".")
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        held = {rel: content or b"" for rel, content in zip(batch.rel, batch.content)}
-        return pd.DataFrame([(batch.module.iloc[0], tree_object(repo, held).hex())], columns=["module", "tree"])
-
-    trees = files.select("module", "rel", "content").groupBy("module").applyInPandas(run, "module string, tree string")
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, told, module, inside = Pack(repo, held), [], None, {}
+        for batch in source:
+            for name, rel, content in zip(*(batch.column(c).to_pylist() for c in ("module", "rel", "content"))):
+                if name != module and inside:
+                    told.append((module, tree_object(pack, inside).hex()))
+                    inside = {}
+                module = name
+                inside[rel] = content or b""
+        if inside:
+            told.append((module, tree_object(pack, inside).hex()))
+        pack.close()  # a tree is told when it is in the repository
+        for at in range(0, len(told), 10_000):
+            yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*told[at : at + 10_000])], names=["module", "tree"])
+
+    rows = spread(files.select("module", "rel", "content"), "module").sortWithinPartitions("module")
+    trees = rows.mapInArrow(run, "module string, tree string")
     top = "".join(f"040000 tree {r.tree}\t{r.module}\n" for r in trees.collect())  # git sorts them
     named = git(repo, "mktree", given=top.encode()).decode().strip()
     last = subprocess.run(["git", "-C", repo, "rev-parse", "-q", "--verify", f"refs/heads/{branch}"], capture_output=True).stdout.decode().strip()

@@ -27,7 +27,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.shipping import by_value
 from ..plans.rules import REGISTRY
 from ..sources import tree
-from ..sources.commits import Blobs, git
+from ..sources.commits import Blobs, git, share
 from ..sources.parsed import HEAD, parse_files, typed
 
 by_value(__name__)
@@ -35,10 +35,8 @@ by_value(__name__)
 CHANGED = "commit string, module string, module_dir string, module_ord int, path string, rel string, kind string, content binary"
 #: Fixed value: the name of the tree without files, which every repository knows.
 NOTHING = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
-#: Files that one task reads.
-FILES = 256
-
-
+#: Files that one task reads at least, and at most.
+FILES, MOST_FILES = 256, 16384
 
 class Changed(InputPartition):
     def __init__(self, commit: str, files: list[tuple[str, str]]):
@@ -67,7 +65,8 @@ class BranchReader(DataSourceStreamReader):
             files.append((path.decode("utf-8", "surrogateescape"), "" if new.strip("0") == "" else new))
         inside = "" if self.top == "." else f"{self.top.rstrip('/')}/"
         files = [(p, n) for p, n in files if p.startswith(inside) and "/" in p[len(inside) :]]
-        return [Changed(end["commit"], files[k : k + FILES]) for k in range(0, len(files), FILES)]
+        step = share(len(files), FILES, MOST_FILES)
+        return [Changed(end["commit"], files[k : k + step]) for k in range(0, len(files), step)]
 
     def read(self, partition: Changed) -> Iterator[tuple]:
         blobs = Blobs(self.repo)
@@ -135,8 +134,10 @@ def findings_stream(changed: DataFrame) -> DataFrame:
         elif state.exists:
             state.remove()
         told = [(module, path, *x, "found") for x in sorted(now - before)] + [(module, path, *x, "fixed") for x in sorted(before - now)]
-        yield pd.DataFrame(told, columns=["module", "path", "rule", "line", "col", "n", "change"])
+        if told:
+            yield pd.DataFrame(told, columns=["module", "path", "rule", "line", "col", "n", "change"])
 
-    return file_findings(changed).groupBy("module", "path").applyInPandasWithState(
+    # calls are found in Python files only: other files' paths need no state
+    return file_findings(changed.filter("kind = 'python'")).groupBy("module", "path").applyInPandasWithState(
         update, f"{FOUND}, change string", "open string", "append", GroupStateTimeout.NoTimeout
     )

@@ -248,3 +248,24 @@ def test_keys_that_many_share_meet_evenly(spark, monkeypatch):
     edges = spark.createDataFrame(names, "model string, parent string")
     told = {r.model: r.complete for r in resolve.complete_models(edges, spark.createDataFrame([("x", True)], "model string, complete boolean")).collect()}
     assert told == {**{f"c{k}": True for k in range(30)}, "d": True, "e": False, "r": False, "s": False, "x": True}
+
+
+def test_a_commit_is_written_in_a_pack_for_each_task(tmp_path, spark):
+    """No file for each object; a later commit adds what is new and nothing else; git finds no fault."""
+    place = str(tmp_path / "r.git")
+    rows = [(f"m{k}", rel, body) for k in range(300) for rel, body in (("__manifest__.py", MANIFEST.encode()), ("models/a.py", SOURCE.format(k=k).encode() * (k % 40)), ("none.py", None))]
+    first = commits.write_commit(spark.createDataFrame(rows, "module string, rel string, content binary"), place, "main")
+    in_packs = lambda: int(git(place, "count-objects", "-v").split("in-pack: ")[1].split()[0])
+    objects = Path(place, "objects")
+    assert sum(len(list(p.iterdir())) for p in objects.iterdir() if len(p.name) == 2) <= 2  # the commit and the tree on top
+    assert len(list(objects.glob("pack/*.pack"))) <= 4 * spark.sparkContext.defaultParallelism
+    before, edited = in_packs(), [(m, rel, b"new\n" if m == "m7" and rel == "none.py" else body) for m, rel, body in rows]
+    second = commits.write_commit(spark.createDataFrame(edited, "module string, rel string, content binary"), place, "main")
+    assert in_packs() == before + 2
+    assert git(place, "diff", "--name-only", first, second) == "m7/none.py"
+    assert git(place, "fsck", "--strict") == ""
+    assert git(place, "show", f"{first}:m39/models/a.py") == (SOURCE.format(k=39) * 39).strip()
+
+
+def test_folders_are_shared_by_a_bounded_number_of_tasks():
+    assert commits.share(10, 64, 4096) == 64 and commits.share(720_000, 64, 4096) == 2813 and commits.share(10**9, 64, 4096) == 4096
