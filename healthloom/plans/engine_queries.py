@@ -111,6 +111,7 @@ def known_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_of(spark: SparkSession, sf_dir: str) -> scan.ScanResult:
     facts, found = generated.scanned(spark, sf_dir)
+    found = durable(found)  # scores and reports read it several times
     scope = sorted({r.category for r in scan.active_rules(generated.VERSION, [])})
     cats = scoring.category_scores(found, facts.manifests, scoring.category_table(spark, scope=scope))
     scores = scoring.with_labels(scoring.module_scores(cats))

@@ -232,3 +232,11 @@ def test_source_index_and_stub_files(module, scanned, spark, tmp_path):
     assert [(r.model, r.complete) for r in stubs.models.collect()] == [("lib.p", True)]
     assert ("lib.p", "field", "n") in {tuple(r) for r in stubs.members.collect()}
     assert resolve.stubs_for(spark, str(tmp_path), "9.0").models.count() == 0
+
+
+def test_reports_read_findings_that_are_written(spark):
+    """Scores and reports read what the rules found once, not the rules' plan again for each of them."""
+    from healthloom.plans.engine_queries import result_of
+
+    plan = result_of(spark, "/root/testdata/sf0.001").findings._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "Relation" not in plan and "Join" not in plan
