@@ -17,12 +17,12 @@ is then verified on all of them.
 Dense groups: all pairs of a group of near copies would be a square of its
 size, so groups are contracted first.  In each bucket of equal segments every
 text is paired with the least one only, the pairs are verified, and what hangs
-together is a *class*.  A class then enters a bucket once, however many members
-it has there, and a class is never paired with itself.  Where a bucket brings two
-classes (or a class and a text) together, first two members of each are compared.
-Where no such link joins the two, all their members in the bucket are brought
-back.  So every two groups that any link joins are joined; links inside a class
-change nothing.
+together is a *class*.  A class is never paired with itself; links are
+then sought between nodes of different classes.  What meets next to a bucket of
+more than ``CROWD`` entries is judged inside the bucket, in blocks: all pairs are
+compared, but no row is made of one, only of a link that joins two classes.  So
+every two groups that any link joins are joined; links inside a class change
+nothing.
 
 Equal fingerprints are one node.  Groups are the connected components of the
 links; in each the row with the least doc_id (null last) stays.
@@ -54,6 +54,8 @@ FIND_WORDS, FIND = 2, 6
 JUDGE_WORDS, JUDGE = 5, 8
 MOST_BITS = 88
 CHECK_BITS = 20
+#: Entries from which a bucket's pairs are judged in it, and the rows of each side that are judged at once.
+CROWD, BLOCK = 4, 2048
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -157,47 +159,70 @@ def stars(nodes: DataFrame) -> DataFrame:
     return cut(verified(cut(pairs.distinct()), nodes))
 
 
-def between(nodes: DataFrame) -> DataFrame:
+def between(nodes: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) between ``nodes`` of different classes (node, find, judge, class; a null class is a node alone).
 
     A class hangs together already, so links are only sought until two classes
-    do as well: first between two members of each class in a bucket, then, where
-    those are not linked, between all of them that are in the bucket.
+    do as well.  A probe and an entry that meet where no bucket of more than
+    ``crowd`` entries takes part are a pair; the others are judged in the bucket.
     """
-    entered = entries(nodes)
-    tables = {"p": probes(entered), "e": entered}
-    alone, members = {}, {}
-    for side, table in tables.items():
-        node = F.col("node")
-        single = table.filter("class IS NULL").select("key", node.alias("class"), "check", node.alias("first"), node.alias("last"))
-        members[side] = table.filter("class IS NOT NULL").select("key", "class", "node", "check")
-        # a class stands in a bucket once; its members' checks are looked at when they are brought back
-        once = members[side].groupBy("key", "class").agg(F.lit(None).cast("long").alias("check"), F.min("node").alias("first"), F.max("node").alias("last"))
-        named = [F.col(c).alias(f"{side}_{c}") for c in ("class", "check", "first", "last")]
-        alone[side] = single.unionByName(once).select("key", *named)
-    far = F.bit_count(F.col("p_check").bitwiseXOR(F.col("e_check"))) > CHECK_BITS
-    met = alone["p"].join(alone["e"], "key").filter((F.col("p_class") != F.col("e_class")) & ~F.coalesce(far, F.lit(False)))
-    met = cut(met)
-    ends = lambda at: F.struct(F.least(f"p_{at}", f"e_{at}").alias("a"), F.greatest(f"p_{at}", f"e_{at}").alias("b"), "p_class", "e_class")
-    asked = cut(met.select(F.inline(F.array(ends("first"), ends("last")))).distinct())
-    some = cut(verified(cut(asked.select("a", "b").distinct()), nodes))
-    joined = components(asked.join(some, ["a", "b"]).select(F.col("p_class").alias("a"), F.col("e_class").alias("b")))
-    for side in ("p", "e"):
-        now = joined.select(F.col("node").alias(f"{side}_class"), F.col("root").alias(f"{side}_now"))
-        met = met.join(now, f"{side}_class", "left")
-    # nodes alone have been looked at: only what stands for more than one node is left to be brought back
-    apart = ~F.coalesce(F.col("p_now") == F.col("e_now"), F.lit(False)) & (F.col("p_check").isNull() | F.col("e_check").isNull())
-    met = cut(met.filter(apart).drop("p_first", "p_last", "e_first", "e_last", "p_now", "e_now"))
-    for side in ("p", "e"):
-        named = cut(met.filter(f"{side}_check IS NULL").select("key", F.col(f"{side}_class").alias("class")).distinct())
-        back = KeyFilter(named, ["key", "class"]).passed(members[side], ["key", "class"])
-        back = back.select("key", *[F.col(c).alias(f"{side}_{n}") for c, n in (("class", "class"), ("node", "node"), ("check", "own"))])
-        met = met.join(back, ["key", f"{side}_class"], "left").withColumns(
-            {f"{side}_class": F.coalesce(f"{side}_node", f"{side}_class"), f"{side}_check": F.coalesce(f"{side}_own", f"{side}_check")}
-        )
-    a, b = F.col("p_class"), F.col("e_class")
-    pairs = cut(met.filter(~far).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    return some.unionByName(cut(verified(pairs.join(some, ["a", "b"], "left_anti"), nodes)))
+    named = nodes.select("node", "find", "judge", F.coalesce("class", "node").alias("label"))
+    entered = entries(named)
+    asked = probes(entered)
+    counts = cut(entered.groupBy("key").agg(F.count("*").alias("n")))
+    reached = counts.filter(F.col("n") > crowd).select(F.explode(_ball(F.col("key"))).alias("key")).distinct()
+    crowded = cut(counts.select("key").join(reached, "key", "left_semi"))
+    some = bool(crowded.take(1))
+    plain = entered.join(crowded, "key", "left_anti") if some else entered
+    plain = plain.select("key", *[F.col(c).alias(f"e_{c}") for c in ("node", "label", "check")])
+    near = F.bit_count(F.col("check").bitwiseXOR(F.col("e_check"))) <= CHECK_BITS
+    met = asked.join(plain, "key").filter((F.col("label") != F.col("e_label")) & near)
+    pairs = cut(met.select(F.least("node", "e_node").alias("a"), F.greatest("node", "e_node").alias("b")).distinct())
+    links = verified(pairs, nodes)
+    if some:
+        held = KeyFilter(crowded, ["key"])
+        sides = [held.passed(df, ["key"]).join(crowded, "key").select("key", "node", "label", F.lit(k).alias("side")) for k, df in enumerate((asked, entered))]
+        links = links.unionByName(_judged(cut(sides[0].unionByName(sides[1])), nodes, block)).distinct()
+    return cut(links)
+
+
+def _judged(sides: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) of the probes (side 0) and entries (side 1) of each key that join all labels which any of their links joins.
+
+    Both sides of a bucket are cut into blocks, and every two blocks meet in one
+    call, however many nodes the bucket has.  All pairs are judged there, but
+    those whose labels hang together by then; the links that join two are given.
+    """
+    parts = lambda side: F.ceil(F.count_if(F.col("side") == side) / block).cast("int")
+    wide = cut(sides.groupBy("key").agg(parts(0).alias("n0"), parts(1).alias("n1")))
+    probe = F.col("side") == 0
+    place = F.pmod(F.xxhash64("node"), F.when(probe, F.col("n0")).otherwise(F.col("n1"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(probe, F.col("n1")).otherwise(F.col("n0")) - 1)
+    dealt = sides.join(wide, "key").select("key", "node", "label", "side", place.alias("own"), F.explode(others).alias("other"))
+    sorted_out = [F.when(F.col("side") == k, F.col("own")).otherwise(F.col("other")).alias(f"b{k}") for k in (0, 1)]
+    dealt = dealt.select("key", "node", "label", "side", *sorted_out).join(nodes.select("node", "judge"), "node")
+    return dealt.groupBy("key", "b0", "b1").applyInArrow(_joining, "a long, b long").distinct()
+
+
+def _joining(table: pa.Table) -> pa.Table:
+    """Pairs (a < b) of a probe and an entry that are near, one for each time two labels are joined."""
+    table = table.combine_chunks()
+    entry = table["side"].to_numpy() == 1
+    node = table["node"].to_numpy()
+    judge = table["judge"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, JUDGE)
+    label = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+    ours, theirs = np.flatnonzero(~entry), np.flatnonzero(entry)
+    first, words = judge[theirs, 0].copy(), judge[theirs]
+    out: list[tuple[int, int]] = []
+    for at in ours:
+        near = (np.bitwise_count(first ^ judge[at, 0]) <= CHECK_BITS) & (label[theirs] != label[at])
+        some = np.flatnonzero(near)
+        some = some[np.bitwise_count(words[some] ^ judge[at]).sum(axis=1, dtype=np.int64) <= MOST_BITS] if len(some) else some
+        for other in theirs[some]:
+            if label[other] != label[at]:
+                label[label == label[other]] = label[at]
+                out.append((min(node[at], node[other]), max(node[at], node[other])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def grouped(docs: DataFrame) -> DataFrame:

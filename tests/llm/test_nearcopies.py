@@ -187,3 +187,27 @@ def test_a_very_long_text(spark):
     rows = [(2, " ".join(words)), (1, " ".join(edited(rnd, words, 900))), (3, "x")]
     kept = nearcopies.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("crowd, block", [(0, 3), (4, 16), (1000, 16)])
+def test_buckets_of_any_size_lose_no_link(spark, planted, crowd, block):
+    """Whatever is judged inside its bucket, and in however many blocks, the groups are the same."""
+    df = spark.createDataFrame(planted, "doc_id long, text string").repartition(5)
+    nodes = nearcopies.fingerprints(df).select(F.col("doc_id").alias("node"), "find", "judge", F.lit(None).cast("long").alias("class")).cache()
+    links = {(r.a, r.b) for r in nearcopies.between(nodes, crowd, block).collect()}
+    assert links <= set(links_of(planted))
+    assert joined([k for k, _ in planted], links) == brute_groups(planted)
+
+
+def test_a_crowded_bucket_of_unlike_texts_makes_no_row_of_each_pair(spark, monkeypatch):
+    """300 nodes of one finding fingerprint, alike in the first judging word: 44,850 pairs, of which ten are near."""
+    rnd = random.Random(8)
+    judges = [[0] + [rnd.getrandbits(64) - (1 << 63) for _ in range(7)] for _ in range(290)]
+    judges += [[0] + [v ^ 1 for v in judges[29 * k][1:]] for k in range(10)]
+    nodes = spark.createDataFrame([(k, [5] * 6, j, None) for k, j in enumerate(judges)], "node long, find array<long>, judge array<long>, class long")
+    asked = []
+    plain = nearcopies.verified
+    monkeypatch.setattr(nearcopies, "verified", lambda pairs, held: asked.append(pairs.count()) or plain(pairs, held))
+    links = {(r.a, r.b) for r in nearcopies.between(nodes).collect()}
+    assert links == {(29 * k, 290 + k) for k in range(10)}
+    assert sum(asked) <= 300
