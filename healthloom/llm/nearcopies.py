@@ -19,10 +19,10 @@ size, so groups are contracted first.  In each bucket of equal segments every
 text is paired with the least one only, the pairs are verified, and what hangs
 together is a *class*.  A class is never paired with itself; links are
 then sought between nodes of different classes.  What meets next to a bucket of
-more than ``CROWD`` entries is judged inside the bucket, in blocks: all pairs are
-compared, but no row is made of one, only of a link that joins two classes.  So
-every two groups that any link joins are joined; links inside a class change
-nothing.
+more than ``CROWD`` entries is judged in blocks of the buckets' nodes: pairs of
+different classes are compared, but no row is made of one, nor of a node and a
+bucket it probes, only of a link that joins two classes.  So every two groups
+that any link joins are joined; links inside a class change nothing.
 
 Equal fingerprints are one node.  Groups are the connected components of the
 links; in each the row with the least doc_id (null last) stays.
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, cut, drop_rows, shipped, short_batches
+from .common import KeyFilter, cut, drop_rows, shipped, short_batches, small
 from .simhash import MASK, components
 from .tokens import batches
 
@@ -54,7 +54,7 @@ FIND_WORDS, FIND = 2, 6
 JUDGE_WORDS, JUDGE = 5, 8
 MOST_BITS = 88
 CHECK_BITS = 20
-#: Entries from which a bucket's pairs are judged in it, and the rows of each side that are judged at once.
+#: Entries from which a bucket's pairs are judged in blocks, and the nodes of about which a block consists.
 CROWD, BLOCK = 4, 2048
 
 
@@ -164,7 +164,7 @@ def between(nodes: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFra
 
     A class hangs together already, so links are only sought until two classes
     do as well.  A probe and an entry that meet where no bucket of more than
-    ``crowd`` entries takes part are a pair; the others are judged in the bucket.
+    ``crowd`` entries takes part are a pair; the others are judged in blocks.
     """
     named = nodes.select("node", "find", "judge", F.coalesce("class", "node").alias("label"))
     entered = entries(named)
@@ -180,49 +180,65 @@ def between(nodes: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFra
     pairs = cut(met.select(F.least("node", "e_node").alias("a"), F.greatest("node", "e_node").alias("b")).distinct())
     links = verified(pairs, nodes)
     if some:
-        held = KeyFilter(crowded, ["key"])
-        sides = [held.passed(df, ["key"]).join(crowded, "key").select("key", "node", "label", F.lit(k).alias("side")) for k, df in enumerate((asked, entered))]
-        links = links.unionByName(_judged(cut(sides[0].unionByName(sides[1])), nodes, block)).distinct()
+        links = links.unionByName(_judged(named, counts, crowded, block)).distinct()
     return cut(links)
 
 
-def _judged(sides: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """Links (a, b) of the probes (side 0) and entries (side 1) of each key that join all labels which any of their links joins.
+def _judged(named: DataFrame, counts: DataFrame, crowded: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) between the nodes of ``crowded`` keys and of the keys that probe them, enough to join all labels which any link there joins.
 
-    Both sides of a bucket are cut into blocks, and every two blocks meet in one
-    call, however many nodes the bucket has.  All pairs are judged there, but
-    those whose labels hang together by then; the links that join two are given.
+    A bucket is a few rows, of about ``block`` nodes each, and a label with more
+    nodes than that there has blocks of its own.  Buckets meet by their keys,
+    however many nodes they hold, and two blocks of one label do not meet.
     """
-    parts = lambda side: F.ceil(F.count_if(F.col("side") == side) / block).cast("int")
-    wide = cut(sides.groupBy("key").agg(parts(0).alias("n0"), parts(1).alias("n1")))
-    probe = F.col("side") == 0
-    place = F.pmod(F.xxhash64("node"), F.when(probe, F.col("n0")).otherwise(F.col("n1"))).cast("int")
-    others = F.sequence(F.lit(0), F.when(probe, F.col("n1")).otherwise(F.col("n0")) - 1)
-    dealt = sides.join(wide, "key").select("key", "node", "label", "side", place.alias("own"), F.explode(others).alias("other"))
-    sorted_out = [F.when(F.col("side") == k, F.col("own")).otherwise(F.col("other")).alias(f"b{k}") for k in (0, 1)]
-    dealt = dealt.select("key", "node", "label", "side", *sorted_out).join(nodes.select("node", "judge"), "node")
-    return dealt.groupBy("key", "b0", "b1").applyInArrow(_joining, "a long, b long").distinct()
-
-
-def _joining(table: pa.Table) -> pa.Table:
-    """Pairs (a < b) of a probe and an entry that are near, one for each time two labels are joined."""
-    table = table.combine_chunks()
-    entry = table["side"].to_numpy() == 1
-    node = table["node"].to_numpy()
-    judge = table["judge"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, JUDGE)
-    label = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
-    ours, theirs = np.flatnonzero(~entry), np.flatnonzero(entry)
-    first, words = judge[theirs, 0].copy(), judge[theirs]
-    out: list[tuple[int, int]] = []
-    for at in ours:
-        near = (np.bitwise_count(first ^ judge[at, 0]) <= CHECK_BITS) & (label[theirs] != label[at])
-        some = np.flatnonzero(near)
-        some = some[np.bitwise_count(words[some] ^ judge[at]).sum(axis=1, dtype=np.int64) <= MOST_BITS] if len(some) else some
-        for other in theirs[some]:
-            if label[other] != label[at]:
-                label[label == label[other]] = label[at]
-                out.append((min(node[at], node[other]), max(node[at], node[other])))
-    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+    key = F.col("key")
+    asking = counts.select(key.alias("from"), F.explode(_ball(key)).alias("key"))
+    met = cut(KeyFilter(crowded, ["key"]).passed(asking, ["key"]).join(crowded, "key").select("from", key.alias("to")))
+    needed = cut(met.select(F.explode(F.array("from", "to")).alias("key")).distinct())
+    filled = named.select("node", "label", "judge", F.explode(_segments()).alias("key"))
+    filled = cut(KeyFilter(needed, ["key"]).passed(filled, ["key"]).join(needed, "key", "left_semi"))
+    sizes = cut(filled.groupBy("key", "label").agg(F.count("*").alias("n")))
+    parts = F.ceil(F.col("n") / block).cast("int")
+    own = cut(sizes.filter(F.col("n") > block).select("key", "label", parts.alias("own")))
+    others = sizes.filter(F.col("n") <= block).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
+    others = cut(others.select("key", parts.alias("others")))
+    dealt = filled.join(small(own), ["key", "label"], "left").join(small(others), "key", "left")
+    place = F.pmod(F.xxhash64("node"), F.coalesce("own", "others", F.lit(1)))
+    dealt = dealt.groupBy("key", F.when(F.col("own").isNotNull(), F.col("label")).alias("lone"), place.alias("place"))
+    blocks = dealt.agg(F.collect_list(F.struct("node", "label", "judge")).alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
+    blocks = blocks.select("key", "low", "high", F.col("m.node").alias("node"), F.col("m.label").alias("label"), F.flatten("m.judge").alias("judge"))
+    blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id()))
+    ends = {s: blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "low", "high", "block")]) for s in "pe"}
+    alike = F.least("p_low", "e_low") == F.greatest("p_high", "e_high")
+    once = (F.col("from") != F.col("to")) | (F.col("p_block") <= F.col("e_block"))
+    met = met.join(ends["p"], F.col("from") == F.col("p_key")).join(ends["e"], (F.col("to") == F.col("e_key")) & ~alike & once)
+    met = cut(met.select("p_block", "e_block"))
+    for s in "pe":
+        met = met.join(blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in ("block", "node", "label", "judge")]), f"{s}_block")
+    with short_batches(named.sparkSession, 64):
+        return cut(met.drop("p_block", "e_block").mapInArrow(_joining, "a long, b long").distinct())
+
+
+def _joining(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every two blocks (node, label, judge of both) the near pairs (a < b), one for each time two labels are joined."""
+    for batch in source:
+        out: list[tuple[int, int]] = []
+        for row in range(batch.num_rows):
+            sides = [[batch.column(f"{s}_{c}")[row].values.to_numpy() for c in ("node", "label", "judge")] for s in "pe"]
+            ours, theirs = sorted(sides, key=lambda side: len(side[0]))
+            label = np.unique(np.concatenate([ours[1], theirs[1]]), return_inverse=True)[1]
+            own, other = label[: len(ours[0])], label[len(ours[0]) :]  # views: a change of label is seen in both
+            asked, words = (side[2].view(np.uint64).reshape(-1, JUDGE) for side in (ours, theirs))
+            first = words[:, 0].copy()
+            for at in range(len(own)):
+                some = np.flatnonzero((np.bitwise_count(first ^ asked[at, 0]) <= CHECK_BITS) & (other != own[at]))
+                some = some[np.bitwise_count(words[some] ^ asked[at]).sum(axis=1, dtype=np.int64) <= MOST_BITS] if len(some) else some
+                for to in some:
+                    if other[to] != own[at]:
+                        label[label == other[to]] = own[at]
+                        pair = int(ours[0][at]), int(theirs[0][to])
+                        out.append((min(pair), max(pair)))
+        yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -211,3 +211,23 @@ def test_a_crowded_bucket_of_unlike_texts_makes_no_row_of_each_pair(spark, monke
     links = {(r.a, r.b) for r in nearcopies.between(nodes).collect()}
     assert links == {(29 * k, 290 + k) for k in range(10)}
     assert sum(asked) <= 300
+
+
+def test_a_crowded_bucket_makes_no_row_of_each_node_and_bucket_it_probes(spark, monkeypatch):
+    """200 unlike nodes in 33 neighbouring buckets of each table: a node has a row in each of its own tables, and blocks meet by bucket."""
+    rnd = random.Random(9)
+    full = (1 << 32) - 1
+    segment = lambda k: full if k % 2 else full ^ 1 << (k // 2 % 32)  # noqa: E731  the centre, or it with one bit cleared
+    word = lambda k: int(np.uint64(segment(k) << 32 | segment(k)).view(np.int64))
+    judges = [[0] + [rnd.getrandbits(64) - (1 << 63) for _ in range(7)] for _ in range(190)]
+    judges += [[0] + [v ^ 1 for v in judges[19 * k][1:]] for k in range(10)]
+    nodes = spark.createDataFrame([(k, [word(k)] * 6, j, None) for k, j in enumerate(judges)], "node long, find array<long>, judge array<long>, class long")
+    made = []
+    plain = nearcopies.cut
+    monkeypatch.setattr(nearcopies, "cut", lambda df: made.append(plain(df)) or made[-1])
+    links = {(r.a, r.b) for r in nearcopies.between(nodes).collect()}
+    near = {(19 * k, 190 + k) for k in range(10)}
+    # a pair of unlike buckets, neither of them the centre, is two bits apart
+    assert links == {(a, b) for a, b in near if bin(segment(a) ^ segment(b)).count("1") <= 1}
+    assert max(df.count() for df in made) <= 12 * 200
+    assert [df.count() <= 12 * (33 + 32) for df in made if df.columns == ["p_block", "e_block"]] == [True]
